@@ -19,56 +19,70 @@ _BARE = re.compile(r"[^\x20\t-\r]+").findall
 _LED = re.compile(r"[\x20\t-\r]*[^\x20\t-\r]+|[\x20\t-\r]+").findall
 
 
+# Words of these letters alone are one piece before merges, and no normaliser changes them but for case.
+_PLAIN = {"bare": re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+").fullmatch, "led": re.compile(r" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+").fullmatch}
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies spell a byte as its Latin-1 character if that prints, else as the next free one from 256 on."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in prints]
+    return {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
+
+
+class _Memo(dict):
+    """chunk -> its ids; asks `find` for what it lacks, and keeps that while there is room."""
+
+    def __init__(self, find, entries: int, longest: int):
+        self.find, self.entries, self.longest = find, entries, longest
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids, keep = self.find(chunk)
+        if keep and len(self) < self.entries and len(chunk) <= self.longest:
+            self[chunk] = ids
+        return ids
+
+
 class ChunkedTokenizer:
     """encode(texts) -> for each text the ids as little-endian unsigned 32-bit bytes.
 
-    chunks: "bare" if the tokenizer drops white space and lower-cases, "led" if a chunk keeps the white space
-    before it, "whole" for any other tokenizer. memo_entries bounds the memo; chunks first met are
+    chunks: "bare" if the tokenizer drops white space and lower-cases, "led" if a chunk keeps the white
+    space before it, "whole" for any other tokenizer. memo_entries bounds the memo; chunks first met are
     the frequent ones, so a full memo just stops growing.
     """
 
-    def __init__(self, path: str, chunks: str = "whole", memo_entries: int = 1_200_000, memo_chars: int = 40):
+    def __init__(self, path: str, chunks: str = "whole", memo_entries: int = 1_000_000, memo_chars: int = 40):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.chunks, self.memo_entries, self.memo_chars = chunks, memo_entries, memo_chars
-        self.memo: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _core(self, chunk: str) -> tuple[str, str]:
-        """The chunk without a comma or stop after a letter, where both tokenizers cut too, and that mark."""
-        core, mark = (chunk[:-1], chunk[-1]) if len(chunk) > 1 and chunk[-1] in ",." and chunk[-2].isalpha() else (chunk, "")
-        return (core.lower() if self.chunks == "bare" and core.isascii() else core), mark
-
-    def _look_up(self, missing: set[str]) -> dict[str, bytes]:
-        """Ids of chunks that aren't in the memo, by way of their cores, which may be."""
-        memo, cores = self.memo, {x: self._core(x) for x in missing}
-        new = list({c for pair in cores.values() for c in pair if c and c not in memo})
-        fresh = dict(zip(new, self._ids(new), strict=True)) if new else {}
-        if (room := self.memo_entries - len(memo)) > 0:
-            memo.update({k: fresh[k] for k in [k for k in new if len(k) <= self.memo_chars][:room]})
-        get = lambda k: fresh[k] if k in fresh else memo[k]
-        return {x: get(core) + get(mark) if mark else get(core) for x, (core, mark) in cores.items()}
+        self.model, self.chunks = self.tokenizer.model, chunks
+        self.memo = _Memo(self._find, memo_entries, memo_chars)
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _find(self, chunk: str) -> tuple[bytes, bool]:
+        """A chunk's ids, and if they are worth keeping under its own name.
+
+        A comma or stop after a letter is a piece of its own, so the word before it is looked up apart.
+        A plain word goes to the library's merge model directly, anything else through all of its steps.
+        """
+        if len(chunk) > 1 and chunk[-1] in ",." and chunk[-2].isalpha():
+            return self.memo[chunk[:-1]] + self.memo[chunk[-1]], False
+        word = chunk.lower() if self.chunks == "bare" else chunk
+        if _PLAIN[self.chunks](word):
+            return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_LETTERS))]).tobytes(), True
+        return self._whole(chunk), True
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.chunks == "whole":
-            return self._ids(texts)
-        cut, memo = _BARE if self.chunks == "bare" else _LED, self.memo
-        out: list[bytes] = []
-        for text in texts:
-            if self.chunks == "led" and not text.isascii() and any(c in text for c in _WIDE):
-                out += self._ids([text])
-                continue
-            parts = cut(text)
-            if missing := {x for x in parts if x not in memo}:
-                found = self._look_up(missing)
-                out.append(b"".join([found[x] if x in found else memo[x] for x in parts]))
-            else:
-                out.append(b"".join(map(memo.__getitem__, parts)))
-        return out
+            return list(map(self._whole, texts))
+        cut, get = _BARE if self.chunks == "bare" else _LED, self.memo.__getitem__
+        return [self._whole(t) if self.chunks == "led" and not t.isascii() and any(c in t for c in _WIDE) else b"".join(map(get, cut(t))) for t in texts]
 
 
 _KEPT: dict[tuple, ChunkedTokenizer] = {}

@@ -2,11 +2,48 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from slotwise.llm.common import materialize
+from slotwise.llm import mixing, packing, pii, quality, simhash
+from slotwise.llm.common import WORD, materialize
 
-STAGES: list = []
+#: The columns of documents, which all stages but the last return.
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality.apply_quality(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return simhash.deduplicate(docs.select(*COLUMNS))
+
+
+def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind; n_chars follows the text."""
+    clean = pii.redact_pii(pii.find_pii(docs.select(*COLUMNS)))
+    return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.lit(0).cast("long"))).select(*COLUMNS)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each time that the mix takes a document; the one at a source's cut is shortened to the words taken."""
+    mixed = mixing.mix_sources(docs, carry=("text", "lang", "n_chars")).where("taken > 0")
+    copies = mixed.withColumn("left", F.explode(F.expr("transform(sequence(0L, (taken - 1) div size), i -> least(size, taken - i * size))")))
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})")), 1, F.col("left").cast("int")), " ")
+    short = F.col("left") < F.col("size")
+    return copies.withColumn("text", F.when(short, cut).otherwise(F.col("text"))).withColumn("n_chars", F.when(short, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of sequences of 2048 token ids."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), "led", 1)
+
+
+STAGES = [("quality_rules", quality_rules), ("simhash_near_dedup", near_dedup), ("pii", pii_redaction), ("mixing", source_mix), ("packing", pack)]
 
 #: Token ids and XXH64 fingerprints can't be had in SQL; tests compare with a brute-force version.
 ORACLE_SQL = None

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word, in Spark's and Python's regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -46,3 +47,8 @@ def without(df: DataFrame, names) -> DataFrame:
     """df without columns of these names in any case: a result column replaces its namesake."""
     taken = {n.lower() for n in names}
     return df.select([F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
+
+
+def extended(schema: T.StructType, ddl: str) -> T.StructType:
+    """schema with the fields of ddl after its own."""
+    return T.StructType([*schema.fields, *T.StructType.fromDDL(ddl).fields])

@@ -9,7 +9,6 @@ best first, until one rejects.
 from __future__ import annotations
 
 import time
-import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import without, words_of
+from slotwise.llm.common import extended, without, words_of
 
 # Fixed values of the base features.
 SYMBOLS = "#*$%&|<>"
@@ -96,12 +95,7 @@ class Features:
 
     @cached_property
     def n_upper(self) -> int:
-        return sum(map(bytes.isupper, self.words))
-
-    @cached_property
-    def compressed_share(self) -> float:
-        raw = self.text.encode()
-        return len(zlib.compress(raw, 1)) / max(1, len(raw))
+        return sum(w.decode().isupper() for w in self.words)
 
 
 @dataclass(frozen=True)
@@ -119,9 +113,8 @@ RULES = (
     Rule("symbols", lambda f: 10 * f.n_symbols > f.n_words),
     Rule("long_words", lambda f: f.word_chars > 25 * f.n_words),
     Rule("short_words", lambda f: f.word_chars < 2 * f.n_words),
-    Rule("repeated_lines", lambda f: 10 * f.n_dup_lines > 3 * len(f.lines)),
+    Rule("repeated_lines", lambda f: f.n_dup_lines > 3 and 10 * f.n_dup_lines > 3 * len(f.lines)),
     Rule("capitals", lambda f: 2 * f.n_upper > f.n_words),
-    Rule("compresses_too_well", lambda f: len(f.text) >= 400 and f.compressed_share < 0.15),
 )
 
 
@@ -168,15 +161,12 @@ def apply_quality(docs: DataFrame, rules=RULES, sample_rows: int = 400, text_col
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept.
 
     The five features are wanted of every text, so the cascade's rules that use only those
-    cost little more; others, like capitals or compressed size, are computed only for texts that all
+    cost little more; others, like capitals, are computed only for texts that all
     rules before let pass. A null or empty text has no words and fails the base rules; repeated rows
     are judged each; columns of docs named like a result are replaced. Narrow, no shuffle.
     """
     kept = without(docs, [*FEATURES, "base_failed", "kept"])
-    schema = kept.schema
-    for name in FEATURES:
-        schema = schema.add(name, "long")
-    schema = schema.add("base_failed", "boolean").add("kept", "boolean")
+    schema = extended(kept.schema, ", ".join(f"{n} long" for n in FEATURES) + ", base_failed boolean, kept boolean")
     order = order_rules(measure_rules(sample_texts(docs, sample_rows, text_col=text_col), rules))
     at = kept.columns.index(text_col)
 

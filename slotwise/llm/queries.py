@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotwise.llm import mixing, packing, token_store
+from slotwise.llm import ann, chat, mixing, packing, pii, quality, secrets, simhash, token_store
 from slotwise.llm.common import shared_dir
 
 
@@ -14,6 +14,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    counts = [F.expr(f"cast(size(filter(secret_spans, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in secrets.KINDS[:3]]
+    base = secrets.spans_text(F.filter("secret_spans", lambda s: s["kind"] != "random"))
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), secrets.spans_text("secret_spans").alias("spans"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.apply_quality(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.drop("text")
+
+
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
@@ -30,4 +42,22 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op4_token_ids, op5_packing, op6_mixing)}
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", secrets.spans_text("pii_spans").alias("spans"))
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate_perspectives(_table(spark, sf_dir, "conversations"))
+
+
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_quality, op4_token_ids, op5_packing, op6_mixing, op7_pii, op8_chat, op9_ann, op10_simhash)}

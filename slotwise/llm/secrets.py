@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import without
+from slotwise.llm.common import extended, without
 
 # The base patterns, whose matches are reported whatever the token test says.
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -96,7 +96,7 @@ def scan_secrets(docs: DataFrame, ranks_path: str, pattern: str, max_ratio: floa
     secret_spans is replaced. Narrow: no shuffle, one text at a time in memory.
     """
     kept = without(docs, ["secret_spans"])
-    schema = kept.schema.add("secret_spans", "array<struct<start:long,end:long,kind:string>>")
+    schema = extended(kept.schema, "secret_spans array<struct<start:long,end:long,kind:string>>")
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
     at = kept.columns.index(text_col)
 

@@ -32,3 +32,47 @@ FROM epochs
 """
 
 ORACLE = {"op6_mixing": OP6}
+
+OP8 = """
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations
+), people AS (
+  SELECT DISTINCT conv_id, speaker AS perspective FROM said WHERE speaker <> 'system'
+), rendered AS (
+  SELECT said.conv_id, perspective, turn, speaker, text,
+    CASE WHEN speaker = perspective THEN '<|im_start|>assistant' WHEN speaker = 'system' THEN '<|im_start|>system' ELSE '<|im_start|>user name=' || speaker END || chr(10) AS head
+  FROM said JOIN people ON said.conv_id IS NOT DISTINCT FROM people.conv_id
+), placed AS (
+  SELECT *, head || text || '<|im_end|>' || chr(10) AS segment,
+    coalesce(sum(length(head || text || '<|im_end|>') + 1) OVER (PARTITION BY conv_id, perspective ORDER BY turn, speaker, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM rendered
+)
+SELECT conv_id, perspective, turn, segment, start,
+  CASE WHEN speaker = perspective THEN start + length(head) END AS mask_start,
+  CASE WHEN speaker = perspective THEN start + length(segment) - 1 END AS mask_end
+FROM placed
+"""
+
+OP2 = rf"""
+WITH t AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text, {WORDS} AS w FROM documents),
+word AS (SELECT id, unnest(w) AS word, unnest(range(len(w))) AS i FROM t),
+windows AS (
+  SELECT id, i, count(*) OVER (PARTITION BY id, s) AS times
+  FROM (SELECT id, i, list(word) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS s FROM word) WHERE len(s) = 8
+), repeated AS (
+  SELECT id, count(DISTINCT i + k) AS n_repeat_words FROM windows, range(8) r(k) WHERE times > 1 GROUP BY id
+), lines AS (
+  SELECT id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT id, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY id
+), f AS (
+  SELECT t.id, doc_id, text, w, len(w) AS n_words, len(list_aggregate(w, 'string_agg', '')) AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM t LEFT JOIN lines USING (id) LEFT JOIN repeated USING (id)
+), b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * n_symbols > n_words OR word_chars > 25 * n_words OR word_chars < 2 * n_words OR (n_dup_lines > 3 AND 10 * n_dup_lines > 3 * n_lines)
+    OR 2 * len([x FOR x IN w IF upper(x) = x AND lower(x) <> x]) > n_words) AS kept
+FROM b
+"""
+
+ORACLE |= {"op2_quality": OP2, "op8_chat": OP8}

@@ -52,3 +52,15 @@ def without(df: DataFrame, names) -> DataFrame:
 def extended(schema: T.StructType, ddl: str) -> T.StructType:
     """schema with the fields of ddl after its own."""
     return T.StructType([*schema.fields, *T.StructType.fromDDL(ddl).fields])
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table of a materialized df that nothing reads any more, and let go of finished shuffles' files."""
+    import gc
+
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file.rsplit("/", 1)[0])
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()  # the driver's cleaner removes shuffle files once their plans are garbage

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotwise.llm import ann, chat, mixing, packing, pii, quality, secrets, simhash, token_store
+from slotwise.llm import ann, chat, mixing, packing, pii, quality, secrets, simhash, substrings, token_store
 from slotwise.llm.common import shared_dir
 
 
@@ -26,6 +26,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("text")
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
@@ -60,4 +64,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_quality, op4_token_ids, op5_packing, op6_mixing, op7_pii, op8_chat, op9_ann, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_quality, op3_substrings, op4_token_ids, op5_packing, op6_mixing, op7_pii, op8_chat, op9_ann, op10_simhash)}

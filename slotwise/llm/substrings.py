@@ -72,29 +72,31 @@ def recompress(hashes: np.ndarray, sizes: np.ndarray):
     return names, lengths, sizes
 
 
-def window_marks(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For each window its mark and the hash of its words."""
+def window_marks(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each window its mark, which of the document's symbols that is, and the hash of its words."""
     n = len(words) - WINDOW + 1
     if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     hashes = np.fromiter(map(_HASH.__getitem__, words), dtype=np.uint64, count=len(words))
     names, lengths, sizes = recompress(hashes, np.fromiter(map(len, words), dtype=np.int64, count=len(words)))
     end = np.cumsum(lengths)
     i = np.arange(n)
     lo, hi = np.searchsorted(end - lengths, i + EDGE), np.searchsorted(end, i + WINDOW - EDGE, side="right")
     score = (np.minimum(sizes, 4095).astype(np.uint64) << np.uint64(52)) | (names >> np.uint64(12))
-    tables = [score]  # tables[k][s]: the largest of the 2^k scores from s on
+    tables = [np.arange(len(score))]  # tables[k][s]: the place of the largest, then first, of the 2^k scores from s on
     while 1 << len(tables) <= WINDOW:
-        step = 1 << (len(tables) - 1)
-        last = tables[-1]
-        tables.append(np.maximum(last, np.concatenate([last[step:], last[-1:].repeat(min(step, len(last)))])[: len(last)]))
+        here = tables[-1]
+        there = here[np.minimum(np.arange(len(here)) + (1 << (len(tables) - 1)), len(here) - 1)]
+        tables.append(np.where(score[there] > score[here], there, here))
     k = np.log2(hi - lo).astype(np.int64)
     stack = np.stack(tables)
-    marks = np.maximum(stack[k, lo], stack[k, hi - (1 << k)])
+    a, b = stack[k, lo], stack[k, hi - (1 << k)]
+    places = np.where(score[b] > score[a], b, a)
+    marks = score[places]
     powers = np.concatenate([np.ones(1, np.uint64), np.full(len(words) - 1, _ODD).cumprod(dtype=np.uint64)])
     sums = np.concatenate([np.zeros(1, np.uint64), (_mix(hashes) * powers).cumsum(dtype=np.uint64)])
     undo = np.concatenate([np.ones(1, np.uint64), np.full(n - 1, _ODD_INVERSE).cumprod(dtype=np.uint64)])
-    return marks, _mix((sums[WINDOW:] - sums[:-WINDOW]) * undo)
+    return marks, places, _mix((sums[WINDOW:] - sums[:-WINDOW]) * undo)
 
 
 def kept_words(words: list[bytes], starts) -> list[bytes]:
@@ -128,16 +130,16 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, text_col: str = "te
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t1, t2, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                m, _ = window_marks(words_of(text))
-                if len(m):
-                    at = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
+                m, place, _ = window_marks(words_of(text))
+                if len(m):  # equal windows, even side by side, have their marks at different places
+                    at = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
                     size = np.diff(np.concatenate([at, [len(m)]]))
                     yield pa.RecordBatch.from_arrays([_signed(m[at]), pa.array(np.full(len(at), t1)), pa.array(np.full(len(at), t2)), pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32))], names=["mark", "_t1", "_t2", "at", "size"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t1, t2, text, copies, ranges in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                m, h = window_marks(words_of(text))
+                m, _, h = window_marks(words_of(text))
                 at = np.concatenate([np.arange(r["at"], r["at"] + r["size"]) for r in ranges])
                 yield pa.RecordBatch.from_arrays([_signed(m[at]), _signed(h[at]), pa.array(np.full(len(at), t1)), pa.array(np.full(len(at), t2)), pa.array(at.astype(np.int32)), pa.array(np.full(len(at), copies))], names=["mark", "hash", "_t1", "_t2", "at", "copies"])
 

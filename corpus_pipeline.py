@@ -2,33 +2,59 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotwise.llm import mixing, packing, pii, quality, simhash
+from slotwise.llm import common
 from slotwise.llm.common import WORD, materialize
 
 #: The columns of documents, which all stages but the last return.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+#: Tables that the stage before wrote on its way; its result has been written since.
+_LEFT: list[str] = []
+
+
+def _stage(function):
+    """A stage that first deletes what the one before left in the shared folder."""
+
+    @wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _LEFT:
+            common.delete(spark, _LEFT.pop())
+        had = len(common.WRITTEN)
+        out = function(spark, docs, sf_dir)
+        _LEFT.extend(common.WRITTEN[had:])
+        return out
+
+    return run_stage
+
+
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     return quality.apply_quality(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
     return simhash.deduplicate(docs.select(*COLUMNS))
 
 
+@_stage
 def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by its kind; n_chars follows the text."""
     clean = pii.redact_pii(pii.find_pii(docs.select(*COLUMNS)))
     return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.lit(0).cast("long"))).select(*COLUMNS)
 
 
+@_stage
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time that the mix takes a document; the one at a source's cut is shortened to the words taken."""
     mixed = mixing.mix_sources(docs, carry=("text", "lang", "n_chars")).where("taken > 0")
@@ -38,6 +64,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return copies.withColumn("text", F.when(short, cut).otherwise(F.col("text"))).withColumn("n_chars", F.when(short, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
+@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of sequences of 2048 token ids."""
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), "led", 1)

@@ -22,6 +22,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths of the tables that materialize() wrote, in order.
+WRITTEN: list[str] = []
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df to a table in the shared folder and reread it.
 
@@ -31,6 +35,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -58,9 +63,12 @@ def discard(df: DataFrame) -> None:
     """Delete the table of a materialized df that nothing reads any more, and let go of finished shuffles' files."""
     import gc
 
-    spark = df.sparkSession
     for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file.rsplit("/", 1)[0])
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, file.rsplit("/", 1)[0])
     gc.collect()
-    spark._jvm.System.gc()  # the driver's cleaner removes shuffle files once their plans are garbage
+    df.sparkSession._jvm.System.gc()  # the driver's cleaner removes shuffle files once their plans are garbage
+
+
+def delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

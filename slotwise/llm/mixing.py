@@ -60,15 +60,17 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
 
 def _taken(sized: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
     """sized: source, size, key and more columns; adds source_size, target and taken."""
-    ranged = sized.withColumn("range", F.substring("key", 1, RANGE_DIGITS))
-    sums = materialize(ranged.groupBy("source", "range").agg(F.sum("size").alias("words")), "mix-sums")
+    # A null source gets a key of its own that equals itself, so window and join share one exchange.
+    by = ["no_source", "source_key", "range"]
+    ranged = sized.withColumns({"no_source": F.col("source").isNull(), "source_key": F.coalesce("source", F.lit("")), "range": F.substring("key", 1, RANGE_DIGITS)})
+    sums = materialize(ranged.groupBy("source", *by).agg(F.sum("size").alias("words")), "mix-sums")
     targets = source_targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
     ranges = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.withColumn("range_start", F.coalesce(F.sum("words").over(ranges), F.lit(0))).alias("s").join(targets.alias("t"), F.expr("s.source <=> t.source")).select("s.source", "s.range", "range_start", "source_size", "target")
-    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = ranged.withColumn("in_range", F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("d").join(offsets.alias("o"), F.expr("d.source <=> o.source and d.range = o.range"))
+    offsets = sums.withColumn("range_start", F.coalesce(F.sum("words").over(ranges), F.lit(0))).alias("s").join(targets.alias("t"), F.expr("s.source <=> t.source")).select("s.no_source", "s.source_key", "s.range", "range_start", "source_size", "target")
+    inside = Window.partitionBy(*by).orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn("in_range", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(offsets.hint("merge"), by)
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     rest = budget - epochs * F.col("source_size") - F.col("range_start") - F.col("in_range")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
-    return placed.select("d.*", "source_size", "target", taken.cast("long").alias("taken")).drop("range", "in_range", "key")
+    return placed.select(*[c for c in sized.columns if c != "key"], "source_size", "target", taken.cast("long").alias("taken"))

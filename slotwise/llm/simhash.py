@@ -224,4 +224,4 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     marked = materialize(kept.mapInArrow(mark, extended(kept.schema, "_fp long, _row long")), "fingerprints")
     rooted = _roots(materialize(marked.groupBy(F.col("_fp").alias("fp")).agg(F.min(F.struct(F.col(id_col).isNull(), id_col, "_row")).alias("first")), "classes"))
     keepers = materialize(rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row")), "keepers")
-    return marked.join(keepers, "_row", "left_semi").select(*kept.columns)
+    return marked.join(keepers.hint("merge"), "_row", "left_semi").select(*kept.columns)

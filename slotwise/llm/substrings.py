@@ -109,8 +109,22 @@ def kept_words(words: list[bytes], starts) -> list[bytes]:
     return [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
+class _Rows:
+    """Columns of many documents, handed on in batches of some size."""
+
+    def __init__(self, *names: str, rows: int = 50_000):
+        self.names, self.rows, self.parts, self.size = names, rows, [], 0
+
+    def add(self, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.parts.append(columns)
+        self.size += len(columns[0])
+        if self.size >= self.rows:
+            yield from self.drain()
+
+    def drain(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*self.parts, strict=True)], names=list(self.names))
+            self.parts, self.size = [], 0
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = False, text_col: str = "text") -> DataFrame:
@@ -128,20 +142,24 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, text_col: str = "te
     classes = materialize(hashed.groupBy("_t1", "_t2").agg(F.count("*").alias("n")), "repeat-classes")
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Rows("mark", "_t1", "_t2", "at", "size")
         for batch in batches:
             for t1, t2, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 m, place, _ = window_marks(words_of(text))
                 if len(m):  # equal windows, even side by side, have their marks at different places
                     at = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
                     size = np.diff(np.concatenate([at, [len(m)]]))
-                    yield pa.RecordBatch.from_arrays([_signed(m[at]), pa.array(np.full(len(at), t1)), pa.array(np.full(len(at), t2)), pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32))], names=["mark", "_t1", "_t2", "at", "size"])
+                    yield from held.add(m[at].view(np.int64), np.full(len(at), t1), np.full(len(at), t2), at.astype(np.int32), size.astype(np.int32))
+        yield from held.drain()
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Rows("mark", "hash", "_t1", "_t2", "at", "copies")
         for batch in batches:
             for t1, t2, text, copies, ranges in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 m, _, h = window_marks(words_of(text))
                 at = np.concatenate([np.arange(r["at"], r["at"] + r["size"]) for r in ranges])
-                yield pa.RecordBatch.from_arrays([_signed(m[at]), _signed(h[at]), pa.array(np.full(len(at), t1)), pa.array(np.full(len(at), t2)), pa.array(at.astype(np.int32)), pa.array(np.full(len(at), copies))], names=["mark", "hash", "_t1", "_t2", "at", "copies"])
+                yield from held.add(m[at].view(np.int64), h[at].view(np.int64), np.full(len(at), t1), np.full(len(at), t2), at.astype(np.int32), np.full(len(at), copies))
+        yield from held.drain()
 
     # 1. Where marks stand. Neighbouring windows mostly share one, so that a row stands for several.
     placed = materialize(hashed.select("_t1", "_t2", "_text").mapInArrow(marks, "mark long, _t1 long, _t2 long, at int, size int"), "repeat-marks")
@@ -152,6 +170,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, text_col: str = "te
     # 2. Windows of one text of each class that carry a mark found again, and which of them are.
     single = hashed.select("_t1", "_t2", "_text").join(ranges.join(classes, ["_t1", "_t2"]), ["_t1", "_t2"]).groupBy("_t1", "_t2").agg(F.first("_text").alias("_text"), F.first("n").alias("n"), F.first("ranges").alias("ranges"))
     sent = materialize(single.select("_t1", "_t2", "_text", "n", "ranges").mapInArrow(windows, "mark long, hash long, _t1 long, _t2 long, at int, copies long"), "repeat-windows")
+    discard(ranges)
     repeated = materialize(sent.groupBy("mark", "hash").agg(F.sum("copies").alias("n")).where("n > 1").select("mark", "hash"), "repeat-found")
     starts = sent.where("copies = 1").join(repeated, ["mark", "hash"], "left_semi").groupBy("_t1", "_t2").agg(F.collect_list("at").alias("_starts"))  # as many as a text has windows
     starts = materialize(starts, "repeat-starts")

@@ -101,7 +101,106 @@ class BoostedStumps:
         return 1 / (1 + np.exp(-score))
 
 
-LEARNERS = {"nb": NaiveBayes, "nb_missing": lambda: NaiveBayes(missing_aware=True), "boosted": BoostedStumps}
+class LinearSvm:
+    """Weighted linear classifier on the squared hinge loss with an L2 penalty; P(1) is the sigmoid of the margin.
+
+    Columns are standardised, then Newton's method runs on the rows inside the margin. With one class only, the margin is that class.
+    """
+
+    def __init__(self, cost: float = 1.0, rounds: int = 30):
+        self.cost, self.rounds = cost, rounds
+
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> LinearSvm:
+        self.mean, self.scale = x.mean(axis=0), np.maximum(x.std(axis=0), FLOOR)
+        if len(set(y.tolist())) < 2:
+            self.w = np.append(np.zeros(x.shape[1]), 1.0 if y[0] == 1 else -1.0)
+            return self
+        z, sign, c = self._with_bias(x), np.where(y == 1, 1.0, -1.0), self.cost * weight * len(y) / weight.sum()
+        self.w = np.zeros(z.shape[1])
+        loss = self._loss(z, sign, c, self.w)
+        for _ in range(self.rounds):
+            inside = sign * (z @ self.w) < 1
+            zi, ci = z[inside], c[inside]
+            slope = self.w - 2 * zi.T @ (ci * (sign[inside] - zi @ self.w))
+            step, size = np.linalg.solve(np.eye(len(self.w)) + 2 * (zi.T * ci) @ zi, slope), 1.0
+            while size > 1e-6 and self._loss(z, sign, c, self.w - size * step) > loss:
+                size /= 2
+            new = self._loss(z, sign, c, self.w - size * step)
+            if new >= loss - 1e-10 * max(1.0, loss):
+                break
+            self.w, loss = self.w - size * step, new
+        return self
+
+    @staticmethod
+    def _loss(z: np.ndarray, sign: np.ndarray, c: np.ndarray, w: np.ndarray) -> float:
+        return float(0.5 * w @ w + (c * np.maximum(0.0, 1 - sign * (z @ w)) ** 2).sum())
+
+    def _with_bias(self, x: np.ndarray) -> np.ndarray:
+        return np.column_stack([(x - self.mean) / self.scale, np.ones(len(x))])
+
+    def proba(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self._with_bias(x) @ self.w, -500, 500)))
+
+
+class DecisionTree:
+    """Weighted Gini tree without a limit of depth: a node is split until it is pure or no column tells its rows apart.
+
+    Splits lie midway between neighbouring values; of equal gains the first column's smallest split wins.
+    """
+
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> DecisionTree:
+        self.column, self.cut, self.left, self.right, self.share = [], [], [], [], []
+        todo = [(self._leaf(y, weight), np.arange(len(y)))]
+        while todo:
+            node, rows = todo.pop()
+            found = self._split(x[rows], y[rows], weight[rows])
+            if found:
+                j, cut = found
+                low = x[rows, j] <= cut
+                a, b = rows[low], rows[~low]
+                self.column[node], self.cut[node] = j, cut
+                self.left[node], self.right[node] = self._leaf(y[a], weight[a]), self._leaf(y[b], weight[b])
+                todo += [(self.left[node], a), (self.right[node], b)]
+        return self
+
+    def _leaf(self, y: np.ndarray, weight: np.ndarray) -> int:
+        for values, first in ((self.column, -1), (self.cut, 0.0), (self.left, -1), (self.right, -1)):
+            values.append(first)
+        self.share.append(float(weight[y == 1].sum() / weight.sum()) if weight.sum() > 0 else float(np.mean(y)))
+        return len(self.share) - 1
+
+    @staticmethod
+    def _split(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[int, float] | None:
+        if len(set(y.tolist())) < 2:
+            return None
+        best, found = math.inf, None
+        for j in range(x.shape[1]):
+            order = np.argsort(x[:, j], kind="stable")
+            v, w = x[order, j], weight[order]
+            total, ones = np.cumsum(w), np.cumsum(w * (y[order] == 1))
+            at = np.flatnonzero(v[1:] > v[:-1])
+            if not len(at):
+                continue
+            n, k = total[at], ones[at]
+            m, r = total[-1] - n, ones[-1] - k
+            impurity = k * (1 - k / np.maximum(n, 1e-300)) + r * (1 - r / np.maximum(m, 1e-300))
+            i = int(np.argmin(impurity))
+            if impurity[i] < best:
+                middle = (v[at[i]] + v[at[i] + 1]) / 2
+                best, found = impurity[i], (j, float(middle if middle < v[at[i] + 1] else v[at[i]]))
+        return found
+
+    def proba(self, x: np.ndarray) -> np.ndarray:
+        column, cut, left, right = (np.asarray(a) for a in (self.column, self.cut, self.left, self.right))
+        node = np.zeros(len(x), dtype=int)
+        while (inner := column[node] >= 0).any():
+            rows = np.flatnonzero(inner)
+            at = node[rows]
+            node[rows] = np.where(x[rows, column[at]] <= cut[at], left[at], right[at])
+        return np.asarray(self.share)[node]
+
+
+LEARNERS = {"nb": NaiveBayes, "nb_missing": lambda: NaiveBayes(missing_aware=True), "boosted": BoostedStumps, "svm": LinearSvm, "tree": DecisionTree}
 
 
 @dataclass

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from slotwise.functions.fnv import fnv1a_64
-from slotwise.operators import drift, labels, learn, replay
+from slotwise.operators import drift, gated, labels, learn, replay
 from slotwise.operators import requests as req
-from slotwise.plans import compare
+from slotwise.plans import compare, schedules
 from slotwise.sources.trace import event_trace, profile_lines
 
 CAPACITIES = (4, 25, 100)
@@ -404,3 +404,54 @@ def gbt_admission(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     return compare.bootstrap_interval(_static(spark, d).groupBy("slot", "capacity").agg(F.avg("hit").alias("hr")), "hr", "capacity")
+
+
+def _label_log(spark: SparkSession, d: str) -> DataFrame:
+    return _top(spark, d).groupBy("slot").agg(F.sum("y").alias("selected")).withColumns({"variant": F.lit("labels"), "capacity": F.lit(100).cast("long")})
+
+
+@query(
+    """chosen AS (SELECT slot, sum(y)::BIGINT AS selected FROM top GROUP BY slot),
+    total AS (SELECT sum(selected)::BIGINT AS total, count(*) AS n, max(slot) AS last, round_even(sum(selected) / count(*), 0)::BIGINT AS mean FROM chosen)
+    SELECT 'labels' AS variant, 100::BIGINT AS capacity, slot, CASE WHEN slot = last THEN greatest(0, total - mean * (n - 1)) ELSE mean END::BIGINT AS scheduled FROM chosen, total"""
+)
+def even_schedule(spark: SparkSession, d: str) -> DataFrame:
+    return schedules.even_schedule(_label_log(spark, d))
+
+
+@query()
+def permuted_schedule(spark: SparkSession, d: str) -> DataFrame:
+    return schedules.permuted_schedule(_label_log(spark, d))
+
+
+@query()
+def scheduled_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Unguarded runs that admit as many as the guarded one: slot by slot, evenly, and in another order of slots."""
+    scored, raw = _scored(spark, d), drift.slot_drift(_top(spark, d).where("y = 1"))
+    log = replay.guard_slot_log(spark, scored, raw, ("guard",), (100,)).where("phase = 'cache'")
+    made = {"matched": schedules.matched_schedule(log), "even": schedules.even_schedule(log), "permuted": schedules.permuted_schedule(log)}
+    runs = [replay.guard_slot_log(spark, scored, raw, ("no_guard",), (100,), schedule=s).withColumn("schedule", F.lit(k)) for k, s in made.items()]
+    return runs[0].unionByName(runs[1]).unionByName(runs[2])
+
+
+@query()
+def guard_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Hits of the guarded variant over a grid of its gate and gains: a run a combination."""
+    grid = replay.grid_variants(replay.VARIANTS["guard"], gate=(0.02, 0.05, 0.2), miss_gain=(0.0, 0.5), gate_if_poor=(False, True))
+    log = replay.guard_slot_log(spark, _scored(spark, d), drift.slot_drift(_top(spark, d).where("y = 1")), grid, (100,)).where("phase = 'cache'")
+    return log.groupBy("variant", "capacity").agg(F.sum("hits").alias("hits"), F.sum("requests").alias("requests"), F.sum("selected").alias("admitted"))
+
+
+@query()
+def gated_slot_log(spark: SparkSession, d: str) -> DataFrame:
+    return gated.gated_slot_log(spark, _scored(spark, d))
+
+
+@query()
+def svm_scores(spark: SparkSession, d: str) -> DataFrame:
+    return replay.ensemble_scores(_vector_rows(spark, d), [*GAP_NAMES, *HISTORY], "svm")
+
+
+@query()
+def tree_scores(spark: SparkSession, d: str) -> DataFrame:
+    return replay.ensemble_scores(_vector_rows(spark, d), [*GAP_NAMES, *HISTORY], "tree")

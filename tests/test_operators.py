@@ -8,8 +8,9 @@ import numpy as np
 import pytest
 
 from slotwise.functions.fnv import fnv1a
-from slotwise.operators import drift, labels, learn, replay
+from slotwise.operators import drift, gated, labels, learn, replay
 from slotwise.operators import requests as req
+from slotwise.plans import schedules, search
 from slotwise.sources import trace as src
 
 
@@ -101,3 +102,70 @@ def test_readers(spark, tmp_path):
     assert [(r.seq, r.object_id) for r in spliced] == [(0, "http://a/A"), (1, "http://a/A B"), (2, "17")]
     with pytest.raises(ValueError):
         src.read_trace(spark, "x.csv")
+
+
+def test_svm_and_tree_separate_what_they_can():
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(2, 0.5, (200, 2)), rng.normal(-2, 0.5, (200, 2))])
+    y, w = np.repeat([1, 0], 200), np.ones(400)
+    for kind in ("svm", "tree"):
+        model = learn.LEARNERS[kind]().fit(x, y, w)
+        assert ((model.proba(x) > 0.5) == y).all()
+        assert (learn.LEARNERS[kind]().fit(x[:5], y[:5], w[:5]).proba(x) > 0.5).all()
+    crossed = np.array([[0, 0], [0, 1], [1, 0], [1, 1]] * 3, dtype=float)  # no single split lowers the impurity
+    truth = (crossed[:, 0] != crossed[:, 1]).astype(int)
+    assert (learn.DecisionTree().fit(crossed, truth, np.ones(12)).proba(crossed) == truth).all()
+    alike = learn.DecisionTree().fit(np.zeros((4, 2)), np.array([1, 0, 0, 0]), np.array([3.0, 1, 1, 1]))
+    assert alike.proba(np.zeros((1, 2)))[0] == 0.5
+
+
+def test_schedules_keep_the_total(spark):
+    rows = [("a", 100, s, b) for s, b in enumerate((5, 0, 9, 3), 3)] + [("b", 100, 3, 4), ("c", 100, 3, 0), ("c", 100, 4, 0)]
+    log = spark.createDataFrame(rows, "variant string, capacity long, slot int, selected long")
+    even = {(r.variant, r.slot): r.scheduled for r in schedules.even_schedule(log).collect()}
+    assert even == {("a", 3): 4, ("a", 4): 4, ("a", 5): 4, ("a", 6): 5, ("b", 3): 4, ("c", 3): 0, ("c", 4): 0}
+    drawn = schedules.permuted_schedule(log).collect()
+    assert sorted(r.scheduled for r in drawn if r.variant == "a") == [0, 3, 5, 9] and len(drawn) == 7
+    assert sorted(map(tuple, schedules.permuted_schedule(log).collect())) == sorted(map(tuple, drawn))
+    assert not schedules.even_schedule(log.limit(0)).collect()
+
+
+def slot_frame(slot, pairs, positive=()):
+    import pandas as pd
+
+    return pd.DataFrame([(slot, o, s, int(o in positive)) for o, s in pairs], columns=["slot", "object_id", "score", "y"])
+
+
+def test_gated_run_by_hand():
+    gate = gated.Gate(tail=2, enough=10**9, least_rate=0.5, most_rate=0.5, smooth=1.0)
+    warm = slot_frame(1, [("a", 0.9), ("b", 0.8), ("c", 0.1), ("d", 0.2)], "a")
+    # The threshold is the median 0.5; the cache starts with a, b. c falls short; e does not outscore the weakest, b; f replaces b.
+    use = slot_frame(2, [("a", 0.9), ("c", 0.1), ("e", 0.7), ("f", 0.85), ("b", 0.8), ("f", 0.85)], "f")
+    log = gated.gated_run(gate, 2, [warm, use], 1)
+    assert log[0][9] == 0.5 and log[1][:8] == (2, 2, "cache", 6, 2, 1, 1, 2)
+    assert gated.gated_run(gate, 0, [warm, use], 1)[1][4:6] == (0, 0)
+    assert gated.gated_run(gate, 50, [warm, use], 1)[1][4] == 4  # all four warm objects are held, and f the second time
+
+
+def test_threshold_without_enough_misses():
+    keep, none = (gated.Threshold(gated.Gate(fallback=f), 10) for f in ("keep", "none"))
+    for t in (keep, none):
+        t.update(0.2, [0.5] * 600, np.array([0.1]))
+        assert t.value == 0.5
+        t.update(0.2, [], np.array([0.1]))
+    assert keep.value == 0.5 and none.value is None
+
+
+def test_grid_and_search_find_the_best():
+    grid = replay.grid_variants(replay.VARIANTS["guard"], gate=(0.02, 0.05), miss_gain=(0.0, 0.5))
+    assert len({v.name for v in grid}) == 4 and {(v.gate, v.miss_gain) for v in grid} == {(a, b) for a in (0.02, 0.05) for b in (0.0, 0.5)}
+    found = search.maximize(lambda trials: [-((t["a"] - 3) ** 2) - (t["b"] + 1) ** 2 for t in trials], {"a": (0, 10), "b": (-5, 5)}, rounds=20)
+    assert len(found) == 25 and abs(found[0][0]["a"] - 3) < 0.6 and abs(found[0][0]["b"] + 1) < 0.6
+
+
+def test_schedule_replaces_the_budget():
+    import pandas as pd
+
+    slots = [pd.DataFrame([(s, 10 * s + i, f"o{(i * s) % 7}", 0.1 * i, 0) for i in range(10)], columns=["slot", "seq", "object_id", "score", "y"]) for s in (1, 2, 3)]
+    log = replay.guarded_run(replay.VARIANTS["no_guard"], 3, slots, {}, 1, {2: 0, 3: 2})
+    assert [r[9] for r in log[1:]] == [0, 2]

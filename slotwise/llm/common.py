@@ -61,12 +61,17 @@ def extended(schema: T.StructType, ddl: str) -> T.StructType:
 
 def discard(df: DataFrame) -> None:
     """Delete the table of a materialized df that nothing reads any more, and let go of finished shuffles' files."""
-    import gc
-
     for file in df.inputFiles()[:1]:
         delete(df.sparkSession, file.rsplit("/", 1)[0])
+    release(df.sparkSession)
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of finished shuffles' files: the driver's cleaner removes them once their plans are garbage."""
+    import gc
+
     gc.collect()
-    df.sparkSession._jvm.System.gc()  # the driver's cleaner removes shuffle files once their plans are garbage
+    spark._jvm.System.gc()
 
 
 def delete(spark: SparkSession, name: str) -> None:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import discard, extended, materialize, words_of
+from slotwise.llm.common import discard, extended, materialize, release, words_of
 
 WINDOW = 35
 #: Words at either end of a window whose symbols its surroundings may decide: 2 + 2 + 4 by the rounds' reach.
@@ -172,6 +172,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, text_col: str = "te
     sent = materialize(single.select("_t1", "_t2", "_text", "n", "ranges").mapInArrow(windows, "mark long, hash long, _t1 long, _t2 long, at int, copies long"), "repeat-windows")
     discard(ranges)
     repeated = materialize(sent.groupBy("mark", "hash").agg(F.sum("copies").alias("n")).where("n > 1").select("mark", "hash"), "repeat-found")
+    release(docs.sparkSession)
     starts = sent.where("copies = 1").join(repeated, ["mark", "hash"], "left_semi").groupBy("_t1", "_t2").agg(F.collect_list("at").alias("_starts"))  # as many as a text has windows
     starts = materialize(starts, "repeat-starts")
     discard(sent)

@@ -65,6 +65,27 @@ def test_secrets(docs, none):
     assert [k for *_, k in secrets.scan_text("id zQ3vX9kLm2TbR7yWp4Nd8Hs6 d41d8cd98f00b204e9800998ecf8427e internationalization-of-things-2024", ratio)] == ["random", "hex"]
 
 
+def test_secrets_letters_short_and_glued():
+    ratio = secrets.TokenRatio(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    rng = random.Random(11)
+
+    def draw(letters, n):
+        return "".join(rng.choices(letters, k=n))
+
+    def found(text):
+        return [text[a:b] for a, b, k in secrets.scan_text(text, ratio) if k == "random"]
+
+    lower, both = "abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    mixed = both + "0123456789"
+    for letters, n, least in ((both, 40, 100), (mixed, 16, 100), (mixed, 24, 100), (lower, 40, 95)):  # lower-case strings have ratios of up to 2
+        assert sum(len(found(f"id {draw(letters, n)} end")) == 1 for _ in range(100)) >= least, (letters, n)
+    for _ in range(50):
+        key = draw(mixed, 24)
+        for text in (f"database_connection_credentials={key}", f"internal/documentation/{key}/configuration", f"configuration{key}", f"configurationconfiguration{key.lower()}", f"the-secret-of-{key[:12]}/{key[12:]}"):
+            assert found(text), text
+    assert found("internationalization-of-things-2024 20241128050000123456 request/550e8400-E29B-41d4-a716-446655440000/documentation to_be_or_not_to_be_that_is_the_question internationalization") == []
+
+
 def test_quality(docs, none):
     rows = quality.apply_quality(docs).collect()
     for r in rows:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotwise.llm import mixing, packing, pii, quality, simhash
+from slotwise.llm import jaccard, mixing, packing, pii, quality
 from slotwise.llm import common
 from slotwise.llm.common import WORD, materialize
 
@@ -43,8 +43,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.deduplicate(docs.select(*COLUMNS))
+    """One document of each group of near-duplicates: texts linked by a Jaccard similarity of 0.8 of their five-word shingles."""
+    return jaccard.deduplicate(docs.select(*COLUMNS))
 
 
 @_stage

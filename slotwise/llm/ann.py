@@ -73,13 +73,19 @@ def _matrix(column: pa.ChunkedArray | pa.Array, d: int) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros((0, d))
 
 
+def _slack(queries: np.ndarray, radius: float) -> np.ndarray:
+    """More than the error of a product of each query with vectors of norms up to radius, in float64."""
+    return 1e-15 * (queries.shape[1] + 8) * np.sqrt((queries**2).sum(axis=1)) * radius
+
+
 def _best(queries: np.ndarray, vectors: np.ndarray, floors: np.ndarray, k: int) -> tuple[list, list, list]:
     """(query row, vector row, score) of each query's k best scores at or over its floor, with ties at the kth; scores exactly rounded."""
     rows, cols, scores = [], [], []
+    slack = _slack(queries, np.sqrt((vectors**2).sum(axis=1).max()))
     for i in range(0, len(queries), 512):
         s = queries[i : i + 512] @ vectors.T
         cut = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if s.shape[1] > k else np.full(len(s), -np.inf)
-        a, b = np.nonzero(s >= np.maximum(cut, floors[i : i + 512])[:, None] - 1e-9)
+        a, b = np.nonzero(s >= (np.maximum(cut, floors[i : i + 512]) - 2 * slack[i : i + 512])[:, None])
         rows += (a + i).tolist()
         cols += b.tolist()
         scores += [math.fsum(x) for x in (queries[a + i] * vectors[b]).tolist()]
@@ -176,7 +182,9 @@ def nearest(vectors: DataFrame, queries: str = "vec_id % 20 = 0", k: int = 20, c
         floor = np.array([-np.inf if x is None else x for x in table.column("floor").filter(pa.array(is_query)).to_pylist()])
         centre = c.mean(axis=0)
         reach = np.sqrt(((c - centre) ** 2).sum(axis=1).max())
-        near = np.flatnonzero(q @ centre + reach * np.sqrt((q**2).sum(axis=1)) >= floor - 1e-9)
+        near = np.flatnonzero(q @ centre + reach * np.sqrt((q**2).sum(axis=1)) >= floor - 4 * _slack(q, np.sqrt((centre**2).sum()) + reach))
+        if not len(near):
+            return _table([], [], [])
         a, b, s = _best(q[near], c, floor[near], k + 1)
         return _table([ids[near[i]] for i in a], [names[i] for i in b], s)
 

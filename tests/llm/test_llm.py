@@ -216,6 +216,18 @@ def test_nearest(spark):
     assert sorted(keys) == list(range(64)) and all(abs(a - c) + abs(b - d) == 1 for (a, b), (c, d) in zip(order, order[1:], strict=False))
 
 
+def test_nearest_of_scaled_vectors():
+    rng = np.random.default_rng(5)
+    for scale in (1e-12, 1.0, 1e3, 1e12):
+        v = (scale * rng.normal(size=(400, 64))).astype(np.float32).astype(np.float64)
+        _, _, scores = ann._best(v, v, np.full(400, -np.inf), 21)
+        floors = np.array([sorted(s)[-21] for s in np.array_split(np.array(scores), np.flatnonzero(np.diff(ann._best(v, v, np.full(400, -np.inf), 21)[0])) + 1)])
+        rows, _, _ = ann._best(v, v, floors, 21)
+        assert np.bincount(rows, minlength=400).min() >= 21, scale
+        # At small scales a fixed tolerance would let every vector through.
+        assert np.bincount(rows, minlength=400).max() < 40, scale
+
+
 def test_anchors_cover():
     code = simhash._golay()
     assert np.bitwise_count(code[1:]).min() == 7

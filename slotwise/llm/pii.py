@@ -1,10 +1,12 @@
 """Personal data: fixed patterns, and bootstrapped contextual extraction.
 
-The base spans (addresses, IPs, cards, phones) are the seeds. A mention is a seed or another token that
-looks like an identifier (it holds several digits or an @). The words before a mention are its lexical pattern.
-Patterns and instances (the mentions' normalised values) form a graph, which Spark scores in rounds:
+The base spans (addresses, IPs, cards, phones) are the seeds. A mention is a seed, another token or group of numbers
+with a digit or an @, or any word after a pattern that could be trusted. The words before a mention are its lexical
+pattern. Patterns and instances (the mentions' normalised values) form a graph, which Spark scores in rounds:
 a pattern is as good as the share of its instances that are trusted, an instance as good as
-the patterns that it occurs with; trusted patterns vouch for new instances, those for further patterns.
+the patterns that it occurs with; trusted patterns vouch for new instances, those for further patterns. Plain words
+are read from the texts anew in each round, and are trusted only if most of their patterns are, so that a
+common word after a trusted pattern isn't.
 Mentions of trusted new instances after trusted patterns are reported as kind "context".
 """
 
@@ -29,8 +31,9 @@ _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-#: A token of digits and joining marks, maybe led by letters, that could identify a person.
-_MENTION = re.compile(r"(?<![^\x20\t-\r(\[\"':=])(?=[^\x20\t-\r]{0,23}[0-9@])[A-Za-z0-9@+#][A-Za-z0-9@._/#-]{4,38}(?![^\x20\t-\r,.;:)\]\"'])")
+#: A token, without punctuation around it, and the groups of digits that go on with it.
+_MENTION = re.compile(r"(?<![\w@._/#+-])[._/-]*([\w@+#](?:[\w@._/#+-]*\w)?(?:\x20[0-9]+(?!\w))*)")
+_SPACE = "\x20\t\n\x0b\x0c\r"
 
 
 def _luhn(digits: str) -> bool:
@@ -70,42 +73,125 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
+def _opening(text: str, start: int) -> int:
+    """Where the brackets and quotes begin that stand right before start, if nothing else is between them and a space."""
+    at = start
+    while at and text[at - 1] not in _SPACE:
+        at -= 1
+        if text[at].isalnum() or text[at] == "_":
+            return start
+    return at
+
+
 def _pattern(text: str, start: int) -> str | None:
-    """The two words before a mention, lower-case, without digits; None at the start of a text."""
-    before = re.findall(r"[^\x20\t-\r]+", text[max(0, start - 80) : start])[-2:]
-    return re.sub("[0-9]+", "0", " ".join(before).lower()) or None
+    """The two words before a mention and its opening brackets, lower-case, without digits; None at the start of a text."""
+    start, width = _opening(text, start), 80
+    while True:
+        before = re.findall(r"[^\x20\t-\r]+", text[max(0, start - width) : start])
+        if len(before) > 2 or width >= start:
+            return re.sub("[0-9]+", "0", " ".join(before[-2:]).lower()) or None
+        width *= 4
+
+
+def _instance(value: str) -> str:
+    return re.sub(r"[\x20().-]", "", value).lower()
+
+
+def is_plain(value: str) -> bool:
+    return not _DIGIT.search(value) and "@" not in value
 
 
 def mentions(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, bool, str, str]]:
-    """(start, end, seed?, pattern, instance) of base spans and of identifier-like tokens apart from them."""
+    """(start, end, seed?, pattern, instance) of base spans and of tokens with a digit or an @ apart from them."""
     spans = [(a, b, True) for a, b, _ in base]
     if _DIGIT.search(text) or "@" in text:
         for m in _MENTION.finditer(text):
-            if (len(_DIGIT.findall(m.group())) >= 4 or "@" in m.group()) and not any(a < m.end() and m.start() < b for a, b, _ in base):
-                spans.append((m.start(), m.end(), False))
+            if not is_plain(m[1]) and not any(a < m.end(1) and m.start(1) < b for a, b, _ in base):
+                spans.append((m.start(1), m.end(1), False))
     out = []
     for a, b, seed in spans:
         if pattern := _pattern(text, a):
-            out.append((a, b, seed, pattern, re.sub(r"[\x20().-]", "", text[a:b]).lower()))
+            out.append((a, b, seed, pattern, _instance(text[a:b])))
     return out
 
 
-def _scored(edges: DataFrame, rounds: int, least_seeds: int, least_score: float) -> DataFrame:
-    """(pattern, instance) edges that are trusted though the instance is no seed.
+def plain_mentions(text: str, base: list[tuple[int, int]], patterns: frozenset[str], joined: tuple[str, ...], instances: frozenset[str]) -> list[tuple[int, int, str, str]]:
+    """(start, end, pattern, instance) of words without digit and @ that follow one of patterns, or are one of instances.
+
+    joined: the last words of patterns that end in a mark, so that a mention may stand in the same token.
+    """
+    low = re.sub("[0-9]+", "0", text.lower())
+    words = low.encode().split()  # of bytes: at ASCII white space alone
+    words = [w.decode() for w in words]
+    at = {i + 2 for i, pair in enumerate(zip(words, words[1:])) if " ".join(pair) in patterns}
+    if words and words[0] in patterns:
+        at.add(1)
+    if any(j in low for j in joined):
+        at.update(i for i, w in enumerate(words) if any(j in w for j in joined))
+    if instances:
+        at.update(i for i, w in enumerate(words) if any(_instance(x) in instances for x in _MENTION.findall(w)))
+    if not at:
+        return []
+    found = []
+    for i, token in enumerate(re.finditer(r"[^\x20\t-\r]+", text)):
+        if i not in at:
+            continue
+        for m in _MENTION.finditer(text, token.start(), token.end()):
+            a, b = m.span(1)
+            if not is_plain(m[1]) or any(x < b and a < y for x, y in base):
+                continue
+            if (pattern := _pattern(text, a)) and (pattern in patterns or _instance(m[1]) in instances):
+                found.append((a, b, pattern, _instance(m[1])))
+    return found
+
+
+def _plain(scanned: DataFrame, text_col: str, patterns: list[str], instances: list[str]) -> DataFrame:
+    """_row, start, end, pattern, instance of the plain words of all texts that patterns or instances call for."""
+    held = scanned.sparkSession.sparkContext.broadcast((frozenset(patterns), tuple({w for p in patterns if not (w := p.rsplit(" ", 1)[-1])[-1].isalnum()}), frozenset(instances)))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                out += [(row, *m) for m in plain_mentions(text or "", [(s["start"], s["end"]) for s in spans], *held.value)]
+            columns = list(zip(*out, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.string()] * 2, strict=True)], names=["_row", "start", "end", "pattern", "instance"])
+
+    return materialize(scanned.select("_row", text_col, "pii_spans").mapInArrow(scan, "_row long, start long, end long, pattern string, instance string"), "pii-plain")
+
+
+def _trusted_mentions(scanned: DataFrame, text_col: str, single: DataFrame, edges: DataFrame, rounds: int, least_seeds: int, least_score: float) -> DataFrame:
+    """_row, start, end of the mentions that are no seeds and whose pattern and instance are trusted.
 
-    edges: pattern, instance, seed; one row each. Rounds of two aggregations: a pattern's score is the
-    share of its instances that are trusted, if at least least_seeds are; an instance is trusted if
-    it is a seed or a pattern of score least_score vouches for it. Tables of scores are written out, so
-    a join has plain exchanges on both sides and AQE can split a hot pattern.
+    edges: pattern, instance, seed; one row each, without plain words. Each round first reads the plain words after
+    the patterns that have trusted instances enough, and the plain words that are trusted so far wherever they
+    are, so scores are over all instances of a pattern and all patterns of a word. A pattern's score is the
+    share of its instances that are trusted, if at least least_seeds are; an instance is trusted if it is a seed or a
+    trusted pattern has it, a plain word if the share of its patterns that are trusted is at least least_score.
+    One more round than rounds: in the last, words that were not read everywhere are left out. Tables are written
+    out, so a join has plain exchanges on both sides and AQE can split a hot pattern.
     """
-    trusted = edges.select("pattern", "instance", "seed", F.col("seed").alias("trusted"))
-    for _ in range(rounds):
-        patterns = materialize(trusted.groupBy("pattern").agg(F.count("*").alias("n"), F.sum(F.col("trusted").cast("long")).alias("good")).where(f"good >= {least_seeds} and good >= {least_score} * n").select("pattern"), "pii-patterns")
-        vouched = edges.join(patterns, "pattern", "left_semi").select("instance").distinct()
-        vouched = materialize(vouched, "pii-instances").withColumn("vouched", F.lit(True))
-        trusted = materialize(edges.join(vouched, "instance", "left").select("pattern", "instance", "seed", (F.col("seed") | F.coalesce("vouched", F.lit(False))).alias("trusted")), "pii-edges")
-    patterns = materialize(trusted.groupBy("pattern").agg(F.count("*").alias("n"), F.sum(F.col("trusted").cast("long")).alias("good")).where(f"good >= {least_seeds} and good >= {least_score} * n").select("pattern"), "pii-patterns")
-    return trusted.where("trusted and not seed").join(patterns, "pattern", "left_semi").select("pattern", "instance")
+    trusted = edges.withColumn("trusted", F.col("seed"))
+    words: list[str] = []
+    for last_round in [False] * rounds + [True]:
+        hopeful = [r.pattern for r in trusted.groupBy("pattern").agg(F.count("*").alias("n"), F.sum(F.col("trusted").cast("long")).alias("good")).where(f"good >= {least_seeds} and good >= {least_score} * n").select("pattern").collect()]
+        plain = _plain(scanned, text_col, hopeful, words)
+        every = edges.withColumn("plain", F.lit(False)).unionByName(plain.select("pattern", "instance").distinct().select("pattern", "instance", F.lit(False).alias("seed"), F.lit(True).alias("plain")))
+        vouched = trusted.where("trusted").select("instance").distinct().withColumn("vouched", F.lit(True))
+        # Only patterns whose plain words were all read can be trusted.
+        read_patterns = F.broadcast(scanned.sparkSession.createDataFrame([(p,) for p in hopeful], "pattern string"))
+        scored = materialize(every.join(vouched, "instance", "left").withColumn("trusted", F.col("seed") | F.coalesce("vouched", F.lit(False))).drop("vouched"), "pii-edges")
+        patterns = materialize(scored.join(read_patterns, "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("n"), F.sum(F.col("trusted").cast("long")).alias("good")).where(f"good >= {least_seeds} and good >= {least_score} * n").select("pattern"), "pii-patterns")
+        shares = scored.join(patterns.withColumn("sure", F.lit(1)), "pattern", "left").groupBy("instance").agg(F.max("plain").alias("plain"), F.count("*").alias("n"), F.sum(F.coalesce("sure", F.lit(0))).alias("sure"))
+        good = materialize(shares.where(f"sure > 0 and (not plain or sure >= {least_score} * n)").select("instance", "plain"), "pii-instances")
+        read, words = set(words), [r.instance for r in good.where("plain").select("instance").collect()]
+        if not last_round:
+            sure = good.select("instance").withColumn("vouched", F.lit(True))
+            trusted = materialize(scored.join(sure, "instance", "left").select("pattern", "instance", "seed", (F.col("seed") | F.coalesce("vouched", F.lit(False))).alias("trusted")), "pii-trusted")
+    sure = good.where("not plain").select("instance")
+    known = single.where("not seed").join(patterns, "pattern", "left_semi").join(sure, "instance", "left_semi").select("_row", "start", "end")
+    kept = plain.where(F.col("instance").isin(sorted(read & set(words)))) if read & set(words) else plain.where("false")
+    return known.unionByName(kept.join(patterns, "pattern", "left_semi").select("_row", "start", "end"))
 
 
 def find_pii(docs: DataFrame, rounds: int = 2, least_seeds: int = 3, least_score: float = 0.8, text_col: str = "text") -> DataFrame:
@@ -143,8 +229,8 @@ def find_pii(docs: DataFrame, rounds: int = 2, least_seeds: int = 3, least_score
     edges = materialize(single.groupBy("pattern", "instance").agg(F.max("seed").alias("seed_here")), "pii-pairs")
     seeds = materialize(edges.groupBy("instance").agg(F.max("seed_here").alias("seed")).where("seed").select("instance"), "pii-seeds").withColumn("seed", F.lit(True))
     edges = materialize(edges.join(seeds, "instance", "left").select("pattern", "instance", F.coalesce("seed", F.lit(False)).alias("seed")), "pii-edges")
-    new = materialize(_scored(edges, rounds, least_seeds, least_score), "pii-new")
-    found = single.where("not seed").join(new, ["pattern", "instance"], "left_semi").select("_row", F.struct("start", "end", F.lit("context").alias("kind")).alias("s"))
+    new = _trusted_mentions(scanned, text_col, single, edges, rounds, least_seeds, least_score)
+    found = new.select("_row", F.struct("start", "end", F.lit("context").alias("kind")).alias("s"))
     extra = materialize(found.groupBy("_row").agg(F.sort_array(F.collect_set("s")).alias("extra")), "pii-extra")  # as many as a text has mentions
     joined = scanned.drop("_mentions").join(extra, "_row", "left")
     return joined.select(*kept.columns, *results[:5], F.concat("pii_spans", F.coalesce("extra", F.array().cast(f"array<{span}>"))).alias("pii_spans"))

@@ -189,6 +189,17 @@ def test_pii(spark, docs, none):
     assert found[99] == ["context"] and found[100] == []
 
 
+def test_pii_context_of_any_form(spark):
+    values = ["DE89 3704 0044 0532 0130 00", "12 345 678", "jdoe12", "Ünal-4471", "A" * 45 + "7", "12345678!", "12345678?", "<12345678>", "«12345678»", "12345678###", "quillfeather"]
+    said = [(i, f"my account id: user{i}@mail.org thanks") for i in range(90)] + [(100 + i, f"my account id: {v} thanks") for i, v in enumerate(values)] + [(200, "my account id: unknown thanks")]
+    said += [(300 + i, f"word{'abcdefghi'[i]} of unknown quality, thanks to room 12 and jdoe13") for i in range(9)]
+    rows = {r.doc_id: (r.text, [(s.start, s.end) for s in r.pii_spans if s.kind == "context"]) for r in pii.find_pii(spark.createDataFrame(said, "doc_id long, text string")).collect()}
+    got = [[text[a:b] for a, b in spans] for text, spans in (rows[100 + i] for i in range(len(values)))]
+    assert got == [[v.strip("!?<>«»#")] for v in values]
+    assert rows[200][1] == [] and all(rows[300 + i][1] == [] for i in range(9))
+    assert pii._pattern("the " + "x" * 200 + " id: 1", 208) == "x" * 200 + " id:"
+
+
 def test_chat(spark):
     turns = spark.createDataFrame([(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 3, None, "x"), (None, 0, "ann", "y"), (2, 0, "system", "s")], "conv_id long, turn long, role string, text string")
     rows = chat.rotate_perspectives(turns).collect()

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,29 +17,64 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a new one where the setting is missing (local tests)."""
+    """The folder of spark.checkpoint.dir. Where it is unset: a new one on a single machine (local tests), else an error,
+    since executors that don't share a disk would each write to their own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="slotwise-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-#: Paths of the tables that materialize() wrote, in order.
-WRITTEN: list[str] = []
+#: Folder of scratch tables and list of their paths, of the calling thread's context.
+_FOLDER: ContextVar[str | None] = ContextVar("folder", default=None)
+_PATHS: ContextVar[list[str] | None] = ContextVar("paths", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Scratch tables of what runs inside go to a folder of their own, which is deleted at the end."""
+    folder = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    token = _FOLDER.set(folder)
+    try:
+        yield folder
+    finally:
+        _FOLDER.reset(token)
+        delete(spark, folder)
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths of the scratch tables that are written inside."""
+    paths: list[str] = []
+    token = _PATHS.set(paths)
+    try:
+        yield paths
+    finally:
+        _PATHS.reset(token)
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path in the scratch folder, or in the shared one where there is none."""
+    path = f"{_FOLDER.get() or shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    paths = _PATHS.get()
+    if paths is not None:
+        paths.append(path)
+    return path
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df to a table in the shared folder and reread it.
+    """Write df to a scratch table and reread it.
 
     Cuts the lineage, so that a lost executor costs no recomputation of what lies before, and
     makes both sides of a later join plain exchanges, which AQE can split when a key is hot.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -1,26 +1,31 @@
 """Personal data: fixed patterns, and bootstrapped contextual extraction.
 
-The base spans (addresses, IPs, cards, phones) are the seeds. A mention is a seed, another token or group of numbers
-with a digit or an @, or any word after a pattern that could be trusted. The words before a mention are its lexical
-pattern. Patterns and instances (the mentions' normalised values) form a graph, which Spark scores in rounds:
-a pattern is as good as the share of its instances that are trusted, an instance as good as
-the patterns that it occurs with; trusted patterns vouch for new instances, those for further patterns. Plain words
-are read from the texts anew in each round, and are trusted only if most of their patterns are, so that a
-common word after a trusted pattern isn't.
-Mentions of trusted new instances after trusted patterns are reported as kind "context".
+The base spans (addresses, IPs, cards, phones) are the seeds. A mention is a seed, another token or group of numbers with a
+digit or an @, or any word after a pattern that could be trusted. Its lexical patterns are the two words before it, and the
+words on either side of it. Patterns and instances (the mentions' normalised values) form a graph that Spark scores in
+rounds: a pattern's confidence is the mean over its instances, of which only confident ones count, an
+instance's is that of its best pattern, or, if it is a plain word, the mean of its patterns', so that a common
+word after a trusted pattern isn't trusted. Confident instances vouch for further patterns, those for further instances.
+
+Plain words are read from the texts anew when there are more hopeful patterns or words, until there are none. What a
+scan looks for travels as bitmaps of fixed size; what they let through by mistake goes in a join. Mentions of
+confident new instances after confident patterns are reported as kind "context".
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import extended, materialize, without
+from slotwise.llm.common import discard, extended, materialize, without
 from slotwise.llm.secrets import sha256_hex
 
 KINDS = ("email", "ip", "card", "phone", "context")
@@ -31,9 +36,11 @@ _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-#: A token, without punctuation around it, and the groups of digits that go on with it.
-_MENTION = re.compile(r"(?<![\w@._/#+-])[._/-]*([\w@+#](?:[\w@._/#+-]*\w)?(?:\x20[0-9]+(?!\w))*)")
-_SPACE = "\x20\t\n\x0b\x0c\r"
+_TOKEN = re.compile(r"[^\x20\t-\r]+")
+#: A name inside a token, without punctuation around it, and the groups of digits that go on with one that has a digit.
+_NAME = re.compile(r"(?<![\w@._/#+-])[._/-]*([\w@+#](?:[\w@._/#+-]*\w)?)")
+_GROUPS = re.compile(r"(?:\x20[0-9]+(?!\w))+")
+_DIGITS = re.compile(r"[0-9]+")
 
 
 def _luhn(digits: str) -> bool:
@@ -73,24 +80,26 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
-def _opening(text: str, start: int) -> int:
-    """Where the brackets and quotes begin that stand right before start, if nothing else is between them and a space."""
-    at = start
-    while at and text[at - 1] not in _SPACE:
-        at -= 1
-        if text[at].isalnum() or text[at] == "_":
-            return start
-    return at
+class Taken:
+    """Which stretches of a text some spans cover: one sort, then a binary search a question."""
 
+    def __init__(self, spans):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted((s[0], s[1]) for s in spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def touches(self, a: int, b: int) -> bool:
+        i = bisect_right(self.ends, a)
+        return i < len(self.ends) and self.starts[i] < b
 
-def _pattern(text: str, start: int) -> str | None:
-    """The two words before a mention and its opening brackets, lower-case, without digits; None at the start of a text."""
-    start, width = _opening(text, start), 80
-    while True:
-        before = re.findall(r"[^\x20\t-\r]+", text[max(0, start - width) : start])
-        if len(before) > 2 or width >= start:
-            return re.sub("[0-9]+", "0", " ".join(before[-2:]).lower()) or None
-        width *= 4
+
+def _shape(word: str) -> str:
+    return _DIGITS.sub("0", word.lower())
 
 
 def _instance(value: str) -> str:
@@ -101,115 +110,235 @@ def is_plain(value: str) -> bool:
     return not _DIGIT.search(value) and "@" not in value
 
 
-def mentions(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, bool, str, str]]:
-    """(start, end, seed?, pattern, instance) of base spans and of tokens with a digit or an @ apart from them."""
-    spans = [(a, b, True) for a, b, _ in base]
-    if _DIGIT.search(text) or "@" in text:
-        for m in _MENTION.finditer(text):
-            if not is_plain(m[1]) and not any(a < m.end(1) and m.start(1) < b for a, b, _ in base):
-                spans.append((m.start(1), m.end(1), False))
-    out = []
-    for a, b, seed in spans:
-        if pattern := _pattern(text, a):
-            out.append((a, b, seed, pattern, _instance(text[a:b])))
-    return out
+class Words:
+    """A text's tokens, for the patterns of its mentions."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.spans = [m.span() for m in _TOKEN.finditer(text)]
+        self.starts = [a for a, _ in self.spans]
+        self._at, self._names = -1, []
+
+    def index(self, at: int) -> int:
+        """The token that holds the character."""
+        return bisect_right(self.starts, at) - 1
+
+    def shape(self, i: int) -> str | None:
+        return _shape(self.text[slice(*self.spans[i])]) if 0 <= i < len(self.spans) else None
+
+    def names(self, i: int) -> list[tuple[int, int, str | None, str | None]]:
+        """(start, end, word before, word before that) of each name in token i. Inside a token the word before a name is
+        the name before and the marks between; the one before that is the token before, if the name is the second."""
+        if i == self._at:
+            return self._names
+        found: list[tuple[int, int, str | None, str | None]] = []
+        for m in _NAME.finditer(self.text, *self.spans[i]):
+            start, end = m.span(1)
+            if not found:
+                found.append((start, end, self.shape(i - 1), self.shape(i - 2)))
+            else:
+                found.append((start, end, _shape(self.text[found[-1][0] : start]), self.shape(i - 1) if len(found) == 1 else None))
+        self._at, self._names = i, found
+        return found
 
+    def before(self, at: int) -> tuple[str | None, str | None]:
+        """The two words before a span that starts at `at`, be that inside a name or not."""
+        i = self.index(at)
+        names = self.names(i)
+        n = bisect_right(names, at, key=lambda x: x[0]) - 1
+        return names[n][2:] if n >= 0 and at < names[n][1] else (self.shape(i - 1), self.shape(i - 2))
+
+    def patterns(self, end: int, before: str | None, first: str | None) -> list[str]:
+        """Patterns of a mention that ends at `end`: the words before it, and the words on either side, where both are."""
+        if before is None:
+            return []
+        found = [f"{first} {before}" if first is not None else before]
+        i = self.index(end - 1)
+        after, last = self.shape(i + 1), self.spans[i][1]
+        while end < last and not self.text[end].isalnum():
+            end += 1
+        if after is not None and end == last:
+            found.append(f"{before} _ {after}")
+        return found
 
-def plain_mentions(text: str, base: list[tuple[int, int]], patterns: frozenset[str], joined: tuple[str, ...], instances: frozenset[str]) -> list[tuple[int, int, str, str]]:
-    """(start, end, pattern, instance) of words without digit and @ that follow one of patterns, or are one of instances.
 
-    joined: the last words of patterns that end in a mark, so that a mention may stand in the same token.
-    """
-    low = re.sub("[0-9]+", "0", text.lower())
-    words = low.encode().split()  # of bytes: at ASCII white space alone
-    words = [w.decode() for w in words]
-    at = {i + 2 for i, pair in enumerate(zip(words, words[1:])) if " ".join(pair) in patterns}
-    if words and words[0] in patterns:
-        at.add(1)
-    if any(j in low for j in joined):
-        at.update(i for i, w in enumerate(words) if any(j in w for j in joined))
-    if instances:
-        at.update(i for i, w in enumerate(words) if any(_instance(x) in instances for x in _MENTION.findall(w)))
-    if not at:
+def mentions(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, bool, list[str], str]]:
+    """(start, end, seed?, patterns, instance) of base spans and of names with a digit or an @ apart from them; of those with a pattern."""
+    if not _DIGIT.search(text) and "@" not in text:
         return []
-    found = []
-    for i, token in enumerate(re.finditer(r"[^\x20\t-\r]+", text)):
-        if i not in at:
-            continue
-        for m in _MENTION.finditer(text, token.start(), token.end()):
-            a, b = m.span(1)
-            if not is_plain(m[1]) or any(x < b and a < y for x, y in base):
+    words, taken, out = Words(text), Taken(base), []
+    for a, b, _ in base:
+        out.append((a, b, True, words.patterns(b, *words.before(a)), _instance(text[a:b])))
+    done = 0
+    for i in dict.fromkeys(words.index(m.start()) for m in re.finditer(r"[0-9]+|@", text)):
+        for a, b, before, first in words.names(i):
+            if a < done or is_plain(text[a:b]):
                 continue
-            if (pattern := _pattern(text, a)) and (pattern in patterns or _instance(m[1]) in instances):
-                found.append((a, b, pattern, _instance(m[1])))
+            if m := _GROUPS.match(text, b):
+                b = m.end()
+            done = b
+            if not taken.touches(a, b):
+                out.append((a, b, False, words.patterns(b, before, first), _instance(text[a:b])))
+    return [m for m in out if m[3]]
+
+
+#: Bits of a bitmap, so 1 MB each, whatever it holds.
+BITS = 23
+
+
+def _places(key: bytes) -> tuple[int, int]:
+    h = xxhash.xxh64_intdigest(key, 42)
+    return h & ((1 << BITS) - 1), h >> BITS & ((1 << BITS) - 1)
+
+
+def bitmap(keys: DataFrame) -> bytes:
+    """Bits of the one string column of keys: at most 2^BITS / 64 rows of 16 bytes reach the driver."""
+    h = F.xxhash64(keys.columns[0])
+    low = (1 << BITS) - 1
+    places = keys.select(F.explode(F.array(h.bitwiseAND(F.lit(low)), F.shiftrightunsigned(h, BITS).bitwiseAND(F.lit(low)))).alias("at"))
+    words = places.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits")).toArrow()
+    out = np.zeros(1 << (BITS - 6), dtype="<i8")
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out.tobytes()
+
+
+def holds(bits: bytes, key: str) -> bool:
+    """False only for what the bitmap wasn't made of."""
+    a, b = _places(key.encode())
+    return bool(bits[a >> 3] >> (a & 7) & 1 and bits[b >> 3] >> (b & 7) & 1)
+
+
+class Gate(dict):
+    """token -> 1 if a wanted pattern may end with it, + 2 if one may end inside it or it may hold a wanted word; keeps `most` tokens."""
+
+    def __init__(self, ends: bytes, instances: bytes, most: int = 200_000):
+        self.ends, self.instances, self.most = ends, instances, most
+
+    def __missing__(self, token: bytes) -> int:
+        text = token.decode()
+        found = int(holds(self.ends, _shape(text)))
+        for n, (a, b, before, _) in enumerate(Words(text).names(0)):
+            if n and holds(self.ends, before) or is_plain(text[a:b]) and holds(self.instances, _instance(text[a:b])):
+                found += 2
+                break
+        if len(self) < self.most:
+            self[token] = found
+        return found
+
+
+def plain_mentions(text: str, base: list[tuple[int, int]], gate: Gate, wanted: Callable[[list[str], str], bool]) -> list[tuple[int, int, list[str], str]]:
+    """(start, end, patterns, instance) of names without digit and @ that the gate lets through and that are wanted by patterns or instance."""
+    tokens = text.encode().split()  # of bytes: at ASCII white space alone
+    flags = list(map(gate.__getitem__, tokens))
+    if not any(flags):
+        return []
+    words, taken, found = Words(text), Taken(base), []
+    for i in sorted({j for i, f in enumerate(flags) if f for j in ((i, i + 1) if f == 3 else (i,) if f == 2 else (i + 1,)) if j < len(flags)}):
+        for a, b, before, first in words.names(i):
+            if is_plain(text[a:b]) and not taken.touches(a, b):
+                patterns, instance = words.patterns(b, before, first), _instance(text[a:b])
+                if patterns and wanted(patterns, instance):
+                    found.append((a, b, patterns, instance))
     return found
 
 
-def _plain(scanned: DataFrame, text_col: str, patterns: list[str], instances: list[str]) -> DataFrame:
-    """_row, start, end, pattern, instance of the plain words of all texts that patterns or instances call for."""
-    held = scanned.sparkSession.sparkContext.broadcast((frozenset(patterns), tuple({w for p in patterns if not (w := p.rsplit(" ", 1)[-1])[-1].isalnum()}), frozenset(instances)))
+def _plain(scanned: DataFrame, text_col: str, patterns: DataFrame, instances: DataFrame) -> DataFrame:
+    """_row, start, end, pattern, instance of the plain words of all texts that follow one of patterns or are one of instances."""
+    last = patterns.select(F.regexp_extract("pattern", r"([^\x20]+)(?: _ [^\x20]+)?$", 1))
+    held = scanned.sparkSession.sparkContext.broadcast(tuple(bitmap(keys) for keys in (last, patterns.select("pattern"), instances.select("instance"))))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends, whole, known = held.value
+        gate = Gate(ends, known)
+
+        def wanted(patterns: list[str], instance: str) -> bool:
+            return any(holds(whole, p) for p in patterns) or holds(known, instance)
+
         for batch in batches:
             out = []
             for row, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                out += [(row, *m) for m in plain_mentions(text or "", [(s["start"], s["end"]) for s in spans], *held.value)]
+                out += [(row, *m) for m in plain_mentions(text or "", [(s["start"], s["end"]) for s in spans], gate, wanted)]
             columns = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.string()] * 2, strict=True)], names=["_row", "start", "end", "pattern", "instance"])
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["_row", "start", "end", "patterns", "instance"])
 
-    return materialize(scanned.select("_row", text_col, "pii_spans").mapInArrow(scan, "_row long, start long, end long, pattern string, instance string"), "pii-plain")
+    let_through = scanned.select("_row", text_col, "pii_spans").mapInArrow(scan, "_row long, start long, end long, patterns array<string>, instance string")
+    rows = materialize(let_through.select("_row", "start", "end", F.explode("patterns").alias("pattern"), "instance"), "pii-plain")
+    called = rows.join(patterns.select("pattern", F.lit(True).alias("_p")), "pattern", "left").join(instances.select("instance", F.lit(True).alias("_i")), "instance", "left")
+    return materialize(called.where("_p or _i").drop("_p", "_i"), "pii-called")
 
 
-def _trusted_mentions(scanned: DataFrame, text_col: str, single: DataFrame, edges: DataFrame, rounds: int, least_seeds: int, least_score: float) -> DataFrame:
-    """_row, start, end of the mentions that are no seeds and whose pattern and instance are trusted.
+def score_graph(edges: DataFrame, least_seeds: int, least_score: float, tolerance: float = 1e-3) -> tuple[DataFrame, DataFrame]:
+    """(pattern, confidence) and (instance, plain, seed, confidence) at the fixed point; of patterns those above 0.
 
-    edges: pattern, instance, seed; one row each, without plain words. Each round first reads the plain words after
-    the patterns that have trusted instances enough, and the plain words that are trusted so far wherever they
-    are, so scores are over all instances of a pattern and all patterns of a word. A pattern's score is the
-    share of its instances that are trusted, if at least least_seeds are; an instance is trusted if it is a seed or a
-    trusted pattern has it, a plain word if the share of its patterns that are trusted is at least least_score.
-    One more round than rounds: in the last, words that were not read everywhere are left out. Tables are written
-    out, so a join has plain exchanges on both sides and AQE can split a hot pattern.
+    edges: pattern, instance, seed, plain; one row each. Confidences start at 1 for seeds, else 0, and never fall, since
+    means and maxima of greater values are greater; so the rounds end. A pattern needs least_seeds instances of
+    least_score; instances below least_score count as 0 in its mean, so that nothing lifts itself.
     """
-    trusted = edges.withColumn("trusted", F.col("seed"))
-    words: list[str] = []
-    for last_round in [False] * rounds + [True]:
-        hopeful = [r.pattern for r in trusted.groupBy("pattern").agg(F.count("*").alias("n"), F.sum(F.col("trusted").cast("long")).alias("good")).where(f"good >= {least_seeds} and good >= {least_score} * n").select("pattern").collect()]
-        plain = _plain(scanned, text_col, hopeful, words)
-        every = edges.withColumn("plain", F.lit(False)).unionByName(plain.select("pattern", "instance").distinct().select("pattern", "instance", F.lit(False).alias("seed"), F.lit(True).alias("plain")))
-        vouched = trusted.where("trusted").select("instance").distinct().withColumn("vouched", F.lit(True))
-        # Only patterns whose plain words were all read can be trusted.
-        read_patterns = F.broadcast(scanned.sparkSession.createDataFrame([(p,) for p in hopeful], "pattern string"))
-        scored = materialize(every.join(vouched, "instance", "left").withColumn("trusted", F.col("seed") | F.coalesce("vouched", F.lit(False))).drop("vouched"), "pii-edges")
-        patterns = materialize(scored.join(read_patterns, "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("n"), F.sum(F.col("trusted").cast("long")).alias("good")).where(f"good >= {least_seeds} and good >= {least_score} * n").select("pattern"), "pii-patterns")
-        shares = scored.join(patterns.withColumn("sure", F.lit(1)), "pattern", "left").groupBy("instance").agg(F.max("plain").alias("plain"), F.count("*").alias("n"), F.sum(F.coalesce("sure", F.lit(0))).alias("sure"))
-        good = materialize(shares.where(f"sure > 0 and (not plain or sure >= {least_score} * n)").select("instance", "plain"), "pii-instances")
-        read, words = set(words), [r.instance for r in good.where("plain").select("instance").collect()]
-        if not last_round:
-            sure = good.select("instance").withColumn("vouched", F.lit(True))
-            trusted = materialize(scored.join(sure, "instance", "left").select("pattern", "instance", "seed", (F.col("seed") | F.coalesce("vouched", F.lit(False))).alias("trusted")), "pii-trusted")
-    sure = good.where("not plain").select("instance")
-    known = single.where("not seed").join(patterns, "pattern", "left_semi").join(sure, "instance", "left_semi").select("_row", "start", "end")
-    kept = plain.where(F.col("instance").isin(sorted(read & set(words)))) if read & set(words) else plain.where("false")
-    return known.unionByName(kept.join(patterns, "pattern", "left_semi").select("_row", "start", "end"))
-
-
-def find_pii(docs: DataFrame, rounds: int = 2, least_seeds: int = 3, least_score: float = 0.8, text_col: str = "text") -> DataFrame:
+    now = materialize(edges.groupBy("instance").agg(F.max("seed").alias("seed"), F.max("plain").alias("plain")).withColumn("confidence", F.col("seed").cast("double")), "pii-instances")
+    while True:
+        sure = F.when(F.col("confidence") >= least_score, F.col("confidence")).otherwise(0.0)
+        means = edges.select("pattern", "instance").join(now.select("instance", "confidence"), "instance").groupBy("pattern").agg(F.avg(sure).alias("mean"), F.sum((sure > 0).cast("long")).alias("support"))
+        patterns = materialize(means.where(f"support >= {least_seeds}").select("pattern", F.col("mean").alias("confidence")), "pii-patterns")
+        by_instance = edges.join(patterns, "pattern", "left").groupBy("instance").agg(F.avg(F.coalesce("confidence", F.lit(0.0))).alias("mean"), F.max(F.coalesce("confidence", F.lit(0.0))).alias("best"))
+        moved = by_instance.join(now.withColumnRenamed("confidence", "was"), "instance").withColumn("confidence", F.when(F.col("seed"), 1.0).when(F.col("plain"), F.col("mean")).otherwise(F.col("best")))
+        after = materialize(moved.select("instance", "seed", "plain", "confidence", (F.col("confidence") > F.col("was") + tolerance).alias("rose")), "pii-instances")
+        settled = after.where("rose").isEmpty()
+        discard(now)
+        now = after.drop("rose")
+        if settled:
+            return patterns, now
+        discard(patterns)
+
+
+def _confident_mentions(scanned: DataFrame, text_col: str, single: DataFrame, least_seeds: int, least_score: float) -> DataFrame:
+    """_row, start, end of the mentions that are no seeds and whose pattern and instance are confident.
+
+    single: _row, start, end, seed, pattern, instance of all mentions but plain words. While a pattern is not read, plain words
+    after it are not in the graph, so its confidence is too high: hopeful patterns, and words that are hopeful by the
+    patterns known, are read from all texts, and the graph is scored again, until all that are
+    confident have been read.
+    """
+    pairs = materialize(single.groupBy("pattern", "instance").agg(F.max("seed").alias("seed_here")), "pii-pairs")
+    seeds = pairs.groupBy("instance").agg(F.max("seed_here").alias("seed")).where("seed")
+    edges = materialize(pairs.join(seeds, "instance", "left").select("pattern", "instance", F.coalesce("seed", F.lit(False)).alias("seed"), F.lit(False).alias("plain")), "pii-edges")
+    discard(pairs)
+    read_patterns, read_words = edges.select("pattern").where("false"), edges.select("instance").where("false")
+    plain = single.select("_row", "start", "end", "pattern", "instance").where("false")
+    while True:
+        words = plain.select("pattern", "instance").distinct().select("pattern", "instance", F.lit(False).alias("seed"), F.lit(True).alias("plain"))
+        graph = materialize(edges.unionByName(words), "pii-graph")
+        patterns, instances = score_graph(graph, least_seeds, least_score)
+        good_patterns = patterns.where(f"confidence >= {least_score}").select("pattern")
+        good = instances.where(f"confidence >= {least_score} and not seed")
+        good_words = good.where("plain").select("instance")
+        more_patterns, more_words = good_patterns.join(read_patterns, "pattern", "left_anti"), good_words.join(read_words, "instance", "left_anti")
+        if more_patterns.isEmpty() and more_words.isEmpty():
+            break
+        read_patterns, read_words = (materialize(a.unionByName(b), "pii-read") for a, b in ((read_patterns, more_patterns), (read_words, more_words)))
+        discard(graph)
+        plain = _plain(scanned, text_col, read_patterns, read_words)
+    every = single.where("not seed").select("_row", "start", "end", "pattern", "instance").unionByName(plain)
+    sure = instances.where(f"confidence >= {least_score}").select("instance")
+    return every.join(good_patterns, "pattern", "left_semi").join(sure, "instance", "left_semi").select("_row", "start", "end").distinct()
+
+
+def find_pii(docs: DataFrame, least_seeds: int = 3, least_score: float = 0.8, text_col: str = "text") -> DataFrame:
     """docs with n_email, n_ip, n_card, n_phone, base_sha256 and pii_spans: array of (start, end, kind), in code points.
 
     Spans are by kind as in KINDS, then start; base spans always stay. Seeds, patterns and scores
-    come from all texts. A null or empty text has no spans; repeated rows get each their own; columns of docs
-    named like a result are replaced. Mentions, the rows of the graph, carry no text; the table that
-    is read once and written holds a text once.
+    come from all texts. A null or empty text has no spans; repeated rows get each their own; an empty table stays
+    empty; columns of docs named like a result are replaced. Mentions, the rows of the graph, carry no text; the table
+    that is read once and written holds a text once. least_seeds, least_score: see score_graph.
     """
     results = ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "pii_spans")
     kept = without(docs, [*results, "_row", "_mentions"])
     at = kept.columns.index(text_col)
     span = "struct<start:long,end:long,kind:string>"
-    mention = "struct<start:long,end:long,seed:boolean,pattern:string,instance:string>"
+    mention = "struct<start:long,end:long,seed:boolean,patterns:array<string>,instance:string>"
     schema = extended(kept.schema, f"n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, pii_spans array<{span}>, _mentions array<{mention}>, _row long")
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
-    mention_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("seed", pa.bool_()), ("pattern", pa.string()), ("instance", pa.string())]))
+    mention_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("seed", pa.bool_()), ("patterns", pa.list_(pa.string())), ("instance", pa.string())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
@@ -217,19 +346,16 @@ def find_pii(docs: DataFrame, rounds: int = 2, least_seeds: int = 3, least_score
             base, held = [], []
             for text in batch.column(at).to_pylist():
                 base.append(base_spans(text or ""))
-                held.append([dict(zip(("start", "end", "seed", "pattern", "instance"), m, strict=True)) for m in mentions(text or "", base[-1])])
+                held.append([dict(zip(("start", "end", "seed", "patterns", "instance"), m, strict=True)) for m in mentions(text or "", base[-1])])
             counts = [pa.array([sum(k == kind for _, _, k in spans) for spans in base], pa.int64()) for kind in KINDS[:4]]
             digests = [sha256_hex(",".join(f"{k}:{a}:{b}" for a, b, k in spans)) for spans in base]
             spans = [[{"start": a, "end": b, "kind": k} for a, b, k in spans] for spans in base]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *counts, pa.array(digests), pa.array(spans, span_type), pa.array(held, mention_type), pa.array(range(row, row + len(base)), pa.int64())], names=[*batch.schema.names, *results, "_mentions", "_row"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *counts, pa.array(digests, pa.string()), pa.array(spans, span_type), pa.array(held, mention_type), pa.array(range(row, row + len(base)), pa.int64())], names=[*batch.schema.names, *results, "_mentions", "_row"])
             row += len(base)
 
     scanned = materialize(kept.mapInArrow(scan, schema), "pii")
-    single = materialize(scanned.select("_row", F.explode("_mentions").alias("m")).select("_row", "m.*"), "pii-mentions")
-    edges = materialize(single.groupBy("pattern", "instance").agg(F.max("seed").alias("seed_here")), "pii-pairs")
-    seeds = materialize(edges.groupBy("instance").agg(F.max("seed_here").alias("seed")).where("seed").select("instance"), "pii-seeds").withColumn("seed", F.lit(True))
-    edges = materialize(edges.join(seeds, "instance", "left").select("pattern", "instance", F.coalesce("seed", F.lit(False)).alias("seed")), "pii-edges")
-    new = _trusted_mentions(scanned, text_col, single, edges, rounds, least_seeds, least_score)
+    exploded = scanned.select("_row", F.explode("_mentions").alias("m")).select("_row", "m.start", "m.end", "m.seed", F.explode("m.patterns").alias("pattern"), "m.instance")
+    new = _confident_mentions(scanned, text_col, materialize(exploded, "pii-mentions"), least_seeds, least_score)
     found = new.select("_row", F.struct("start", "end", F.lit("context").alias("kind")).alias("s"))
     extra = materialize(found.groupBy("_row").agg(F.sort_array(F.collect_set("s")).alias("extra")), "pii-extra")  # as many as a text has mentions
     joined = scanned.drop("_mentions").join(extra, "_row", "left")
@@ -249,7 +375,7 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 
 def redact_pii(found: DataFrame, text_col: str = "text") -> DataFrame:
-    """The result of find_pii with the spans of text_col redacted and the result columns dropped."""
+    """The result of find_pii with the spans of text_col redacted and the result columns dropped; a null text stays null."""
     names = found.columns
     at, spans_at = names.index(text_col), names.index("pii_spans")
     kept = [i for i, n in enumerate(names) if n not in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "pii_spans")]

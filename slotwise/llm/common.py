@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from bisect import bisect_right
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
@@ -77,6 +78,24 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Taken:
+    """Which stretches of a text some spans cover: one sort, then a binary search a question."""
+
+    def __init__(self, spans):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted((s[0], s[1]) for s in spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def touches(self, a: int, b: int) -> bool:
+        i = bisect_right(self.ends, a)
+        return i < len(self.ends) and self.starts[i] < b
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

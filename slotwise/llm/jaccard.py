@@ -1,10 +1,13 @@
-"""Near-duplicates by Jaccard similarity of word shingles, complete by prefix filtering.
-
-A text is the set of its shingles' hashes, in an order that all texts share: shingles that a sample holds often come
-last, else by hash. Two sets of at least a given similarity have a shingle in common among the first few of each (the
-prefix), so texts that share one are candidates, and those alone are compared, on all shingles. First each text
-is compared with one leader at each of its prefix's shingles; then only pairs that no chain of links
-connects yet, so that a large group of copies doesn't cost its square. Exact bar collisions of hashes.
+"""Near-duplicate texts: SimHash links by anchor points, verified by Jaccard similarity and completed by prefix filtering.
+
+Fingerprints of texts whose word shingles have a Jaccard similarity of 0.8 differ in 10 of 64 bits on average, more than
+anchors can cover. So links of close fingerprints (simhash.fingerprint_links, whose groups of copies are the bulk
+of all near-duplicates) come first and are verified on all shingles; then come the texts that these leave
+apart. A text is the set of its shingles' hashes in an order that all texts share: frequent ones last, else by hash. Two
+sets of at least a given similarity have a shingle in common among the first few of each (the prefix), so texts that
+share one are candidates, and those alone are compared. Each text is compared with one leader at each of
+its prefix's shingles; then only pairs that no chain of links connects yet, so that a large group of copies
+doesn't cost its square. Exact bar collisions of hashes.
 """
 
 from __future__ import annotations
@@ -20,12 +23,13 @@ from pyspark.sql import functions as F
 
 from slotwise.llm.common import discard, extended, materialize, shuffle_width, without
 from slotwise.llm.components import connected_components
+from slotwise.llm.simhash import fingerprint, fingerprint_links
 
 SHINGLE, SEED = 5, 42
 #: The least similarity as a fraction.
 SIMILAR = (4, 5)
-#: Texts whose shingles are counted for the order, and the most that are held to be frequent; both decide only the work.
-SAMPLE, FREQUENT = 4000, 100_000
+#: Shingles that a task's summary of frequent ones holds, and the most that are held to be frequent; both decide only the work.
+HELD, FREQUENT = 65_536, 100_000
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -81,19 +85,68 @@ def _possible(a: str, b: str) -> str:
     return f"{q} * least({a}.size, {b}.size) >= {p} * greatest({a}.size, {b}.size) and {p + q} * (1 + least({a}.size - {a}.at, {b}.size - {b}.at)) >= {p} * ({a}.size + {b}.size)"
 
 
-def similar_links(texts: DataFrame) -> DataFrame:
-    """a, b (classes) that connect all texts of similar sets. texts: one row for each distinct set, columns class and text."""
-    spark = texts.sparkSession
+class FrequentShingles:
+    """Misra and Gries' summary: at most `held` hashes with lower bounds of their counts; none that is more than 1 / held of all is missing."""
+
+    def __init__(self, held: int = HELD, chunk: int = 1_000_000):
+        self.held, self.chunk, self.waiting, self.size = held, chunk, [], 0
+        self.keys, self.counts = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+
+    def add(self, shingles: np.ndarray) -> None:
+        self.waiting.append(shingles)
+        self.size += len(shingles)
+        if self.size >= self.chunk:
+            self.merge()
 
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def merge(self) -> None:
+        if not self.size:
+            return
+        keys, counts = np.unique(np.concatenate(self.waiting), return_counts=True)
+        self.waiting, self.size = [], 0
+        every, at = np.unique(np.concatenate([self.keys, keys]), return_inverse=True)
+        sums = np.bincount(at, weights=np.concatenate([self.counts, counts])).astype(np.int64)
+        if len(every) > self.held:
+            sums -= np.partition(sums, len(sums) - self.held - 1)[len(sums) - self.held - 1]
+        self.keys, self.counts = every[sums > 0], sums[sums > 0]
+
+
+def frequent_shingles(texts: DataFrame, text_col: str = "text") -> np.ndarray:
+    """Sorted hashes of the FREQUENT most frequent shingles of all texts, by summaries of the tasks; bounded, whatever the texts."""
+
+    def summarize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = FrequentShingles()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text).view(np.int64))], names=["key"])
+                found.add(shingle_set(text))
+        found.merge()
+        often = found.counts > 1
+        yield pa.RecordBatch.from_arrays([pa.array(found.keys[often].view(np.int64)), pa.array(found.counts[often])], names=["key", "n"])
+
+    sums = texts.select(text_col).mapInArrow(summarize, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 2")
+    return np.sort(np.array([r.key for r in sums.orderBy(F.desc("n"), "key").limit(FREQUENT).select("key").collect()], dtype=np.int64).view(np.uint64))
 
-    part = max(1, texts.count() // SAMPLE)
-    often = texts.where(F.pmod("class", F.lit(part)) == 0).select("text").mapInArrow(shingles, "key long").groupBy("key").count().where("count > 2")
-    frequent = np.array([r.key for r in often.orderBy(F.desc("count"), "key").limit(FREQUENT).select("key").collect()], dtype=np.int64).view(np.uint64)
-    held = spark.sparkContext.broadcast(frequent)
+
+def _close_fingerprints(texts: DataFrame) -> DataFrame:
+    """a, b (classes): candidates whose fingerprints are equal or linked through anchors."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.array([fingerprint(t, SHINGLE) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["class", "fp"])
+
+    marked = materialize(texts.select("class", "text").mapInArrow(mark, "class long, fp long"), "similar-prints")
+    leads = materialize(marked.groupBy("fp").agg(F.min("class").alias("lead")), "similar-leads")
+    equal = marked.join(leads, "fp").where("class <> lead").select(F.col("lead").alias("a"), F.col("class").alias("b"))
+    links = materialize(fingerprint_links(leads), "similar-anchors")
+    named = links.join(leads.select(F.col("fp").alias("a"), F.col("lead").alias("x")), "a").join(leads.select(F.col("fp").alias("b"), F.col("lead").alias("y")), "b")
+    return materialize(equal.unionByName(named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct(), "similar-candidates")
+
+
+def similar_links(texts: DataFrame) -> DataFrame:
+    """a, b (classes) that connect all texts of similar sets. texts: one row for each distinct set, columns class and text."""
+    anchored = _verified(_close_fingerprints(texts), texts)
+    near = connected_components(anchored).select(F.col("node").alias("class"), "root")
+    held = texts.sparkSession.sparkContext.broadcast(frequent_shingles(texts))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,8 +159,10 @@ def similar_links(texts: DataFrame) -> DataFrame:
     keys = materialize(every.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("class", "size", "at")).alias("l")).where("n > 1").select("key", "l"), "shared-shingles")
     placed = materialize(every.join(keys, "key"), "shared-prefixes")
     discard(every)
-    led = materialize(placed.alias("p").where("class <> l.class and " + _possible("p", "l")).select(F.col("l.class").alias("a"), F.col("class").alias("b")).distinct(), "led")
-    links = _verified(led, texts)
+    first = placed.alias("p").where("class <> l.class and " + _possible("p", "l")).select(F.col("l.class").alias("a"), F.col("class").alias("b")).distinct()
+    with_roots = first.join(near.select(F.col("class").alias("a"), F.col("root").alias("ra")), "a", "left").join(near.select(F.col("class").alias("b"), F.col("root").alias("rb")), "b", "left")
+    led = materialize(with_roots.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b"), "led")
+    links = materialize(anchored.unionByName(_verified(led, texts)), "similar-links")
     roots = connected_components(links)
     labelled = materialize(placed.drop("l").join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select("key", "class", "size", "at", F.coalesce("root", "class").alias("root")), "labelled")
     discard(placed)

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import discard, extended, materialize, without
+from slotwise.llm.common import Taken, discard, extended, materialize, without
 from slotwise.llm.secrets import sha256_hex
 
 KINDS = ("email", "ip", "card", "phone", "context")
@@ -80,24 +80,6 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
-class Taken:
-    """Which stretches of a text some spans cover: one sort, then a binary search a question."""
-
-    def __init__(self, spans):
-        self.starts: list[int] = []
-        self.ends: list[int] = []
-        for a, b in sorted((s[0], s[1]) for s in spans):
-            if self.ends and a <= self.ends[-1]:
-                self.ends[-1] = max(self.ends[-1], b)
-            else:
-                self.starts.append(a)
-                self.ends.append(b)
-
-    def touches(self, a: int, b: int) -> bool:
-        i = bisect_right(self.ends, a)
-        return i < len(self.ends) and self.starts[i] < b
-
-
 def _shape(word: str) -> str:
     return _DIGITS.sub("0", word.lower())
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import extended, without
+from slotwise.llm.common import Taken, extended, without
 
 # The base patterns, whose matches are reported whatever the token test says.
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -153,7 +153,8 @@ def scan_text(text: str | None, ratio, max_ratio: float = MAX_RATIO) -> list[tup
     if not text:
         return []
     base = base_spans(text)
-    extra = [s for s in random_spans(text, ratio, max_ratio) if not any(a < s[1] and s[0] < b for a, b, _ in base)]
+    taken = Taken(base)
+    extra = [s for s in random_spans(text, ratio, max_ratio) if not taken.touches(s[0], s[1])]
     return sorted(base + extra, key=lambda s: (s[0], KINDS.index(s[2])))
 
 

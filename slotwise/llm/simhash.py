@@ -125,30 +125,45 @@ def anchors_of(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def group_links(own: np.ndarray, every: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what pairs (x of own, y of every) within threshold connect, fewer than len(own) + len(every) of them.
+def _root(parent: np.ndarray, i: int) -> int:
+    while parent[i] != i:
+        parent[i] = parent[parent[i]]
+        i = parent[i]
+    return int(i)
 
-    Union by rounds: every y hangs below the first x that it links to, and an x that a y links to
-    besides is joined to that one.
-    """
-    parent = {int(x): int(x) for x in np.concatenate([own, every])}
 
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+def group_links(own: np.ndarray, every: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """Links (fingerprint, a fingerprint of its component) that connect what pairs (x of own, y of every) within threshold connect.
 
-    a, b = [], []
+    Rows of x against all y, a block at a time. Each row takes the smallest label among what it links to, each y the
+    smallest of its rows; labels that meet are joined, until a block changes nothing. So Python
+    walks over labels that differ, never over pairs.
+    """
+    nodes, at = np.unique(np.concatenate([own, every]), return_inverse=True)
+    x_at, y_at = at[: len(own)], at[len(own) :]
+    n = len(nodes)
+    label = np.arange(n)
     step = max(1, 4_000_000 // max(1, len(every)))
     for i in range(0, len(own), step):
-        x, y = np.nonzero(np.bitwise_count(own[i : i + step, None] ^ every[None, :]) <= threshold)
-        for p, q in zip(own[i + x].tolist(), every[y].tolist(), strict=True):
-            if p != q and (r := root(p)) != (s := root(q)):
-                parent[r] = s
-                a.append(p)
-                b.append(q)
-    return np.array(a, dtype=np.uint64), np.array(b, dtype=np.uint64)
+        near = np.bitwise_count(own[i : i + step, None] ^ every[None, :]) <= threshold
+        rows = x_at[i : i + step]
+        while True:
+            low = np.minimum(np.where(near, label[y_at], n).min(axis=1, initial=n), label[rows])
+            meets = np.where(near, low[:, None], n).min(axis=0, initial=n)
+            pairs = np.unique(np.stack([np.concatenate([label[y_at][meets < n], label[rows]]), np.concatenate([meets[meets < n], low])]), axis=1)
+            pairs = pairs[:, pairs[0] != pairs[1]]
+            if not pairs.shape[1]:
+                break
+            parent = np.arange(n)
+            for a, b in pairs.T.tolist():
+                p, q = _root(parent, a), _root(parent, b)
+                parent[max(p, q)] = min(p, q)
+            new = np.arange(n)
+            for a in np.unique(pairs).tolist():
+                new[a] = _root(parent, a)
+            label = new[label]
+    moved = np.flatnonzero(label != np.arange(n))
+    return nodes[moved], nodes[label[moved]]
 
 
 def fingerprint_links(prints: DataFrame) -> DataFrame:

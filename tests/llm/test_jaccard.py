@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
+import numpy as np
 from slotwise.llm import jaccard, simhash
 
 
@@ -66,3 +67,17 @@ def test_similar_sets_share_a_prefix():
     for i in range(len(sets)):
         for j in range(i):
             assert not jaccard.is_similar(sets[i], sets[j]) or firsts[i] & firsts[j]
+
+
+def test_frequent_shingles_cover_all_texts(spark):
+    texts = [f"{'all share this one line ' * (i % 2)}only {i} has these very words {i + 7}" for i in range(60)]
+    often = jaccard.frequent_shingles(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    assert set(jaccard.shingle_set("all share this one line").tolist()) <= set(often.tolist()) and (often[1:] > often[:-1]).all()
+    held = jaccard.FrequentShingles(held=4, chunk=10)
+    rng = random.Random(1)
+    drawn = [rng.choice([1, 1, 1, 2, 2, rng.randrange(3, 10**6)]) for _ in range(1000)]
+    for x in drawn:
+        held.add(np.array([x], dtype=np.uint64))
+    held.merge()
+    counts = dict(zip(held.keys.tolist(), held.counts.tolist()))
+    assert len(counts) <= 4 and {1, 2} <= set(counts) and all(counts[k] <= drawn.count(k) for k in counts)

@@ -8,10 +8,12 @@ import re
 import time
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -87,6 +89,15 @@ def test_secrets_letters_short_and_glued():
     assert found("internationalization-of-things-2024 20241128050000123456 request/550e8400-E29B-41d4-a716-446655440000/documentation to_be_or_not_to_be_that_is_the_question internationalization") == []
 
 
+def test_secrets_where_many_spans_meet():
+    ratio = secrets.TokenRatio(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    rng = random.Random(2)
+    keys = ["".join(rng.choices("abcdefghijkXYZ0123456789", k=20)) for _ in range(10_000)]
+    began = time.perf_counter()
+    found = secrets.scan_text(" ".join(f"token={k} {k[::-1]}" for k in keys), ratio)
+    assert time.perf_counter() - began < 5 and sum(k == "assign" for *_, k in found) == 10_000 and sum(k == "random" for *_, k in found) > 9_000
+
+
 def test_quality(docs, none):
     rows = quality.apply_quality(docs).collect()
     for r in rows:
@@ -303,11 +314,83 @@ def test_anchors_cover():
     assert {r for r, _ in homes & near} == set(range(500))
 
 
+def plain_fingerprint(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
+
+
+def components(nodes, linked):
+    """The smallest node reachable of each."""
+    low = {x: x for x in nodes}
+
+    def root(x):
+        while low[x] != x:
+            x = low[x]
+        return x
+
+    for a, b in combinations(sorted(nodes), 2):
+        if linked(a, b):
+            p, q = sorted((root(a), root(b)))
+            low[q] = p
+    return {x: root(x) for x in nodes}
+
+
 def test_near_duplicates(docs, none):
     rows = simhash.near_duplicates(docs).collect()
     fps = {t: simhash.fingerprint(t) for t in all_texts()}
-    assert fps[None] == fps[""] == 0 and len(rows) == len(all_texts())
+    assert fps == {t: plain_fingerprint(t) for t in fps} and fps[None] == fps[""] == 0 and len(rows) == len(all_texts())
     groups = Counter(r.component_id for r in rows)
     assert groups[0] >= 3 and next(r.component_id for r in rows if r.doc_id == 7) == next(r.component_id for r in rows if r.doc_id == 6)
     kept = simhash.deduplicate(docs).collect()
     assert len(kept) == len(groups) and simhash.near_duplicates(none).count() == 0
+
+
+def near_texts():
+    """Families of texts that differ in a word or two, so that fingerprints of a family are within a few bits; some twice."""
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(200)]
+    texts = [None, "", "one"]
+    for n in (30, 90, 300):
+        for _ in range(8):
+            base = rng.choices(words, k=n)
+            for _ in range(6):
+                base = list(base)
+                base[rng.randrange(n)] = rng.choice(words).upper()
+                texts.append(" ".join(base))
+            texts.append(texts[-1])
+    return texts
+
+
+def test_components_of_fingerprints_against_all_pairs(spark):
+    texts = near_texts()
+    docs = spark.createDataFrame([(i + 5, t, "x", "y") for i, t in enumerate(texts)], "doc_id long, text string, fp string, component_id string").repartition(3)
+    prints = {i + 5: plain_fingerprint(t) for i, t in enumerate(texts)}
+    want = components(prints, lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 4)
+    assert len(set(want.values())) < len(set(prints.values())) < len(prints)  # some fingerprints are linked, some equal
+    assert {r.doc_id: (r.fp & (1 << 64) - 1, r.component_id) for r in simhash.near_duplicates(docs).collect()} == {i: (prints[i], want[i]) for i in prints}
+
+
+@pytest.mark.parametrize("tile", [50, 4096])
+def test_links_of_random_near_fingerprints_against_all_pairs(spark, monkeypatch, tile):
+    monkeypatch.setattr(simhash, "TILE", tile)
+    rng = random.Random(5)
+    centres = [rng.getrandbits(64) for _ in range(12)] + [0]
+    prints = {c ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(5))) for c in centres for _ in range(25)}
+    want = components(prints, lambda a, b: (a ^ b).bit_count() <= 4)
+    signed = {p: p - (1 << 64) * (p >> 63) for p in prints}
+    links = simhash.fingerprint_links(spark.createDataFrame([(x,) for x in signed.values()], "fp long")).collect()
+    pairs = {frozenset((r.a, r.b)) for r in links}
+    got = components(signed.values(), lambda a, b: frozenset((a, b)) in pairs)
+    assert {frozenset(p for p in prints if want[p] == r) for r in want.values()} == {frozenset(p for p in prints if got[signed[p]] == r) for r in got.values()}
+
+
+def test_group_links_of_a_large_group():
+    rng = np.random.default_rng(3)
+    prints = np.unique(np.concatenate([np.uint64(1) << rng.integers(0, 64, 5000).astype(np.uint64) | np.uint64(1) << rng.integers(0, 64, 5000).astype(np.uint64), np.zeros(1, np.uint64)]))
+    began = time.perf_counter()
+    a, b = simhash.group_links(prints, prints)
+    assert len(set(a.tolist()) | set(b.tolist())) == len(prints) and len(a) == len(prints) - 1 and time.perf_counter() - began < 2

@@ -23,6 +23,10 @@ _LED = re.compile(r"[\x20\t-\r]*[^\x20\t-\r]+|[\x20\t-\r]+").findall
 _PLAIN = {"bare": re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+").fullmatch, "led": re.compile(r" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+").fullmatch}
 
 
+#: Letters that no normaliser splits or joins with what follows.
+_LETTER = re.compile(r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]").fullmatch
+
+
 def _byte_letters() -> dict[int, str]:
     """Byte-level vocabularies spell a byte as its Latin-1 character if that prints, else as the next free one from 256 on."""
     prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -47,18 +51,22 @@ class _Memo(dict):
 
 
 class ChunkedTokenizer:
-    """encode(texts) -> for each text the ids as little-endian unsigned 32-bit bytes.
+    """encode(texts) -> for each text the ids as little-endian unsigned 32-bit bytes, those that the library gives.
 
     chunks: "bare" if the tokenizer drops white space and lower-cases, "led" if a chunk keeps the white
     space before it, "whole" for any other tokenizer. memo_entries bounds the memo; chunks first met are
-    the frequent ones, so a full memo just stops growing.
+    the frequent ones, so a full memo just stops growing. A text that holds a special token's string is encoded
+    whole; the string becomes the special id, as by the library's default, or with special_as_text, ordinary ids.
     """
 
-    def __init__(self, path: str, chunks: str = "whole", memo_entries: int = 1_000_000, memo_chars: int = 40):
+    def __init__(self, path: str, chunks: str = "whole", memo_entries: int = 1_000_000, memo_chars: int = 40, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special)), re.IGNORECASE).search if special else None
+        self.mark = re.sub("[A-Za-z].*", "", os.path.commonprefix(special))  # what a text with one of them holds in any case
         self.model, self.chunks = self.tokenizer.model, chunks
         self.memo = _Memo(self._find, memo_entries, memo_chars)
 
@@ -68,10 +76,10 @@ class ChunkedTokenizer:
     def _find(self, chunk: str) -> tuple[bytes, bool]:
         """A chunk's ids, and if they are worth keeping under its own name.
 
-        A comma or stop after a letter is a piece of its own, so the word before it is looked up apart.
+        A comma or stop after a plain letter is a piece of its own, so the word before it is looked up apart.
         A plain word goes to the library's merge model directly, anything else through all of its steps.
         """
-        if len(chunk) > 1 and chunk[-1] in ",." and chunk[-2].isalpha():
+        if len(chunk) > 1 and chunk[-1] in ",." and _LETTER(chunk[-2]):
             return self.memo[chunk[:-1]] + self.memo[chunk[-1]], False
         word = chunk.lower() if self.chunks == "bare" else chunk
         if _PLAIN[self.chunks](word):
@@ -82,7 +90,8 @@ class ChunkedTokenizer:
         if self.chunks == "whole":
             return list(map(self._whole, texts))
         cut, get = _BARE if self.chunks == "bare" else _LED, self.memo.__getitem__
-        return [self._whole(t) if self.chunks == "led" and not t.isascii() and any(c in t for c in _WIDE) else b"".join(map(get, cut(t))) for t in texts]
+        led, special, mark = self.chunks == "led", self.special, self.mark
+        return [self._whole(t) if special and mark in t and special(t) or led and not t.isascii() and any(c in t for c in _WIDE) else b"".join(map(get, cut(t))) for t in texts]
 
 
 _KEPT: dict[tuple, ChunkedTokenizer] = {}

@@ -132,10 +132,12 @@ def test_simple8b_round_trip(values):
     assert simple8b.decode(simple8b.encode(v), len(v)).tolist() == values
 
 
+LIBRARY = {name: Tokenizer.from_file(public_tokenizers.path(name)) for name in ("word_bpe_49k.json", "byte_bpe_50k.json")}
+
+
 def plain_ids(name, text):
-    t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
-    return np.array([*t.encode(text or "", add_special_tokens=False).ids, 1], dtype="<u4")
+    """By the library as it comes, with nothing set."""
+    return np.array([*LIBRARY[name].encode(text or "", add_special_tokens=False).ids, 1], dtype="<u4")
 
 
 @settings(deadline=None, max_examples=60)
@@ -144,12 +146,18 @@ def test_chunked_ids_equal_whole_ids(text):
     for name, chunks in (("word_bpe_49k.json", "bare"), ("byte_bpe_50k.json", "led")):
         key = (name, chunks)
         coder = CODERS.get(key) or CODERS.setdefault(key, ChunkedTokenizer(public_tokenizers.path(name), chunks))
-        assert np.frombuffer(coder.encode([text])[0], "<u4").tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(coder.encode([text])[0], "<u4").tolist() == plain_ids(name, text)[:-1].tolist()
 
 
 CODERS: dict = {}
 
 
+def test_special_strings_as_text():
+    for name, chunks in (("word_bpe_49k.json", "bare"), ("byte_bpe_50k.json", "led")):
+        coder = ChunkedTokenizer(public_tokenizers.path(name), chunks, special_as_text=True)
+        assert not {49406, 49407, 50256} & set(np.frombuffer(coder.encode(["a <|endoftext|> b <|startoftext|>"])[0], "<u4").tolist())
+
+
 def test_token_store(spark, docs, none, tmp_path):
     token_store.write_token_ids(docs, str(tmp_path / "a"), public_tokenizers.path("word_bpe_49k.json"), "bare", 1)
     rows = token_store.read_token_ids(spark, str(tmp_path / "a")).orderBy("start").collect()
@@ -163,6 +171,17 @@ def test_token_store(spark, docs, none, tmp_path):
 def test_packing(docs, none):
     rows = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), "led", 1, size=256, windows=2, fan_in=2, keep_ids=True).collect()
     lengths = Counter()
+    # Each document's pieces, one after another, are the library's ids; equal ids (null) are told apart by length.
+    whole: dict = {}
+    for r in sorted(rows, key=lambda r: r.start):
+        whole.setdefault((r.doc_id, r.doc_tokens), {}).setdefault(r.start, []).append(r.ids)
+    want = Counter(plain_ids("byte_bpe_50k.json", t).tobytes() for t in all_texts())
+    copies = {k: len(v[0]) for k, v in whole.items()}
+    got = Counter()
+    for k, v in whole.items():
+        if copies[k] == 1:
+            got[b"".join(p[0] for _, p in sorted(v.items()))] += 1
+    assert all(want[ids] >= n for ids, n in got.items()) and sum(got.values()) >= len(want) - 2
     for r in rows:
         assert r.length * 4 == len(r.ids) and zlib.crc32(r.ids) == r.ids_crc32
         lengths[r.sequence_id] += r.length

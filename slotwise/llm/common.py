@@ -116,10 +116,15 @@ def extended(schema: T.StructType, ddl: str) -> T.StructType:
     return T.StructType([*schema.fields, *T.StructType.fromDDL(ddl).fields])
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the table of a materialized df that nothing reads any more, and let go of finished shuffles' files."""
+def delete_table(df: DataFrame) -> None:
+    """Delete the table of a materialized df that nothing reads any more."""
     for file in df.inputFiles()[:1]:
         delete(df.sparkSession, file.rsplit("/", 1)[0])
+
+
+def discard(df: DataFrame) -> None:
+    """The same, and let go of finished shuffles' files."""
+    delete_table(df)
     release(df.sparkSession)
 
 

@@ -3,9 +3,9 @@
 The base spans (addresses, IPs, cards, phones) are the seeds. A mention is a seed, another token or group of numbers with a
 digit or an @, or any word after a pattern that could be trusted. Its lexical patterns are the two words before it, and the
 words on either side of it. Patterns and instances (the mentions' normalised values) form a graph that Spark scores in
-rounds: a pattern's confidence is the mean over its instances, of which only confident ones count, an
-instance's is that of its best pattern, or, if it is a plain word, the mean of its patterns', so that a common
-word after a trusted pattern isn't trusted. Confident instances vouch for further patterns, those for further instances.
+rounds: a pattern's confidence is the mean over its instances, an instance's is that of its best pattern, or, if it is a
+plain word, the mean of its patterns', so that a common word after a trusted pattern isn't trusted; only confident
+ones count. Confident instances vouch for further patterns, those for further instances.
 
 Plain words are read from the texts anew when there are more hopeful patterns or words, until there are none. What a
 scan looks for travels as bitmaps of fixed size; what they let through by mistake goes in a join. Mentions of
@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from itertools import compress, count
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import Taken, discard, extended, materialize, without
+from slotwise.llm.common import Taken, delete_table, extended, materialize, without
 from slotwise.llm.secrets import sha256_hex
 
 KINDS = ("email", "ip", "card", "phone", "context")
@@ -164,8 +165,10 @@ def mentions(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int
     return [m for m in out if m[3]]
 
 
-#: Bits of a bitmap, so 1 MB each, whatever it holds.
-BITS = 23
+#: Bits of a bitmap, so 0.5 MB each, whatever it holds.
+BITS = 22
+#: Distinct plain words after a pattern at which a scan lets it go, by class; a pattern is in the first class that it may not exceed.
+BOUNDS = (4, 16, 64, 256, 1024, 4096, 16384, None)
 
 
 def _places(key: bytes) -> tuple[int, int]:
@@ -173,15 +176,14 @@ def _places(key: bytes) -> tuple[int, int]:
     return h & ((1 << BITS) - 1), h >> BITS & ((1 << BITS) - 1)
 
 
-def bitmap(keys: DataFrame) -> bytes:
-    """Bits of the one string column of keys: at most 2^BITS / 64 rows of 16 bytes reach the driver."""
-    h = F.xxhash64(keys.columns[0])
-    low = (1 << BITS) - 1
-    places = keys.select(F.explode(F.array(h.bitwiseAND(F.lit(low)), F.shiftrightunsigned(h, BITS).bitwiseAND(F.lit(low)))).alias("at"))
-    words = places.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits")).toArrow()
-    out = np.zeros(1 << (BITS - 6), dtype="<i8")
-    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    return out.tobytes()
+def bitmaps(keys: DataFrame, kinds: int) -> list[bytes]:
+    """Bits of the strings of each kind. keys: kind (int), key. At most kinds * 2^BITS / 64 rows of 20 bytes reach the driver."""
+    h, low = F.xxhash64("key"), (1 << BITS) - 1
+    places = keys.select("kind", F.explode(F.array(h.bitwiseAND(F.lit(low)), F.shiftrightunsigned(h, BITS).bitwiseAND(F.lit(low)))).alias("at"))
+    words = places.groupBy("kind", F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits")).toArrow()
+    out = np.zeros((kinds, 1 << (BITS - 6)), dtype="<i8")
+    out[words.column("kind").to_numpy(), words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return [row.tobytes() for row in out]
 
 
 def holds(bits: bytes, key: str) -> bool:
@@ -190,87 +192,152 @@ def holds(bits: bytes, key: str) -> bool:
     return bool(bits[a >> 3] >> (a & 7) & 1 and bits[b >> 3] >> (b & 7) & 1)
 
 
-class Gate(dict):
-    """token -> 1 if a wanted pattern may end with it, + 2 if one may end inside it or it may hold a wanted word; keeps `most` tokens."""
+class Memo(dict):
+    """What `find` gives, kept for the first `most` keys."""
 
-    def __init__(self, ends: bytes, instances: bytes, most: int = 200_000):
-        self.ends, self.instances, self.most = ends, instances, most
+    def __init__(self, find: Callable, most: int = 200_000):
+        self.find, self.most = find, most
 
-    def __missing__(self, token: bytes) -> int:
-        text = token.decode()
-        found = int(holds(self.ends, _shape(text)))
-        for n, (a, b, before, _) in enumerate(Words(text).names(0)):
-            if n and holds(self.ends, before) or is_plain(text[a:b]) and holds(self.instances, _instance(text[a:b])):
-                found += 2
-                break
+    def __missing__(self, key):
+        found = self.find(key)
         if len(self) < self.most:
-            self[token] = found
+            self[key] = found
         return found
 
 
-def plain_mentions(text: str, base: list[tuple[int, int]], gate: Gate, wanted: Callable[[list[str], str], bool]) -> list[tuple[int, int, list[str], str]]:
-    """(start, end, patterns, instance) of names without digit and @ that the gate lets through and that are wanted by patterns or instance."""
-    tokens = text.encode().split()  # of bytes: at ASCII white space alone
-    flags = list(map(gate.__getitem__, tokens))
-    if not any(flags):
-        return []
-    words, taken, found = Words(text), Taken(base), []
-    for i in sorted({j for i, f in enumerate(flags) if f for j in ((i, i + 1) if f == 3 else (i,) if f == 2 else (i + 1,)) if j < len(flags)}):
-        for a, b, before, first in words.names(i):
-            if is_plain(text[a:b]) and not taken.touches(a, b):
-                patterns, instance = words.patterns(b, before, first), _instance(text[a:b])
-                if patterns and wanted(patterns, instance):
-                    found.append((a, b, patterns, instance))
-    return found
+class PlainWords:
+    """Finds the names without digit and @ in a task's texts that follow a wanted pattern or are a wanted word.
 
+    A token is first looked up: may a wanted pattern end with it (1), or inside it, or does it hold a wanted word (2)? Then its
+    neighbours tell whether the whole pattern is wanted. A text's words are only cut up where something is.
+    """
 
-def _plain(scanned: DataFrame, text_col: str, patterns: DataFrame, instances: DataFrame) -> DataFrame:
-    """_row, start, end, pattern, instance of the plain words of all texts that follow one of patterns or are one of instances."""
-    last = patterns.select(F.regexp_extract("pattern", r"([^\x20]+)(?: _ [^\x20]+)?$", 1))
-    held = scanned.sparkSession.sparkContext.broadcast(tuple(bitmap(keys) for keys in (last, patterns.select("pattern"), instances.select("instance"))))
+    def __init__(self, ends: bytes, words: bytes, classes: list[bytes]):
+        self.ends, self.words, self.classes = ends, words, classes
+        self.tokens, self.pairs, self.levels = Memo(self._flags), Memo(self._pair), Memo(self._level)
+        self.dead: set[str] = set()
+        self.seen: dict[str, set[str]] = {}
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ends, whole, known = held.value
-        gate = Gate(ends, known)
+    def _flags(self, token: bytes) -> int:
+        text = token.decode()
+        found = int(holds(self.ends, _shape(text)))
+        for n, (a, b, before, _) in enumerate(Words(text).names(0)):
+            if n and holds(self.ends, before) or is_plain(text[a:b]) and holds(self.words, _instance(text[a:b])):
+                return found + 2
+        return found
 
-        def wanted(patterns: list[str], instance: str) -> bool:
-            return any(holds(whole, p) for p in patterns) or holds(known, instance)
+    def _pair(self, key: tuple[bytes | None, str, bytes]) -> str | None:
+        first, between, second = key
+        pattern = _shape(second.decode()) if first is None else f"{_shape(first.decode())}{between}{_shape(second.decode())}"
+        return pattern if self.levels[pattern] >= 0 else None
+
+    def _level(self, pattern: str) -> int:
+        return max((i for i, bits in enumerate(self.classes) if holds(bits, pattern)), default=-1)
+
+    def wanted(self, pattern: str | None) -> bool:
+        return pattern is not None and pattern not in self.dead and self.levels[pattern] >= 0
+
+    def mentions(self, text: str, base: list[tuple[int, int]]) -> Iterator[tuple[int, int, list[str], str]]:
+        """(start, end, patterns, instance)."""
+        tokens = text.encode().split()  # of bytes: at ASCII white space alone
+        flags = list(map(self.tokens.__getitem__, tokens))
+        at = set()
+        for i in compress(count(), flags):
+            if flags[i] & 2:
+                at.add(i)
+            if flags[i] & 1 and i + 1 < len(tokens):
+                after = self.pairs[tokens[i], " _ ", tokens[i + 2]] if i + 2 < len(tokens) else None
+                if self.wanted(self.pairs[tokens[i - 1] if i else None, " ", tokens[i]]) or self.wanted(after):
+                    at.add(i + 1)
+        if not at:
+            return
+        words, taken = Words(text), Taken(base)
+        for i in sorted(at):
+            for a, b, before, first in words.names(i):
+                if is_plain(text[a:b]) and not taken.touches(a, b):
+                    patterns, instance = words.patterns(b, before, first), _instance(text[a:b])
+                    if any(map(self.wanted, patterns)) or patterns and holds(self.words, instance):
+                        yield a, b, patterns, instance
+
+    def new_pairs(self, patterns: list[str], instance: str) -> Iterator[tuple[str, str]]:
+        """(pattern, instance) not yet given: any of a wanted word, else of wanted patterns, each until it has more distinct words than its bound."""
+        known = holds(self.words, instance)
+        for p in patterns:
+            if not known and not self.wanted(p):
+                continue
+            seen = self.seen.setdefault(p, set())
+            if instance not in seen:
+                seen.add(instance)
+                yield p, instance
+                bound = BOUNDS[self.levels[p]]
+                if not known and bound is not None and len(seen) > bound:
+                    self.dead.add(p)
+                    self.seen[p] = {x for x in seen if holds(self.words, x)}
+
+
+def _last_word(pattern):
+    """The word right before the mentions of a pattern."""
+    return F.regexp_extract(pattern, r"([^\x20]+)(?: _ [^\x20]+)?$", 1)
+
+
+def _scan(scanned: DataFrame, text_col: str, patterns: DataFrame, words: DataFrame, rows: Callable, schema: str) -> DataFrame:
+    """What rows(finder, _row, start, end, patterns, instance) gives for all texts. patterns: pattern, class; words: instance."""
+    kinds = len(BOUNDS)
+    keys = patterns.select(F.col("class").alias("kind"), F.col("pattern").alias("key"))
+    keys = keys.unionByName(patterns.select(F.lit(kinds).alias("kind"), _last_word("pattern").alias("key"))).unionByName(words.select(F.lit(kinds + 1).alias("kind"), F.col("instance").alias("key")))
+    held = scanned.sparkSession.sparkContext.broadcast(bitmaps(keys, kinds + 2))
+    names = [c.split()[0] for c in schema.split(", ")]
+    types = [pa.string() if c.endswith("string") else pa.int64() for c in schema.split(", ")]
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        *classes, ends, known = held.value
+        finder = PlainWords(ends, known, classes)
         for batch in batches:
             out = []
             for row, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                out += [(row, *m) for m in plain_mentions(text or "", [(s["start"], s["end"]) for s in spans], gate, wanted)]
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["_row", "start", "end", "patterns", "instance"])
+                for m in finder.mentions(text or "", [(s["start"], s["end"]) for s in spans]):
+                    out += rows(finder, row, *m)
+            columns = list(zip(*out, strict=True)) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+    return materialize(scanned.select("_row", text_col, "pii_spans").mapInArrow(scan, schema), "pii-plain")
+
+
+def _plain_pairs(scanned: DataFrame, text_col: str, patterns: DataFrame, words: DataFrame) -> DataFrame:
+    """pattern, instance of plain words: all of `words`, and of each of patterns (pattern, class) all, or more than its class allows."""
+    rows = _scan(scanned, text_col, patterns, words, lambda finder, row, a, b, found, instance: finder.new_pairs(found, instance), "pattern string, instance string")
+    called = rows.distinct().join(patterns.select("pattern", F.lit(True).alias("_p")), "pattern", "left").join(words.select("instance", F.lit(True).alias("_i")), "instance", "left")
+    return materialize(called.where("_p or _i").select("pattern", "instance"), "pii-called")
+
 
-    let_through = scanned.select("_row", text_col, "pii_spans").mapInArrow(scan, "_row long, start long, end long, patterns array<string>, instance string")
-    rows = materialize(let_through.select("_row", "start", "end", F.explode("patterns").alias("pattern"), "instance"), "pii-plain")
-    called = rows.join(patterns.select("pattern", F.lit(True).alias("_p")), "pattern", "left").join(instances.select("instance", F.lit(True).alias("_i")), "instance", "left")
-    return materialize(called.where("_p or _i").drop("_p", "_i"), "pii-called")
+def _plain_spans(scanned: DataFrame, text_col: str, patterns: DataFrame, words: DataFrame) -> DataFrame:
+    """_row, start, end of those of words that follow one of patterns (pattern)."""
+    rows = _scan(scanned, text_col, patterns.withColumn("class", F.lit(len(BOUNDS) - 1)), words, lambda finder, row, a, b, found, instance: [(row, a, b, p, instance) for p in found], "_row long, start long, end long, pattern string, instance string")
+    return rows.join(patterns, "pattern", "left_semi").join(words, "instance", "left_semi").select("_row", "start", "end")
 
 
 def score_graph(edges: DataFrame, least_seeds: int, least_score: float, tolerance: float = 1e-3) -> tuple[DataFrame, DataFrame]:
-    """(pattern, confidence) and (instance, plain, seed, confidence) at the fixed point; of patterns those above 0.
+    """(pattern, confidence, total) and (instance, plain, seed, confidence) at the fixed point; of patterns those of least_score.
 
     edges: pattern, instance, seed, plain; one row each. Confidences start at 1 for seeds, else 0, and never fall, since
-    means and maxima of greater values are greater; so the rounds end. A pattern needs least_seeds instances of
-    least_score; instances below least_score count as 0 in its mean, so that nothing lifts itself.
+    means and maxima of greater values are greater; so the rounds end. On either side what is below least_score counts
+    as 0, so that nothing lifts itself. A pattern needs least_seeds confident instances. total: the sum of their confidences.
     """
     now = materialize(edges.groupBy("instance").agg(F.max("seed").alias("seed"), F.max("plain").alias("plain")).withColumn("confidence", F.col("seed").cast("double")), "pii-instances")
     while True:
         sure = F.when(F.col("confidence") >= least_score, F.col("confidence")).otherwise(0.0)
-        means = edges.select("pattern", "instance").join(now.select("instance", "confidence"), "instance").groupBy("pattern").agg(F.avg(sure).alias("mean"), F.sum((sure > 0).cast("long")).alias("support"))
-        patterns = materialize(means.where(f"support >= {least_seeds}").select("pattern", F.col("mean").alias("confidence")), "pii-patterns")
-        by_instance = edges.join(patterns, "pattern", "left").groupBy("instance").agg(F.avg(F.coalesce("confidence", F.lit(0.0))).alias("mean"), F.max(F.coalesce("confidence", F.lit(0.0))).alias("best"))
+        means = edges.select("pattern", "instance").join(now.select("instance", "confidence"), "instance").groupBy("pattern").agg(F.avg(sure).alias("confidence"), F.sum(sure).alias("total"), F.sum((sure > 0).cast("long")).alias("support"))
+        patterns = materialize(means.where(f"support >= {least_seeds} and confidence >= {least_score}").drop("support"), "pii-patterns")
+        scored = F.coalesce("confidence", F.lit(0.0))
+        by_instance = edges.join(patterns, "pattern", "left").groupBy("instance").agg(F.avg(scored).alias("mean"), F.max(scored).alias("best"))
         moved = by_instance.join(now.withColumnRenamed("confidence", "was"), "instance").withColumn("confidence", F.when(F.col("seed"), 1.0).when(F.col("plain"), F.col("mean")).otherwise(F.col("best")))
         after = materialize(moved.select("instance", "seed", "plain", "confidence", (F.col("confidence") > F.col("was") + tolerance).alias("rose")), "pii-instances")
         settled = after.where("rose").isEmpty()
-        discard(now)
+        delete_table(now)
         now = after.drop("rose")
         if settled:
             return patterns, now
-        discard(patterns)
+        delete_table(patterns)
 
 
 def _confident_mentions(scanned: DataFrame, text_col: str, single: DataFrame, least_seeds: int, least_score: float) -> DataFrame:
@@ -278,31 +345,36 @@ def _confident_mentions(scanned: DataFrame, text_col: str, single: DataFrame, le
 
     single: _row, start, end, seed, pattern, instance of all mentions but plain words. While a pattern is not read, plain words
     after it are not in the graph, so its confidence is too high: hopeful patterns, and words that are hopeful by the
-    patterns known, are read from all texts, and the graph is scored again, until all that are
-    confident have been read.
+    patterns known, are read from all texts, and the graph is scored again, until all that are confident have been
+    read. Of a pattern that more words follow than its confident instances can make up for, only so many words are
+    read as to show it; no bound decides otherwise than all of its words would.
     """
     pairs = materialize(single.groupBy("pattern", "instance").agg(F.max("seed").alias("seed_here")), "pii-pairs")
     seeds = pairs.groupBy("instance").agg(F.max("seed_here").alias("seed")).where("seed")
     edges = materialize(pairs.join(seeds, "instance", "left").select("pattern", "instance", F.coalesce("seed", F.lit(False)).alias("seed"), F.lit(False).alias("plain")), "pii-edges")
-    discard(pairs)
-    read_patterns, read_words = edges.select("pattern").where("false"), edges.select("instance").where("false")
-    plain = single.select("_row", "start", "end", "pattern", "instance").where("false")
+    delete_table(pairs)
+    of_bound = F.lit(len(BOUNDS) - 1)
+    for i, bound in reversed(list(enumerate(BOUNDS[:-1]))):
+        of_bound = F.when(F.col("total") / least_score <= bound, F.lit(i)).otherwise(of_bound)
+    read_patterns, read_words = edges.select("pattern", F.lit(0).alias("class")).where("false"), edges.select("instance").where("false")
+    plain = edges.select("pattern", "instance").where("false")
     while True:
-        words = plain.select("pattern", "instance").distinct().select("pattern", "instance", F.lit(False).alias("seed"), F.lit(True).alias("plain"))
-        graph = materialize(edges.unionByName(words), "pii-graph")
+        graph = materialize(edges.unionByName(plain.select("pattern", "instance", F.lit(False).alias("seed"), F.lit(True).alias("plain"))), "pii-graph")
         patterns, instances = score_graph(graph, least_seeds, least_score)
-        good_patterns = patterns.where(f"confidence >= {least_score}").select("pattern")
-        good = instances.where(f"confidence >= {least_score} and not seed")
-        good_words = good.where("plain").select("instance")
-        more_patterns, more_words = good_patterns.join(read_patterns, "pattern", "left_anti"), good_words.join(read_words, "instance", "left_anti")
+        good_words = instances.where(f"confidence >= {least_score} and plain").select("instance")
+        classed = patterns.select("pattern", of_bound.cast("int").alias("class"))
+        more_patterns = classed.join(read_patterns.withColumnRenamed("class", "was"), "pattern", "left").where("was is null or class > was").select("pattern", "class")
+        more_words = good_words.join(read_words, "instance", "left_anti")
+        delete_table(graph)
         if more_patterns.isEmpty() and more_words.isEmpty():
             break
-        read_patterns, read_words = (materialize(a.unionByName(b), "pii-read") for a, b in ((read_patterns, more_patterns), (read_words, more_words)))
-        discard(graph)
-        plain = _plain(scanned, text_col, read_patterns, read_words)
-    every = single.where("not seed").select("_row", "start", "end", "pattern", "instance").unionByName(plain)
-    sure = instances.where(f"confidence >= {least_score}").select("instance")
-    return every.join(good_patterns, "pattern", "left_semi").join(sure, "instance", "left_semi").select("_row", "start", "end").distinct()
+        every = read_patterns.unionByName(more_patterns).groupBy("pattern").agg(F.max("class").alias("class"))
+        read_patterns, read_words = materialize(every, "pii-read"), materialize(read_words.unionByName(more_words), "pii-read")
+        plain = _plain_pairs(scanned, text_col, read_patterns, read_words)
+    known = single.where("not seed").join(patterns, "pattern", "left_semi").join(instances.where(f"confidence >= {least_score} and not plain"), "instance", "left_semi").select("_row", "start", "end")
+    if good_words.isEmpty():
+        return known.distinct()
+    return known.unionByName(_plain_spans(scanned, text_col, patterns.select("pattern"), good_words)).distinct()
 
 
 def find_pii(docs: DataFrame, least_seeds: int = 3, least_score: float = 0.8, text_col: str = "text") -> DataFrame:

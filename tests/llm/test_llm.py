@@ -269,15 +269,18 @@ def test_pii_long_texts():
     for text in (" ".join(f"id: {i}, u{i}@x.org" for i in range(20_000)), ",".join(f"u{i}@x.org" for i in range(20_000)), "x" * 1_000_000 + " 1", "((" * 500_000 + "1"):
         base = pii.base_spans(text)
         pii.mentions(text, base)
-        pii.plain_mentions(text, base, pii.Gate(bytes([255]) * (1 << 20), bytes(1 << 20)), lambda p, i: True)
+        full = bytes([255]) * (1 << pii.BITS - 3)
+        finder = pii.PlainWords(full, full, [full])
+        for _, _, patterns, instance in finder.mentions(text, base):
+            list(finder.new_pairs(patterns, instance))
     assert time.perf_counter() - began < 20
 
 
 def test_bitmap(spark):
     keys = [f"key {i} é" for i in range(5000)]
-    bits = pii.bitmap(spark.createDataFrame([(k,) for k in keys], "k string"))
+    none, bits = pii.bitmaps(spark.createDataFrame([(1, k) for k in keys], "kind int, key string"), 2)
     assert all(pii.holds(bits, k) for k in keys) and sum(pii.holds(bits, f"other {i}") for i in range(5000)) < 5
-    assert not any(pii.bitmap(spark.createDataFrame([], "k string")))
+    assert not any(none) and not any(pii.bitmaps(spark.createDataFrame([], "kind int, key string"), 1)[0])
 
 
 def test_chat(spark):

@@ -1,11 +1,13 @@
-"""Nearest neighbours by shifted space-filling curves, completed by bounded blocks.
+"""Nearest neighbours by shifted space-filling curves, with an exact check.
 
 Each of several curves projects the vectors to a few dimensions in its own random directions, shifts them
 and numbers them in Hilbert order; Spark range-partitions by that number. Windows of neighbouring ranks, each
-overlapping the next by half, are reranked on the full vectors, and a query's results of all curves
-merge. Their 20th score is a floor that any missed neighbour must beat. The completion then goes over the
-first curve's blocks: a block whose centre and radius say that nothing in it reaches a query's floor is
-passed over for that query, others are scored. So windows cap no candidates for good: the result is exact.
+overlapping the next by half, are reranked on the full vectors, and a query's results of all curves merge.
+
+The exact check then adds what the windows missed. A query's worst result is a floor. The first curve is cut into
+blocks with a centre and a radius; a block is passed over for a query whose floor nothing in it can reach, before any vector
+travels, and of the other blocks only vectors that reach the floor are added. Without the check (complete=False)
+the windows' results are final.
 """
 
 from __future__ import annotations
@@ -99,17 +101,22 @@ def _table(q: list, c: list, s: list) -> pa.Table:
     return pa.table({"query_id": pa.array(q, pa.int64()), "class_id": pa.array(c, pa.int64()), "score": pa.array(s, pa.float64())})
 
 
-def nearest(vectors: DataFrame, queries: str = "vec_id % 20 = 0", k: int = 20, curves: int = 4, window: int = 1024, block: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, queries: str = "vec_id % 20 = 0", k: int = 20, curves: int = 4, window: int = 1024, block: int = 4096, complete: bool = True, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of largest inner product for each row that meets the condition `queries`.
 
-    Vectors that are null, zero, of another length than most, or hold null or non-finite
-    components take no part, neither do rows of null id. Equal vectors form a class, stand on the curves once and
-    are named by their k + 1 smallest ids, which no result can need more of; so a vector with very many
-    copies is one point. Ties go to the smaller id. Fewer candidates than k: all. No vectors: no rows.
-    window: ranks of a curve that are reranked together, twice; block: rows a task scores at a time.
+    Vectors that are null, zero, or hold null or non-finite components take no part, neither do rows of null id, nor
+    vectors of another length than most, with which there is no inner product. Equal vectors form a class, stand on
+    the curves once and are named by their k + 1 smallest ids, which no result can need more of; so a vector with very
+    many copies is one point. Ties go to the smaller id. Fewer candidates than k: all. No vectors: no rows. Other
+    columns are ignored, whatever their names. window: ranks of a curve that are reranked together, twice;
+    block: rows a task scores at a time; complete: whether the exact check follows.
     """
     valid = f"{id_col} is not null and {vector_col} is not null and forall({vector_col}, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists({vector_col}, x -> x <> 0)"
-    good = vectors.where(valid).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    good = vectors.where(valid).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
+    kind = good.schema["v"].dataType.elementType.simpleString()
+    if kind not in ("float", "double"):
+        kind = "double"
+        good = good.withColumn("v", F.col("v").cast("array<double>"))
     sizes = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     if not sizes:
         return good.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -118,7 +125,7 @@ def nearest(vectors: DataFrame, queries: str = "vec_id % 20 = 0", k: int = 20, c
     few = good.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(f"n <= {k + 1}")
     classes = materialize(few.groupBy("v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")).select(F.col("ids")[0].alias("class_id"), "ids", "v"), "ann-classes")
     asked = materialize(good.where(queries.replace(id_col, "vec_id")).select(F.col("vec_id").alias("query_id"), "v"), "ann-queries")
-    stats = classes.agg(F.sqrt(F.max(F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x))).alias("radius")).first()
+    stats = classes.agg(F.sqrt(F.max(F.aggregate("v", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double")))).alias("radius")).first()
     radius = stats.radius
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,9 +145,9 @@ def nearest(vectors: DataFrame, queries: str = "vec_id % 20 = 0", k: int = 20, c
 
     # Queries and classes stand on the curves together, so a query has a rank among the classes.
     points = classes.select("class_id", F.lit(None).cast("long").alias("query_id"), "v").unionByName(asked.select(F.lit(None).cast("long").alias("class_id"), "query_id", "v"))
-    placed = points.mapInArrow(place, "curve int, key long, class_id long, query_id long, v array<double>")
+    placed = points.mapInArrow(place, f"curve int, key long, class_id long, query_id long, v array<{kind}>")
     ordered = placed.repartitionByRange(shuffle_width(good.sparkSession), "curve", "key", "class_id", "query_id").sortWithinPartitions("curve", "key", "class_id", "query_id")
-    local = materialize(ordered.mapInArrow(number, "curve int, key long, class_id long, query_id long, v array<double>, part int, local long"), "ann-curves")
+    local = materialize(ordered.mapInArrow(number, f"curve int, key long, class_id long, query_id long, v array<{kind}>, part int, local long"), "ann-curves")
     totals = local.groupBy("curve", "part").agg(F.count("*").alias("n"))  # at most curves rows for each of the writer's tasks
     before = totals.select("curve", "part", (F.sum("n").over(Window.partitionBy("curve").orderBy("part")) - F.col("n")).alias("before"))
     ranked = local.join(F.broadcast(before), ["curve", "part"]).withColumn("rank", F.col("local") + F.col("before"))
@@ -162,34 +169,76 @@ def nearest(vectors: DataFrame, queries: str = "vec_id % 20 = 0", k: int = 20, c
 
     found = windows.select("curve", "w", "query_id", "class_id", "v").groupBy("curve", "w").applyInArrow(rerank, _FOUND).distinct()
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "class_id")
-    # Own class and k others: the worst of k + 1 classes is a floor for any class that may yet be among the results.
-    floors = materialize(found.withColumn("n", F.row_number().over(by_score)).where(f"n = {k + 1}").select("query_id", F.col("score").alias("floor")), "ann-floors")
+    # Own class and k others: k + 1 classes name k candidates at least.
+    best = materialize(found.withColumn("n", F.row_number().over(by_score)).where(f"n <= {k + 1}"), "ann-found")
+    if complete:
+        missed = _check(ranked.where("curve = 0"), best.where(f"n = {k + 1}").select("query_id", F.col("score").alias("floor")), d, k, block, kind)
+        both = best.select("query_id", "class_id", "score").unionByName(missed).distinct()
+        best = both.withColumn("n", F.row_number().over(by_score)).where(f"n <= {k + 1}")
+    named = best.join(classes.select("class_id", "ids"), "class_id").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return named.withColumn("rank", rank).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")
+
 
-    first = ranked.where("curve = 0")
-    size = first.agg(F.max("rank").alias("n")).first().n + 1
-    n_blocks, n_groups = -(-size // block), -(-size // (16 * block))
-    many = first.where("class_id is not null").select(F.floor(F.col("rank") / block).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("grp"), "query_id", "class_id", F.lit(None).cast("double").alias("floor"), "v")
-    own = first.where("query_id is not null").join(floors, "query_id", "left")
-    own = own.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("block"), F.floor(F.col("rank") / (16 * block)).cast("int").alias("grp"), "query_id", "class_id", "floor", "v")
+#: Blocks whose centres one task compares with a group of queries.
+CHUNK = 1024
 
-    def complete(table: pa.Table) -> pa.Table:
+
+def _check(curve: DataFrame, floors: DataFrame, d: int, k: int, block: int, kind: str) -> DataFrame:
+    """query_id, class_id, score: the classes that reach their query's floor, all where it has none; but no more than k + 1 of a block.
+
+    curve: class_id or query_id, v, rank. First the queries meet the blocks' centres, a group of neighbouring queries and CHUNK
+    blocks at a time. Only the pairs of query and block that are left send vectors.
+    """
+    grp = F.floor(F.col("rank") / (16 * block)).cast("int").alias("grp")
+    held = curve.where("class_id is not null").select(F.floor(F.col("rank") / block).alias("block"), "class_id", "v")
+    own = curve.where("query_id is not null").join(floors, "query_id", "left").select("query_id", "floor", "v", grp)
+    own = materialize(own, "ann-floors")
+
+    def centre(key, table):
+        m = _matrix(table.column("v"), d)
+        middle = m.mean(axis=0)
+        reach = np.sqrt(((m - middle) ** 2).sum(axis=1).max())
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "v": pa.array([middle.tolist()], pa.list_(pa.float64())), "reach": pa.array([float(reach)])})
+
+    centres = materialize(held.groupBy("block").applyInArrow(centre, "block long, v array<double>, reach double"), "ann-centres")
+    last = centres.agg(F.max(F.floor(F.col("block") / CHUNK)).alias("n")).first().n
+    groups = own.agg(F.max("grp").alias("n")).first().n
+    empty = {c: F.lit(None).cast(t).alias(c) for c, t in (("query_id", "long"), ("floor", "double"), ("block", "long"), ("reach", "double"))}
+    asked = own.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last or 0).cast("long"))).alias("chunk"), "grp", "query_id", "floor", empty["block"], empty["reach"], F.col("v").cast("array<double>").alias("v"))
+    # A row for each chunk's centre and each group of 16 blocks' queries.
+    every_group = F.explode(F.sequence(F.lit(0), F.lit(groups or 0))).alias("grp")
+    there = centres.select(F.floor(F.col("block") / CHUNK).alias("chunk"), every_group, empty["query_id"], empty["floor"], "block", "reach", "v")
+
+    def prune(key, table):
+        is_query = np.array(table.column("query_id").is_valid())
+        at, of = np.flatnonzero(is_query), np.flatnonzero(~is_query)
+        m = _matrix(table.column("v"), d)
+        q, c = m[at], m[of]
+        reach = table.column("reach").to_numpy()[of]
+        floor = np.nan_to_num(table.column("floor").to_numpy().astype(float)[at], nan=-np.inf)
+        norms, rows, blocks = np.sqrt((q**2).sum(axis=1)), [], []
+        far = np.sqrt((c**2).sum(axis=1).max()) + reach.max() if len(of) else 0.0
+        for i in range(0, len(at), 512):
+            near = q[i : i + 512] @ c.T + reach[None, :] * norms[i : i + 512, None] >= (floor[i : i + 512] - 4 * _slack(q[i : i + 512], far))[:, None]
+            a, b = np.nonzero(near)
+            rows.append(at[a + i])
+            blocks.append(of[b])
+        rows, blocks = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, blocks))
+        left = table.take(pa.array(rows))
+        return pa.table({"block": table.column("block").take(pa.array(blocks)), "grp": left.column("grp"), "query_id": left.column("query_id"), "floor": left.column("floor"), "v": left.column("v")})
+
+    columns = ("chunk", "grp", "query_id", "floor", "block", "reach", "v")
+    left = asked.select(*columns).unionByName(there.select(*columns)).groupBy("chunk", "grp").applyInArrow(prune, "block long, grp int, query_id long, floor double, v array<double>")
+    left = materialize(left.select("block", "grp", "query_id", "floor", F.col("v").cast(f"array<{kind}>").alias("v")), "ann-left")
+    sent = held.join(left.select("block", "grp").distinct(), "block").select("block", "grp", F.lit(None).cast("long").alias("query_id"), "class_id", F.lit(None).cast("double").alias("floor"), "v")
+
+    def add(table: pa.Table) -> pa.Table:
         is_query = np.array(table.column("query_id").is_valid())
-        if not is_query.any() or is_query.all():
-            return _table([], [], [])
         m = _matrix(table.column("v"), d)
-        q, c = m[is_query], m[~is_query]
         ids, names = table.column("query_id").filter(pa.array(is_query)).to_pylist(), table.column("class_id").filter(pa.array(~is_query)).to_pylist()
-        floor = np.array([-np.inf if x is None else x for x in table.column("floor").filter(pa.array(is_query)).to_pylist()])
-        centre = c.mean(axis=0)
-        reach = np.sqrt(((c - centre) ** 2).sum(axis=1).max())
-        near = np.flatnonzero(q @ centre + reach * np.sqrt((q**2).sum(axis=1)) >= floor - 4 * _slack(q, np.sqrt((centre**2).sum()) + reach))
-        if not len(near):
-            return _table([], [], [])
-        a, b, s = _best(q[near], c, floor[near], k + 1)
-        return _table([ids[near[i]] for i in a], [names[i] for i in b], s)
+        floor = np.nan_to_num(table.column("floor").to_numpy().astype(float)[is_query], nan=-np.inf)
+        a, b, s = _best(m[is_query], m[~is_query], floor, k + 1)
+        return _table([ids[i] for i in a], [names[i] for i in b], s)
 
-    full = many.unionByName(own).groupBy("block", "grp").applyInArrow(complete, _FOUND)
-    best = full.withColumn("n", F.row_number().over(by_score)).where(f"n <= {k + 1}")
-    named = best.join(classes.select("class_id", "ids"), "class_id").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return named.withColumn("rank", rank).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")
+    return sent.unionByName(left.select("block", "grp", "query_id", F.lit(None).cast("long").alias("class_id"), "floor", "v")).groupBy("block", "grp").applyInArrow(add, _FOUND)

@@ -299,7 +299,8 @@ def test_nearest(spark):
     v = rng.normal(size=(300, 16)).astype(np.float32)
     v[100:140] = v[7]
     rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [1.0]), (904, [None] * 16)]
-    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), window=32, block=64).orderBy("query_id", "rank").collect()
+    table = spark.createDataFrame([(*r, 0.5, "x") for r in rows], "vec_id long, embedding array<float>, SCORE double, rank string")
+    got = ann.nearest(table, window=32, block=64).orderBy("query_id", "rank").collect()
     s = v.astype(np.float64) @ v.astype(np.float64).T
     for q in range(0, 300, 20):
         want = [i for i in sorted(range(300), key=lambda i: (-round(s[q, i], 9), i)) if i != q][:20]
@@ -310,6 +311,36 @@ def test_nearest(spark):
     assert sorted(keys) == list(range(64)) and all(abs(a - c) + abs(b - d) == 1 for (a, b), (c, d) in zip(order, order[1:], strict=False))
 
 
+def recall(spark, v, **options):
+    """Share of the 20 nearest of every 20th vector that the windows alone find."""
+    got: dict = {}
+    for r in ann.nearest(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>"), complete=False, **options).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    d, hits = v.astype(np.float64), 0
+    for q in range(0, len(v), 20):
+        scores = d @ d[q]
+        scores[q] = -np.inf
+        hits += len(got.get(q, set()) & set(np.argpartition(-scores, 20)[:20].tolist()))
+    return hits / (20 * len(range(0, len(v), 20)))
+
+
+def test_recall_of_the_windows_alone(spark):
+    rng = np.random.default_rng(9)
+    flat = rng.normal(size=(4000, 64)).astype(np.float32)
+    centres = rng.normal(size=(60, 64))
+    grouped = (centres[rng.integers(0, 60, 6000)] + 0.35 * rng.normal(size=(6000, 64))).astype(np.float32)
+    assert recall(spark, grouped, window=256) >= 0.9  # 4 windows of 512 among 6000
+    assert recall(spark, flat) >= 0.9  # 4 windows of 2048 among 4000 without any structure
+    assert recall(spark, flat, window=256) < 0.7  # which is why the exact check follows
+
+
+def test_fewer_candidates_than_asked_for(spark):
+    table = spark.createDataFrame([(20, [1.0, 0.0]), (21, [0.5, 0.5]), (40, [0.0, 2.0]), (41, [0.5, 0.5])], "vec_id long, embedding array<double>")
+    for complete in (True, False):
+        got = [(r.query_id, r.rank, r.vec_id, r.score) for r in ann.nearest(table, complete=complete).orderBy("query_id", "rank").collect()]
+        assert got == [(20, 1, 21, 0.5), (20, 2, 41, 0.5), (20, 3, 40, 0.0), (40, 1, 21, 1.0), (40, 2, 41, 1.0), (40, 3, 20, 0.0)]
+
+
 def test_nearest_of_scaled_vectors():
     rng = np.random.default_rng(5)
     for scale in (1e-12, 1.0, 1e3, 1e12):

@@ -81,8 +81,9 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
-def _shape(word: str) -> str:
-    return _DIGITS.sub("0", word.lower())
+def _shape(text: str) -> str:
+    """Lower case, numbers as 0; of a text the same as of its words (a final sigma is like any other)."""
+    return _DIGITS.sub("0", text.lower().replace("ς", "σ"))
 
 
 def _instance(value: str) -> str:
@@ -205,6 +206,10 @@ class Memo(dict):
         return found
 
 
+#: Marks between two names of a token.
+_INNER = re.compile(r"[\w@+#][^\w@._/#+-]+[._/-]*[\w@+#]")
+
+
 class PlainWords:
     """Finds the names without digit and @ in a task's texts that follow a wanted pattern or are a wanted word.
 
@@ -212,24 +217,25 @@ class PlainWords:
     neighbours tell whether the whole pattern is wanted. A text's words are only cut up where something is.
     """
 
-    def __init__(self, ends: bytes, words: bytes, classes: list[bytes]):
-        self.ends, self.words, self.classes = ends, words, classes
+    def __init__(self, every: bytes, ends: bytes, words: bytes, classes: list[bytes]):
+        self.every, self.ends, self.words, self.classes, self.any_words = every, ends, words, classes, any(words)
         self.tokens, self.pairs, self.levels = Memo(self._flags), Memo(self._pair), Memo(self._level)
         self.dead: set[str] = set()
         self.seen: dict[str, set[str]] = {}
 
     def _flags(self, token: bytes) -> int:
+        """token: of a text in its shape."""
         text = token.decode()
-        found = int(holds(self.ends, _shape(text)))
-        for n, (a, b, before, _) in enumerate(Words(text).names(0)):
-            if n and holds(self.ends, before) or is_plain(text[a:b]) and holds(self.words, _instance(text[a:b])):
-                return found + 2
+        found = int(holds(self.ends, text))
+        if self.any_words or _INNER.search(text):
+            for n, (a, b, before, _) in enumerate(Words(text).names(0)):
+                if n and holds(self.ends, before) or self.any_words and is_plain(text[a:b]) and holds(self.words, _instance(text[a:b])):
+                    return found + 2
         return found
 
-    def _pair(self, key: tuple[bytes | None, str, bytes]) -> str | None:
-        first, between, second = key
-        pattern = _shape(second.decode()) if first is None else f"{_shape(first.decode())}{between}{_shape(second.decode())}"
-        return pattern if self.levels[pattern] >= 0 else None
+    def _pair(self, key: tuple[bytes | None, bytes, bytes]) -> str | None:
+        pattern = b"".join(key[0] is None and key[2:] or key).decode()
+        return pattern if holds(self.every, pattern) else None
 
     def _level(self, pattern: str) -> int:
         return max((i for i, bits in enumerate(self.classes) if holds(bits, pattern)), default=-1)
@@ -239,15 +245,16 @@ class PlainWords:
 
     def mentions(self, text: str, base: list[tuple[int, int]]) -> Iterator[tuple[int, int, list[str], str]]:
         """(start, end, patterns, instance)."""
-        tokens = text.encode().split()  # of bytes: at ASCII white space alone
+        tokens = _shape(text).encode().split()  # of bytes: at ASCII white space alone
         flags = list(map(self.tokens.__getitem__, tokens))
-        at = set()
+        at, pairs = set(), self.pairs
         for i in compress(count(), flags):
             if flags[i] & 2:
                 at.add(i)
             if flags[i] & 1 and i + 1 < len(tokens):
-                after = self.pairs[tokens[i], " _ ", tokens[i + 2]] if i + 2 < len(tokens) else None
-                if self.wanted(self.pairs[tokens[i - 1] if i else None, " ", tokens[i]]) or self.wanted(after):
+                left = pairs[tokens[i - 1] if i else None, b" ", tokens[i]]
+                around = pairs[tokens[i], b" _ ", tokens[i + 2]] if i + 2 < len(tokens) else None
+                if left is not None and self.wanted(left) or around is not None and self.wanted(around):
                     at.add(i + 1)
         if not at:
             return
@@ -284,14 +291,15 @@ def _scan(scanned: DataFrame, text_col: str, patterns: DataFrame, words: DataFra
     """What rows(finder, _row, start, end, patterns, instance) gives for all texts. patterns: pattern, class; words: instance."""
     kinds = len(BOUNDS)
     keys = patterns.select(F.col("class").alias("kind"), F.col("pattern").alias("key"))
-    keys = keys.unionByName(patterns.select(F.lit(kinds).alias("kind"), _last_word("pattern").alias("key"))).unionByName(words.select(F.lit(kinds + 1).alias("kind"), F.col("instance").alias("key")))
-    held = scanned.sparkSession.sparkContext.broadcast(bitmaps(keys, kinds + 2))
+    for more in (patterns.select("pattern"), patterns.select(_last_word("pattern")), words.select("instance")):
+        keys, kinds = keys.union(more.select(F.lit(kinds), F.col(more.columns[0]))), kinds + 1
+    held = scanned.sparkSession.sparkContext.broadcast(bitmaps(keys, kinds))
     names = [c.split()[0] for c in schema.split(", ")]
     types = [pa.string() if c.endswith("string") else pa.int64() for c in schema.split(", ")]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        *classes, ends, known = held.value
-        finder = PlainWords(ends, known, classes)
+        *classes, whole, ends, known = held.value
+        finder = PlainWords(whole, ends, known, classes)
         for batch in batches:
             out = []
             for row, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):

@@ -270,7 +270,7 @@ def test_pii_long_texts():
         base = pii.base_spans(text)
         pii.mentions(text, base)
         full = bytes([255]) * (1 << pii.BITS - 3)
-        finder = pii.PlainWords(full, full, [full])
+        finder = pii.PlainWords(full, full, full, [full])
         for _, _, patterns, instance in finder.mentions(text, base):
             list(finder.new_pairs(patterns, instance))
     assert time.perf_counter() - began < 20

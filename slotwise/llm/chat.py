@@ -2,6 +2,8 @@
 
 For every participant the dialogue is rendered with that speaker as the assistant, the others as
 named users and system turns as they are. Only the assistant's words and end marks are to be learned.
+What a speaker wrote can't pass for a turn's mark: "<|" is written "< |" in texts and names, and a
+name's line breaks as spaces.
 """
 
 from __future__ import annotations
@@ -14,6 +16,10 @@ from pyspark.sql.window import Window
 STRETCH = 1024
 
 
+def _harmless(column: str):
+    return F.replace(F.col(column), F.lit("<|"), F.lit("< |"))
+
+
 def rotate_perspectives(turns: DataFrame, system: str = "system", unnamed: str = "unknown") -> DataFrame:
     """conv_id, perspective, turn, segment, start, mask_start, mask_end: a row for each turn and participant.
 
@@ -22,12 +28,14 @@ def rotate_perspectives(turns: DataFrame, system: str = "system", unnamed: str =
     counts as the speaker `unnamed`, a null text as empty, null conv_ids as one conversation; turns of
     equal number follow by speaker, then text, equal rows each have their segment. A
     conversation of system turns alone has no participant and gives no rows. Other columns are ignored.
-    Segments stay apart, so that no conversation, however long, has to fit into one row or task.
+    Segments stay apart, so that no conversation, however long, has to fit into one row or task. There are as many rows as
+    participants times turns, of each conversation: that is the feature, and grows with the square of a room's size.
+    An empty table gives no rows.
     """
-    said = turns.select("conv_id", "turn", F.coalesce("role", F.lit(unnamed)).alias("speaker"), F.coalesce("text", F.lit("")).alias("text"))
+    said = turns.select("conv_id", "turn", F.coalesce("role", F.lit(unnamed)).alias("speaker"), F.coalesce(_harmless("text"), F.lit("")).alias("text"))
     people = said.where(F.col("speaker") != system).select(F.col("conv_id").alias("of"), F.col("speaker").alias("perspective")).distinct()
     rotated = said.join(people, F.col("conv_id").eqNullSafe(F.col("of"))).drop("of")
-    head = F.when(F.col("speaker") == F.col("perspective"), F.lit("<|im_start|>assistant\n")).when(F.col("speaker") == system, F.lit("<|im_start|>system\n")).otherwise(F.concat(F.lit("<|im_start|>user name="), "speaker", F.lit("\n")))
+    head = F.when(F.col("speaker") == F.col("perspective"), F.lit("<|im_start|>assistant\n")).when(F.col("speaker") == system, F.lit("<|im_start|>system\n")).otherwise(F.concat(F.lit("<|im_start|>user name="), F.translate(_harmless("speaker"), "\r\n", "  "), F.lit("\n")))
     rendered = rotated.withColumn("head", F.length(head)).withColumn("segment", F.concat(head, "text", F.lit("<|im_end|>\n"))).withColumn("size", F.length("segment"))
     stretched = rendered.withColumn("stretch", F.floor(F.col("turn") / STRETCH))
     sums = stretched.groupBy("conv_id", "perspective", "stretch").agg(F.sum("size").alias("chars"))

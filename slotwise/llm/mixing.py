@@ -14,8 +14,8 @@ from pyspark.sql.window import Window
 
 from slotwise.llm.common import WORD, materialize
 
-#: Hex digits of the key that name its range: 16**3 ranges of each source, sorted apart.
-RANGE_DIGITS = 3
+#: Rows that a range of keys holds on average, if all were of one source; ranges are named by so many hex digits of the key.
+RANGE_ROWS = 20_000
 
 
 def word_count(text: Column) -> Column:
@@ -50,24 +50,28 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
     taken (words the mix takes of a document, repeats counted) is the size for each full epoch of the source and, in
     the last, partial epoch, the words before the cut. A null text or one without words has size 0
     and is taken 0 times; null is a source of its own. The key hashes id and text, so rows
-    with equal ids are dealt out apart; wholly equal rows tie, and which of them is taken first is
-    open. Columns of docs that are not named are ignored, whatever their names. An empty table stays empty.
+    with equal ids are dealt out apart, and rows equal in both by the columns in carry; wholly equal rows tie, and as they
+    are equal, it shows nowhere which of them is taken first. Columns of docs that are not named are ignored, whatever their names. An empty table stays empty.
     """
     key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text_col), F.lit(""))).cast("binary"))
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("key"), *carry)
-    return _taken(materialize(sized, "mix"), weights, most)
+    sized = materialize(sized, "mix")
+    rows, digits = sized.count(), 3
+    while RANGE_ROWS * 16**digits < rows:
+        digits += 1
+    return _taken(sized, weights, most, carry, digits)
 
 
-def _taken(sized: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
-    """sized: source, size, key and more columns; adds source_size, target and taken."""
+def _taken(sized: DataFrame, weights: tuple[int, ...], most: int, carry: tuple[str, ...], digits: int) -> DataFrame:
+    """sized: source, size, key and more columns; adds source_size, target and taken. digits of the key name its range."""
     # A null source gets a key of its own that equals itself, so window and join share one exchange.
     by = ["no_source", "source_key", "range"]
-    ranged = sized.withColumns({"no_source": F.col("source").isNull(), "source_key": F.coalesce("source", F.lit("")), "range": F.substring("key", 1, RANGE_DIGITS)})
+    ranged = sized.withColumns({"no_source": F.col("source").isNull(), "source_key": F.coalesce("source", F.lit("")), "range": F.substring("key", 1, digits)})
     sums = materialize(ranged.groupBy("source", *by).agg(F.sum("size").alias("words")), "mix-sums")
     targets = source_targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
     ranges = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("range_start", F.coalesce(F.sum("words").over(ranges), F.lit(0))).alias("s").join(targets.alias("t"), F.expr("s.source <=> t.source")).select("s.no_source", "s.source_key", "s.range", "range_start", "source_size", "target")
-    inside = Window.partitionBy(*by).orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*by).orderBy("key", "doc_id", "size", *carry).rowsBetween(Window.unboundedPreceding, -1)
     placed = ranged.withColumn("in_range", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(offsets.hint("merge"), by)
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")

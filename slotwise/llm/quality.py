@@ -3,7 +3,8 @@
 A rule rejects a text or lets it pass. The cascade keeps a text that no rule rejects, so the order
 of the rules does not change which texts are kept, only what it costs: each rule's cost and
 rejections are measured on a sample of the texts, and rules run by rejections per cost, the
-best first, until one rejects.
+best first, until one rejects. A cost is what a rule adds to the features that are wanted of
+every text in any case, since no order of the rules can save those.
 """
 
 from __future__ import annotations
@@ -97,6 +98,15 @@ class Features:
     def n_upper(self) -> int:
         return sum(w.decode().isupper() for w in self.words)
 
+    @cached_property
+    def n_lettered(self) -> int:
+        """Words with a letter."""
+        return sum(any(map(str.isalpha, w.decode())) for w in self.words)
+
+    @cached_property
+    def n_distinct(self) -> int:
+        return len(set(self.words))
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -115,6 +125,8 @@ RULES = (
     Rule("short_words", lambda f: f.word_chars < 2 * f.n_words),
     Rule("repeated_lines", lambda f: f.n_dup_lines > 3 and 10 * f.n_dup_lines > 3 * len(f.lines)),
     Rule("capitals", lambda f: 2 * f.n_upper > f.n_words),
+    Rule("few_letters", lambda f: 2 * f.n_lettered < f.n_words),
+    Rule("few_distinct", lambda f: f.n_words >= 100 and 20 * f.n_distinct < f.n_words),
 )
 
 
@@ -129,11 +141,18 @@ class Measured:
         return self.rejected / max(self.seconds, 1e-9)
 
 
-def measure_rules(texts: list[str | None], rules=RULES) -> list[Measured]:
-    """Each rule's seconds a text and share of texts rejected, alone on fresh features."""
+#: What is given out for every text, and so is computed whatever the rules say.
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def measure_rules(texts: list[str | None], rules=RULES, wanted: tuple[str, ...] = FEATURES) -> list[Measured]:
+    """Each rule's seconds a text beyond the features that are wanted anyway, and share of texts rejected."""
     out = []
     for rule in rules:
         fresh = [Features(t) for t in texts]
+        for f in fresh:
+            for name in wanted:
+                getattr(f, name)
         began = time.perf_counter()
         rejected = sum(map(rule.rejects, fresh))
         out.append(Measured(rule.name, (time.perf_counter() - began) / max(1, len(texts)), rejected / max(1, len(texts))))
@@ -145,29 +164,36 @@ def order_rules(measured: list[Measured]) -> list[str]:
     return [m.name for m in sorted(measured, key=lambda m: (-m.worth, m.seconds, m.name))]
 
 
-def sample_texts(docs: DataFrame, sample_rows: int = 400, seed: int = 17, text_col: str = "text") -> list[str | None]:
-    """Texts to measure rules on: at most sample_rows, which bounds what reaches the driver.
+def measure_sample(docs: DataFrame, rules=RULES, sample_rows: int = 400, seed: int = 17, text_col: str = "text") -> list[Measured]:
+    """The rules measured on at most sample_rows texts, in the tasks that read them; only figures reach the driver.
 
-    They decide the order of the rules alone, never a verdict.
+    They decide the order of the rules alone, never a verdict. The sample is drawn at random, but if
+    there are more than sample_rows, the first partitions' come first.
     """
-    rows = docs.select(text_col).where(F.rand(seed) < 0.2).limit(sample_rows).collect()
-    return [r[0] for r in rows]
 
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = measure_rules(batch.column(0).to_pylist(), rules)
+            yield pa.RecordBatch.from_arrays([pa.array([m.name for m in found], pa.string()), pa.array([m.seconds * batch.num_rows for m in found], pa.float64()), pa.array([m.rejected * batch.num_rows for m in found], pa.float64()), pa.array([float(batch.num_rows)] * len(found), pa.float64())], names=["name", "seconds", "rejected", "n"])
 
-FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    sample = docs.select(text_col).where(F.rand(seed) < 0.2).limit(sample_rows)
+    sums: dict[str, list[float]] = {r.name: [0.0, 0.0, 0.0] for r in rules}
+    for row in sample.mapInArrow(measure, "name string, seconds double, rejected double, n double").collect():
+        sums[row.name] = [a + b for a, b in zip(sums[row.name], (row.seconds, row.rejected, row.n), strict=True)]
+    return [Measured(name, seconds / max(1.0, n), rejected / max(1.0, n)) for name, (seconds, rejected, n) in sums.items()]
 
 
 def apply_quality(docs: DataFrame, rules=RULES, sample_rows: int = 400, text_col: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept.
 
-    The five features are wanted of every text, so the cascade's rules that use only those
-    cost little more; others, like capitals, are computed only for texts that all
+    The five features are wanted of every text, so rules that use only those cost next to nothing and mostly come
+    first; what others need (capitals, letters, distinct words) is computed only for texts that all
     rules before let pass. A null or empty text has no words and fails the base rules; repeated rows
     are judged each; columns of docs named like a result are replaced. Narrow, no shuffle.
     """
     kept = without(docs, [*FEATURES, "base_failed", "kept"])
     schema = extended(kept.schema, ", ".join(f"{n} long" for n in FEATURES) + ", base_failed boolean, kept boolean")
-    order = order_rules(measure_rules(sample_texts(docs, sample_rows, text_col=text_col), rules))
+    order = order_rules(measure_sample(docs, rules, sample_rows, text_col=text_col))
     at = kept.columns.index(text_col)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

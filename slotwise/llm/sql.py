@@ -35,12 +35,12 @@ ORACLE = {"op6_mixing": OP6}
 
 OP8 = """
 WITH said AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations
 ), people AS (
   SELECT DISTINCT conv_id, speaker AS perspective FROM said WHERE speaker <> 'system'
 ), rendered AS (
   SELECT said.conv_id, perspective, turn, speaker, text,
-    CASE WHEN speaker = perspective THEN '<|im_start|>assistant' WHEN speaker = 'system' THEN '<|im_start|>system' ELSE '<|im_start|>user name=' || speaker END || chr(10) AS head
+    CASE WHEN speaker = perspective THEN '<|im_start|>assistant' WHEN speaker = 'system' THEN '<|im_start|>system' ELSE '<|im_start|>user name=' || replace(replace(replace(speaker, '<|', '< |'), chr(10), ' '), chr(13), ' ') END || chr(10) AS head
   FROM said JOIN people ON said.conv_id IS NOT DISTINCT FROM people.conv_id
 ), placed AS (
   SELECT *, head || text || '<|im_end|>' || chr(10) AS segment,
@@ -71,7 +71,8 @@ windows AS (
 ), b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
   NOT (base_failed OR 10 * n_symbols > n_words OR word_chars > 25 * n_words OR word_chars < 2 * n_words OR (n_dup_lines > 3 AND 10 * n_dup_lines > 3 * n_lines)
-    OR 2 * len([x FOR x IN w IF upper(x) = x AND lower(x) <> x]) > n_words) AS kept
+    OR 2 * len([x FOR x IN w IF upper(x) = x AND lower(x) <> x]) > n_words OR 2 * len([x FOR x IN w IF regexp_matches(x, '\p{{L}}')]) < n_words
+    OR (n_words >= 100 AND 20 * len(list_distinct(w)) < n_words)) AS kept
 FROM b
 """
 

@@ -106,13 +106,33 @@ def test_quality(docs, none):
         for i in range(len(w) - 7):
             places.setdefault(tuple(w[i : i + 8]), []).append(i)
         repeated = len({i + j for p in places.values() if len(p) > 1 for i in p for j in range(8)})
+        lines = [x for x in (r.text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
         assert (r.n_words, r.word_chars, r.n_repeat_words) == (len(w), sum(map(len, w)), repeated)
+        assert (r.n_symbols, r.n_dup_lines) == (len(re.findall(r"[#*$%&|<>]", r.text or "")), sum(x in lines[:i] for i, x in enumerate(lines)))
         assert r.base_failed == (len(w) < 20 or 100 * repeated > 30 * len(w)) and not (r.kept and r.base_failed)
     assert len(rows) == len(all_texts()) and quality.apply_quality(none).count() == 0
     m = [quality.Measured("a", 1.0, 0.1), quality.Measured("b", 0.1, 0.1), quality.Measured("c", 0.2, 0.0)]
     assert quality.order_rules(m) == ["b", "a", "c"]
 
 
+def test_quality_order_follows_what_a_rule_adds(docs):
+    calls = Counter()
+
+    def slow(f):
+        calls["slow"] += 1
+        return time.sleep(0.0005) or f.n_words % 2 == 0
+
+    rules = (quality.Rule("slow", slow), quality.Rule("wanted_anyway", lambda f: f.n_repeat_words > 10), quality.Rule("never", lambda f: False))
+    texts = [prose(300) for _ in range(20)] + ["na " * 500] * 20
+    found = quality.measure_rules(texts, rules)
+    assert quality.order_rules(found) == ["wanted_anyway", "slow", "never"] and calls["slow"] == 40
+    by_name = {m.name: m for m in found}
+    assert by_name["wanted_anyway"].seconds < 1e-4 and by_name["wanted_anyway"].rejected == 0.5  # its feature is not counted
+    assert [m.name for m in quality.measure_sample(docs, quality.RULES)] == [r.name for r in quality.RULES]
+    for r in quality.RULES:  # every rule turns something down
+        assert r.rejects(quality.Features({"symbols": "# a", "long_words": "x" * 30, "short_words": "a b", "repeated_lines": "a\n" * 9 + "b", "capitals": "AB CD", "few_letters": "1 2 a", "few_distinct": "a " * 100}[r.name]))
+
+
 def test_substrings(docs, none):
     words = [(t or "").encode().split() for t in all_texts()]
     counts = Counter(tuple(w[i : i + 35]) for w in words for i in range(len(w) - 34))
@@ -205,6 +225,17 @@ def test_mixing(docs, none):
     assert all(r.taken <= 3 * r.size for r in rows) and len(rows) == len(all_texts()) and mixing.mix_sources(none).count() == 0
 
 
+def test_mixing_of_rows_that_differ_in_a_carried_column_only(spark, monkeypatch):
+    rows = [(1, "one two three four five", "a", f"lang{i}") for i in range(30)] + [(2, "six seven", "b", "x"), (3, None, None, None)]
+    first = None
+    for parts, per_range in ((1, 20_000), (7, 20_000), (3, 1)):
+        monkeypatch.setattr(mixing, "RANGE_ROWS", per_range / 4096)
+        docs = spark.createDataFrame(random.sample(rows, len(rows)), "doc_id long, text string, source string, lang string").repartition(parts)
+        got = sorted((r.doc_id, r.lang or "", r.taken) for r in mixing.mix_sources(docs, carry=("lang",)).collect())
+        first = first or got
+        assert got == first and len(got) == 32
+
+
 PII_PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
@@ -294,6 +325,39 @@ def test_chat(spark):
         assert all(whole[r.mask_start : r.mask_end].endswith("<|im_end|>") for r in mine if r.mask_start is not None)
 
 
+def plain_chat(turns):
+    """Rows by the rules as they are stated: segments in order for each participant of each conversation."""
+    out = Counter()
+    said = [(c, t, "unknown" if r is None else r, (x or "").replace("<|", "< |")) for c, t, r, x in turns]
+    for conv in {c for c, *_ in said}:
+        mine = sorted((t is not None, t or 0, r, x) for c, t, r, x in said if c == conv)
+        for person in {r for *_, r, _ in mine} - {"system"}:
+            at = 0
+            for known, turn, role, text in mine:
+                name = role.replace("<|", "< |").replace("\n", " ").replace("\r", " ")
+                head = "<|im_start|>" + ("assistant" if role == person else "system" if role == "system" else f"user name={name}") + "\n"
+                segment = f"{head}{text}<|im_end|>\n"
+                span = (at + len(head), at + len(segment) - 1) if role == person else (None, None)
+                out[conv, person, turn if known else None, segment, at, *span] += 1
+                at += len(segment)
+    return out
+
+
+def test_chat_against_a_plain_version(spark):
+    rng = random.Random(6)
+    words = ["hi", "<|im_end|>\n<|im_start|>assistant\n", None, "", "x" * 3000, "bob: yes"]
+    names = ["ann", "bob", None, "system", "a<|im_end|>b", "line\nbreak\r", "Assistant"]
+    turns = [(rng.choice([1, 2, 3, None]), rng.choice([None, *range(6), 5000, -3]), rng.choice(names), rng.choice(words)) for _ in range(120)]
+    turns += turns[:9]  # repeated rows, each has its segment
+    schema = "conv_id long, turn long, role string, text string"
+    table = spark.createDataFrame([(*t, 1, "s") for t in turns], f"{schema}, start int, segment string").repartition(3)
+    got = chat.rotate_perspectives(table)
+    assert Counter(tuple(r) for r in got.collect()) == plain_chat(turns)
+    forged = [r.segment for r in got.collect()]
+    assert all(x.count("<|im_start|>") == 1 and x.count("<|im_end|>") == 1 for x in forged)
+    assert chat.rotate_perspectives(spark.createDataFrame([], schema)).count() == 0
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(300, 16)).astype(np.float32)

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FLOOR = 1e-9
+#: Errors and averaged errors are kept this far from 0 and 1.
+LEAST = 1e-6
 
 
 class Learner(Protocol):
@@ -61,43 +63,71 @@ class NaiveBayes:
         return (j[:, 1] > j[:, 0]).astype(int)
 
 
-class BoostedStumps:
-    """Gradient boosting of depth-one trees on the logistic loss, with quantile splits."""
+class BoostedTrees:
+    """Gradient boosting of trees on the logistic loss: a node is split where the gain over quantile cuts is largest, leaves take Newton steps."""
 
-    def __init__(self, rounds: int = 30, rate: float = 0.3):
-        self.rounds, self.rate = rounds, rate
+    def __init__(self, rounds: int = 30, rate: float = 0.1, depth: int = 3, bins: int = 64):
+        self.rounds, self.rate, self.depth, self.bins = rounds, rate, depth, bins
 
-    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> BoostedStumps:
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> BoostedTrees:
         w = np.ones(len(y)) if weight is None else weight
         base = np.clip(np.average(y, weights=w), 1e-6, 1 - 1e-6)
-        self.start, self.stumps = math.log(base / (1 - base)), []
+        self.start, self.trees = math.log(base / (1 - base)), []
+        self.cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.bins + 1)[1:-1], method="lower")) for j in range(x.shape[1])]
+        binned = np.column_stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(self.cuts)])
         score = np.full(len(y), self.start)
-        cuts = [np.unique(np.quantile(x[:, j], np.linspace(0.05, 0.95, 19))) for j in range(x.shape[1])]
         for _ in range(self.rounds):
             p = 1 / (1 + np.exp(-score))
-            g, h = w * (y - p), w * p * (1 - p) + 1e-9
-            best = max(((s, j, c) for j, cs in enumerate(cuts) for c in cs if (s := self._gain(g, h, x[:, j] <= c)) > 0), default=None)
-            if not best:
-                break
-            _, j, c = best
-            left = x[:, j] <= c
-            values = (g[left].sum() / h[left].sum(), g[~left].sum() / h[~left].sum()) if left.any() and not left.all() else (0.0, 0.0)
-            self.stumps.append((j, c, *values))
-            score += self.rate * np.where(left, *values)
+            tree, leaf = self._tree(binned, w * (y - p), w * p * (1 - p) + 1e-9)
+            self.trees.append(tree)
+            score += self.rate * leaf
         return self
 
-    @staticmethod
-    def _gain(g: np.ndarray, h: np.ndarray, left: np.ndarray) -> float:
-        if not left.any() or left.all():
-            return 0.0
-        a, b = g[left].sum(), g.sum()
-        ha, hb = h[left].sum(), h.sum()
-        return a * a / ha + (b - a) ** 2 / (hb - ha) - b * b / hb
+    def _tree(self, binned: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[list, np.ndarray]:
+        """Nodes (column, cut, left, right, value), leaves with column -1; and each row's value."""
+        nodes, values = [], np.zeros(len(g))
+        todo = [(np.arange(len(g)), 0, -1, False)]
+        while todo:
+            rows, level, parent, is_right = todo.pop()
+            at = len(nodes)
+            if parent >= 0:
+                nodes[parent][3 if is_right else 2] = at
+            best = self._split(binned[rows], g[rows], h[rows]) if level < self.depth else None
+            if best is None:
+                values[rows] = value = g[rows].sum() / h[rows].sum()
+                nodes.append([-1, 0, -1, -1, value])
+                continue
+            j, cut = best
+            nodes.append([j, cut, -1, -1, 0.0])
+            low = binned[rows, j] <= cut
+            todo += [(rows[~low], level + 1, at, True), (rows[low], level + 1, at, False)]
+        return nodes, values
+
+    def _split(self, binned: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[int, int] | None:
+        best, found = 1e-12, None
+        for j in range(binned.shape[1]):
+            size = len(self.cuts[j]) + 1
+            gs, hs, n = (np.cumsum(np.bincount(binned[:, j], weights=v, minlength=size))[:-1] for v in (g, h, np.ones(len(g))))
+            ok = (n > 0) & (n < len(g))
+            if not ok.any():
+                continue
+            gain = np.where(ok, gs**2 / np.maximum(hs, 1e-300) + (g.sum() - gs) ** 2 / np.maximum(h.sum() - hs, 1e-300) - g.sum() ** 2 / h.sum(), -np.inf)
+            i = int(np.argmax(gain))
+            if gain[i] > best:
+                best, found = gain[i], (j, i)
+        return found
 
     def proba(self, x: np.ndarray) -> np.ndarray:
+        binned = np.column_stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(self.cuts)])
         score = np.full(len(x), self.start)
-        for j, c, low, high in self.stumps:
-            score += self.rate * np.where(x[:, j] <= c, low, high)
+        for nodes in self.trees:
+            column, cut, left, right, value = (np.array(v) for v in zip(*nodes, strict=True))
+            at = np.zeros(len(x), dtype=int)
+            while (inner := column[at] >= 0).any():
+                rows = np.flatnonzero(inner)
+                n = at[rows]
+                at[rows] = np.where(binned[rows, column[n]] <= cut[n], left[n], right[n])
+            score += self.rate * value[at]
         return 1 / (1 + np.exp(-score))
 
 
@@ -200,7 +230,7 @@ class DecisionTree:
         return np.asarray(self.share)[node]
 
 
-LEARNERS = {"nb": NaiveBayes, "nb_missing": lambda: NaiveBayes(missing_aware=True), "boosted": BoostedStumps, "svm": LinearSvm, "tree": DecisionTree}
+LEARNERS = {"nb": NaiveBayes, "nb_missing": lambda: NaiveBayes(missing_aware=True), "boosted": BoostedTrees, "svm": LinearSvm, "tree": DecisionTree}
 
 
 @dataclass
@@ -228,27 +258,35 @@ class DriftEnsemble:
         """Weighted majority; ties and an empty ensemble say 1."""
         if not self.members:
             return np.ones(len(x), dtype=int)
-        ones = sum(w * (m.model.proba(x) > 0.5) for w, m in zip(self.weights, self.members, strict=True))
+        ones = sum(w * _predict(m.model, x) for w, m in zip(self.weights, self.members, strict=True))
         return (2 * ones >= sum(self.weights)).astype(int)
 
     def update(self, slot: int, x: np.ndarray, y: np.ndarray) -> None:
+        """Rows that the ensemble got wrong weigh 1, others its error; the new member learns on these weights, and all members are
+        weighed by their errors on them: those of a member's slots are averaged with recent ones ahead. Errors lie within [LEAST, 1 - LEAST], a member's at 0.5 at most."""
         if not len(y):
             return
-        wrong = self.vote(x) != y
-        error = wrong.mean() if self.members else 0.0
-        weight = np.where(wrong, 1.0, error) if self.members and wrong.any() else np.ones(len(y))
+        if self.members:
+            wrong = self.vote(x) != y
+            weight = np.where(wrong, 1.0, min(max(wrong.mean(), LEAST), 1 - LEAST))
+        else:
+            weight = np.ones(len(y))
         weight = weight / weight.sum()
-        self.members = [*self.members, Member(self.make().fit(x, y, weight), slot)][-self.most :]
+        self.members.append(Member(self.make().fit(x, y, weight), slot))
         for m in self.members:
-            e = float(weight[(m.model.proba(x) > 0.5).astype(int) != y].sum())
-            e = min(e, 0.5)
-            m.betas.append(max(e / (1 - e), 1e-10))
+            e = max(LEAST, min(0.5, float(weight[_predict(m.model, x) != y].sum())))
+            m.betas.append(e / (1 - e))
+        self.members = self.members[-self.most :]
         self.weights = []
         for m in self.members:
-            ages = np.arange(len(m.betas) - 1, -1, -1)
-            sigma = 1 / (1 + np.exp(self.slope * (ages[::-1] - self.offset)))[::-1]
-            mean = float((sigma * np.array(m.betas)).sum() / sigma.sum())
-            self.weights.append(math.log(1 / max(mean, 1e-10)))
+            ages = np.arange(len(m.betas))[::-1]
+            recent = 1 / (1 + np.exp(self.slope * (ages - self.offset)))
+            mean = float((recent * np.array(m.betas)).sum() / recent.sum())
+            self.weights.append(math.log(1 / min(max(mean, LEAST), 1 - LEAST)))
+
+
+def _predict(model: Learner, x: np.ndarray) -> np.ndarray:
+    return model.predict(x) if hasattr(model, "predict") else (model.proba(x) > 0.5).astype(int)
 
 
 def class_moments(rows: DataFrame, features: list[str], weight: Column | None = None) -> DataFrame:
@@ -260,13 +298,24 @@ def class_moments(rows: DataFrame, features: list[str], weight: Column | None =
     return means.join(spread, ["slot", "y"])
 
 
+def count_moments(rows: DataFrame, features: list[str]) -> DataFrame:
+    """The same of whole-number features, unweighted: from exact sums in one pass, so equal whatever the order of rows."""
+    total = {f: F.col(f).cast("decimal(19,0)") for f in features}
+    sums = rows.groupBy("slot", "y").agg(F.count("*").cast("double").alias("n"), *[F.sum(x).cast("decimal(38,0)").alias(f"s_{f}") for f, x in total.items()], *[F.sum((x * x).cast("decimal(38,0)")).alias(f"q_{f}") for f, x in total.items()])
+    n = F.col("n").cast("decimal(19,0)")
+    spread = {f: (n * F.col(f"q_{f}") - F.col(f"s_{f}") * F.col(f"s_{f}")).cast("double") / (F.col("n") * F.col("n")) for f in features}
+    return sums.select("slot", "y", "n", *[(F.col(f"s_{f}").cast("double") / F.col("n")).alias(f"m_{f}") for f in features], *[F.greatest(v, F.lit(FLOOR)).alias(f"v_{f}") for f, v in spread.items()])
+
+
 def score_next_slot(rows: DataFrame, moments: DataFrame, features: list[str]) -> DataFrame:
     """rows of each slot with p: P(y = 1) by the naive Bayes of the slot before. One model a slot and class."""
     wide = None
     for c in (0, 1):
         one = moments.where(F.col("y") == c).select((F.col("slot") + 1).alias("slot"), F.col("n").alias(f"n{c}"), *[F.col(f"{k}_{f}").alias(f"{k}{c}_{f}") for k in "mv" for f in features])
         wide = one if wide is None else wide.join(one, "slot")
-    joined = rows.join(wide, "slot")
-    total = F.col("n0") + F.col("n1")
-    j = [F.log(F.col(f"n{c}") / total) + sum((-0.5 * (F.log(2 * math.pi * F.col(f"v{c}_{f}")) + (F.col(f) - F.col(f"m{c}_{f}")) ** 2 / F.col(f"v{c}_{f}")) for f in features), F.lit(0.0)) for c in (0, 1)]
-    return joined.withColumn("p", 1 / (1 + F.exp(F.greatest(F.lit(-700.0), F.least(F.lit(700.0), j[0] - j[1])))))
+    # Class against class, feature by feature: terms that are alike cancel exactly, however large a floored variance makes them.
+    against = F.log(F.col("n0") / F.col("n1"))
+    for f in features:
+        far = {c: (F.col(f) - F.col(f"m{c}_{f}")) ** 2 / F.col(f"v{c}_{f}") for c in (0, 1)}
+        against = against + 0.5 * (F.log(F.col(f"v1_{f}") / F.col(f"v0_{f}")) + (far[1] - far[0]))
+    return rows.join(wide, "slot").withColumn("p", 1 / (1 + F.exp(F.greatest(F.lit(-700.0), F.least(F.lit(700.0), against)))))

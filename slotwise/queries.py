@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from slotwise.functions.fnv import fnv1a_64
+from slotwise.functions.fnv import PUBLISHED_OFFSET, fnv1a_64
 from slotwise.operators import drift, gated, labels, learn, replay
 from slotwise.operators import requests as req
 from slotwise.plans import compare, schedules
@@ -224,20 +224,23 @@ def rank_correlation(spark: SparkSession, d: str) -> DataFrame:
 
 _NB = ["f_short", "f_mid"]
 _NB_SQL = """rows AS (SELECT slot, object_id, y, f_short, f_mid FROM history JOIN top USING (slot, object_id)),
-moments AS (SELECT slot, y, count(*)::DOUBLE AS n, avg(f_short) AS m_f_short, avg(f_mid) AS m_f_mid, greatest(var_pop(f_short), 1e-9) AS v_f_short, greatest(var_pop(f_mid), 1e-9) AS v_f_mid FROM rows GROUP BY ALL)"""
+sums AS (SELECT slot, y, count(*) AS n, sum(f_short) AS s1, sum(f_short * f_short) AS q1, sum(f_mid) AS s2, sum(f_mid * f_mid) AS q2 FROM rows GROUP BY ALL),
+moments AS (SELECT slot, y, n::DOUBLE AS n, s1::DOUBLE / n AS m_f_short, s2::DOUBLE / n AS m_f_mid, greatest((n * q1 - s1 * s1)::DOUBLE / (n::DOUBLE * n), 1e-9) AS v_f_short, greatest((n * q2 - s2 * s2)::DOUBLE / (n::DOUBLE * n), 1e-9) AS v_f_mid FROM sums)"""
 
 
 @query(_NB_SQL + " SELECT slot, y, n, round(m_f_short, 6) AS m_f_short, round(m_f_mid, 6) AS m_f_mid, round(v_f_short, 6) AS v_f_short, round(v_f_mid, 6) AS v_f_mid FROM moments")
 def nb_fit_slot(spark: SparkSession, d: str) -> DataFrame:
     rows = labels.label_top_share(req.with_history(_objects(spark, d)))
-    return learn.class_moments(rows, _NB).select("slot", "y", "n", *[F.round(f"{k}_{f}", 6).alias(f"{k}_{f}") for k in "mv" for f in _NB])
+    return learn.count_moments(rows, _NB).select("slot", "y", "n", *[F.round(f"{k}_{f}", 6).alias(f"{k}_{f}") for k in "mv" for f in _NB])
 
 
-@query(_NB_SQL + """, j AS (SELECT r.slot, r.object_id, r.y, m.y AS c, ln(m.n / sum(m.n) OVER (PARTITION BY r.slot, r.object_id)) - 0.5 * (ln(2 * pi() * v_f_short) + (f_short - m_f_short) ** 2 / v_f_short) - 0.5 * (ln(2 * pi() * v_f_mid) + (f_mid - m_f_mid) ** 2 / v_f_mid) AS j FROM rows r JOIN moments m ON r.slot = m.slot + 1)
-SELECT slot, object_id, any_value(y) AS y, round(1 / (1 + exp(greatest(-700, least(700, max(CASE WHEN c = 0 THEN j END) - max(CASE WHEN c = 1 THEN j END))))), 6) AS p FROM j GROUP BY slot, object_id HAVING count(*) = 2""")
+@query(_NB_SQL + """, wide AS (SELECT a.slot + 1 AS slot, ln(a.n / b.n) AS prior, a.m_f_short AS ms0, b.m_f_short AS ms1, a.v_f_short AS vs0, b.v_f_short AS vs1, a.m_f_mid AS mm0, b.m_f_mid AS mm1, a.v_f_mid AS vm0, b.v_f_mid AS vm1
+  FROM moments a JOIN moments b ON a.slot = b.slot AND a.y = 0 AND b.y = 1),
+j AS (SELECT r.slot, object_id, y, prior + 0.5 * (ln(vs1 / vs0) + ((f_short - ms1) ** 2 / vs1 - (f_short - ms0) ** 2 / vs0)) + 0.5 * (ln(vm1 / vm0) + ((f_mid - mm1) ** 2 / vm1 - (f_mid - mm0) ** 2 / vm0)) AS against FROM rows r JOIN wide USING (slot))
+SELECT slot, object_id, y, round(1 / (1 + exp(greatest(-700, least(700, against)))), 6) AS p FROM j""")
 def nb_score(spark: SparkSession, d: str) -> DataFrame:
     rows = labels.label_top_share(req.with_history(_objects(spark, d)))
-    return learn.score_next_slot(rows, learn.class_moments(rows, _NB), _NB).select("slot", "object_id", "y", F.round("p", 6).alias("p"))
+    return learn.score_next_slot(rows, learn.count_moments(rows, _NB), _NB).select("slot", "object_id", "y", F.round("p", 6).alias("p"))
 
 
 @query("SELECT n AS n_objects, p::DOUBLE AS percent, floor(n * p::DOUBLE / 100)::BIGINT AS capacity FROM (SELECT count(DISTINCT object_id) AS n FROM trace), (VALUES (0.8), (1), (2), (3), (4), (5)) v(p)")
@@ -350,55 +353,75 @@ def trace_validation(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def object_hashes(spark: SparkSession, d: str) -> DataFrame:
-    return event_trace(spark, d).select("object_id").distinct().withColumn("fnv1a", fnv1a_64("object_id"))
+    """Hashes from the sketches' offset basis and from the published one."""
+    objects = event_trace(spark, d).select("object_id").distinct()
+    return objects.select("object_id", fnv1a_64("object_id").alias("fnv1a"), fnv1a_64("object_id", PUBLISHED_OFFSET).alias("fnv1a_published"))
 
 
 @query()
 def replay_policies(spark: SparkSession, d: str) -> DataFrame:
-    return replay.replay_policies(spark, event_trace(spark, d).where("slot > 2"), CAPACITIES)
+    return replay.replay_policies(event_trace(spark, d).where("slot > 2"), CAPACITIES)
+
+
+FEATURES = [*GAP_NAMES, *HISTORY]
 
 
 def _vector_rows(spark: SparkSession, d: str) -> DataFrame:
-    logs = {g: F.log1p(g) for g in [*GAP_NAMES, *[f"first_{g}" for g in GAP_NAMES]]}
-    return _features(spark, d).withColumns(logs)
+    """What a slot's training sees: each object's last gaps (as logs), history and label."""
+    return _features(spark, d).withColumns({g: F.log1p(g) for g in GAP_NAMES})
+
+
+def _request_rows(spark: SparkSession, d: str) -> DataFrame:
+    """What scoring sees: each request's own gaps (as logs) and its object's history."""
+    gapped = _gapped(spark, d)
+    history = req.with_history(req.slot_objects(gapped)).select("slot", "object_id", *HISTORY)
+    return gapped.select("slot", "seq", "object_id", *[F.log1p(g).alias(g) for g in GAP_NAMES]).join(history, ["slot", "object_id"])
 
 
 @query()
 def nse_weights(spark: SparkSession, d: str) -> DataFrame:
-    return replay.ensemble_weights(_vector_rows(spark, d), [*GAP_NAMES, *HISTORY])
+    return replay.ensemble_weights(_vector_rows(spark, d), FEATURES)
+
 
+def _scores(spark: SparkSession, d: str, learner: str = "nb", features: list[str] = FEATURES) -> DataFrame:
+    return replay.score_requests(_request_rows(spark, d), replay.ensemble_models(_vector_rows(spark, d), features, learner), features)
 
-def _scored(spark: SparkSession, d: str, learner: str = "nb") -> DataFrame:
-    rows = _vector_rows(spark, d)
-    scores = replay.ensemble_scores(rows, [*GAP_NAMES, *HISTORY], learner).select("slot", "object_id", "score")
-    return event_trace(spark, d).select("seq", "slot", "object_id").join(scores, ["slot", "object_id"]).join(rows.select("slot", "object_id", "y"), ["slot", "object_id"])
+
+def _scored(spark: SparkSession, d: str, learner: str = "nb", features: list[str] = FEATURES) -> DataFrame:
+    return _scores(spark, d, learner, features).join(_top(spark, d).select("slot", "object_id", "y"), ["slot", "object_id"])
 
 
 @query()
 def guard_slot_log(spark: SparkSession, d: str) -> DataFrame:
-    return replay.guard_slot_log(spark, _scored(spark, d), drift.slot_drift(_top(spark, d).where("y = 1")))
+    return replay.guard_slot_log(_scored(spark, d), drift.slot_drift(_top(spark, d).where("y = 1")))
 
 
 @query()
 def guard_runs(spark: SparkSession, d: str) -> DataFrame:
     """Each variant's totals over its cache slots."""
     log = guard_slot_log(spark, d).where("phase = 'cache'")
-    return log.groupBy("variant", "capacity").agg(F.sum("hits").alias("hits"), F.sum("requests").alias("requests"), F.sum("selected").alias("admitted"), F.avg("precision").alias("precision"), F.avg("pollution").alias("pollution")).withColumns({"hit_ratio": F.col("hits") / F.col("requests"), "hit_yield": F.col("hits") / F.col("admitted")})
+    return log.groupBy("variant", "capacity").agg(F.sum("hits").alias("hits"), F.sum("requests").alias("requests"), F.sum("selected").alias("admitted"), F.avg("precision").alias("precision"), (F.sum("polluted") / F.sum("applied")).alias("pollution")).withColumns({"hit_ratio": F.col("hits") / F.col("requests"), "hit_yield": F.col("hits") / F.col("admitted")})
 
 
 @query()
 def drift_detector_runs(spark: SparkSession, d: str) -> DataFrame:
     """The drift-driven variant under each sequential detector of the miss rate."""
     scored, raw = _scored(spark, d), drift.slot_drift(_top(spark, d).where("y = 1"))
-    runs = [replay.guard_slot_log(spark, scored, raw, ("drift_only",), (100,), detector=k).withColumn("detector", F.lit(k)) for k in ("adwin", "page_hinkley")]
+    runs = [replay.guard_slot_log(scored, raw, ("drift_only",), (100,), detector=k).withColumn("detector", F.lit(k)) for k in ("adwin", "page_hinkley")]
     return runs[0].unionByName(runs[1])
 
 
 @query()
 def gbt_admission(spark: SparkSession, d: str) -> DataFrame:
-    """LRU that inserts a miss only if boosted trees trained on the slots before give it half a chance at least."""
-    scored = _scored(spark, d, "boosted").withColumn("admit", (F.col("score") >= 0.5).cast("int"))
-    return replay.replay_policies(spark, scored.where("slot > 2"), CAPACITIES, policies=("LRU",), admit="admit")
+    """LRU that inserts a miss only if boosted trees fitted on the period before (two slots) give it half a chance at least."""
+    judged = replay.period_admission(_vector_rows(spark, d), _request_rows(spark, d), FEATURES, warmup=2, every=2)
+    return replay.replay_policies(judged.where("slot > 2"), CAPACITIES, policies=("LRU",), admit="admit")
+
+
+@query()
+def learned_admission(spark: SparkSession, d: str) -> DataFrame:
+    """LRU that inserts a miss only if the ensemble of the slots before votes for its request, by the gaps alone."""
+    return replay.replay_policies(_scores(spark, d, features=GAP_NAMES).where("slot > 2"), CAPACITIES, policies=("LRU",), admit="vote")
 
 
 @query()
@@ -428,9 +451,9 @@ def permuted_schedule(spark: SparkSession, d: str) -> DataFrame:
 def scheduled_runs(spark: SparkSession, d: str) -> DataFrame:
     """Unguarded runs that admit as many as the guarded one: slot by slot, evenly, and in another order of slots."""
     scored, raw = _scored(spark, d), drift.slot_drift(_top(spark, d).where("y = 1"))
-    log = replay.guard_slot_log(spark, scored, raw, ("guard",), (100,)).where("phase = 'cache'")
+    log = replay.guard_slot_log(scored, raw, ("guard",), (100,)).where("phase = 'cache'")
     made = {"matched": schedules.matched_schedule(log), "even": schedules.even_schedule(log), "permuted": schedules.permuted_schedule(log)}
-    runs = [replay.guard_slot_log(spark, scored, raw, ("no_guard",), (100,), schedule=s).withColumn("schedule", F.lit(k)) for k, s in made.items()]
+    runs = [replay.guard_slot_log(scored, raw, ("no_guard",), (100,), schedule=s).withColumn("schedule", F.lit(k)) for k, s in made.items()]
     return runs[0].unionByName(runs[1]).unionByName(runs[2])
 
 
@@ -438,20 +461,20 @@ def scheduled_runs(spark: SparkSession, d: str) -> DataFrame:
 def guard_grid(spark: SparkSession, d: str) -> DataFrame:
     """Hits of the guarded variant over a grid of its gate and gains: a run a combination."""
     grid = replay.grid_variants(replay.VARIANTS["guard"], gate=(0.02, 0.05, 0.2), miss_gain=(0.0, 0.5), gate_if_poor=(False, True))
-    log = replay.guard_slot_log(spark, _scored(spark, d), drift.slot_drift(_top(spark, d).where("y = 1")), grid, (100,)).where("phase = 'cache'")
+    log = replay.guard_slot_log(_scored(spark, d), drift.slot_drift(_top(spark, d).where("y = 1")), grid, (100,)).where("phase = 'cache'")
     return log.groupBy("variant", "capacity").agg(F.sum("hits").alias("hits"), F.sum("requests").alias("requests"), F.sum("selected").alias("admitted"))
 
 
 @query()
 def gated_slot_log(spark: SparkSession, d: str) -> DataFrame:
-    return gated.gated_slot_log(spark, _scored(spark, d))
+    return gated.gated_slot_log(_scored(spark, d))
 
 
 @query()
 def svm_scores(spark: SparkSession, d: str) -> DataFrame:
-    return replay.ensemble_scores(_vector_rows(spark, d), [*GAP_NAMES, *HISTORY], "svm")
+    return _scores(spark, d, "svm")
 
 
 @query()
 def tree_scores(spark: SparkSession, d: str) -> DataFrame:
-    return replay.ensemble_scores(_vector_rows(spark, d), [*GAP_NAMES, *HISTORY], "tree")
+    return _scores(spark, d, "tree")

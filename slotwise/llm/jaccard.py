@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import discard, extended, materialize, shuffle_width, without
+from slotwise.llm.common import Rows, discard, extended, materialize, shuffle_width, without
 from slotwise.llm.components import connected_components
 from slotwise.llm.simhash import fingerprint, fingerprint_links
 
@@ -53,9 +53,12 @@ def is_similar(x: np.ndarray, y: np.ndarray, similar: tuple[int, int] = SIMILAR)
 
 
 def prefix(shingles: np.ndarray, frequent: np.ndarray, similar: tuple[int, int] = SIMILAR) -> np.ndarray:
-    """The first of the set in the shared order, one more than a similar set may lack."""
+    """The first of the set in the shared order, one more than a similar set may lack. frequent: sorted."""
     n = len(shingles)
-    late = np.isin(shingles, frequent)
+    if n and len(frequent):
+        late = frequent[np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)] == shingles
+    else:
+        late = np.zeros(n, dtype=bool)
     ordered = np.concatenate([shingles[~late], shingles[late]])
     return ordered[: n + (-n * similar[0]) // similar[1] + 1] if n else ordered
 
@@ -149,11 +152,13 @@ def similar_links(texts: DataFrame) -> DataFrame:
     held = texts.sparkSession.sparkContext.broadcast(frequent_shingles(texts))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = Rows("key", "class", "size", "at")
         for batch in batches:
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = shingle_set(text)
                 keys = prefix(found, held.value).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([name] * len(keys), pa.int64()), pa.array([len(found)] * len(keys), pa.int32()), pa.array(np.arange(1, len(keys) + 1, dtype=np.int32))], names=["key", "class", "size", "at"])
+                yield from rows.add(keys, np.full(len(keys), name), np.full(len(keys), len(found), dtype=np.int32), np.arange(1, len(keys) + 1, dtype=np.int32))
+        yield from rows.drain()
 
     every = materialize(texts.select("class", "text").mapInArrow(place, "key long, class long, size int, at int"), "prefixes")
     keys = materialize(every.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("class", "size", "at")).alias("l")).where("n > 1").select("key", "l"), "shared-shingles")

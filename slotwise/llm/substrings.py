@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import discard, extended, materialize, release, words_of
+from slotwise.llm.common import Rows, discard, extended, materialize, release, words_of
 
 WINDOW = 35
 #: Words at either end of a window whose symbols its surroundings may decide: 2 + 2 + 4 by the rounds' reach.
@@ -111,24 +111,6 @@ def kept_words(words: list[bytes], starts) -> list[bytes]:
     return [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
 
 
-class _Rows:
-    """Columns of many documents, handed on in batches of some size."""
-
-    def __init__(self, *names: str, rows: int = 50_000):
-        self.names, self.rows, self.parts, self.size = names, rows, [], 0
-
-    def add(self, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.parts.append(columns)
-        self.size += len(columns[0])
-        if self.size >= self.rows:
-            yield from self.drain()
-
-    def drain(self) -> Iterator[pa.RecordBatch]:
-        if self.parts:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*self.parts, strict=True)], names=list(self.names))
-            self.parts, self.size = [], 0
-
-
 def remove_repeats(docs: DataFrame, with_text: bool = False, text_col: str = "text") -> DataFrame:
     """docs, text replaced by n_words, n_removed, kept_sha256 and, on demand, kept_text (words joined by one space).
 
@@ -144,7 +126,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, text_col: str = "te
     classes = materialize(hashed.groupBy("_t1", "_t2").agg(F.count("*").alias("n")), "repeat-classes")
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Rows("mark", "_t1", "_t2", "at", "size")
+        held = Rows("mark", "_t1", "_t2", "at", "size")
         for batch in batches:
             for t1, t2, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 m, place, _ = window_marks(words_of(text))
@@ -155,7 +137,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, text_col: str = "te
         yield from held.drain()
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Rows("mark", "hash", "_t1", "_t2", "at", "copies")
+        held = Rows("mark", "hash", "_t1", "_t2", "at", "copies")
         for batch in batches:
             for t1, t2, text, copies, ranges in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 m, _, h = window_marks(words_of(text))

@@ -76,20 +76,54 @@ def streaks(labelled: DataFrame) -> DataFrame:
     return runs.withColumn("gap", F.col("first_slot") - F.lag(F.col("first_slot") + F.col("n_slots")).over(order)).drop("g")
 
 
+def budget_size(n: Column, budget: float | int) -> Column:
+    """A share of n, rounded up, or a fixed number; 1 at least and n at most, 0 of none."""
+    k = F.ceil(F.lit(budget) * n) if isinstance(budget, float) else F.lit(int(budget))
+    return F.when(n <= 0, 0).otherwise(F.greatest(F.lit(1), F.least(n, k))).cast("int")
+
+
+def cold_start(rows: DataFrame, gaps: int = 6) -> DataFrame:
+    """Per slot of (slot, hist_len): objects with fewer than `gaps` requests behind them, their share, and the histories' mean, least and most."""
+    cold = (F.col("hist_len") < gaps).cast("long")
+    return rows.groupBy("slot").agg(F.sum(cold).alias("n_cold"), F.round(F.avg(cold), 9).alias("cold_share"), F.round(F.avg("hist_len"), 9).alias("mean_hist_len"), F.min("hist_len").alias("least_hist_len"), F.max("hist_len").alias("most_hist_len"))
+
+
+def feature_stats(rows: DataFrame, features: tuple[str, ...], digits: int = 9, deviation_digits: int = 6) -> DataFrame:
+    """Per slot and class: mean, population deviation, least and greatest of each feature."""
+    found = []
+    for f in features:
+        found += [F.round(F.avg(f), digits).alias(f"mean_{f}"), F.round(F.stddev_pop(f), deviation_digits).alias(f"std_{f}"), F.min(f).alias(f"min_{f}"), F.max(f).alias(f"max_{f}")]
+    return rows.groupBy("slot", "y").agg(*found)
+
+
+def top_objects(objects: DataFrame, n: int = 20) -> DataFrame:
+    """The n most frequent objects of each slot, for a log."""
+    return objects.withColumn("place", F.row_number().over(_order())).where(F.col("place") <= n).select("slot", "object_id", "freq", "place")
+
+
+def sample_objects(objects: DataFrame, n: int, seed: int = 7) -> DataFrame:
+    """n objects of each slot, drawn without replacement in the order of a seeded hash; the same at every run."""
+    drawn = F.md5(F.concat_ws(":", F.lit(seed), "object_id", "slot").cast("binary"))
+    return objects.withColumn("place", F.row_number().over(Window.partitionBy("slot").orderBy(drawn))).where(F.col("place") <= n).select("slot", "object_id", "place")
+
+
 def _average_rank(value: str, by: str = "slot") -> Column:
     """Ascending rank of value, equal values sharing their mean rank."""
     return F.rank().over(Window.partitionBy(by).orderBy(value)) + (F.count("*").over(Window.partitionBy(by, value)) - 1) / 2
 
 
-def score_metrics(scored: DataFrame, k_share: float = 0.2) -> DataFrame:
-    """Per slot of (slot, score, y, first_seq): AUC by average ranks (NaN with one class), AP, precision and recall at k; ties by first request."""
+def score_metrics(scored: DataFrame, k_share: float | None = 0.2) -> DataFrame:
+    """Per slot of (slot, score, y, first_seq): AUC by average ranks (NaN with one class), AP, precision and recall at k; ties by first request.
+
+    k: that share of the slot's rows, or without one the number of positives."""
     order = Window.partitionBy("slot").orderBy(F.desc("score"), "first_seq")
     front = order.rowsBetween(Window.unboundedPreceding, 0)
-    ranked = scored.withColumns({"r": _average_rank("score"), "place": F.row_number().over(order), "hits": F.sum("y").over(front), "n": F.count("*").over(_slot())}).withColumn("k", label_count(F.col("n"), k_share))
+    ranked = scored.withColumns({"r": _average_rank("score"), "place": F.row_number().over(order), "hits": F.sum("y").over(front), "n": F.count("*").over(_slot())})
+    ranked = ranked.withColumn("k", F.sum("y").over(_slot()) if k_share is None else label_count(F.col("n"), k_share))
     sums = ranked.groupBy("slot").agg(F.count("*").alias("n"), F.sum("y").alias("pos"), F.sum(F.col("r") * F.col("y")).alias("ranks"), F.sum(F.when(F.col("y") == 1, F.col("hits") / F.col("place"))).alias("precisions"), F.max("k").alias("k"), F.sum(F.when(F.col("place") <= F.col("k"), F.col("y")).otherwise(0)).alias("at_k"))
     neg = F.col("n") - F.col("pos")
     auc = F.when((F.col("pos") > 0) & (neg > 0), (F.col("ranks") - F.col("pos") * (F.col("pos") + 1) / 2) / (F.col("pos") * neg)).otherwise(F.lit(float("nan")))
-    return sums.select("slot", "n", "pos", F.round(auc, 9).alias("auc"), F.round(F.col("precisions") / F.col("pos"), 9).alias("ap"), F.round(F.col("at_k") / F.col("k"), 9).alias("prec_at_k"), F.round(F.when(F.col("pos") > 0, F.col("at_k") / F.col("pos")), 9).alias("recall_at_k"))
+    return sums.select("slot", "n", "pos", F.round(auc, 9).alias("auc"), F.round(F.when(F.col("pos") > 0, F.col("precisions") / F.col("pos")), 9).alias("ap"), F.round(F.when(F.col("k") > 0, F.col("at_k") / F.col("k")), 9).alias("prec_at_k"), F.round(F.when(F.col("pos") > 0, F.col("at_k") / F.col("pos")), 9).alias("recall_at_k"))
 
 
 def confusion(predicted: DataFrame) -> DataFrame:
@@ -106,7 +140,13 @@ def class_stats(labelled: DataFrame) -> DataFrame:
     return labelled.groupBy("slot", "y").agg(F.count("*").alias("n"), F.round(F.avg("freq"), 9).alias("mean_freq"), F.round(F.stddev_pop("freq"), 6).alias("std_freq"), F.min("freq").alias("min_freq"), F.max("freq").alias("max_freq"))
 
 
+def pearson(x: str, y: str) -> Column:
+    """Correlation as an aggregate; null where a column is constant."""
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.when(spread > 0, F.covar_pop(x, y) / spread)
+
+
 def correlations(pairs: DataFrame, x: str, y: str, by: str = "slot") -> DataFrame:
     """Pearson and Spearman (average ranks) of two columns per group."""
     ranked = pairs.withColumns({"_rx": _average_rank(x, by), "_ry": _average_rank(y, by)})
-    return ranked.groupBy(by).agg(F.round(F.corr(x, y), 6).alias("pearson"), F.round(F.corr("_rx", "_ry"), 6).alias("spearman"))
+    return ranked.groupBy(by).agg(F.round(pearson(x, y), 6).alias("pearson"), F.round(pearson("_rx", "_ry"), 6).alias("spearman"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import partial
 from typing import Protocol
 
 import numpy as np
@@ -230,7 +231,7 @@ class DecisionTree:
         return np.asarray(self.share)[node]
 
 
-LEARNERS = {"nb": NaiveBayes, "nb_missing": lambda: NaiveBayes(missing_aware=True), "boosted": BoostedTrees, "svm": LinearSvm, "tree": DecisionTree}
+LEARNERS = {"nb": NaiveBayes, "nb_missing": partial(NaiveBayes, missing_aware=True), "boosted": BoostedTrees, "svm": LinearSvm, "tree": DecisionTree}
 
 
 @dataclass

@@ -101,6 +101,14 @@ def gap_audit(gapped: DataFrame, gaps: int = GAPS, sentinel: float = SENTINEL) -
     return gapped.groupBy("slot").agg(F.sum(F.exists(real, lambda g: g < 0).cast("long")).alias("n_negative"), F.sum(disorder.cast("long")).alias("n_disorder"), *[F.round(F.percentile(g1, F.lit(p)), 6).alias(f"g1_p{int(100 * p)}") for p in (0.5, 0.9, 0.99)])
 
 
+def gap_dimensions(gapped: DataFrame, gaps: int = GAPS, sentinel: float = SENTINEL, digits: int = 5) -> DataFrame:
+    """Per slot and gap g1..: how many are real, and their mean, median, 90% quantile and greatest."""
+    values = F.explode(F.array(*[F.struct(F.lit(f"g{i}").alias("gap"), F.col(f"g{i}").alias("v")) for i in range(1, gaps + 1)])).alias("s")
+    real = F.when(F.col("s.v") != sentinel, F.col("s.v"))
+    found = {"mean": F.avg(real), "p50": F.percentile(real, F.lit(0.5)), "p90": F.percentile(real, F.lit(0.9)), "most": F.max(real)}
+    return gapped.select("slot", values).groupBy("slot", F.col("s.gap").alias("gap")).agg(F.count(real).alias("n_real"), *[F.round(v, digits).alias(k) for k, v in found.items()])
+
+
 def time_inversions(trace: DataFrame, raw: str = "raw_ts") -> DataFrame:
     """Objects with a timestamp before that of their last request, and how many."""
     before = F.lag(raw).over(Window.partitionBy("object_id").orderBy("seq"))

@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Ids that a stretch of the order spans; it holds as many rows at most, so one task numbers it.
+from slotwise.functions.formats import latex_table, markdown_table
+
+#: Rows that a stretch of the order holds on average; one task numbers it.
 STRETCH = 65_536
 
 
 def number_rows(df: DataFrame, order: str) -> DataFrame:
     """df with seq: 0, 1, ... in ascending order of `order`, a unique integer column.
 
-    A stretch of the order is numbered in one window; the stretches' counts are summed up in a
-    window of one row a stretch. No task holds more than a stretch.
+    The order is cut into as many equal stretches of its values as it takes for STRETCH rows each, however sparse the values
+    are. A stretch is numbered in one window; the stretches' counts are summed up in a window of one row a stretch.
     """
-    stretched = df.withColumn("_stretch", F.floor(F.col(order) / STRETCH))
+    ends = df.agg(F.min(order).alias("low"), F.max(order).alias("high"), F.count("*").alias("n")).first()
+    width = 1 if not ends.n else max(1, -(-(ends.high - ends.low + 1) * STRETCH // ends.n))
+    stretched = df.withColumn("_stretch", F.floor((F.col(order) - F.lit(ends.low or 0)) / width))
     counts = stretched.groupBy("_stretch").agg(F.count("*").alias("_n"))
     before = counts.select("_stretch", (F.sum("_n").over(Window.orderBy("_stretch")) - F.col("_n")).alias("_before"))
     within = F.row_number().over(Window.partitionBy("_stretch").orderBy(order))
@@ -38,12 +44,13 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _numbered_lines(lines: DataFrame) -> DataFrame:
-    """Lines with seq: places within a partition are consecutive, its first number comes from the counts of those before."""
-    part = F.shiftright("place", 33)
-    counts = lines.groupBy("file", part.alias("part")).agg(F.count("*").alias("n"))
-    before = counts.select("file", "part", (F.sum("n").over(Window.orderBy("file", "part")) - F.col("n")).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("file", "part").orderBy("place")) - 1
-    return lines.withColumn("part", part).withColumn("r", rank).join(F.broadcast(before), ["file", "part"]).withColumn("seq", F.col("before") + F.col("r")).drop("part", "r", "before", "place", "file")
+    """Lines with seq, in order of file and place. Places rise by one from line to line of a partition of the reader, but lines may
+    have been left out since; so a stretch of places is ranked at a time, and the counts of stretches before are added."""
+    stretch = F.floor(F.col("place") / STRETCH)
+    counts = lines.groupBy("file", stretch.alias("stretch")).agg(F.count("*").alias("n"))
+    before = counts.select("file", "stretch", (F.sum("n").over(Window.orderBy("file", "stretch")) - F.col("n")).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("file", "stretch").orderBy("place")) - 1
+    return lines.withColumn("stretch", stretch).withColumn("r", rank).join(before, ["file", "stretch"]).withColumn("seq", F.col("before") + F.col("r")).drop("stretch", "r", "before", "place", "file")
 
 
 def read_spaced_requests(spark: SparkSession, path: str, max_rows: int | None = None) -> DataFrame:
@@ -66,16 +73,25 @@ def read_sized_requests(spark: SparkSession, path: str, max_rows: int | None = N
 
 
 def read_sized_archive(spark: SparkSession, path: str, max_rows: int | None = None) -> DataFrame:
-    """The same from the first member ending in .tr of a tar.gz archive, which is streamed, never held whole."""
-    import io
+    """The same from the first member ending in .tr of a tar.gz archive.
+
+    Spark lists the archives; a task opens its own where it lies, which has to be a disk that executors see, and streams it:
+    neither the archive nor the member is ever held whole. An archive can't be split, so it is one task.
+    """
     import tarfile
+    from urllib.parse import unquote, urlparse
 
     import pyarrow as pa
 
+    names = ["seq", "object_id", "timestamp", "size"]
+
     def lines(batches):
         for batch in batches:
-            for content in batch.column(0).to_pylist():
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r:gz") as archive:
+            for name in batch.column(0).to_pylist():
+                place = urlparse(name)
+                if place.scheme not in ("", "file"):
+                    raise ValueError(f"an archive is read from a disk, not from {name}")
+                with tarfile.open(unquote(place.path), mode="r|gz") as archive:
                     member = next((m for m in archive if m.name.endswith(".tr")), None)
                     held, seq = [], 0
                     for line in archive.extractfile(member) if member else ():
@@ -86,12 +102,12 @@ def read_sized_archive(spark: SparkSession, path: str, max_rows: int | None = No
                             continue
                         seq += 1
                         if len(held) == 10_000:
-                            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*held, strict=True)], names=["seq", "object_id", "timestamp", "size"])
+                            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*held, strict=True)], names=names)
                             held = []
                     if held:
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*held, strict=True)], names=["seq", "object_id", "timestamp", "size"])
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*held, strict=True)], names=names)
 
-    files = spark.read.format("binaryFile").load(path).select("content")
+    files = spark.read.format("binaryFile").load(path).select("path")  # only listed, not read
     return cap_rows(files.mapInArrow(lines, "seq long, object_id string, timestamp double, size long"), max_rows)
 
 
@@ -145,18 +161,90 @@ def event_trace(spark: SparkSession, sf_dir: str, slots: int = 10) -> DataFrame:
     return with_slots(number_rows(columns, "event_id"), size)
 
 
-def write_json_lines(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+def write_json_lines(df: DataFrame, path: str, append: bool = False) -> None:
+    """JSON lines; with append beside what is there, so that a slot's rows can be written when the slot is over."""
+    df.write.mode("append" if append else "overwrite").json(path)
+
+
+def write_slot_logs(log: DataFrame, path: str) -> None:
+    """A folder for each run (variant, capacity), its slots in order."""
+    runs = log.repartition("variant", "capacity").sortWithinPartitions("variant", "capacity", "slot")
+    runs.write.mode("overwrite").partitionBy("variant", "capacity").json(path)
+
+
+def write_summary(summary: DataFrame, path: str) -> None:
+    """One JSON file, of as many rows as there are runs."""
+    summary.coalesce(1).write.mode("overwrite").json(path)
 
 
 def write_csv_table(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+def table_text(df: DataFrame, style: str = "markdown") -> str:
+    """A small table of results as Markdown or LaTeX, in the order of its rows."""
+    render = {"markdown": markdown_table, "latex": latex_table}[style]
+    return render(df.columns, [tuple(r) for r in df.collect()])
+
+
+def next_run_number(spark: SparkSession, folder: str) -> int:
+    """One more than the greatest number that a name in the folder starts with (NNN_...); 1 where there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(path)] if files.exists(path) else []
+    return max((int(m[1]) for n in names if (m := re.match(r"([0-9]+)_", n))), default=0) + 1
+
+
 def write_parquet_chunks(df: DataFrame, path: str, rows: int = 100_000) -> None:
     df.write.mode("overwrite").option("maxRecordsPerFile", rows).parquet(path)
 
 
+def convert_lines(spark: SparkSession, source: str, path: str, max_rows: int | None = None) -> None:
+    """The first lines of text files as gzip text, in order."""
+    numbered = cap_rows(_numbered_lines(_lines(spark, source)), max_rows)
+    numbered.repartitionByRange("seq").sortWithinPartitions("seq").select("value").write.mode("overwrite").option("compression", "gzip").text(path)
+
+
+def four_fields(lines: DataFrame) -> DataFrame:
+    """unique_id, timestamp, requested_url, is_update of lines (column value) cut at their first three blanks; others go."""
+    parts = F.split(F.trim("value"), " ", 4)
+    cut = lines.select(parts.alias("p")).where(F.size("p") == 4)
+    return cut.select(*[F.col("p")[i].alias(c) for i, c in enumerate(("unique_id", "timestamp", "requested_url", "is_update"))])
+
+
+def convert_web_trace(spark: SparkSession, source: str, path: str, max_rows: int | None = None, rows: int = 100_000) -> None:
+    """Text lines of four fields as Parquet files of so many rows, in order."""
+    kept = _lines(spark, source).where(F.size(F.split(F.trim("value"), " ", 4)) == 4)
+    numbered = cap_rows(_numbered_lines(kept), max_rows).repartitionByRange("seq").sortWithinPartitions("seq")
+    write_parquet_chunks(four_fields(numbered), path, rows)
+
+
+def validate_parquet(spark: SparkSession, path: str, samples: int = 10) -> dict:
+    """Whether the columns are those of a trace, the rows, the distinct objects, and a few rows."""
+    raw = spark.read.parquet(path)
+    if set(raw.columns) != PARQUET_COLUMNS:
+        return {"valid": False, "missing": sorted(PARQUET_COLUMNS - set(raw.columns)), "unknown": sorted(set(raw.columns) - PARQUET_COLUMNS)}
+    sums = raw.agg(F.count("*").alias("n"), F.countDistinct("requested_url").alias("urls")).first()
+    return {"valid": True, "rows": sums.n, "objects": sums.urls, "samples": [r.asDict() for r in raw.limit(samples).collect()]}
+
+
+def count_lines(spark: SparkSession, path: str) -> int:
+    return spark.read.text(path).count()
+
+
+def header_reasons(first_line: str | None) -> list[str]:
+    """Why the first line of a file may be a header: fields 1 and 2 of data are numbers."""
+    if first_line is None or not first_line.strip():
+        return ["no first line"]
+    found = []
+    for name, field in zip(("unique_id", "timestamp"), first_line.split()):
+        try:
+            float(field)
+        except ValueError:
+            found.append(f"{name} is not a number")
+    return found
+
+
 def read_slot_logs(spark: SparkSession, path: str, phase: str = "cache") -> DataFrame:
     return spark.read.json(path).where(F.col("phase") == phase)
 

@@ -258,7 +258,7 @@ asked AS (SELECT t.slot, c AS capacity, (p.place IS NOT NULL AND p.place <= c)::
 
 def _distances(spark: SparkSession, d: str) -> DataFrame:
     trace = event_trace(spark, d)
-    return replay.reuse_distances(trace.where("slot > 2"))
+    return replay.lru_distances(trace.where("slot > 2"), max(CAPACITIES), stretch=10_000)
 
 
 @query(LRU_SQL + ", " + LRU_RUNS + " SELECT * FROM lru")

@@ -44,6 +44,11 @@ def test_reuse_distance_equals_lru(spark):
     curve = {r.capacity: r.hits for r in replay.lru_curve(replay.reuse_distances(trace), (1, 3, 10)).collect()}
     same = {r.capacity: r.hits for r in replay.replay_policies(trace, (1, 3, 10), policies=("LRU",)).collect()}
     assert curve == same and list(curve.values()) == sorted(curve.values())
+    for most, stretch in ((10, 37), (10, 1000), (25, 3)):
+        near = replay.lru_distances(trace, most, stretch=stretch)
+        assert {r.capacity: r.hits for r in replay.lru_curve(near, (1, 3, 10)).collect()} == curve
+        exact = {r.seq: r.distance for r in replay.reuse_distances(trace).collect()}
+        assert {r.seq: r.distance for r in near.collect()} == {s: d if d is not None and d < most else None for s, d in exact.items()}
 
 
 def test_policies_hold_no_more_than_they_may():

@@ -103,6 +103,16 @@ class Features:
         """Words with a letter."""
         return sum(any(map(str.isalpha, w.decode())) for w in self.words)
 
+    @cached_property
+    def n_ascii_words(self) -> int:
+        """Words of the letters A-Z and a-z alone."""
+        return sum(map(bytes.isalpha, self.words))
+
+    @cached_property
+    def n_ascii_lower(self) -> int:
+        """Words with a letter a-z and none A-Z."""
+        return sum(map(bytes.islower, self.words))
+
     @cached_property
     def n_distinct(self) -> int:
         return len(set(self.words))
@@ -124,8 +134,9 @@ RULES = (
     Rule("long_words", lambda f: f.word_chars > 25 * f.n_words),
     Rule("short_words", lambda f: f.word_chars < 2 * f.n_words),
     Rule("repeated_lines", lambda f: f.n_dup_lines > 3 and 10 * f.n_dup_lines > 3 * len(f.lines)),
-    Rule("capitals", lambda f: 2 * f.n_upper > f.n_words),
-    Rule("few_letters", lambda f: 2 * f.n_lettered < f.n_words),
+    # The first halves are bounds that cost little and settle most texts.
+    Rule("capitals", lambda f: 2 * (f.n_words - f.n_ascii_lower) > f.n_words and 2 * f.n_upper > f.n_words),
+    Rule("few_letters", lambda f: 2 * f.n_ascii_words < f.n_words and 2 * f.n_lettered < f.n_words),
     Rule("few_distinct", lambda f: f.n_words >= 100 and 20 * f.n_distinct < f.n_words),
 )
 

@@ -3,11 +3,11 @@
 Fingerprints of texts whose word shingles have a Jaccard similarity of 0.8 differ in 10 of 64 bits on average, more than
 anchors can cover. So links of close fingerprints (simhash.fingerprint_links, whose groups of copies are the bulk
 of all near-duplicates) come first and are verified on all shingles; then come the texts that these leave
-apart. A text is the set of its shingles' hashes in an order that all texts share: frequent ones last, else by hash. Two
-sets of at least a given similarity have a shingle in common among the first few of each (the prefix), so texts that
-share one are candidates, and those alone are compared. Each text is compared with one leader at each of
-its prefix's shingles; then only pairs that no chain of links connects yet, so that a large group of copies
-doesn't cost its square. Exact bar collisions of hashes.
+apart. A text is the set of its shingles' hashes in an order that all texts share: those found in the fewest texts first.
+Two sets of at least a given similarity have a shingle in common among the first few of each (the prefix), so texts
+that share one are candidates, and those alone are compared. A text with enough shingles of its own has no other in
+its prefix, and so no candidates. First each text is compared with one leader, then with the others that lead a
+shingle of its prefix and are not connected to it yet, last with all such candidates. Exact bar collisions of hashes.
 """
 
 from __future__ import annotations
@@ -20,18 +20,15 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from slotwise.llm.common import Rows, discard, extended, materialize, shuffle_width, without
+from slotwise.llm.common import Rows, discard, extended, materialize, release, shuffle_width, without
 from slotwise.llm.components import connected_components
 from slotwise.llm.simhash import fingerprint, fingerprint_links
 
 SHINGLE, SEED = 5, 42
 #: The least similarity as a fraction.
 SIMILAR = (4, 5)
-#: Shingles that a task's summary of frequent ones holds, and the most that are held to be frequent; both decide only the work.
-HELD, FREQUENT = 65_536, 100_000
-
-
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     """Sorted distinct XXH64 of the text's word shingles; of all words where there are fewer; none without words."""
     words = text.encode().lower().split() if text else []  # of bytes, lower() turns A-Z alone
@@ -52,15 +49,9 @@ def is_similar(x: np.ndarray, y: np.ndarray, similar: tuple[int, int] = SIMILAR)
     return shared * similar[1] >= (len(x) + len(y) - shared) * similar[0]
 
 
-def prefix(shingles: np.ndarray, frequent: np.ndarray, similar: tuple[int, int] = SIMILAR) -> np.ndarray:
-    """The first of the set in the shared order, one more than a similar set may lack. frequent: sorted."""
-    n = len(shingles)
-    if n and len(frequent):
-        late = frequent[np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)] == shingles
-    else:
-        late = np.zeros(n, dtype=bool)
-    ordered = np.concatenate([shingles[~late], shingles[late]])
-    return ordered[: n + (-n * similar[0]) // similar[1] + 1] if n else ordered
+def prefix_length(n: int, similar: tuple[int, int] = SIMILAR) -> int:
+    """How many of a set's n shingles are its prefix: one more than a similar set may lack."""
+    return n + (-n * similar[0]) // similar[1] + 1 if n else 0
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -88,45 +79,39 @@ def _possible(a: str, b: str) -> str:
     return f"{q} * least({a}.size, {b}.size) >= {p} * greatest({a}.size, {b}.size) and {p + q} * (1 + least({a}.size - {a}.at, {b}.size - {b}.at)) >= {p} * ({a}.size + {b}.size)"
 
 
-class FrequentShingles:
-    """Misra and Gries' summary: at most `held` hashes with lower bounds of their counts; none that is more than 1 / held of all is missing."""
-
-    def __init__(self, held: int = HELD, chunk: int = 1_000_000):
-        self.held, self.chunk, self.waiting, self.size = held, chunk, [], 0
-        self.keys, self.counts = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-
-    def add(self, shingles: np.ndarray) -> None:
-        self.waiting.append(shingles)
-        self.size += len(shingles)
-        if self.size >= self.chunk:
-            self.merge()
+def rare_prefixes(texts: DataFrame) -> DataFrame:
+    """key, class, size, at: those shingles of each text's prefix that other texts have too; at is the place in the order, from 1 on.
 
-    def merge(self) -> None:
-        if not self.size:
-            return
-        keys, counts = np.unique(np.concatenate(self.waiting), return_counts=True)
-        self.waiting, self.size = [], 0
-        every, at = np.unique(np.concatenate([self.keys, keys]), return_inverse=True)
-        sums = np.bincount(at, weights=np.concatenate([self.counts, counts])).astype(np.int64)
-        if len(every) > self.held:
-            sums -= np.partition(sums, len(sums) - self.held - 1)[len(sums) - self.held - 1]
-        self.keys, self.counts = every[sums > 0], sums[sums > 0]
-
-
-def frequent_shingles(texts: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Sorted hashes of the FREQUENT most frequent shingles of all texts, by summaries of the tasks; bounded, whatever the texts."""
+    texts: class, text. Shingles are counted over all texts. Those of one text stand first in its order, and are no rows
+    here; a window orders the others of a text.
+    """
 
-    def summarize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = FrequentShingles()
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = Rows("key")
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                found.add(shingle_set(text))
-        found.merge()
-        often = found.counts > 1
-        yield pa.RecordBatch.from_arrays([pa.array(found.keys[often].view(np.int64)), pa.array(found.counts[often])], names=["key", "n"])
+                yield from rows.add(shingle_set(text).view(np.int64))
+        yield from rows.drain()
 
-    sums = texts.select(text_col).mapInArrow(summarize, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 2")
-    return np.sort(np.array([r.key for r in sums.orderBy(F.desc("n"), "key").limit(FREQUENT).select("key").collect()], dtype=np.int64).view(np.uint64))
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = Rows("key", "class", "size")
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = shingle_set(text).view(np.int64)
+                yield from rows.add(found, np.full(len(found), name), np.full(len(found), len(found), dtype=np.int32))
+        yield from rows.drain()
+
+    counts = texts.select("text").mapInArrow(keys, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    counts = materialize(counts, "shingle-counts")
+    release(texts.sparkSession)
+    shared = texts.select("class", "text").mapInArrow(places, "key long, class long, size int").join(counts, "key")
+    mine = Window.partitionBy("class")
+    own = F.col("size") - F.count("*").over(mine)
+    placed = shared.withColumn("at", own + F.row_number().over(mine.orderBy("n", "key")))
+    most = F.col("size") - F.ceil(F.col("size") * SIMILAR[0] / SIMILAR[1]) + 1
+    prefixes = materialize(placed.where(F.col("at") <= most).select("key", "class", "size", F.col("at").cast("int").alias("at")), "prefixes")
+    discard(counts)
+    return prefixes
 
 
 def _close_fingerprints(texts: DataFrame) -> DataFrame:
@@ -147,27 +132,23 @@ def _close_fingerprints(texts: DataFrame) -> DataFrame:
 
 def similar_links(texts: DataFrame) -> DataFrame:
     """a, b (classes) that connect all texts of similar sets. texts: one row for each distinct set, columns class and text."""
-    anchored = _verified(_close_fingerprints(texts), texts)
-    near = connected_components(anchored).select(F.col("node").alias("class"), "root")
-    held = texts.sparkSession.sparkContext.broadcast(frequent_shingles(texts))
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = Rows("key", "class", "size", "at")
-        for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = shingle_set(text)
-                keys = prefix(found, held.value).view(np.int64)
-                yield from rows.add(keys, np.full(len(keys), name), np.full(len(keys), len(found), dtype=np.int32), np.arange(1, len(keys) + 1, dtype=np.int32))
-        yield from rows.drain()
+    def apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
+        """Those of pairs that links don't connect."""
+        roots = connected_components(links).select("node", "root")
+        a, b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
+        return pairs.join(a, "a", "left").join(b, "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
 
-    every = materialize(texts.select("class", "text").mapInArrow(place, "key long, class long, size int, at int"), "prefixes")
+    links = _verified(_close_fingerprints(texts), texts)
+    every = rare_prefixes(texts)
     keys = materialize(every.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("class", "size", "at")).alias("l")).where("n > 1").select("key", "l"), "shared-shingles")
     placed = materialize(every.join(keys, "key"), "shared-prefixes")
     discard(every)
-    first = placed.alias("p").where("class <> l.class and " + _possible("p", "l")).select(F.col("l.class").alias("a"), F.col("class").alias("b")).distinct()
-    with_roots = first.join(near.select(F.col("class").alias("a"), F.col("root").alias("ra")), "a", "left").join(near.select(F.col("class").alias("b"), F.col("root").alias("rb")), "b", "left")
-    led = materialize(with_roots.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b"), "led")
-    links = materialize(anchored.unionByName(_verified(led, texts)), "similar-links")
+    led = materialize(placed.alias("p").where("class <> l.class and " + _possible("p", "l")).select(F.col("l.class").alias("a"), F.col("class").alias("b")).distinct(), "led")
+    first = materialize(apart(led.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), links), "led-first")
+    links = materialize(links.unionByName(_verified(first, texts)), "similar-links")
+    rest = materialize(apart(led.join(first, ["a", "b"], "left_anti"), links), "led-rest")
+    links = materialize(links.unionByName(_verified(rest, texts)), "similar-links")
     roots = connected_components(links)
     labelled = materialize(placed.drop("l").join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select("key", "class", "size", "at", F.coalesce("root", "class").alias("root")), "labelled")
     discard(placed)

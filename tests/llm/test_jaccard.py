@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import corpus_pipeline
 import numpy as np
@@ -59,25 +60,19 @@ def test_near_dedup_keeps_one_of_each_component_of_similar_texts(spark):
     assert corpus_pipeline.near_dedup(spark, docs.where("false"), "").count() == 0
 
 
-def test_similar_sets_share_a_prefix():
-    texts = near_texts()
-    sets = [jaccard.shingle_set(t) for t in texts if t and t.strip()]
-    frequent = np.sort(sets[30][::2])
-    firsts = [set(jaccard.prefix(s, frequent).tolist()) for s in sets]
+def test_similar_sets_share_a_prefix(spark):
+    texts = [t for t in near_texts() if t and t.strip()]
+    texts = list({jaccard.shingle_set(t).tobytes(): t for t in texts}.values())
+    sets = [jaccard.shingle_set(t) for t in texts]
+    counts = Counter(k for s in sets for k in s.tolist())
+    want = set()
+    for i, s in enumerate(sets):
+        signed = s.view(np.int64).tolist()
+        order = sorted(signed, key=lambda k: (counts[k % 2**64], k))
+        want |= {(k, i, len(s), at) for at, k in enumerate(order[: jaccard.prefix_length(len(s))], 1) if counts[k % 2**64] > 1}
+    got = jaccard.rare_prefixes(spark.createDataFrame(list(enumerate(texts)), "class long, text string").repartition(3)).collect()
+    assert {(r["key"], r["class"], r["size"], r["at"]) for r in got} == want and len(got) == len(want)
+    firsts = [{k for k, i, *_ in want if i == j} for j in range(len(sets))]
     for i in range(len(sets)):
         for j in range(i):
             assert not jaccard.is_similar(sets[i], sets[j]) or firsts[i] & firsts[j]
-
-
-def test_frequent_shingles_cover_all_texts(spark):
-    texts = [f"{'all share this one line ' * (i % 2)}only {i} has these very words {i + 7}" for i in range(60)]
-    often = jaccard.frequent_shingles(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
-    assert set(jaccard.shingle_set("all share this one line").tolist()) <= set(often.tolist()) and (often[1:] > often[:-1]).all()
-    held = jaccard.FrequentShingles(held=4, chunk=10)
-    rng = random.Random(1)
-    drawn = [rng.choice([1, 1, 1, 2, 2, rng.randrange(3, 10**6)]) for _ in range(1000)]
-    for x in drawn:
-        held.add(np.array([x], dtype=np.uint64))
-    held.merge()
-    counts = dict(zip(held.keys.tolist(), held.counts.tolist()))
-    assert len(counts) <= 4 and {1, 2} <= set(counts) and all(counts[k] <= drawn.count(k) for k in counts)

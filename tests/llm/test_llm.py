@@ -511,3 +511,24 @@ def test_group_links_of_a_large_group():
     began = time.perf_counter()
     a, b = simhash.group_links(prints, prints)
     assert len(set(a.tolist()) | set(b.tolist())) == len(prints) and len(a) == len(prints) - 1 and time.perf_counter() - began < 2
+
+
+def test_results_replace_columns_of_their_names(spark):
+    table = spark.createDataFrame([(1, "token = abcdef123 " + "w " * 40, "x", 7, "y", 3.5, "z")], "doc_id long, text string, SECRET_spans string, n_words int, kept_sha256 string, n_symbols double, _t1 string")
+    found = secrets.scan_secrets(table, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert found.columns[-1] == "secret_spans" and found.first().secret_spans[0].kind == "assign" and "SECRET_spans" not in found.columns
+    stripped = substrings.remove_repeats(table)
+    assert (stripped.first().n_words, stripped.first().n_removed) == (43, 43) and stripped.columns.count("n_words") == 1
+    judged = quality.apply_quality(table).first()
+    assert (judged.n_words, judged.n_symbols) == (43, 0)
+
+
+def test_one_very_long_text(spark, tmp_path):
+    text = prose(120_000)
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "x" * 300_000)], "doc_id long, text string")
+    token_store.write_token_ids(docs, str(tmp_path / "long"), public_tokenizers.path("word_bpe_49k.json"), "bare", 1)
+    got = {r.doc_id: r.ids_crc32 for r in token_store.read_token_ids(spark, str(tmp_path / "long")).collect()}
+    assert got == {i: zlib.crc32(plain_ids("word_bpe_49k.json", t).tobytes()) for i, t in ((1, text), (2, None), (3, "x" * 300_000))}
+    pieces = sorted((r for r in packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), "led", 1, keep_ids=True).collect() if r.doc_id == 1), key=lambda r: r.start)
+    assert b"".join(bytes(r.ids) for r in pieces) == plain_ids("byte_bpe_50k.json", text).tobytes()
+    assert simhash.near_duplicates(docs).count() == 3 and substrings.remove_repeats(docs).count() == 3

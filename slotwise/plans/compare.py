@@ -34,10 +34,14 @@ def trailing_mean(values: DataFrame, column: str, window: int = 5, by: str | Non
 
 
 def exponential_mean(values: DataFrame, column: str, rate: float = 0.2, order: str = "slot") -> DataFrame:
-    """slot and EMA of column: a fold over the sorted values so far, one array of slots."""
-    so_far = F.collect_list(column).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    fold = F.aggregate(F.slice(so_far, 2, F.greatest(F.size(so_far), F.lit(1))), F.element_at(so_far, 1), lambda acc, x: rate * x + (1 - rate) * acc)
-    return values.select(order, F.round(fold, 9).alias(f"{column}_ema"))
+    """slot and EMA of column, from the first value on: a fold over the slots, one row each, in one pass."""
+
+    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(order)
+        return pd.DataFrame({order: frame[order], f"{column}_ema": frame[column].astype(float).ewm(alpha=rate, adjust=False).mean().round(9)})
+
+    kind = dict(values.dtypes)[order]
+    return values.select(order, column).groupBy(F.lit(0).alias("run")).applyInPandas(fold, f"{order} {kind}, {column}_ema double")
 
 
 def bootstrap_interval(values: DataFrame, column: str, by: str, order: str = "slot", block: int = 3, draws: int = 500, seed: int = 7) -> DataFrame:

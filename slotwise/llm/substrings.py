@@ -34,6 +34,10 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
+#: Rounded down, of the numbers of symbols that a window can hold.
+_LOG2 = np.array([max(0, i.bit_length() - 1) for i in range(WINDOW + 1)])
+
+
 class _WordHash(dict):
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh64_intdigest(word)
@@ -74,12 +78,15 @@ def recompress(hashes: np.ndarray, sizes: np.ndarray):
     return names, lengths, sizes
 
 
-def window_marks(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each window its mark, which of the document's symbols that is, and the hash of its words."""
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(_HASH.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
+def window_marks(words: list[bytes], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each window its mark, and which of the document's symbols that is."""
     n = len(words) - WINDOW + 1
     if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(_HASH.__getitem__, words), dtype=np.uint64, count=len(words))
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     names, lengths, sizes = recompress(hashes, np.fromiter(map(len, words), dtype=np.int64, count=len(words)))
     end = np.cumsum(lengths)
     i = np.arange(n)
@@ -90,15 +97,22 @@ def window_marks(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
         here = tables[-1]
         there = here[np.minimum(np.arange(len(here)) + (1 << (len(tables) - 1)), len(here) - 1)]
         tables.append(np.where(score[there] > score[here], there, here))
-    k = np.log2(hi - lo).astype(np.int64)
+    k = _LOG2[hi - lo]
     stack = np.stack(tables)
     a, b = stack[k, lo], stack[k, hi - (1 << k)]
     places = np.where(score[b] > score[a], b, a)
-    marks = score[places]
-    powers = np.concatenate([np.ones(1, np.uint64), np.full(len(words) - 1, _ODD).cumprod(dtype=np.uint64)])
+    return score[places], places
+
+
+def window_hashes(hashes: np.ndarray) -> np.ndarray:
+    """For each window the hash of its words, from running sums; only where windows are verified."""
+    n = len(hashes) - WINDOW + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    powers = np.concatenate([np.ones(1, np.uint64), np.full(len(hashes) - 1, _ODD).cumprod(dtype=np.uint64)])
     sums = np.concatenate([np.zeros(1, np.uint64), (_mix(hashes) * powers).cumsum(dtype=np.uint64)])
     undo = np.concatenate([np.ones(1, np.uint64), np.full(n - 1, _ODD_INVERSE).cumprod(dtype=np.uint64)])
-    return marks, places, _mix((sums[WINDOW:] - sums[:-WINDOW]) * undo)
+    return _mix((sums[WINDOW:] - sums[:-WINDOW]) * undo)
 
 
 def kept_words(words: list[bytes], starts) -> list[bytes]:
@@ -129,7 +143,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, text_col: str = "te
         held = Rows("mark", "_t1", "_t2", "at", "size")
         for batch in batches:
             for t1, t2, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                m, place, _ = window_marks(words_of(text))
+                words = words_of(text)
+                m, place = window_marks(words, word_hashes(words))
                 if len(m):  # equal windows, even side by side, have their marks at different places
                     at = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
                     size = np.diff(np.concatenate([at, [len(m)]]))
@@ -140,7 +155,9 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, text_col: str = "te
         held = Rows("mark", "hash", "_t1", "_t2", "at", "copies")
         for batch in batches:
             for t1, t2, text, copies, ranges in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                m, _, h = window_marks(words_of(text))
+                words = words_of(text)
+                hashes = word_hashes(words)
+                m, h = window_marks(words, hashes)[0], window_hashes(hashes)
                 at = np.concatenate([np.arange(r["at"], r["at"] + r["size"]) for r in ranges])
                 yield from held.add(m[at].view(np.int64), h[at].view(np.int64), np.full(len(at), t1), np.full(len(at), t2), at.astype(np.int32), np.full(len(at), copies))
         yield from held.drain()

@@ -116,6 +116,20 @@ class Rows:
             self.parts, self.size = [], 0
 
 
+#: What a Python worker keeps from task to task, by operator.
+_KEPT: dict[str, dict] = {}
+
+
+def kept(name: str) -> dict:
+    return _KEPT.setdefault(name, {})
+
+
+def let_go_of_kept() -> None:
+    """In a worker: empty what operators before have kept. For tasks that need the memory; results don't change."""
+    for held in _KEPT.values():
+        held.clear()
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from slotwise.llm.common import Rows, discard, extended, materialize, release, shuffle_width, without
+from slotwise.llm.common import Rows, discard, extended, let_go_of_kept, materialize, release, shuffle_width, without
 from slotwise.llm.components import connected_components
 from slotwise.llm.simhash import fingerprint, fingerprint_links
 
@@ -169,6 +169,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     at = kept.columns.index(text_col)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go_of_kept()
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             names = np.array([xxhash.xxh3_64_intdigest(shingle_set(t).tobytes()) for t in batch.column(at).to_pylist()], dtype=np.uint64).view(np.int64)

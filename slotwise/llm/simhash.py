@@ -143,7 +143,7 @@ def group_links(own: np.ndarray, every: np.ndarray, threshold: int = THRESHOLD)
     x_at, y_at = at[: len(own)], at[len(own) :]
     n = len(nodes)
     label = np.arange(n)
-    step = max(1, 4_000_000 // max(1, len(every)))
+    step = max(1, 1_000_000 // max(1, len(every)))
     for i in range(0, len(own), step):
         near = np.bitwise_count(own[i : i + step, None] ^ every[None, :]) <= threshold
         rows = x_at[i : i + step]

@@ -11,6 +11,8 @@ import os
 import re
 from array import array
 
+from slotwise.llm.common import kept
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: White space besides ASCII's; a run of white space that mixes both is not cut, the text is encoded whole.
@@ -94,7 +96,7 @@ class ChunkedTokenizer:
         return [self._whole(t) if special and mark in t and special(t) or led and not t.isascii() and any(c in t for c in _WIDE) else b"".join(map(get, cut(t))) for t in texts]
 
 
-_KEPT: dict[tuple, ChunkedTokenizer] = {}
+_KEPT = kept("tokens")
 
 
 def tokenizer(path: str, chunks: str) -> ChunkedTokenizer:

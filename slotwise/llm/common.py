@@ -50,14 +50,17 @@ def scratch(spark: SparkSession) -> Iterator[str]:
 
 
 @contextmanager
-def recorded() -> Iterator[list[str]]:
-    """The paths of the scratch tables that are written inside."""
+def keeping(spark: SparkSession, *labels: str) -> Iterator[None]:
+    """Of the scratch tables that are written inside, those of these labels stay; the others are deleted at the end."""
     paths: list[str] = []
     token = _PATHS.set(paths)
     try:
-        yield paths
+        yield
     finally:
         _PATHS.reset(token)
+    for path in paths:
+        if path.rsplit("/", 1)[1].rsplit("-", 1)[0] not in labels:
+            delete(spark, path)
 
 
 def new_path(spark: SparkSession, label: str) -> str:

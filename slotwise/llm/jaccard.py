@@ -22,13 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from slotwise.llm.common import Rows, discard, extended, let_go_of_kept, materialize, release, shuffle_width, without
+from slotwise.llm.common import Rows, discard, extended, keeping, let_go_of_kept, materialize, release, shuffle_width, without
 from slotwise.llm.components import connected_components
 from slotwise.llm.simhash import fingerprint, fingerprint_links
 
 SHINGLE, SEED = 5, 42
 #: The least similarity as a fraction.
 SIMILAR = (4, 5)
+
+
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     """Sorted distinct XXH64 of the text's word shingles; of all words where there are fewer; none without words."""
     words = text.encode().lower().split() if text else []  # of bytes, lower() turns A-Z alone
@@ -176,11 +178,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names), pa.array(range(row, row + len(names)), pa.int64())], names=[*batch.schema.names, "_class", "_row"])
             row += len(names)
 
-    marked = materialize(kept.mapInArrow(mark, extended(kept.schema, "_class long, _row long")), "shingled")
-    classes = materialize(marked.groupBy("_class").agg(F.min(F.struct(F.col(id_col).isNull(), id_col, "_row")).alias("first")), "classes")
-    texts = materialize(marked.select("_row", F.col("_class").alias("class"), F.col(text_col).alias("text")).join(classes.select(F.col("first._row").alias("_row")).hint("merge"), "_row", "left_semi").select("class", "text").repartition(shuffle_width(docs.sparkSession), "class"), "texts")
-    roots = connected_components(similar_links(texts))
-    discard(texts)
-    rooted = classes.join(roots.withColumnRenamed("node", "_class"), "_class", "left").select("first", F.coalesce("root", "_class").alias("root"))
-    keepers = materialize(rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row")), "keepers")
+    with keeping(docs.sparkSession, "shingled", "keepers"):  # what the result is read from
+        marked = materialize(kept.mapInArrow(mark, extended(kept.schema, "_class long, _row long")), "shingled")
+        classes = materialize(marked.groupBy("_class").agg(F.min(F.struct(F.col(id_col).isNull(), id_col, "_row")).alias("first")), "classes")
+        texts = materialize(marked.select("_row", F.col("_class").alias("class"), F.col(text_col).alias("text")).join(classes.select(F.col("first._row").alias("_row")).hint("merge"), "_row", "left_semi").select("class", "text").repartition(shuffle_width(docs.sparkSession), "class"), "texts")
+        roots = connected_components(similar_links(texts))
+        rooted = classes.join(roots.withColumnRenamed("node", "_class"), "_class", "left").select("first", F.coalesce("root", "_class").alias("root"))
+        keepers = materialize(rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row")), "keepers")
     return marked.join(keepers.hint("merge"), "_row", "left_semi").select(*kept.columns)

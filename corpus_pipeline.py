@@ -1,9 +1,11 @@
-"""The text-preparation stages in a row; each is written as Parquet and reread as the next one's docs."""
+"""The text-preparation stages in a row; each is written as Parquet and reread as the next one's docs.
 
-from __future__ import annotations
+A stage returns a DataFrame that is not written yet, and leaves the scratch tables that it is read from. So stages may be called
+one on the other, and each result be read as often and as late as one likes; run() deletes the tables once a stage is written.
+Texts of any length pass whole through every stage.
+"""
 
-from contextvars import ContextVar
-from functools import wraps
+from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -17,35 +19,11 @@ from slotwise.llm.common import WORD
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-#: Scratch tables of the stage that ran last in this thread's context, by the data that it ran over.
-_LEFT: ContextVar[dict[str, list[str]] | None] = ContextVar("left", default=None)
-
-
-def _stage(function):
-    """A stage that first deletes the scratch tables of the stage before, whose result has been written by then."""
-
-    @wraps(function)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        left = _LEFT.get()
-        if left is None:
-            _LEFT.set(left := {})
-        for path in left.pop(sf_dir, []):
-            common.delete(spark, path)
-        with common.recorded() as paths:
-            out = function(spark, docs, sf_dir)
-        left[sf_dir] = paths
-        return out
-
-    return run_stage
-
-
-@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep. Null, empty and short texts go; of equal rows all stay or go; an empty table stays empty."""
     return quality.apply_quality(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
 
 
-@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: texts linked by a Jaccard similarity of 0.8 of their five-word shingles.
 
@@ -54,14 +32,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return jaccard.deduplicate(docs.select(*COLUMNS))
 
 
-@_stage
 def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by its kind; n_chars is the length of the text, 0 for a null one, which stays null."""
     clean = pii.redact_pii(pii.find_pii(docs.select(*COLUMNS)))
     return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.lit(0).cast("long"))).select(*COLUMNS)
 
 
-@_stage
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time that the mix takes a document.
 
@@ -76,7 +52,6 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return whole.withColumn("n_chars", F.when(short, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
-@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of sequences of 2048 token ids; a null or empty text is its end id alone, each row a document of its own."""
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), "led", 1)

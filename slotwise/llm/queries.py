@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotwise.llm import ann, chat, mixing, packing, pii, quality, secrets, simhash, substrings, token_store
-from slotwise.llm.common import shared_dir
+from slotwise.llm import ann, chat, clustering, mixing, packing, periodic, pii, quality, secrets, sharding, simhash, substrings, token_store
+from slotwise.llm.common import WORD, shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,4 +64,30 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_quality, op3_substrings, op4_token_ids, op5_packing, op6_mixing, op7_pii, op8_chat, op9_ann, op10_simhash)}
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.order_by_curve(_table(spark, sf_dir, "documents"), law="rows")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text), where the checksum of one id in ten makes its text repeat itself from some word on."""
+    words = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h")).withColumn("w", F.when(F.col("h") % 10 == 0, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"({WORD})"))))
+    numbers = words.withColumn("g", F.expr("h div 10")).withColumn("n", F.size("w")).withColumn("a", F.expr("if(n > 0, cast(g % n as int), 0)")).withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    again = F.expr("array_join(transform(w, (x, i) -> if(i >= a, w[a + (i - a) % p], x)), ' ')")
+    return numbers.select("doc_id", F.when(F.col("n") > 0, again).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(with_planted_periods(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    named = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("l"), F.sha2(lines, 256).alias("runs_sha256"), "collapsed_sha256")
+    columns = [(-F.col("l.start")).alias("start"), F.col("l.length").alias("length"), (-F.col("l.period")).alias("period"), F.expr("1000L * l.length div -l.period").alias("exponent_milli")]
+    return named.select("doc_id", "n_runs", *[c.cast("long").alias(n) for c, n in zip(columns, ("start", "length", "period", "exponent_milli"))], "runs_sha256", "collapsed_sha256")
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_quality, op3_substrings, op4_token_ids, op5_packing, op6_mixing, op7_pii, op8_chat, op9_ann, op10_simhash, op11_sharding, op12_periods, op13_clusters)}

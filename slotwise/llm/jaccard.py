@@ -29,6 +29,8 @@ from slotwise.llm.simhash import fingerprint, fingerprint_links
 SHINGLE, SEED = 5, 42
 #: The least similarity as a fraction.
 SIMILAR = (4, 5)
+#: Shingles that a task adds up at a time.
+COUNTED = 1_000_000
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -89,21 +91,33 @@ def rare_prefixes(texts: DataFrame) -> DataFrame:
     """
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = Rows("key")
+        parts, size = [], 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                yield from rows.add(shingle_set(text).view(np.int64))
-        yield from rows.drain()
+            for text in batch.column(0):
+                parts.append(shingle_set(text.as_py()))
+                size += len(parts[-1])
+                if size >= COUNTED:
+                    yield counted(parts)
+                    parts, size = [], 0
+        if parts:
+            yield counted(parts)
+
+    def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
+        found, n = np.unique(np.concatenate(parts), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["key", "n"])
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = Rows("key", "class", "size")
         for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = shingle_set(text).view(np.int64)
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = shingle_set(text.as_py()).view(np.int64)
                 yield from rows.add(found, np.full(len(found), name), np.full(len(found), len(found), dtype=np.int32))
         yield from rows.drain()
 
-    counts = texts.select("text").mapInArrow(keys, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # Tasks add up what COUNTED shingles hold, which is enough for the frequent ones. Most are found once: to aggregate them before the
+    # shuffle would fill a task's memory and save nothing, so they are dealt out first.
+    dealt = texts.select("text").mapInArrow(keys, "key long, n long").repartition(shuffle_width(texts.sparkSession), "key")
+    counts = dealt.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
     counts = materialize(counts, "shingle-counts")
     release(texts.sparkSession)
     shared = texts.select("class", "text").mapInArrow(places, "key long, class long, size int").join(counts, "key")
@@ -121,7 +135,7 @@ def _close_fingerprints(texts: DataFrame) -> DataFrame:
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t, SHINGLE) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
+            fps = np.array([fingerprint(t.as_py(), SHINGLE) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["class", "fp"])
 
     marked = materialize(texts.select("class", "text").mapInArrow(mark, "class long, fp long"), "similar-prints")
@@ -174,7 +188,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         let_go_of_kept()
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            names = np.array([xxhash.xxh3_64_intdigest(shingle_set(t).tobytes()) for t in batch.column(at).to_pylist()], dtype=np.uint64).view(np.int64)
+            names = np.array([xxhash.xxh3_64_intdigest(shingle_set(t.as_py()).tobytes()) for t in batch.column(at)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names), pa.array(range(row, row + len(names)), pa.int64())], names=[*batch.schema.names, "_class", "_row"])
             row += len(names)
 

@@ -21,7 +21,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,60 +37,72 @@ _ODD_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _LOG2 = np.array([max(0, i.bit_length() - 1) for i in range(WINDOW + 1)])
 
 
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        if len(self) < 500_000:
-            self[word] = h
-        return h
-
-
-_HASH = _WordHash()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(32))
 
 
-def _merge(names, lengths, sizes, first, salt):
+def _merge(names, starts, first, salt):
     """Symbols where each i of the mask first is merged with i + 1."""
     i = np.flatnonzero(first)
-    names, lengths, sizes = names.copy(), lengths.copy(), sizes.copy()
+    names, keep = names.copy(), np.ones(len(names), dtype=bool)
     names[i] = _mix(_mix(names[i] + np.uint64(salt)) * _ODD + names[i + 1])
-    lengths[i] += lengths[i + 1]
-    sizes[i] += sizes[i + 1]
-    keep = np.ones(len(names), dtype=bool)
     keep[i + 1] = False
-    return names[keep], lengths[keep], sizes[keep]
+    return names[keep], starts[keep]
 
 
-def recompress(hashes: np.ndarray, sizes: np.ndarray):
-    """(names, lengths in words, bytes) of the symbols after the rounds."""
-    names, lengths = hashes, np.ones(len(hashes), dtype=np.int64)
+def recompress(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Names, and numbers of the first words, of the symbols after the rounds."""
+    names, starts = hashes, np.arange(len(hashes))
     same = np.concatenate([[False], names[1:] == names[:-1], [False]])
-    names, lengths, sizes = _merge(names, lengths, sizes, same[1:-1] & ~same[:-2] & ~same[2:], 1)
+    names, starts = _merge(names, starts, same[1:-1] & ~same[:-2] & ~same[2:], 1)
     for salt in (2, 3):
         right = (_mix(names + np.uint64(salt)) & np.uint64(1)) > 0
-        names, lengths, sizes = _merge(names, lengths, sizes, ~right[:-1] & right[1:], salt)
-    return names, lengths, sizes
+        names, starts = _merge(names, starts, ~right[:-1] & right[1:], salt)
+    return names, starts
+
+
+#: A random number for each byte.
+_BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
+#: Words that are hashed at a time.
+_BLOCK = 65_536
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_HASH.__getitem__, words), dtype=np.uint64, count=len(words))
+def hashed_words(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The hash and the bytes of each word: of all words of a block at once, from running sums over its bytes."""
+    data = np.frombuffer(text.encode() if text else b"", dtype=np.uint8)
+    space = (data == 32) | (data - np.uint8(9) <= 4)
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]])))
+    start, end = edges[::2], edges[1::2]
+    hashes = np.zeros(len(start), np.uint64)
+    for i in range(0, len(start), _BLOCK):
+        a, b = start[i : i + _BLOCK], end[i : i + _BLOCK]
+        part, first = data[a[0] : b[-1]], a[0]
+        sums = np.concatenate([np.zeros(1, np.uint64), (_BYTE[part] * _powers(_ODD, len(part))).cumsum(dtype=np.uint64)])
+        hashes[i : i + _BLOCK] = _mix((sums[b - first] - sums[a - first]) * _powers(_ODD_INVERSE, len(part))[a - first])
+    return hashes, end - start
 
 
-def window_marks(words: list[bytes], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    """base to the power of 0 ... n - 1."""
+    out = np.full(n, base)
+    out[:1] = 1
+    return out.cumprod(dtype=np.uint64)
+
+
+def window_marks(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each window its mark, and which of the document's symbols that is."""
-    n = len(words) - WINDOW + 1
+    n = len(hashes) - WINDOW + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    names, lengths, sizes = recompress(hashes, np.fromiter(map(len, words), dtype=np.int64, count=len(words)))
-    end = np.cumsum(lengths)
-    i = np.arange(n)
-    lo, hi = np.searchsorted(end - lengths, i + EDGE), np.searchsorted(end, i + WINDOW - EDGE, side="right")
-    score = (np.minimum(sizes, 4095).astype(np.uint64) << np.uint64(52)) | (names >> np.uint64(12))
+    names, starts = recompress(hashes)
+    size = np.add.reduceat(sizes, starts)
+    begun = np.zeros(len(hashes) + 1, dtype=np.int64)  # symbols that start before a word
+    begun[starts + 1] = 1
+    begun = begun.cumsum()
+    lo, hi = begun[EDGE : EDGE + n], begun[WINDOW - EDGE + 1 : WINDOW - EDGE + 1 + n] - 1  # whole symbols between the edges
+    score = (np.minimum(size, 4095).astype(np.uint64) << np.uint64(52)) | (names >> np.uint64(12))
     tables = [np.arange(len(score))]  # tables[k][s]: the place of the largest, then first, of the 2^k scores from s on
     while 1 << len(tables) <= WINDOW:
         here = tables[-1]
@@ -109,10 +120,8 @@ def window_hashes(hashes: np.ndarray) -> np.ndarray:
     n = len(hashes) - WINDOW + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    powers = np.concatenate([np.ones(1, np.uint64), np.full(len(hashes) - 1, _ODD).cumprod(dtype=np.uint64)])
-    sums = np.concatenate([np.zeros(1, np.uint64), (_mix(hashes) * powers).cumsum(dtype=np.uint64)])
-    undo = np.concatenate([np.ones(1, np.uint64), np.full(n - 1, _ODD_INVERSE).cumprod(dtype=np.uint64)])
-    return _mix((sums[WINDOW:] - sums[:-WINDOW]) * undo)
+    sums = np.concatenate([np.zeros(1, np.uint64), (_mix(hashes) * _powers(_ODD, len(hashes))).cumsum(dtype=np.uint64)])
+    return _mix((sums[WINDOW:] - sums[:-WINDOW]) * _powers(_ODD_INVERSE, n))
 
 
 def kept_words(words: list[bytes], starts) -> list[bytes]:
@@ -143,8 +152,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, text_col: str = "te
         held = Rows("mark", "_t1", "_t2", "at", "size")
         for batch in batches:
             for t1, t2, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = words_of(text)
-                m, place = window_marks(words, word_hashes(words))
+                m, place = window_marks(*hashed_words(text))
                 if len(m):  # equal windows, even side by side, have their marks at different places
                     at = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
                     size = np.diff(np.concatenate([at, [len(m)]]))
@@ -155,9 +163,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, text_col: str = "te
         held = Rows("mark", "hash", "_t1", "_t2", "at", "copies")
         for batch in batches:
             for t1, t2, text, copies, ranges in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = words_of(text)
-                hashes = word_hashes(words)
-                m, h = window_marks(words, hashes)[0], window_hashes(hashes)
+                hashes, sizes = hashed_words(text)
+                m, h = window_marks(hashes, sizes)[0], window_hashes(hashes)
                 at = np.concatenate([np.arange(r["at"], r["at"] + r["size"]) for r in ranges])
                 yield from held.add(m[at].view(np.int64), h[at].view(np.int64), np.full(len(at), t1), np.full(len(at), t2), at.astype(np.int32), np.full(len(at), copies))
         yield from held.drain()

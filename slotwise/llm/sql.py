@@ -77,3 +77,55 @@ FROM b
 """
 
 ORACLE |= {"op2_quality": OP2, "op8_chat": OP8}
+
+#: CRC-32 of the decimal doc_id: the reflected polynomial, bit by bit.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda r, b: list_reduce(list_prepend(xor(r, b), range(8)), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)))"""
+
+OP12 = f"""
+WITH read AS (SELECT row_number() OVER () AS id, doc_id, {WORDS} AS w, {_CRC} AS h FROM documents),
+numbers AS (SELECT *, len(w) AS n, h // 10 AS g, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM read),
+made AS (
+  SELECT id, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) ELSE w END AS w
+  FROM numbers
+), word AS (SELECT id, n, unnest(w) AS word, unnest(range(n)) AS i FROM made),
+equal AS (SELECT x.id, y.i - x.i AS q, x.i FROM word x JOIN word y ON x.id = y.id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+islands AS (SELECT id, q, i, i - row_number() OVER (PARTITION BY id, q ORDER BY i) AS island FROM equal),
+stretches AS (SELECT id, q, min(i) AS s, count(*) + q AS length FROM islands GROUP BY id, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+run AS (SELECT id, s, length, min(q) AS q FROM stretches GROUP BY id, s, length),
+listed AS (
+  SELECT id, count(*) AS n_runs, string_agg(s || ',' || length || ',' || q || chr(10), '' ORDER BY s, q) AS lines, first(s ORDER BY length DESC, s, q) AS s, first(length ORDER BY length DESC, s, q) AS length,
+    first(q ORDER BY length DESC, s, q) AS q
+  FROM run GROUP BY id
+), gone AS (SELECT DISTINCT id, unnest(range(s + q, s + length)) AS i FROM run),
+kept AS (SELECT id, string_agg(word, ' ' ORDER BY i) AS text FROM word ANTI JOIN gone USING (id, i) GROUP BY id)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, s::BIGINT AS start, length::BIGINT AS length, q::BIGINT AS period, (1000 * length // q)::BIGINT AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM made LEFT JOIN listed USING (id) LEFT JOIN kept USING (id)
+"""
+
+
+def _lloyd(rounds: int) -> str:
+    """The rounds one after another, each a pair of tables: the nearest centroid of each vector, and the moved centroids."""
+    nearest = "SELECT id, any_value(v) AS v, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT p.id, p.v, o.c, list_sum(list_transform(list_zip(p.v, o.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM point p, centroid{0} o) GROUP BY id"
+    steps = []
+    for r in range(rounds):
+        steps.append(f"near{r} AS MATERIALIZED ({nearest.format(r)})")
+        steps.append(f"mean{r} AS (SELECT c, k, floor(sum(x) / count(*))::BIGINT AS x FROM (SELECT c, unnest(v) AS x, unnest(range(64)) AS k FROM near{r}) GROUP BY c, k)")
+        steps.append(f"centroid{r + 1} AS MATERIALIZED (SELECT o.c, coalesce(m.v, o.v) AS v FROM centroid{r} o LEFT JOIN (SELECT c, list(x ORDER BY k) AS v FROM mean{r} GROUP BY c) m USING (c))")
+    return ",\n".join([*steps, f"near{rounds} AS ({nearest.format(rounds)})"])
+
+
+OP13 = f"""
+WITH point AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), first AS (SELECT sha256('3:' || coalesce(vec_id::VARCHAR, '')) AS key, v FROM point ORDER BY key, v LIMIT 8),
+centroid0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY key, v) - 1 AS c, v FROM first),
+{_lloyd(10)}
+SELECT p.vec_id, n.c::INT AS cluster, n.d::BIGINT AS distance, (sum(n.d) OVER (PARTITION BY n.c))::BIGINT AS cluster_inertia, (sum(n.d) OVER ())::BIGINT AS inertia,
+  sha256(list_aggregate(o.v, 'string_agg', ',')) AS centroid_sha256
+FROM near10 n JOIN point p USING (id) JOIN centroid10 o ON o.c = n.c
+"""
+
+ORACLE |= {"op12_periods": OP12, "op13_clusters": OP13}

@@ -6,11 +6,12 @@ import hashlib
 import math
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from slotwise.llm import clustering, queries
+from slotwise.llm import clustering, queries, sql
 from slotwise.llm.clustering import BallTree
 from tests.llm.test_queries import write
 
@@ -64,6 +65,11 @@ def test_op13(spark, tmp_path):
     got = Counter(tuple(r) for r in queries.QUERIES["op13_clusters"](spark, str(tmp_path)).collect())
     kept = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
     assert got == plain(kept)
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    named = c.execute(sql.ORACLE["op13_clusters"])
+    at = [[d[0] for d in named.description].index(x) for x in ("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")]
+    assert got == Counter(tuple(r[i] for i in at) for r in named.fetchall())
 
 
 @pytest.mark.parametrize("tree", [1, 7, 4096])

@@ -7,11 +7,12 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from slotwise.llm import periodic, queries
+from slotwise.llm import periodic, queries, sql
 from tests.llm.test_queries import DOCUMENTS, write
 
 
@@ -116,6 +117,9 @@ def test_op12(spark, tmp_path):
         longest = (best[0], best[2], best[1], 1000 * best[2] // best[1]) if best else (None,) * 4
         want.append((i, len(runs), *longest, hashlib.sha256(lines.encode()).hexdigest(), hashlib.sha256(" ".join(plain_collapsed(words, runs)).encode()).hexdigest()))
     assert planted > 3 and sorted(map(str, want)) == sorted(str(tuple(r)) for r in rows)
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    assert sorted(map(str, want)) == sorted(map(str, c.execute(sql.ORACLE["op12_periods"]).fetchall()))
 
 
 def test_samples_agree_where_a_run_is():

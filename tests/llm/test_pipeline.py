@@ -146,3 +146,20 @@ def test_stages_on_an_empty_table(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").where("false")
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, folder).count() == 0, name
+
+
+def test_stages_called_one_on_the_other(spark, documents, folder):
+    """No stage takes away what an earlier result, written or not, is still read from; results can be read in any order and again."""
+    table = spark.read.parquet(f"{folder}/documents.parquet")
+    docs, results = spark.createDataFrame(documents, table.schema).repartition(3), []
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, folder)
+        results.append(docs)
+    wanted = plain_quality(documents, folder)
+    want = [wanted, plain_dedup(wanted)]
+    want.append(plain_redaction(want[-1]))
+    want.append(plain_mix(want[-1]))
+    check_packed(results[4].collect(), want[3])
+    for got, rows in list(zip(results, want))[::-1]:
+        assert counted(got) == Counter(rows)
+    assert counted(results[1]) == Counter(want[1])

@@ -66,7 +66,7 @@ def test_empty_tables_give_no_rows(spark, empty, name):
 @pytest.mark.parametrize("name", sorted(sql.ORACLE))
 def test_sql_agrees(spark, folder, name):
     c = duckdb.connect()
-    for table in ("documents", "conversations"):
+    for table in ("documents", "conversations", "embeddings"):
         c.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
 
     def ordered(frame):

@@ -29,8 +29,8 @@ from slotwise.llm.simhash import fingerprint, fingerprint_links
 SHINGLE, SEED = 5, 42
 #: The least similarity as a fraction.
 SIMILAR = (4, 5)
-#: Shingles that a task adds up at a time.
-COUNTED = 1_000_000
+#: Shingles that a task adds up at a time, and parts in which they are looked up.
+COUNTED, PARTS = 1_000_000, 2
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -106,21 +106,29 @@ def rare_prefixes(texts: DataFrame) -> DataFrame:
         found, n = np.unique(np.concatenate(parts), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["key", "n"])
 
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = Rows("key", "class", "size")
-        for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = shingle_set(text.as_py()).view(np.int64)
-                yield from rows.add(found, np.full(len(found), name), np.full(len(found), len(found), dtype=np.int32))
-        yield from rows.drain()
+    def places(part: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = Rows("key", "class", "size")
+            for batch in batches:
+                for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    found = shingle_set(text.as_py())
+                    mine = found[found % np.uint64(PARTS) == part].view(np.int64)
+                    yield from rows.add(mine, np.full(len(mine), name), np.full(len(mine), len(found), dtype=np.int32))
+            yield from rows.drain()
+
+        return run
 
     # Tasks add up what COUNTED shingles hold, which is enough for the frequent ones. Most are found once: to aggregate them before the
     # shuffle would fill a task's memory and save nothing, so they are dealt out first.
-    dealt = texts.select("text").mapInArrow(keys, "key long, n long").repartition(shuffle_width(texts.sparkSession), "key")
-    counts = dealt.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = texts.select("text").mapInArrow(keys, "key long, n long").repartition(shuffle_width(texts.sparkSession), "key").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
     counts = materialize(counts, "shingle-counts")
     release(texts.sparkSession)
-    shared = texts.select("class", "text").mapInArrow(places, "key long, class long, size int").join(counts, "key")
+    # Where the others stand, a part of all shingles at a time, so that the disk never holds a shuffle of them all.
+    shared = None
+    for part in range(PARTS):
+        found = materialize(texts.select("class", "text").mapInArrow(places(part), "key long, class long, size int").join(counts, "key"), "shared-places")
+        shared = found if shared is None else shared.unionByName(found)
+        release(texts.sparkSession)
     mine = Window.partitionBy("class")
     own = F.col("size") - F.count("*").over(mine)
     placed = shared.withColumn("at", own + F.row_number().over(mine.orderBy("n", "key")))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from slotwise import queries as q
+from slotwise.ensemble_sql import ensemble_sql
 from slotwise.functions.formats import decode_tag, encode_tag
-from slotwise.operators import drift, labels, learn, replay
+from slotwise.operators import drift, ensemble, labels, learn
 from slotwise.operators import requests as req
 from slotwise.plans import analysis
 from slotwise.sources.trace import event_trace
@@ -153,32 +156,75 @@ def bootstrap_gain(spark: SparkSession, d: str) -> DataFrame:
     return analysis.bootstrap_gain(_log(spark, d), STATIC, BASELINE, block=3, draws=500)
 
 
-@query()
+WEIGHTS = q.NSE + """, held AS (SELECT *, row_number() OVER (PARTITION BY slot ORDER BY created) AS place, weight / sum(weight) OVER (PARTITION BY slot) AS share FROM nse_weight),
+moved AS (SELECT coalesce(a.slot, b.slot + 1) AS slot, sum(abs(coalesce(a.share, 0) - coalesce(b.share, 0))) AS l1, count(a.share) AS n, count(b.share) AS m FROM held a FULL JOIN held b ON a.slot = b.slot + 1 AND a.place = b.place GROUP BY 1),
+changes AS (SELECT s.slot, s.n_members, s.mean, s.deviation, s.least, s.greatest, s.frozen, CASE WHEN m > 0 THEN l1 END AS l1_change FROM (
+  SELECT slot, count(*) AS n_members, avg(weight) AS mean, stddev_pop(weight) AS deviation, min(weight) AS least, max(weight) AS greatest, avg((weight <= 1e-6)::INT) AS frozen FROM nse_weight GROUP BY slot) s LEFT JOIN moved ON moved.slot = s.slot AND moved.n > 0)"""
+_CHANGES = ("mean", "deviation", "least", "greatest", "frozen", "l1_change")
+
+
+def _changes(spark: SparkSession, fitted: ensemble.Ensembles) -> DataFrame:
+    return analysis.weight_changes(fitted.weight_table(spark))
+
+
+@query(WEIGHTS + " SELECT slot, n_members, " + ", ".join(f"round({c}, 6) AS {c}" for c in _CHANGES) + " FROM changes")
 def weight_changes(spark: SparkSession, d: str) -> DataFrame:
-    return analysis.weight_changes(q.QUERIES["nse_weights"](spark, d))
+    found = _changes(spark, ensemble.fit_ensembles(q._vector_rows(spark, d), q.FEATURES))
+    return found.select("slot", "n_members", *[F.round(c, 6).alias(c) for c in _CHANGES])
 
 
-def _errors(spark: SparkSession, d: str, learner: str = "nb") -> DataFrame:
-    """slot, error of the ensemble's vote on a slot's training rows before it learns from them."""
-    rows = q._vector_rows(spark, d)
-    voted = replay.score_requests(rows.withColumn("seq", F.col("first_seq")), replay.ensemble_models(rows, q.FEATURES, learner), q.FEATURES)
-    return voted.join(rows.select("slot", "object_id", "y"), ["slot", "object_id"]).where("n_members > 0").groupBy("slot").agg(F.avg((F.col("vote") != F.col("y")).cast("int")).alias("error"))
+@query(q.NSE + " SELECT slot, n_members, n, n_wrong FROM nse_error")
+def vote_errors(spark: SparkSession, d: str) -> DataFrame:
+    """How often the ensemble's vote on a slot's training rows is wrong, before it learns from them."""
+    return ensemble.fit_ensembles(q._vector_rows(spark, d), q.FEATURES).error_table(spark)
 
 
-@query()
+_DRIFT = q._PAIRS.format(key="object_id", of="objects").replace("pairs AS", "moves AS").replace("FROM pairs", "FROM moves").replace("sums AS", "drifts AS")
+_SIGNALS = [("error", "drift"), ("error", "tv"), ("l1_change", "drift"), ("frozen", "drift")]
+
+
+@query(WEIGHTS + f""", t AS (SELECT slot, object_id FROM top WHERE y = 1), size_of AS (SELECT slot, count(*) AS n FROM t GROUP BY 1), kept AS (SELECT a.slot, count(*) AS n FROM t a JOIN t b ON a.slot = b.slot + 1 AND a.object_id = b.object_id GROUP BY 1),
+{_DRIFT},
+signals AS (SELECT s.slot, round(1 - round(coalesce(k.n, 0) / (s.n + p.n - coalesce(k.n, 0)), 9), 9) AS drift, round(tv, 9) AS tv, round(n_wrong / e.n, 9) AS error, round(l1_change, 9) AS l1_change, round(frozen, 9) AS frozen
+  FROM size_of s JOIN size_of p ON s.slot = p.slot + 1 LEFT JOIN kept k ON k.slot = s.slot JOIN drifts r ON r.slot = s.slot JOIN nse_error e ON e.slot = s.slot AND e.n_members > 0 JOIN changes c ON c.slot = s.slot),
+pair_of AS ({" UNION ALL ".join(f"SELECT '{a}/{b}' AS pair, {a} AS x, {b} AS y FROM signals WHERE {a} IS NOT NULL AND {b} IS NOT NULL" for a, b in _SIGNALS)}),
+rank_of AS (SELECT *, rank() OVER (PARTITION BY pair ORDER BY x) + (count(*) OVER (PARTITION BY pair, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY pair ORDER BY y) + (count(*) OVER (PARTITION BY pair, y) - 1) / 2 AS ry FROM pair_of)
+SELECT pair, CASE WHEN stddev_pop(x) * stddev_pop(y) > 0 THEN round(covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)), 6) END AS pearson, CASE WHEN stddev_pop(rx) * stddev_pop(ry) > 0 THEN round(covar_pop(rx, ry) / (stddev_pop(rx) * stddev_pop(ry)), 6) END AS spearman FROM rank_of GROUP BY pair""")
 def drift_and_error(spark: SparkSession, d: str) -> DataFrame:
     """Spearman of identity drift and of the ensemble's error, the change of its weights and their frozen share."""
-    top = q._top(spark, d)
-    moved = labels.churn(top).select("slot", (1 - F.col("jaccard")).alias("drift")).join(drift.slot_drift(req.slot_objects(event_trace(spark, d))).select("slot", "tv"), "slot")
-    signals = moved.join(_errors(spark, d), "slot").join(q.QUERIES["weight_changes"](spark, d).select("slot", "l1_change", "frozen"), "slot")
-    pairs = [signals.select(F.lit(f"{a}/{b}").alias("pair"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in (("error", "drift"), ("error", "tv"), ("l1_change", "drift"), ("frozen", "drift"))]
-    every = pairs[0]
-    for p in pairs[1:]:
-        every = every.unionByName(p)
-    return labels.correlations(every.where("x is not null and y is not null"), "x", "y", "pair")
+    top, fitted = q._top(spark, d), ensemble.fit_ensembles(q._vector_rows(spark, d), q.FEATURES)
+    moved = labels.churn(top).select("slot", F.round(1 - F.col("jaccard"), 9).alias("drift")).join(drift.slot_drift(req.slot_objects(event_trace(spark, d))).select("slot", "tv"), "slot")
+    errors = fitted.error_table(spark).where("n_members > 0").select("slot", F.round(F.col("n_wrong") / F.col("n"), 9).alias("error"))
+    changes = _changes(spark, fitted).select("slot", F.round("l1_change", 9).alias("l1_change"), F.round("frozen", 9).alias("frozen"))
+    signals = moved.join(errors, "slot").join(changes, "slot")
+    pair = F.explode(F.array(*[F.struct(F.lit(f"{a}/{b}").alias("pair"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in _SIGNALS])).alias("s")
+    return labels.correlations(signals.select(pair).select("s.*").where("x is not null and y is not null"), "x", "y", "pair")
 
 
-@query()
+_RAW = [*[f"g{i}" for i in range(1, 7)], *q.HISTORY]
+_SEEN = [*[f"CASE WHEN g{i} <> 1e6 THEN g{i} END" for i in range(1, 7)], *q.HISTORY]
+
+
+def _view_sql(learner: str, view: str) -> str:
+    """Scores of a learner's ensembles for objects at their last or first request of a slot, and their metrics of all objects and of the cold ones."""
+    values = [e if view == "last" or "g" not in e else re.sub(r"\bg(\d)", r"first_g\1", e) for e in (_RAW if learner == "nb" else _SEEN)]
+    n, t = learner, f"{learner}_{view}"
+    part = "SELECT slot, score, y, first_seq, 'all' AS segment FROM {0} UNION ALL SELECT slot, score, y, first_seq, 'cold' FROM {0} WHERE hist_len <= 1"
+    return f"""{t}_x AS (SELECT slot, object_id, unnest(range(10)) AS f, unnest([{', '.join(f'({v})::DOUBLE' for v in values)}]) AS x FROM d),
+{t}_margin AS (SELECT x.slot, x.object_id, any_value(w.weight) AS w, any_value(prior) + coalesce(sum(0.5 * (ln(v0 / v1) + ((x - m0) ** 2 / v0 - (x - m1) ** 2 / v1))), 0) AS margin
+  FROM {t}_x x JOIN {n}_weight w ON w.slot = x.slot - 1 JOIN {n}_member11 m ON m.created = w.created AND m.f = x.f GROUP BY x.slot, x.object_id, w.created),
+{t}_score AS (SELECT slot, object_id, round(sum(w / (1 + exp(greatest(-700, least(700, -margin))))) / sum(w), 9) AS score FROM {t}_margin GROUP BY ALL),
+{t} AS (SELECT d.slot, coalesce(score, 0.5) AS score, y, first_seq, {view}_hist_len AS hist_len FROM d LEFT JOIN {t}_score USING (slot, object_id)),
+{t}_r AS (SELECT *, rank() OVER (PARTITION BY slot, segment ORDER BY score) + (count(*) OVER (PARTITION BY slot, segment, score) - 1) / 2 AS r, row_number() OVER o AS place, sum(y) OVER (o ROWS UNBOUNDED PRECEDING) AS hits, sum(y) OVER (PARTITION BY slot, segment) AS k
+  FROM ({part.format(t)}) WINDOW o AS (PARTITION BY slot, segment ORDER BY score DESC, first_seq)),
+{t}_m AS (SELECT '{learner}' AS learner, '{view}' AS view, segment, slot, count(*) AS n, sum(y)::BIGINT AS pos, round(CASE WHEN sum(y) > 0 AND sum(y) < count(*) THEN (sum(r * y) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))) ELSE 'NaN'::DOUBLE END, 9) AS auc,
+  round(sum(CASE WHEN y = 1 THEN hits / place END) / nullif(sum(y), 0), 9) AS ap, round(sum(CASE WHEN place <= k THEN y ELSE 0 END) / nullif(max(k), 0), 9) AS prec_at_k FROM {t}_r GROUP BY slot, segment)"""
+
+
+_VIEWS = [(learner, view) for learner in ("nb", "nb_missing") for view in ("last", "first")]
+
+
+@query(q.LEARNT + ", " + ensemble_sql(_RAW, "nb") + ", " + ensemble_sql(_SEEN, "nb_missing") + ", " + ",\n".join(_view_sql(*v) for v in _VIEWS) + " " + " UNION ALL ".join(f"SELECT * FROM {a}_{b}_m" for a, b in _VIEWS))
 def offline_comparison(spark: SparkSession, d: str) -> DataFrame:
     """Naive Bayes with the sentinel as a value against one that leaves missing gaps out: AP, AUC, precision at the number of
     positives, of features at objects' last and first requests of a slot, of all objects and of those with a history of 1 at most."""
@@ -187,10 +233,10 @@ def offline_comparison(spark: SparkSession, d: str) -> DataFrame:
     for learner in ("nb", "nb_missing"):
         value = (lambda g: F.when(F.col(g) == req.SENTINEL, F.lit(float("nan"))).otherwise(F.col(g))) if learner == "nb_missing" else F.col
         rows = raw.withColumns({g: value(g) for g in q.GAP_NAMES})
-        models = replay.ensemble_models(rows, q.FEATURES, learner)
+        fitted = ensemble.fit_ensembles(rows, q.FEATURES, learner)
         for view in ("last", "first"):
             seen = rows if view == "last" else rows.withColumns({g: value(f"first_{g}") for g in q.GAP_NAMES})
-            scores = replay.score_requests(seen.withColumn("seq", F.col("first_seq")), models, q.FEATURES).select("slot", "object_id", "score")
+            scores = ensemble.score_requests(seen.withColumn("seq", F.col("first_seq")), fitted, q.FEATURES).select("slot", "object_id", F.round("score", 9).alias("score"))
             scored = scores.join(rows.select("slot", "object_id", "first_seq", "y", f"{view}_hist_len"), ["slot", "object_id"])
             for segment, part in (("all", scored), ("cold", scored.where(f"{view}_hist_len <= 1"))):
                 found = labels.score_metrics(part, None).select(F.lit(learner).alias("learner"), F.lit(view).alias("view"), F.lit(segment).alias("segment"), "slot", "n", "pos", "auc", "ap", "prec_at_k")
@@ -198,6 +244,19 @@ def offline_comparison(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+@query(q.LEARNT + """, p AS (SELECT slot, y, CASE WHEN f_short > 0 THEN 1.0 ELSE 0.25 END AS w, [CASE WHEN g1 <> 1e6 THEN ln(1 + g1) END, CASE WHEN g2 <> 1e6 THEN ln(1 + g2) END, f_mid::DOUBLE] AS v FROM d),
+x AS (SELECT slot, y, w, unnest(['g1', 'g2', 'f_mid']) AS f, unnest(v) AS x FROM p), z AS (SELECT * FROM x),
+m AS (SELECT slot, y, f, sum(w) AS n, sum(CASE WHEN x IS NOT NULL THEN w END) AS t, sum(w * x) / sum(CASE WHEN x IS NOT NULL THEN w END) AS m FROM z GROUP BY ALL),
+v AS (SELECT z.slot, z.y, z.f, any_value(n) AS n, coalesce(any_value(m), 0) AS m, greatest(coalesce(sum(w * (x - m) ** 2) / any_value(t), 1), 1e-9) AS v FROM z JOIN m ON z.slot = m.slot AND z.y = m.y AND z.f = m.f GROUP BY z.slot, z.y, z.f)
+SELECT slot, y, max(n) AS n, """ + ", ".join(f"round(max({k}) FILTER (f = '{f}'), 4) AS {k}_{f}" for k in "mv" for f in ("g1", "g2", "f_mid")) + " FROM v GROUP BY slot, y")
+def nb_fit_weighted(spark: SparkSession, d: str) -> DataFrame:
+    """Moments per slot and class, rows of objects not seen in the slot before counting a quarter, missing gaps left out."""
+    names = ["g1", "g2", "f_mid"]
+    rows = q._features(spark, d).withColumns({g: F.when(F.col(g) != req.SENTINEL, F.log1p(g)) for g in names[:2]})
+    rows = rows.select("slot", "y", *[F.col(f).cast("double").alias(f) for f in names], F.when(F.col("f_short") > 0, 1.0).otherwise(0.25).alias("w"))
+    return learn.weighted_moments(rows, ["slot", "y"], names, "w", missing=True).select("slot", "y", "n", *[F.round(f"{k}_{f}", 4).alias(f"{k}_{f}") for k in "mv" for f in names])
+
+
 GAPS_LAST = q.GAPS_SQL + ", d AS (SELECT slot, object_id, y, l.hist_len AS hist_len, f_short, f_mid, f_long, f_cum, freq, " + ", ".join(f"l.g{i} AS g{i}" for i in range(1, 7)) + " FROM (SELECT slot, object_id, l FROM ends) JOIN history USING (slot, object_id) JOIN (SELECT slot, object_id, y FROM top) USING (slot, object_id))"
 
 

@@ -1,293 +1,12 @@
-"""Per-slot learners: weighted Gaussian naive Bayes and a drift-aware ensemble of them, and boosted trees."""
+"""Gaussian naive Bayes in relational form: moments per class, weighted and with missing values, and scores."""
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass, field
-from functools import partial
-from typing import Protocol
-
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: The least variance.
 FLOOR = 1e-9
-#: Errors and averaged errors are kept this far from 0 and 1.
-LEAST = 1e-6
-
-
-class Learner(Protocol):
-    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Learner: ...
-    def proba(self, x: np.ndarray) -> np.ndarray: ...
-
-
-class NaiveBayes:
-    """Gaussian, weighted; an empty class gets mean 0, variance 1 and prior 0. With missing_aware, NaNs are left out."""
-
-    def __init__(self, missing_aware: bool = False):
-        self.missing_aware = missing_aware
-
-    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> NaiveBayes:
-        d = x.shape[1]
-        self.mean, self.var, self.prior = np.zeros((2, d)), np.ones((2, d)), np.zeros(2)
-        for c in (0, 1):
-            at = y == c
-            w = weight[at]
-            if w.sum() <= 0:
-                continue
-            seen = ~np.isnan(x[at]) if self.missing_aware else np.ones_like(x[at], dtype=bool)
-            ww, v = w[:, None] * seen, np.where(seen, x[at], 0.0)
-            total = ww.sum(axis=0)
-            safe = np.maximum(total, 1e-300)
-            self.mean[c] = (ww * v).sum(axis=0) / safe
-            self.var[c] = np.where(total > 0, (ww * (v - self.mean[c]) ** 2).sum(axis=0) / safe, 1.0)
-            self.prior[c] = w.sum() / weight.sum()
-        self.var = np.maximum(self.var, FLOOR)
-        return self
-
-    def log_joint(self, x: np.ndarray) -> np.ndarray:
-        out = np.empty((len(x), 2))
-        for c in (0, 1):
-            term = -0.5 * (np.log(2 * np.pi * self.var[c]) + (x - self.mean[c]) ** 2 / self.var[c])
-            with np.errstate(divide="ignore"):
-                out[:, c] = np.log(self.prior[c]) + (np.nansum(term, axis=1) if self.missing_aware else term.sum(axis=1))
-        return out
-
-    def proba(self, x: np.ndarray) -> np.ndarray:
-        j = self.log_joint(x)
-        top = np.maximum(j.max(axis=1, keepdims=True), -1e300)
-        e = np.exp(j - top)
-        return e[:, 1] / e.sum(axis=1)
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        j = self.log_joint(x)
-        return (j[:, 1] > j[:, 0]).astype(int)
-
-
-class BoostedTrees:
-    """Gradient boosting of trees on the logistic loss: a node is split where the gain over quantile cuts is largest, leaves take Newton steps."""
-
-    def __init__(self, rounds: int = 30, rate: float = 0.1, depth: int = 3, bins: int = 64):
-        self.rounds, self.rate, self.depth, self.bins = rounds, rate, depth, bins
-
-    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> BoostedTrees:
-        w = np.ones(len(y)) if weight is None else weight
-        base = np.clip(np.average(y, weights=w), 1e-6, 1 - 1e-6)
-        self.start, self.trees = math.log(base / (1 - base)), []
-        self.cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.bins + 1)[1:-1], method="lower")) for j in range(x.shape[1])]
-        binned = np.column_stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(self.cuts)])
-        score = np.full(len(y), self.start)
-        for _ in range(self.rounds):
-            p = 1 / (1 + np.exp(-score))
-            tree, leaf = self._tree(binned, w * (y - p), w * p * (1 - p) + 1e-9)
-            self.trees.append(tree)
-            score += self.rate * leaf
-        return self
-
-    def _tree(self, binned: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[list, np.ndarray]:
-        """Nodes (column, cut, left, right, value), leaves with column -1; and each row's value."""
-        nodes, values = [], np.zeros(len(g))
-        todo = [(np.arange(len(g)), 0, -1, False)]
-        while todo:
-            rows, level, parent, is_right = todo.pop()
-            at = len(nodes)
-            if parent >= 0:
-                nodes[parent][3 if is_right else 2] = at
-            best = self._split(binned[rows], g[rows], h[rows]) if level < self.depth else None
-            if best is None:
-                values[rows] = value = g[rows].sum() / h[rows].sum()
-                nodes.append([-1, 0, -1, -1, value])
-                continue
-            j, cut = best
-            nodes.append([j, cut, -1, -1, 0.0])
-            low = binned[rows, j] <= cut
-            todo += [(rows[~low], level + 1, at, True), (rows[low], level + 1, at, False)]
-        return nodes, values
-
-    def _split(self, binned: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[int, int] | None:
-        best, found = 1e-12, None
-        for j in range(binned.shape[1]):
-            size = len(self.cuts[j]) + 1
-            gs, hs, n = (np.cumsum(np.bincount(binned[:, j], weights=v, minlength=size))[:-1] for v in (g, h, np.ones(len(g))))
-            ok = (n > 0) & (n < len(g))
-            if not ok.any():
-                continue
-            gain = np.where(ok, gs**2 / np.maximum(hs, 1e-300) + (g.sum() - gs) ** 2 / np.maximum(h.sum() - hs, 1e-300) - g.sum() ** 2 / h.sum(), -np.inf)
-            i = int(np.argmax(gain))
-            if gain[i] > best:
-                best, found = gain[i], (j, i)
-        return found
-
-    def proba(self, x: np.ndarray) -> np.ndarray:
-        binned = np.column_stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(self.cuts)])
-        score = np.full(len(x), self.start)
-        for nodes in self.trees:
-            column, cut, left, right, value = (np.array(v) for v in zip(*nodes, strict=True))
-            at = np.zeros(len(x), dtype=int)
-            while (inner := column[at] >= 0).any():
-                rows = np.flatnonzero(inner)
-                n = at[rows]
-                at[rows] = np.where(binned[rows, column[n]] <= cut[n], left[n], right[n])
-            score += self.rate * value[at]
-        return 1 / (1 + np.exp(-score))
-
-
-class LinearSvm:
-    """Weighted linear classifier on the squared hinge loss with an L2 penalty; P(1) is the sigmoid of the margin.
-
-    Columns are standardised, then Newton's method runs on the rows inside the margin. With one class only, the margin is that class.
-    """
-
-    def __init__(self, cost: float = 1.0, rounds: int = 30):
-        self.cost, self.rounds = cost, rounds
-
-    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> LinearSvm:
-        self.mean, self.scale = x.mean(axis=0), np.maximum(x.std(axis=0), FLOOR)
-        if len(set(y.tolist())) < 2:
-            self.w = np.append(np.zeros(x.shape[1]), 1.0 if y[0] == 1 else -1.0)
-            return self
-        z, sign, c = self._with_bias(x), np.where(y == 1, 1.0, -1.0), self.cost * weight * len(y) / weight.sum()
-        self.w = np.zeros(z.shape[1])
-        loss = self._loss(z, sign, c, self.w)
-        for _ in range(self.rounds):
-            inside = sign * (z @ self.w) < 1
-            zi, ci = z[inside], c[inside]
-            slope = self.w - 2 * zi.T @ (ci * (sign[inside] - zi @ self.w))
-            step, size = np.linalg.solve(np.eye(len(self.w)) + 2 * (zi.T * ci) @ zi, slope), 1.0
-            while size > 1e-6 and self._loss(z, sign, c, self.w - size * step) > loss:
-                size /= 2
-            new = self._loss(z, sign, c, self.w - size * step)
-            if new >= loss - 1e-10 * max(1.0, loss):
-                break
-            self.w, loss = self.w - size * step, new
-        return self
-
-    @staticmethod
-    def _loss(z: np.ndarray, sign: np.ndarray, c: np.ndarray, w: np.ndarray) -> float:
-        return float(0.5 * w @ w + (c * np.maximum(0.0, 1 - sign * (z @ w)) ** 2).sum())
-
-    def _with_bias(self, x: np.ndarray) -> np.ndarray:
-        return np.column_stack([(x - self.mean) / self.scale, np.ones(len(x))])
-
-    def proba(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self._with_bias(x) @ self.w, -500, 500)))
-
-
-class DecisionTree:
-    """Weighted Gini tree without a limit of depth: a node is split until it is pure or no column tells its rows apart.
-
-    Splits lie midway between neighbouring values; of equal gains the first column's smallest split wins.
-    """
-
-    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> DecisionTree:
-        self.column, self.cut, self.left, self.right, self.share = [], [], [], [], []
-        todo = [(self._leaf(y, weight), np.arange(len(y)))]
-        while todo:
-            node, rows = todo.pop()
-            found = self._split(x[rows], y[rows], weight[rows])
-            if found:
-                j, cut = found
-                low = x[rows, j] <= cut
-                a, b = rows[low], rows[~low]
-                self.column[node], self.cut[node] = j, cut
-                self.left[node], self.right[node] = self._leaf(y[a], weight[a]), self._leaf(y[b], weight[b])
-                todo += [(self.left[node], a), (self.right[node], b)]
-        return self
-
-    def _leaf(self, y: np.ndarray, weight: np.ndarray) -> int:
-        for values, first in ((self.column, -1), (self.cut, 0.0), (self.left, -1), (self.right, -1)):
-            values.append(first)
-        self.share.append(float(weight[y == 1].sum() / weight.sum()) if weight.sum() > 0 else float(np.mean(y)))
-        return len(self.share) - 1
-
-    @staticmethod
-    def _split(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[int, float] | None:
-        if len(set(y.tolist())) < 2:
-            return None
-        best, found = math.inf, None
-        for j in range(x.shape[1]):
-            order = np.argsort(x[:, j], kind="stable")
-            v, w = x[order, j], weight[order]
-            total, ones = np.cumsum(w), np.cumsum(w * (y[order] == 1))
-            at = np.flatnonzero(v[1:] > v[:-1])
-            if not len(at):
-                continue
-            n, k = total[at], ones[at]
-            m, r = total[-1] - n, ones[-1] - k
-            impurity = k * (1 - k / np.maximum(n, 1e-300)) + r * (1 - r / np.maximum(m, 1e-300))
-            i = int(np.argmin(impurity))
-            if impurity[i] < best:
-                middle = (v[at[i]] + v[at[i] + 1]) / 2
-                best, found = impurity[i], (j, float(middle if middle < v[at[i] + 1] else v[at[i]]))
-        return found
-
-    def proba(self, x: np.ndarray) -> np.ndarray:
-        column, cut, left, right = (np.asarray(a) for a in (self.column, self.cut, self.left, self.right))
-        node = np.zeros(len(x), dtype=int)
-        while (inner := column[node] >= 0).any():
-            rows = np.flatnonzero(inner)
-            at = node[rows]
-            node[rows] = np.where(x[rows, column[at]] <= cut[at], left[at], right[at])
-        return np.asarray(self.share)[node]
-
-
-LEARNERS = {"nb": NaiveBayes, "nb_missing": partial(NaiveBayes, missing_aware=True), "boosted": BoostedTrees, "svm": LinearSvm, "tree": DecisionTree}
-
-
-@dataclass
-class Member:
-    model: Learner
-    created: int
-    betas: list[float] = field(default_factory=list)
-
-
-class DriftEnsemble:
-    """Learn++.NSE: a new member each slot, members weighted by sigmoid-averaged recent errors, at most `most` of them."""
-
-    def __init__(self, learner: str = "nb", slope: float = 0.5, offset: float = 10.0, most: int = 20):
-        self.make, self.slope, self.offset, self.most = LEARNERS[learner], slope, offset, most
-        self.members: list[Member] = []
-        self.weights: list[float] = []
-
-    def score(self, x: np.ndarray) -> np.ndarray:
-        """Weighted mean of the members' P(1); 0.5 without members."""
-        if not self.members or sum(self.weights) <= 0:
-            return np.full(len(x), 0.5)
-        return sum(w * m.model.proba(x) for w, m in zip(self.weights, self.members, strict=True)) / sum(self.weights)
-
-    def vote(self, x: np.ndarray) -> np.ndarray:
-        """Weighted majority; ties and an empty ensemble say 1."""
-        if not self.members:
-            return np.ones(len(x), dtype=int)
-        ones = sum(w * _predict(m.model, x) for w, m in zip(self.weights, self.members, strict=True))
-        return (2 * ones >= sum(self.weights)).astype(int)
-
-    def update(self, slot: int, x: np.ndarray, y: np.ndarray) -> None:
-        """Rows that the ensemble got wrong weigh 1, others its error; the new member learns on these weights, and all members are
-        weighed by their errors on them: those of a member's slots are averaged with recent ones ahead. Errors lie within [LEAST, 1 - LEAST], a member's at 0.5 at most."""
-        if not len(y):
-            return
-        if self.members:
-            wrong = self.vote(x) != y
-            weight = np.where(wrong, 1.0, min(max(wrong.mean(), LEAST), 1 - LEAST))
-        else:
-            weight = np.ones(len(y))
-        weight = weight / weight.sum()
-        self.members.append(Member(self.make().fit(x, y, weight), slot))
-        for m in self.members:
-            e = max(LEAST, min(0.5, float(weight[_predict(m.model, x) != y].sum())))
-            m.betas.append(e / (1 - e))
-        self.members = self.members[-self.most :]
-        self.weights = []
-        for m in self.members:
-            ages = np.arange(len(m.betas))[::-1]
-            recent = 1 / (1 + np.exp(self.slope * (ages - self.offset)))
-            mean = float((recent * np.array(m.betas)).sum() / recent.sum())
-            self.weights.append(math.log(1 / min(max(mean, LEAST), 1 - LEAST)))
-
-
-def _predict(model: Learner, x: np.ndarray) -> np.ndarray:
-    return model.predict(x) if hasattr(model, "predict") else (model.proba(x) > 0.5).astype(int)
 
 
 def class_moments(rows: DataFrame, features: list[str], weight: Column | None = None) -> DataFrame:
@@ -299,6 +18,27 @@ def class_moments(rows: DataFrame, features: list[str], weight: Column | None =
     return means.join(spread, ["slot", "y"])
 
 
+def weighted_moments(rows: DataFrame, keys: list[str], features: list[str], weight: str, missing: bool = False) -> DataFrame:
+    """keys, n (sum of weights), and mean m_ and population variance v_ (floored) of each feature, weighted.
+
+    Rows of equal weight are summed up first, by counts, means and squared deviations, which merge from task to task without loss; then these
+    groups merge by their weights. missing: null and NaN are left out, feature by feature; a feature without values has mean 0 and variance 1.
+    Without it, one such value makes its feature's moments null or NaN.
+    """
+    value = {f: F.when(~F.isnan(f), F.col(f)) if missing else F.col(f) for f in features}
+    found = [F.count("*").cast("double").alias("_n")]
+    for f, v in value.items():
+        found += [(F.count(v) if missing else F.count("*")).cast("double").alias(f"_n_{f}"), F.avg(v).alias(f"_m_{f}"), F.var_pop(v).alias(f"_v_{f}")]
+    groups = rows.groupBy(*keys, F.col(weight).alias("_w")).agg(*found)
+    share = {f: F.col("_w") * F.col(f"_n_{f}") for f in features}
+    totals = groups.groupBy(*keys).agg(F.sum(F.col("_w") * F.col("_n")).alias("n"), *[F.sum(share[f]).alias(f"_t_{f}") for f in features], *[F.try_divide(F.sum(share[f] * F.col(f"_m_{f}")), F.sum(share[f])).alias(f"m_{f}") for f in features])
+    both = groups.join(totals.withColumnRenamed("n", "_total"), keys)
+    spread = both.groupBy(*keys).agg(F.max("_total").alias("n"), *[F.max(f"m_{f}").alias(f"m_{f}") for f in features], *[F.try_divide(F.sum(share[f] * (F.col(f"_v_{f}") + (F.col(f"_m_{f}") - F.col(f"m_{f}")) ** 2)), F.max(f"_t_{f}")).alias(f"v_{f}") for f in features])
+    empty = {"m": 0.0, "v": 1.0}
+    seen = lambda k, f: F.coalesce(f"{k}_{f}", F.lit(empty[k])) if missing else F.col(f"{k}_{f}")
+    return spread.select(*keys, "n", *[seen("m", f).alias(f"m_{f}") for f in features], *[F.greatest(seen("v", f), F.lit(FLOOR)).alias(f"v_{f}") for f in features])
+
+
 def count_moments(rows: DataFrame, features: list[str]) -> DataFrame:
     """The same of whole-number features, unweighted: from exact sums in one pass, so equal whatever the order of rows."""
     total = {f: F.col(f).cast("decimal(19,0)") for f in features}

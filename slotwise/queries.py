@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from slotwise.ensemble_sql import ensemble_sql
 from slotwise.functions.fnv import PUBLISHED_OFFSET, fnv1a_64
-from slotwise.operators import drift, gated, labels, learn, replay
+from slotwise.operators import drift, ensemble, gated, labels, learn, replay
 from slotwise.operators import requests as req
 from slotwise.plans import compare, schedules
 from slotwise.sources.trace import event_trace, profile_lines
@@ -378,17 +379,32 @@ def _request_rows(spark: SparkSession, d: str) -> DataFrame:
     return gapped.select("slot", "seq", "object_id", *[F.log1p(g).alias(g) for g in GAP_NAMES]).join(history, ["slot", "object_id"])
 
 
-@query()
+#: What learners see, as SQL: an object's last gaps of the slot (as logs), history and label.
+LEARNT = GAPS_SQL + ", d AS (SELECT slot, object_id, y, first_seq, l.hist_len AS last_hist_len, f.hist_len AS first_hist_len, f_short, f_mid, f_long, f_cum, " + ", ".join(f"l.g{i} AS g{i}, f.g{i} AS first_g{i}" for i in range(1, 7)) + " FROM (SELECT slot, object_id, l, f FROM ends) JOIN history USING (slot, object_id) JOIN (SELECT slot, object_id, y FROM top) USING (slot, object_id))"
+LEARNT = LEARNT.replace("min_by(struct_pack(g1 := g1, hist_len := hist_len), seq)", "min_by(struct_pack(" + ", ".join(f"g{i} := g{i}" for i in range(1, 7)) + ", hist_len := hist_len), seq)")
+NSE = LEARNT + ", " + ensemble_sql([*[f"ln(1 + g{i})" for i in range(1, 7)], *HISTORY])
+
+
+@query(NSE + " SELECT slot, created, round(weight, 6) AS weight FROM nse_weight")
 def nse_weights(spark: SparkSession, d: str) -> DataFrame:
-    return replay.ensemble_weights(_vector_rows(spark, d), FEATURES)
+    return ensemble.fit_ensembles(_vector_rows(spark, d), FEATURES).weight_table(spark).withColumn("weight", F.round("weight", 6))
+
+
+@query(NSE + ", s AS (SELECT slot, object_id, sum(CASE WHEN margin > 0 THEN weight ELSE 0 END) AS ones, sum(weight) AS every, sum(weight / (1 + exp(-margin))) / sum(weight) AS score, count(*) AS n FROM nse_judged GROUP BY ALL) SELECT d.slot, d.object_id, round(coalesce(score, 0.5), 6) AS score, coalesce((2 * ones >= every)::INT, 1) AS vote, coalesce(n, 0)::INT AS n_members FROM d LEFT JOIN s USING (slot, object_id)")
+def nse_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Each slot's objects, at their last request, by the ensemble of the slots before."""
+    rows = _vector_rows(spark, d)
+    found = ensemble.score_requests(rows.withColumn("seq", F.col("first_seq")), ensemble.fit_ensembles(rows, FEATURES), FEATURES)
+    return found.select("slot", "object_id", F.round("score", 6).alias("score"), "vote", "n_members")
 
 
 def _scores(spark: SparkSession, d: str, learner: str = "nb", features: list[str] = FEATURES) -> DataFrame:
-    return replay.score_requests(_request_rows(spark, d), replay.ensemble_models(_vector_rows(spark, d), features, learner), features)
+    return ensemble.score_requests(_request_rows(spark, d), ensemble.fit_ensembles(_vector_rows(spark, d), features, learner), features)
 
 
 def _scored(spark: SparkSession, d: str, learner: str = "nb", features: list[str] = FEATURES) -> DataFrame:
-    return _scores(spark, d, learner, features).join(_top(spark, d).select("slot", "object_id", "y"), ["slot", "object_id"])
+    """Scores with labels; an object without a label has 0."""
+    return _scores(spark, d, learner, features).join(_top(spark, d).select("slot", "object_id", "y"), ["slot", "object_id"], "left").na.fill({"y": 0})
 
 
 @query()
@@ -414,7 +430,7 @@ def drift_detector_runs(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def gbt_admission(spark: SparkSession, d: str) -> DataFrame:
     """LRU that inserts a miss only if boosted trees fitted on the period before (two slots) give it half a chance at least."""
-    judged = replay.period_admission(_vector_rows(spark, d), _request_rows(spark, d), FEATURES, warmup=2, every=2)
+    judged = ensemble.period_admission(_vector_rows(spark, d), _request_rows(spark, d), FEATURES, warmup=2, every=2)
     return replay.replay_policies(judged.where("slot > 2"), CAPACITIES, policies=("LRU",), admit="admit")
 
 

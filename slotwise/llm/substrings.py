@@ -9,8 +9,8 @@ after its start to 8 before its end are decided by the window alone, which holds
 
 Each window takes as its mark the symbol there of most bytes (then of largest name). Equal windows have equal marks,
 so a window whose mark is found once is found once. Marks found again reveal repeats; the windows that
-carry them are verified by mark and a 64-bit hash of all 35 words, together 116 bits: of 10^13 windows, some 10^26
-pairs, one in 10^9 tables has a pair of unequal windows that passes. Words enter as 64-bit hashes, of which 10^9 distinct words
+carry them are verified by two hashes of all 35 words, together 128 bits: of 10^13 windows, some 10^26
+pairs, one in 10^12 tables has a pair of unequal windows that passes. Words enter as 64-bit hashes, of which 10^9 distinct words
 have two alike with a chance of 3%.
 """
 
@@ -115,13 +115,17 @@ def window_marks(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.
     return score[places], places
 
 
-def window_hashes(hashes: np.ndarray) -> np.ndarray:
-    """For each window the hash of its words, from running sums; only where windows are verified."""
+def window_hashes(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each window two hashes of its words, from running sums; only where windows are verified."""
     n = len(hashes) - WINDOW + 1
     if n <= 0:
-        return np.zeros(0, np.uint64)
-    sums = np.concatenate([np.zeros(1, np.uint64), (_mix(hashes) * _powers(_ODD, len(hashes))).cumsum(dtype=np.uint64)])
-    return _mix((sums[WINDOW:] - sums[:-WINDOW]) * _powers(_ODD_INVERSE, n))
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    powers, undo = _powers(_ODD, len(hashes)), _powers(_ODD_INVERSE, n)
+    out = []
+    for salt in (0, 1):
+        sums = np.concatenate([np.zeros(1, np.uint64), (_mix(hashes + np.uint64(salt)) * powers).cumsum(dtype=np.uint64)])
+        out.append(_mix((sums[WINDOW:] - sums[:-WINDOW]) * undo))
+    return out[0], out[1]
 
 
 def kept_words(words: list[bytes], starts) -> list[bytes]:
@@ -160,13 +164,12 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, text_col: str = "te
         yield from held.drain()
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Rows("mark", "hash", "_t1", "_t2", "at", "copies")
+        held = Rows("hash1", "hash2", "_t1", "_t2", "at", "copies")
         for batch in batches:
             for t1, t2, text, copies, ranges in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                hashes, sizes = hashed_words(text)
-                m, h = window_marks(hashes, sizes)[0], window_hashes(hashes)
+                g, h = window_hashes(hashed_words(text)[0])
                 at = np.concatenate([np.arange(r["at"], r["at"] + r["size"]) for r in ranges])
-                yield from held.add(m[at].view(np.int64), h[at].view(np.int64), np.full(len(at), t1), np.full(len(at), t2), at.astype(np.int32), np.full(len(at), copies))
+                yield from held.add(g[at].view(np.int64), h[at].view(np.int64), np.full(len(at), t1), np.full(len(at), t2), at.astype(np.int32), np.full(len(at), copies))
         yield from held.drain()
 
     # 1. Where marks stand. Neighbouring windows mostly share one, so that a row stands for several.
@@ -181,11 +184,11 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, text_col: str = "te
     discard(ranges)
     firsts = hashed.select("_t1", "_t2", "_text").where("_text <> ''").groupBy("_t1", "_t2").agg(F.first("_text").alias("_text"))
     single = firsts.join(wanted, ["_t1", "_t2"])
-    sent = materialize(single.select("_t1", "_t2", "_text", "n", "ranges").mapInArrow(windows, "mark long, hash long, _t1 long, _t2 long, at int, copies long"), "repeat-windows")
+    sent = materialize(single.select("_t1", "_t2", "_text", "n", "ranges").mapInArrow(windows, "hash1 long, hash2 long, _t1 long, _t2 long, at int, copies long"), "repeat-windows")
     discard(wanted)
-    repeated = materialize(sent.groupBy("mark", "hash").agg(F.sum("copies").alias("n")).where("n > 1").select("mark", "hash"), "repeat-found")
+    repeated = materialize(sent.groupBy("hash1", "hash2").agg(F.sum("copies").alias("n")).where("n > 1").select("hash1", "hash2"), "repeat-found")
     release(docs.sparkSession)
-    starts = sent.where("copies = 1").join(repeated, ["mark", "hash"], "left_semi").groupBy("_t1", "_t2").agg(F.collect_list("at").alias("_starts"))  # as many as a text has windows
+    starts = sent.where("copies = 1").join(repeated, ["hash1", "hash2"], "left_semi").groupBy("_t1", "_t2").agg(F.collect_list("at").alias("_starts"))  # as many as a text has windows
     starts = materialize(starts, "repeat-starts")
     discard(sent)
 

@@ -13,7 +13,7 @@ from slotwise.ensemble_sql import ensemble_sql
 from slotwise.functions.formats import decode_tag, encode_tag
 from slotwise.operators import drift, ensemble, labels, learn
 from slotwise.operators import requests as req
-from slotwise.plans import analysis
+from slotwise.plans import analysis, compare, sequential
 from slotwise.sources.trace import event_trace
 
 query = q.query
@@ -145,15 +145,88 @@ def older_drift(spark: SparkSession, d: str) -> DataFrame:
     return _log(spark, d).where("variant = 'static'").join(moved, "slot").select("slot", "capacity", F.round(analysis.older_drift(1 - F.col("hr"), F.col("jsd")), 6).alias("drift"))
 
 
-@query()
+_EVENTS = """, placed AS (SELECT variant, capacity, slot, candidates::DOUBLE AS v, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY variant, capacity) AS n FROM log WINDOW w AS (PARTITION BY variant, capacity ORDER BY slot)),
+c AS (SELECT variant, capacity, list([pos, slot::BIGINT] ORDER BY v DESC, pos DESC) AS c FROM placed WHERE pos >= 1 AND pos < n - 2 GROUP BY ALL),
+p AS (SELECT variant, capacity, list_reduce(list_prepend([]::BIGINT[][], list_transform(c, lambda x: [x])), lambda s, x: CASE WHEN len(s) < 2 AND len(list_filter(s, lambda e: abs(e[1] - x[1][1]) <= 1)) = 0 THEN list_concat(s, x) ELSE s END) AS p FROM c),
+e AS (SELECT variant, capacity, unnest(list_transform(p, lambda x: x[2])) AS event FROM p)
+SELECT e.variant, e.capacity, o AS "offset", count(*) AS n_events, round(avg(hr), 9) AS mean FROM e, (SELECT unnest([-1, 0, 1, 2]) AS o) JOIN log ON log.variant = e.variant AND log.capacity = e.capacity AND log.slot = e.event + o GROUP BY ALL"""
+
+
+@query(LOG + _EVENTS)
 def event_study(spark: SparkSession, d: str) -> DataFrame:
     """Hit ratios around the slots of the most misses."""
     return analysis.event_study(_log(spark, d), "candidates", before=1, after=2, most=2, gap=1)
 
 
-@query()
+def _drawn_sql(draws: int, block: int) -> str:
+    """Places of moving-block resamples, from a table s (k, n: each series and its length)."""
+    return f"""drawn AS (SELECT k, n, d, b, floor(('0x' || substr(md5('7:' || d || ':' || b), 1, 8))::BIGINT / 4294967296.0 * greatest(1, n - {block} + 1))::BIGINT AS start FROM s, range({draws}) x(d), range(1000) y(b) WHERE b < ceil(n / {block})),
+taken AS (SELECT k, d, least(start + o, n - 1) AS at FROM drawn, range({block}) z(o) WHERE b * {block} + o < n)"""
+
+
+@query(LOG + f""", gain AS (SELECT a.capacity AS k, a.slot, a.hr AS a, b.hr AS b, row_number() OVER (PARTITION BY a.capacity ORDER BY a.slot) - 1 AS at FROM log a JOIN log b USING (capacity, slot) WHERE a.variant = 'static' AND b.variant = 'frozen'),
+s AS (SELECT k, count(*) AS n FROM gain GROUP BY k), {_drawn_sql(500, 3)},
+means AS (SELECT t.k, d, avg(a) - avg(b) AS delta, (avg(a) - avg(b)) / greatest(1e-12, 1 - avg(b)) AS rmr FROM taken t JOIN gain g ON g.k = t.k AND g.at = t.at GROUP BY t.k, d),
+whole AS (SELECT k, count(*) AS n_slots, avg(a) - avg(b) AS delta, (avg(a) - avg(b)) / greatest(1e-12, 1 - avg(b)) AS rmr FROM gain GROUP BY k)
+SELECT w.k AS capacity, any_value(n_slots) AS n_slots, {", ".join(f"round(any_value(w.{c}), 9) AS {c}, round(quantile_cont(m.{c}, 0.025), 9) AS {c}_low, round(quantile_cont(m.{c}, 0.975), 9) AS {c}_high" for c in ("delta", "rmr"))} FROM whole w JOIN means m USING (k) GROUP BY w.k""")
 def bootstrap_gain(spark: SparkSession, d: str) -> DataFrame:
-    return analysis.bootstrap_gain(_log(spark, d), STATIC, BASELINE, block=3, draws=500)
+    found = analysis.bootstrap_gain(_log(spark, d), STATIC, BASELINE, block=3, draws=500)
+    return found.select("capacity", "n_slots", *[F.round(f"{c}{end}", 9).alias(f"{c}{end}") for c in ("delta", "rmr") for end in ("", "_low", "_high")])
+
+
+@query(LOG + f""", series AS (SELECT capacity AS k, slot, hr, row_number() OVER (PARTITION BY capacity ORDER BY slot) - 1 AS at FROM log WHERE variant = 'static'), s AS (SELECT k, count(*) AS n FROM series GROUP BY k), {_drawn_sql(500, 3)},
+means AS (SELECT t.k, d, avg(hr) AS hr FROM taken t JOIN series g ON g.k = t.k AND g.at = t.at GROUP BY t.k, d)
+SELECT k AS capacity, round((SELECT avg(hr) FROM series x WHERE x.k = means.k), 9) AS mean, round(quantile_cont(hr, 0.025), 9) AS low, round(quantile_cont(hr, 0.975), 9) AS high FROM means GROUP BY k""")
+def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
+    found = compare.bootstrap_interval(_log(spark, d).where("variant = 'static'"), "hr", "capacity")
+    return found.select("capacity", *[F.round(c, 9).alias(c) for c in ("mean", "low", "high")])
+
+
+_MISSES = LOG + ", v AS (SELECT variant, capacity, slot, round(1 - hr, 9) AS x, row_number() OVER (PARTITION BY variant, capacity ORDER BY slot) AS i FROM log)"
+_NEXT = "FROM g JOIN v ON v.variant = g.variant AND v.capacity = g.capacity AND v.i = g.i + 1"
+
+
+def _misses(spark: SparkSession, d: str) -> DataFrame:
+    return _log(spark, d).withColumn("miss", F.round(1 - F.col("hr"), 9))
+
+
+def _rounded(scores: DataFrame) -> DataFrame:
+    return scores.withColumn("score", F.round("score", 6))
+
+
+@query(_MISSES + f""", f AS (WITH RECURSIVE g AS (SELECT variant, capacity, slot, i, 0.3 * x AS ema, 0.3 * x AS mean, 0.0::DOUBLE AS var FROM v WHERE i = 1
+  UNION ALL SELECT variant, capacity, slot, i, e, m, 0.9 * var + 0.1 * (e - m) ** 2 FROM (SELECT *, 0.9 * mean + 0.1 * e AS m FROM (SELECT v.variant, v.capacity, v.slot, v.i, 0.3 * v.x + 0.7 * g.ema AS e, g.mean, g.var {_NEXT}))) SELECT * FROM g)
+SELECT variant, capacity, slot, round(1 / (1 + exp(-greatest(-3, least(3, (ema - mean) / (sqrt(var) + 1e-6))))), 6) AS score FROM f""")
+def drift_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The normalised drift score of each run's miss ratios."""
+    return _rounded(sequential.drift_scores(_misses(spark, d), "miss", analysis.RUN))
+
+
+@query(_MISSES + f""", f AS (WITH RECURSIVE g AS (SELECT variant, capacity, slot, i, x AS mean, 0.0::DOUBLE AS var, 0.0::DOUBLE AS score FROM v WHERE i = 1
+  UNION ALL SELECT variant, capacity, slot, i, m, w, least(2.5, greatest(0, (x - m) / sqrt(w + 1e-12))) / 2.5 FROM (SELECT v.variant, v.capacity, v.slot, v.i, v.x, g.mean + 0.1 * (v.x - g.mean) AS m, 0.9 * g.var + 0.1 * (v.x - g.mean) ** 2 AS w {_NEXT})) SELECT * FROM g)
+SELECT variant, capacity, slot, round(score, 6) AS score FROM f""")
+def one_sided_drift(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(sequential.one_sided_scores(_misses(spark, d), "miss", analysis.RUN))
+
+
+@query(_MISSES + """, e AS (SELECT *, x - avg(x) OVER w - 0.005 AS e FROM v WINDOW w AS (PARTITION BY variant, capacity ORDER BY slot ROWS UNBOUNDED PRECEDING)),
+t AS (SELECT *, sum(e) OVER (PARTITION BY variant, capacity ORDER BY slot ROWS UNBOUNDED PRECEDING) AS t FROM e),
+p AS (SELECT *, (t - least(0, min(t) OVER (PARTITION BY variant, capacity ORDER BY slot ROWS UNBOUNDED PRECEDING))) / 0.05 AS p FROM t)
+SELECT variant, capacity, slot, round(least(1, p), 6) AS score, p > 1 AS alarm FROM p""")
+def page_hinkley(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(sequential.page_hinkley(_misses(spark, d), "miss", analysis.RUN, threshold=0.05))
+
+
+_SPLITS = "list_transform(range(2, len(k) - 1), lambda c: abs(list_avg(k[1:c]) - list_avg(k[c + 1:])) / sqrt(0.5 * ln(2 / 0.9) * (1 / c + 1 / (len(k) - c))))"
+
+
+@query(_MISSES + f""", f AS (WITH RECURSIVE g AS (SELECT variant, capacity, slot, i, [x] AS kept, 0.0::DOUBLE AS top FROM v WHERE i = 1
+  UNION ALL SELECT variant, capacity, slot, i, CASE WHEN cut > 0 THEN k[cut + 2:] ELSE k END, coalesce(list_max(CASE WHEN cut > 0 THEN gaps[1:cut] ELSE gaps END), 0)
+  FROM (SELECT *, coalesce(list_position(list_transform(gaps, lambda y: y > 1), true), 0) AS cut FROM (SELECT *, {_SPLITS} AS gaps FROM (SELECT v.variant, v.capacity, v.slot, v.i, list_append(g.kept, v.x) AS k {_NEXT})))) SELECT * FROM g)
+SELECT variant, capacity, slot, round(least(1, top), 6) AS score FROM f""")
+def adaptive_window(spark: SparkSession, d: str) -> DataFrame:
+    """With a loose bound and short sides, since a run here has few slots."""
+    return _rounded(sequential.adaptive_window_scores(_misses(spark, d), "miss", analysis.RUN, delta=0.9, least=2))
 
 
 WEIGHTS = q.NSE + """, held AS (SELECT *, row_number() OVER (PARTITION BY slot ORDER BY created) AS place, weight / sum(weight) OVER (PARTITION BY slot) AS share FROM nse_weight),

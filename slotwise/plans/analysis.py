@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from slotwise.operators.labels import correlations, pearson
+from slotwise.plans.compare import resampled
 
 RUN = ["variant", "capacity"]
 
@@ -82,31 +81,22 @@ def shift_miss_area(log: DataFrame, change: int, window: int = 30) -> DataFrame:
     return after.groupBy(*RUN).agg(F.count("*").alias("n_slots"), F.round(F.sum(1 - F.col("hr")), 9).alias("miss_area"))
 
 
-def pick_events(signal: np.ndarray, before: int = 5, after: int = 10, most: int = 8, gap: int = 3) -> list[int]:
-    """Places of the greatest values, the later of equal ones first, with room on both sides and more than `gap` apart."""
-    chosen: list[int] = []
-    for i in np.argsort(signal, kind="stable")[::-1].tolist():
-        if before <= i < len(signal) - after and np.isfinite(signal[i]) and all(abs(i - c) > gap for c in chosen):
-            chosen.append(i)
-            if len(chosen) == most:
-                break
-    return chosen
+def pick_events(log: DataFrame, signal: str, before: int = 5, after: int = 10, most: int = 8, gap: int = 3) -> DataFrame:
+    """variant, capacity, event (a slot): a run's slots of the greatest signal, the later of equal ones first, with room on both sides and more
+    than `gap` places apart. A native fold over a run's slots, greatest first; null and NaN are never picked."""
+    order = Window.partitionBy(*RUN).orderBy("slot")
+    n = F.count("*").over(Window.partitionBy(*RUN))
+    placed = log.select(*RUN, "slot", F.col(signal).cast("double").alias("v"), (F.row_number().over(order) - 1).alias("at"), n.alias("n"))
+    roomy = placed.where((F.col("at") >= before) & (F.col("at") < F.col("n") - after) & F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < float("inf")))
+    ranked = roomy.groupBy(*RUN).agg(F.sort_array(F.collect_list(F.struct("v", "at", "slot")), False).alias("c"))
+    take = lambda s, x: F.when((F.size(s) < most) & F.forall(s, lambda p: F.abs(p["at"] - x["at"]) > gap), F.array_append(s, F.struct(x["at"].alias("at"), x["slot"].cast("int").alias("slot")))).otherwise(s)
+    picked = F.aggregate("c", F.array().cast("array<struct<at:int,slot:int>>"), take)
+    return ranked.select(*RUN, F.explode(picked).alias("s")).select(*RUN, F.col("s.slot").alias("event"))
 
 
 def event_study(log: DataFrame, signal: str, value: str = "hr", before: int = 5, after: int = 10, most: int = 8, gap: int = 3) -> DataFrame:
-    """Per run and offset from -before to after: mean of value around the slots of the greatest signal, and of how many events.
-
-    Picking is greedy, so a run's slots go to one task: one row each.
-    """
-
-    def events(key, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("slot")
-        slots = frame.slot.to_numpy()
-        picked = pick_events(frame[signal].to_numpy(dtype=float), before, after, most, gap)
-        return pd.DataFrame([(key[0], int(key[1]), int(slots[i])) for i in picked], columns=[*RUN, "event"])
-
-    found = log.select(*RUN, "slot", signal).groupBy(*RUN).applyInPandas(events, "variant string, capacity long, event int")
-    wide = found.withColumn("offset", F.explode(F.sequence(F.lit(-before), F.lit(after)))).withColumn("slot", F.col("event") + F.col("offset"))
+    """Per run and offset from -before to after: mean of value around the slots of the greatest signal, and of how many events."""
+    wide = pick_events(log, signal, before, after, most, gap).withColumn("offset", F.explode(F.sequence(F.lit(-before), F.lit(after)))).withColumn("slot", F.col("event") + F.col("offset"))
     return wide.join(log.select(*RUN, "slot", F.col(value).alias("_v")), [*RUN, "slot"]).groupBy(*RUN, "offset").agg(F.count("*").alias("n_events"), F.round(F.avg("_v"), 9).alias("mean"))
 
 
@@ -131,21 +121,14 @@ def weight_changes(weights: DataFrame, eps: float = 1e-6) -> DataFrame:
 def bootstrap_gain(values: DataFrame, a: str, b: str, column: str = "hr", block: int = 5, draws: int = 2000, seed: int = 7) -> DataFrame:
     """Moving-block bootstrap per capacity of a's gain over b on slots that both have: difference of means and relative miss
     reduction, each with the central 95%. The same blocks are drawn from both."""
-
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("slot")
-        x, y = frame.a.to_numpy(dtype=float), frame.b.to_numpy(dtype=float)
-        n, rng = len(x), np.random.default_rng(seed)
-        starts = rng.integers(0, max(1, n - block + 1), (draws, -(-n // block)))
-        at = np.minimum(starts[:, :, None] + np.arange(block), n - 1).reshape(draws, -1)[:, :n]
-        mx, my = x[at].mean(axis=1), y[at].mean(axis=1)
-        reduction = (mx - my) / np.maximum(1e-12, 1 - my)
-        whole = (x.mean() - y.mean(), (x.mean() - y.mean()) / max(1e-12, 1 - y.mean()))
-        return pd.DataFrame([(int(key[0]), n, whole[0], *map(float, np.quantile(mx - my, [0.025, 0.975])), whole[1], *map(float, np.quantile(reduction, [0.025, 0.975])))])
-
     left = values.where(F.col("variant") == a).select("capacity", "slot", F.col(column).alias("a"))
     both = left.join(values.where(F.col("variant") == b).select("capacity", "slot", F.col(column).alias("b")), ["capacity", "slot"])
-    return both.groupBy("capacity").applyInPandas(run, "capacity long, n_slots long, delta double, delta_low double, delta_high double, rmr double, rmr_low double, rmr_high double")
+    delta = F.col("a") - F.col("b")
+    gains = {"delta": delta, "rmr": delta / F.greatest(F.lit(1e-12), 1 - F.col("b"))}
+    spread = [F.percentile(g, F.lit(p)).alias(f"{k}_{end}") for k, g in gains.items() for p, end in ((0.025, "low"), (0.975, "high"))]
+    drawn = resampled(both, ["a", "b"], ["capacity"], "slot", block, draws, seed).groupBy("capacity").agg(*spread)
+    whole = both.groupBy("capacity").agg(F.count("*").alias("n_slots"), F.avg("a").alias("a"), F.avg("b").alias("b")).select("capacity", "n_slots", *[g.alias(k) for k, g in gains.items()])
+    return whole.join(drawn, "capacity").select("capacity", "n_slots", "delta", "delta_low", "delta_high", "rmr", "rmr_low", "rmr_high")
 
 
 def older_drift(miss_rate: Column, jsd: Column, sensitivity: float = 10.0, miss_weight: float = 0.2, jsd_weight: float = 0.8) -> Column:

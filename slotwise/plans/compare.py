@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from slotwise.plans.sequential import exponential_means
+
 TIE = 1e-6
 
 
@@ -34,25 +34,29 @@ def trailing_mean(values: DataFrame, column: str, window: int = 5, by: str | Non
 
 
 def exponential_mean(values: DataFrame, column: str, rate: float = 0.2, order: str = "slot") -> DataFrame:
-    """slot and EMA of column, from the first value on: a fold over the slots, one row each, in one pass."""
+    """slot and EMA of column, from the first value on: a native fold over the slots, one row each."""
+    found = exponential_means(values.withColumn("slot", F.col(order)), column, [], rate, f"{column}_ema")
+    return found.select(F.col("slot").alias(order), F.round(f"{column}_ema", 9).alias(f"{column}_ema"))
+
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order)
-        return pd.DataFrame({order: frame[order], f"{column}_ema": frame[column].astype(float).ewm(alpha=rate, adjust=False).mean().round(9)})
+def resampled(values: DataFrame, columns: list[str], by: list[str], order: str = "slot", block: int = 3, draws: int = 500, seed: int = 7) -> DataFrame:
+    """by, draw and the mean of each column: moving-block resamples of each group's series, as rows.
 
-    kind = dict(values.dtypes)[order]
-    return values.select(order, column).groupBy(F.lit(0).alias("run")).applyInPandas(fold, f"{order} {kind}, {column}_ema double")
+    A draw strings blocks of neighbouring values together until it has as many as the series; where a block starts is decided by the md5 of
+    `seed:draw:block`, so anyone can draw the same, and the columns' blocks are the same.
+    """
+    here = Window.partitionBy(*by)
+    placed = values.select(*by, *columns, (F.row_number().over(here.orderBy(order)) - 1).alias("_place"), F.count("*").over(here).alias("_n"))
+    sizes = placed.groupBy(*by).agg(F.first("_n").alias("_n"))
+    picked = sizes.select(*by, "_n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).select("*", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("_n") / block) - 1).cast("int"))).alias("_block"))
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "draw", "_block").cast("binary")), 1, 8), 16, 10).cast("double") / 2**32
+    begun = picked.withColumn("_start", F.floor(drawn * F.greatest(F.lit(1), F.col("_n") - block + 1)))
+    taken = begun.select(*by, "_n", "draw", F.col("_block"), "_start", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("_k")).where(F.col("_block") * block + F.col("_k") < F.col("_n"))
+    at = taken.select(*by, "draw", F.least(F.col("_start") + F.col("_k"), F.col("_n") - 1).cast("int").alias("_place"))
+    return at.join(placed, [*by, "_place"]).groupBy(*by, "draw").agg(*[F.avg(c).alias(c) for c in columns])
 
 
 def bootstrap_interval(values: DataFrame, column: str, by: str, order: str = "slot", block: int = 3, draws: int = 500, seed: int = 7) -> DataFrame:
     """Moving-block bootstrap of the mean of each group's series: mean, low and high of the central 95%."""
-
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
-        x = frame.sort_values(order)[column].to_numpy(dtype=float)
-        rng = np.random.default_rng(seed)
-        starts = rng.integers(0, max(1, len(x) - block + 1), (draws, -(-len(x) // block)))
-        means = x[np.minimum(starts[:, :, None] + np.arange(block), len(x) - 1)].reshape(draws, -1)[:, : len(x)].mean(axis=1)
-        return pd.DataFrame([(key[0], float(x.mean()), *map(float, np.quantile(means, [0.025, 0.975])))], columns=[by, "mean", "low", "high"])
-
-    kind = dict(values.dtypes)[by]
-    return values.groupBy(by).applyInPandas(run, f"{by} {kind}, mean double, low double, high double")
+    means = resampled(values, [column], [by], order, block, draws, seed).groupBy(by).agg(F.percentile(column, F.lit(0.025)).alias("low"), F.percentile(column, F.lit(0.975)).alias("high"))
+    return values.groupBy(by).agg(F.avg(column).alias("mean")).join(means, by)

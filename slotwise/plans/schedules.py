@@ -25,6 +25,6 @@ def even_schedule(log: DataFrame, budget: str = "selected") -> DataFrame:
 def permuted_schedule(log: DataFrame, budget: str = "selected", seed: int = 7) -> DataFrame:
     """The run's figures dealt to its slots in an order that the seed decides; a window's rows are one run's slots."""
     here = log.select(*RUN, "slot", F.row_number().over(Window.partitionBy(*RUN).orderBy("slot")).alias("_place"))
-    drawn = F.row_number().over(Window.partitionBy(*RUN).orderBy(F.xxhash64(F.lit(seed), "slot"), "slot"))
+    drawn = F.row_number().over(Window.partitionBy(*RUN).orderBy(F.md5(F.concat_ws(":", F.lit(seed), "slot").cast("binary")), "slot"))
     there = log.select(*RUN, drawn.alias("_place"), F.col(budget).cast("long").alias("scheduled"))
     return here.join(there, [*RUN, "_place"]).select(*RUN, "slot", "scheduled")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from slotwise.ensemble_sql import ensemble_sql
-from slotwise.functions.fnv import PUBLISHED_OFFSET, fnv1a_64
+from slotwise.functions.fnv import OFFSET, PUBLISHED_OFFSET, fnv1a_64
 from slotwise.operators import drift, ensemble, gated, labels, learn, replay
 from slotwise.operators import requests as req
 from slotwise.plans import compare, schedules
@@ -352,7 +352,11 @@ def trace_validation(spark: SparkSession, d: str) -> DataFrame:
     return event_trace(spark, d).agg(F.count("*").alias("n_rows"), F.countDistinct("object_id").alias("n_objects"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.max("slot").alias("n_slots"))
 
 
-@query()
+_FNV = "list_reduce(list_prepend({0}::HUGEINT, list_transform(string_split(object_id, ''), lambda c: ascii(c)::HUGEINT)), lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)"
+_SIGNED = "(CASE WHEN {0} >= 9223372036854775808::HUGEINT THEN {0} - 18446744073709551616::HUGEINT ELSE {0} END)::BIGINT"
+
+
+@query(f"hashed AS (SELECT DISTINCT object_id, {_FNV.format(OFFSET)} AS a, {_FNV.format(PUBLISHED_OFFSET)} AS b FROM trace) SELECT object_id, {_SIGNED.format('a')} AS fnv1a, {_SIGNED.format('b')} AS fnv1a_published FROM hashed")
 def object_hashes(spark: SparkSession, d: str) -> DataFrame:
     """Hashes from the sketches' offset basis and from the published one."""
     objects = event_trace(spark, d).select("object_id").distinct()
@@ -440,11 +444,6 @@ def learned_admission(spark: SparkSession, d: str) -> DataFrame:
     return replay.replay_policies(_scores(spark, d, features=GAP_NAMES).where("slot > 2"), CAPACITIES, policies=("LRU",), admit="vote")
 
 
-@query()
-def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    return compare.bootstrap_interval(_static(spark, d).groupBy("slot", "capacity").agg(F.avg("hit").alias("hr")), "hr", "capacity")
-
-
 def _label_log(spark: SparkSession, d: str) -> DataFrame:
     return _top(spark, d).groupBy("slot").agg(F.sum("y").alias("selected")).withColumns({"variant": F.lit("labels"), "capacity": F.lit(100).cast("long")})
 
@@ -458,11 +457,17 @@ def even_schedule(spark: SparkSession, d: str) -> DataFrame:
     return schedules.even_schedule(_label_log(spark, d))
 
 
-@query()
+@query("""chosen AS (SELECT slot, sum(y)::BIGINT AS selected, row_number() OVER (ORDER BY slot) AS place, row_number() OVER (ORDER BY md5('7:' || slot), slot) AS drawn FROM top GROUP BY slot)
+    SELECT 'labels' AS variant, 100::BIGINT AS capacity, a.slot, b.selected AS scheduled FROM chosen a JOIN chosen b ON a.place = b.drawn""")
 def permuted_schedule(spark: SparkSession, d: str) -> DataFrame:
     return schedules.permuted_schedule(_label_log(spark, d))
 
 
+@query("SELECT 'labels' AS variant, 100::BIGINT AS capacity, slot, sum(y)::BIGINT AS scheduled FROM top GROUP BY slot")
+def matched_schedule(spark: SparkSession, d: str) -> DataFrame:
+    return schedules.matched_schedule(_label_log(spark, d))
+
+
 @query()
 def scheduled_runs(spark: SparkSession, d: str) -> DataFrame:
     """Unguarded runs that admit as many as the guarded one: slot by slot, evenly, and in another order of slots."""

@@ -7,11 +7,12 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from slotwise.functions import formats
-from slotwise.operators import labels
+from slotwise.operators import drift, labels
 from slotwise.operators import requests as req
-from slotwise.plans import analysis
+from slotwise.plans import analysis, compare, sequential
 from slotwise.sources import trace as src
 from slotwise.streaming import gaps, slots
 
@@ -22,8 +23,9 @@ def log_of(spark, values, variant="a", capacity=4):
 
 def test_events_are_picked_greedily(spark):
     signal = np.array([9, 1, 1, 1, 1, 5, 8, 1, 1, 1, 7, 1, 1, 1, 1, 1, 1, 1, 1, 9], dtype=float)
-    assert analysis.pick_events(signal, 2, 3, 8, 3) == [6, 10, 16, 2]  # the ends lack room, 5 is too near to 6, of equal ones the later first
-    assert analysis.pick_events(signal, 2, 3, 1, 3) == [6] and analysis.pick_events(np.array([np.nan] * 20), 1, 1) == []
+    picked = lambda values, *args: [r.event - 1 for r in analysis.pick_events(log_of(spark, values), "hr", *args).collect()]
+    assert picked(signal, 2, 3, 8, 3) == [6, 10, 16, 2]  # the ends lack room, 5 is too near to 6, of equal ones the later first
+    assert picked(signal, 2, 3, 1, 3) == [6] and picked([float("nan")] * 20, 1, 1) == []
     found = {r.offset: r.mean for r in analysis.event_study(log_of(spark, signal), "hr", before=1, after=2, most=2).collect()}
     assert found == {-1: 3.0, 0: 7.5, 1: 1.0, 2: 1.0}
 
@@ -145,3 +147,30 @@ def test_streamed_slots_and_clamp_equal_the_batch(spark, tmp_path):
 def test_pairs_of_constants_have_no_correlation(spark):
     pairs = spark.createDataFrame([(1, 1.0, float(i)) for i in range(5)] + [(2, float(i), float(i)) for i in range(5)], "slot int, x double, y double")
     assert {r.slot: (r.pearson, r.spearman) for r in labels.correlations(pairs, "x", "y").collect()} == {1: (None, None), 2: (1.0, 1.0)}
+
+
+def test_sequential_scores_equal_the_detectors(spark):
+    """Native folds against the classes that take one value at a time, on a series that drifts, and on two runs at once."""
+    rng = random.Random(8)
+    series = [0.2 + 0.05 * rng.random() + (0.4 if 40 <= i < 70 else 0.0) for i in range(90)]
+    log = log_of(spark, series).unionByName(log_of(spark, series[::-1], "b")).repartition(4)
+    makers = [(sequential.drift_scores, drift.DriftScore), (sequential.one_sided_scores, drift.OneSidedDrift), (sequential.page_hinkley, drift.PageHinkley), (sequential.adaptive_window_scores, drift.AdaptiveWindow)]
+    for native, plain in makers:
+        got = {(r.variant, r.slot): r.score for r in native(log, "hr", ["variant"]).collect()}
+        for variant, values in (("a", series), ("b", series[::-1])):
+            one = plain()
+            assert [got[variant, i + 1] for i in range(90)] == pytest.approx([one.update(v) for v in values], abs=1e-9), plain
+    plan = sequential.drift_scores(log, "hr", ["variant"])._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_bootstrap_draws_blocks(spark):
+    """Each draw is made of whole blocks of neighbours; draws are the same for all columns and at every run."""
+    log = log_of(spark, range(10)).withColumn("twice", F.col("hr") * 2)
+    drawn = compare.resampled(log, ["hr", "twice"], ["variant"], block=5, draws=50)
+    rows = drawn.collect()
+    assert len(rows) == 50 and all(r.twice == 2 * r.hr for r in rows) and len({r.hr for r in rows}) > 5
+    assert all((r.hr - 2) * 2 == int((r.hr - 2) * 2) for r in rows)  # the mean of two blocks i..i+4 and j..j+4 is (i + j) / 2 + 2
+    assert sorted(map(str, rows)) == sorted(map(str, drawn.collect()))
+    short = compare.bootstrap_interval(log.where("slot <= 2"), "hr", "variant", block=5, draws=5).first()
+    assert (short.low, short.high) == (0.5, 0.5)  # a series shorter than a block is the only block

@@ -166,10 +166,15 @@ def discard(df: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let go of finished shuffles' files: the driver's cleaner removes them once their plans are garbage."""
+    """Let go of finished shuffles' files: the driver's cleaner removes them once their plans are garbage.
+
+    The end of the last query takes a moment to reach Spark's listeners, which hold its plan until then.
+    """
     import gc
+    import time
 
     gc.collect()
+    time.sleep(1)
     spark._jvm.System.gc()
 
 

@@ -164,6 +164,7 @@ def similar_links(texts: DataFrame) -> DataFrame:
         return pairs.join(a, "a", "left").join(b, "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
 
     links = _verified(_close_fingerprints(texts), texts)
+    release(texts.sparkSession)
     every = rare_prefixes(texts)
     keys = materialize(every.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("class", "size", "at")).alias("l")).where("n > 1").select("key", "l"), "shared-shingles")
     placed = materialize(every.join(keys, "key"), "shared-prefixes")
@@ -203,7 +204,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     with keeping(docs.sparkSession, "shingled", "keepers"):  # what the result is read from
         marked = materialize(kept.mapInArrow(mark, extended(kept.schema, "_class long, _row long")), "shingled")
         classes = materialize(marked.groupBy("_class").agg(F.min(F.struct(F.col(id_col).isNull(), id_col, "_row")).alias("first")), "classes")
-        texts = materialize(marked.select("_row", F.col("_class").alias("class"), F.col(text_col).alias("text")).join(classes.select(F.col("first._row").alias("_row")).hint("merge"), "_row", "left_semi").select("class", "text").repartition(shuffle_width(docs.sparkSession), "class"), "texts")
+        texts = materialize(marked.select("_row", F.col("_class").alias("class"), F.col(text_col).alias("text")).join(classes.select(F.col("first._row").alias("_row")).hint("merge"), "_row", "left_semi").select("class", "text"), "texts")
+        release(docs.sparkSession)
         roots = connected_components(similar_links(texts))
         rooted = classes.join(roots.withColumnRenamed("node", "_class"), "_class", "left").select("first", F.coalesce("root", "_class").alias("root"))
         keepers = materialize(rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row")), "keepers")

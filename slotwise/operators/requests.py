@@ -14,9 +14,11 @@ SPANS = {"f_short": 1, "f_mid": 7, "f_long": 30}
 FEATURE_SETS = {"A0": ("gaps",), "A1": ("gaps",), "A2": ("gaps", "f_short", "f_mid", "f_long", "f_cum"), "A3": ("f_short", "f_mid", "f_long", "f_cum"), "A1-old": ("gaps", "f_short"), "A3-old": ("gaps", "f_short", "f_mid", "f_long", "f_cum", "f_slot")}
 
 
-def clamp_time(trace: DataFrame, raw: str = "raw_ts") -> DataFrame:
+def clamp_time(trace: DataFrame, raw: str = "raw_ts", last: float | None = None) -> DataFrame:
     """trace with ts: a late timestamp is lifted to the largest so far, a null is the one before plus 1 (first: 1).
 
+    last: the ts of the request before the first of trace, where trace goes on from another.
+
     With c nulls up to a row, ts - c never falls, so ts = c + the running maximum of raw - c over non-null rows, 0 at
     least if the first row is null. Both runs are two-level: within slots, and over the slots' totals.
     """
@@ -28,7 +30,7 @@ def clamp_time(trace: DataFrame, raw: str = "raw_ts") -> DataFrame:
     counted = trace.join(nulls, "slot").withColumn("c", F.col("before") + F.sum(missing).over(within)).drop("before").withColumn("x", F.when(F.col(raw).isNull() & (F.col("seq") == 0), 0.0).otherwise(F.col(raw) - F.col("c")))
     tops = counted.groupBy("slot").agg(F.max("x").alias("top"))
     earlier = tops.select("slot", F.max("top").over(over_slots).alias("top"))
-    run = F.greatest(F.max("x").over(within), F.col("top"))  # greatest passes over nulls
+    run = F.greatest(F.max("x").over(within), F.col("top"), F.lit(last).cast("double"))  # greatest passes over nulls
     return counted.join(earlier, "slot").withColumn("ts", F.col("c") + run).drop("c", "x", "top")
 
 
@@ -38,11 +40,29 @@ def clamp_counters(clamped: DataFrame, raw: str = "raw_ts") -> DataFrame:
     return clamped.groupBy("slot").agg(F.count("*").alias("n_requests"), F.sum(late).alias("n_late"), F.sum(F.col(raw).isNull().cast("long")).alias("n_null"), F.round(F.avg(late), 9).alias("late_share"))
 
 
-def with_gaps(trace: DataFrame, gaps: int = GAPS, sentinel: float = SENTINEL) -> DataFrame:
-    """trace with g1..g<gaps>: time since the object's i-th last request; and hist_len: how many there were, gaps at most."""
-    mine = Window.partitionBy("object_id").orderBy("seq")
-    columns = {f"g{i}": F.coalesce(F.col("ts") - F.lag("ts", i).over(mine), F.lit(sentinel)) for i in range(1, gaps + 1)}
-    return trace.withColumns(columns | {"hist_len": F.least(F.row_number().over(mine) - 1, F.lit(gaps))})
+#: Places of the trace over which one task looks at an object's requests.
+STRETCH = 65_536
+
+
+def with_gaps(trace: DataFrame, gaps: int = GAPS, sentinel: float = SENTINEL, stretch: int = STRETCH) -> DataFrame:
+    """trace with g1..g<gaps>: time since the object's i-th last request; and hist_len: how many there were, gaps at most.
+
+    An object's requests are looked at a stretch of the trace at a time, so the hottest object fills no task. What its first requests in a stretch need is
+    carried in: the last timestamps of each stretch, `gaps` at most, of which those of the last `gaps` stretches with the object are enough.
+    """
+    here, there = Window.partitionBy("object_id", "_part").orderBy("seq"), Window.partitionBy("object_id", "_part")
+    lags = {f"_g{i}": F.lag("ts", i).over(here) for i in range(1, gaps + 1)}
+    placed = trace.withColumn("_part", F.floor(F.col("seq") / stretch)).withColumns({"_at": F.row_number().over(here), "_all": F.count("*").over(there), **lags})
+    last = placed.where(F.col("_all") - F.col("_at") < gaps).groupBy("object_id", "_part").agg(F.max("_all").alias("_n"), F.sort_array(F.collect_list(F.struct("_at", "ts")), False)["ts"].alias("_last"))
+    before = Window.partitionBy("object_id").orderBy("_part")
+    earlier = F.flatten(F.filter(F.array(*[F.lag("_last", i).over(before) for i in range(1, gaps + 1)]), lambda x: x.isNotNull()))
+    carried = last.select(F.col("object_id").alias("_object"), F.col("_part").alias("_of"), F.slice(earlier, 1, gaps).alias("_carried"), F.coalesce(F.sum("_n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    joined = placed.join(carried, F.col("object_id").eqNullSafe(F.col("_object")) & (F.col("_part") == F.col("_of")))
+    at = F.col("_at")
+    known = {i: F.when(at > i, F.col(f"_g{i}")).otherwise(F.try_element_at("_carried", F.lit(i + 1) - at)) for i in range(1, gaps + 1)}
+    columns = {f"g{i}": F.coalesce(F.col("ts") - t, F.lit(sentinel)) for i, t in known.items()}
+    found = joined.withColumns(columns | {"hist_len": F.least(F.col("_before") + at - 1, F.lit(gaps)).cast("int")})
+    return found.select(*trace.columns, *columns, "hist_len")
 
 
 def slot_objects(trace: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from slotwise.functions.formats import latex_table, markdown_table
+from slotwise.sources.archive import register_archives
 
 #: Rows that a stretch of the order holds on average; one task numbers it.
 STRETCH = 65_536
@@ -17,16 +18,22 @@ STRETCH = 65_536
 def number_rows(df: DataFrame, order: str) -> DataFrame:
     """df with seq: 0, 1, ... in ascending order of `order`, a unique integer column.
 
-    The order is cut into as many equal stretches of its values as it takes for STRETCH rows each, however sparse the values
-    are. A stretch is numbered in one window; the stretches' counts are summed up in a window of one row a stretch.
+    The order is cut into as many equal stretches of its values as it takes for STRETCH rows each, and a stretch that holds more, because
+    values lie close there and far apart elsewhere, once more between its own ends. A stretch is numbered in one window; the stretches' counts
+    are summed up in a window of one row a stretch.
     """
     ends = df.agg(F.min(order).alias("low"), F.max(order).alias("high"), F.count("*").alias("n")).first()
     width = 1 if not ends.n else max(1, -(-(ends.high - ends.low + 1) * STRETCH // ends.n))
     stretched = df.withColumn("_stretch", F.floor((F.col(order) - F.lit(ends.low or 0)) / width))
-    counts = stretched.groupBy("_stretch").agg(F.count("*").alias("_n"))
-    before = counts.select("_stretch", (F.sum("_n").over(Window.orderBy("_stretch")) - F.col("_n")).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_stretch").orderBy(order))
-    return stretched.withColumn("_in", within).join(before, "_stretch").withColumn("seq", F.col("_before") + F.col("_in") - 1).drop("_stretch", "_in", "_before")
+    full = stretched.groupBy("_stretch").agg(F.count("*").alias("_n"), F.min(order).alias("_low"), F.max(order).alias("_high"))
+    widths = full.select("_stretch", "_low", F.ceil((F.col("_high") - F.col("_low") + 1) / F.ceil(F.col("_n") / STRETCH)).alias("_width"))
+    cut = stretched.join(widths, "_stretch").withColumn("_cut", F.floor((F.col(order) - F.col("_low")) / F.col("_width")))
+    before = Window.orderBy("_stretch", "_cut")
+    counts = cut.groupBy("_stretch", "_cut").agg(F.count("*").alias("_n"))
+    shifts = counts.select("_stretch", "_cut", (F.sum("_n").over(before) - F.col("_n")).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_stretch", "_cut").orderBy(order))
+    numbered = cut.withColumn("_in", within).join(shifts, ["_stretch", "_cut"])
+    return numbered.withColumn("seq", F.col("_before") + F.col("_in") - 1).select(*df.columns, "seq")
 
 
 def with_slots(trace: DataFrame, slot_size: int) -> DataFrame:
@@ -73,42 +80,16 @@ def read_sized_requests(spark: SparkSession, path: str, max_rows: int | None = N
 
 
 def read_sized_archive(spark: SparkSession, path: str, max_rows: int | None = None) -> DataFrame:
-    """The same from the first member ending in .tr of a tar.gz archive.
+    """The same from the first member ending in .tr of tar.gz archives: of one, or of all of a folder in order of their names.
 
-    Spark lists the archives; a task opens its own where it lies, which has to be a disk that executors see, and streams it:
-    neither the archive nor the member is ever held whole. An archive can't be split, so it is one task.
+    Each archive is a partition of a Spark data source, which streams it from wherever its file system is (see ArchiveSource).
     """
-    import tarfile
-    from urllib.parse import unquote, urlparse
-
-    import pyarrow as pa
-
-    names = ["seq", "object_id", "timestamp", "size"]
-
-    def lines(batches):
-        for batch in batches:
-            for name in batch.column(0).to_pylist():
-                place = urlparse(name)
-                if place.scheme not in ("", "file"):
-                    raise ValueError(f"an archive is read from a disk, not from {name}")
-                with tarfile.open(unquote(place.path), mode="r|gz") as archive:
-                    member = next((m for m in archive if m.name.endswith(".tr")), None)
-                    held, seq = [], 0
-                    for line in archive.extractfile(member) if member else ():
-                        t = line.decode(errors="replace").split()
-                        try:
-                            held.append((seq, t[1], float(int(t[0])), int(t[2])))
-                        except (IndexError, ValueError):
-                            continue
-                        seq += 1
-                        if len(held) == 10_000:
-                            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*held, strict=True)], names=names)
-                            held = []
-                    if held:
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*held, strict=True)], names=names)
-
-    files = spark.read.format("binaryFile").load(path).select("path")  # only listed, not read
-    return cap_rows(files.mapInArrow(lines, "seq long, object_id string, timestamp double, size long"), max_rows)
+    register_archives(spark)
+    rows = spark.read.format("sized_archive").option("path", path).option("maxRows", -1 if max_rows is None else max_rows).load()
+    counts = rows.groupBy("archive").agg(F.count("*").alias("n"))
+    before = counts.select("archive", (F.sum("n").over(Window.orderBy("archive")) - F.col("n")).alias("before"))  # a row an archive
+    numbered = rows.join(before, "archive").withColumn("seq", F.col("seq") + F.col("before"))
+    return cap_rows(numbered.select("seq", "object_id", "timestamp", "size"), max_rows)
 
 
 # The columns of a Parquet trace.

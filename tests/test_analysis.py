@@ -4,15 +4,18 @@ import gzip
 import json
 import os
 import random
+import tarfile
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import LessThan, LessThanOrEqual
 
 from slotwise.functions import formats
 from slotwise.operators import drift, labels
 from slotwise.operators import requests as req
 from slotwise.plans import analysis, compare, sequential
+from slotwise.sources import archive as archive_source
 from slotwise.sources import trace as src
 from slotwise.streaming import gaps, slots
 
@@ -136,12 +139,75 @@ def test_streamed_gaps_equal_the_batch(spark, tmp_path):
 
 
 def test_streamed_slots_and_clamp_equal_the_batch(spark, tmp_path):
+    """Over several batches and a restart from the checkpoint; batches that are run again, whole or after having failed half way, change nothing."""
     rng = random.Random(9)
     rows = [(i, f"o{i % 5}", None if rng.random() < 0.2 else float(rng.randint(0, 60))) for i in range(70)]
-    got = drain(slots.streaming_slots(stream(spark, tmp_path, rows, "place long, object_id string, raw_ts double"), 8), tmp_path, "streamed_slots")
+    columns, path = "place long, object_id string, raw_ts double", str(tmp_path / "out")
+    requests = stream(spark, tmp_path, rows, columns)
+    late = tmp_path / "in" / "3.json"
+    late.rename(tmp_path / "3.json")
+    slots.write_slots(requests, path, 8).awaitTermination()
+    (tmp_path / "3.json").rename(late)
+    slots.write_slots(requests, path, 8).awaitTermination()
     batch = src.with_slots(spark.createDataFrame([(i, o, t) for i, o, t in rows], "seq long, object_id string, raw_ts double"), 8)
-    want = req.clamp_time(batch).collect()
-    assert sorted((r.seq, r.slot, r.object_id, r.ts) for r in got) == sorted((r.seq, r.slot, r.object_id, r.ts) for r in want) and len(got) == 70
+    want = sorted((r.seq, r.slot, r.object_id, r.ts) for r in req.clamp_time(batch).collect())
+    found = lambda: sorted((r.seq, r.slot, r.object_id, r.ts) for r in slots.read_slots(spark, path, columns).collect())
+    assert found() == want and len(want) == 70
+    again = spark.createDataFrame(rows[18:36], columns)
+    slots.slot_batch(again, 1, path, 8)
+    (tmp_path / "out/slots/batch=1/slot=4/part-left-over.json").write_text('{"place":1,"seq":1,"ts":1.0}')  # of a try that failed
+    slots.slot_batch(again, 1, path, 8)
+    assert found() == want
+
+
+def test_hot_object_is_looked_at_in_stretches(spark):
+    """An object with nine tenths of the requests: the same gaps whatever the stretch, and no window over more than a stretch of it."""
+    rng = random.Random(6)
+    rows = [(i, float(i) + rng.random(), "hot" if rng.random() < 0.9 else rng.choice(["a", "b", None])) for i in range(400)]
+    trace = spark.createDataFrame(rows, "seq long, ts double, object_id string").repartition(3)
+    whole = sorted(map(str, req.with_gaps(trace, stretch=10**9).collect()))
+    for stretch in (1, 7, 50):
+        assert sorted(map(str, req.with_gaps(trace, stretch=stretch).collect())) == whole
+    seen: dict = {}
+    for seq, ts, o in rows:
+        seen.setdefault(o, []).append(ts)
+    first = {r.seq: r for r in req.with_gaps(trace, stretch=50).collect()}
+    past: dict = {}
+    for seq, ts, o in rows:
+        history = past.setdefault(o, [])
+        assert [first[seq][f"g{i}"] for i in range(1, 7)] == [ts - history[-i] if len(history) >= i else req.SENTINEL for i in range(1, 7)] and first[seq].hist_len == min(6, len(history))
+        history.append(ts)
+
+
+def test_archives_of_a_folder(spark, tmp_path):
+    """Two archives by a URI, numbered on in order of their names, each a partition; a bound ends the reading."""
+    for name, lines in (("b", [b"5 x 10", b"bad", b"6 y 11"]), ("a", [b"%d k%d 1" % (i, i) for i in range(25)])):
+        (tmp_path / "m.tr").write_bytes(b"\n".join(lines) + b"\n")
+        with tarfile.open(tmp_path / f"{name}.tar.gz", "w:gz") as archive:
+            archive.add(tmp_path / "m.tr", "m.tr")
+    got = src.read_sized_archive(spark, tmp_path.as_uri()).orderBy("seq").collect()
+    assert [r.seq for r in got] == list(range(27)) and [r.object_id for r in got[-2:]] == ["x", "y"] and got[3].timestamp == 3.0
+    assert src.read_sized_archive(spark, str(tmp_path / "a.tar.gz"), 4).count() == 4
+    source = archive_source.ArchiveReader(str(tmp_path), -1)
+    assert len(source.partitions()) == 2
+    left = list(source.pushFilters([LessThan(("seq",), 3), LessThanOrEqual(("size",), 5)]))
+    assert [f.attribute for f in left] == [("size",)] and sum(b.num_rows for p in source.partitions() for b in source.read(p)) == 5
+    assert spark.read.format("sized_archive").option("path", str(tmp_path)).load().rdd.getNumPartitions() == 2
+
+
+def test_one_outlier_leaves_no_full_stretch(spark, monkeypatch):
+    monkeypatch.setattr(src, "STRETCH", 16)
+    ids = [*range(200), 10**15]
+    numbered = src.number_rows(spark.createDataFrame([(i,) for i in ids], "id long"), "id")
+    assert sorted(map(tuple, numbered.collect())) == [(i, n) for n, i in enumerate(ids)]
+
+
+def test_bottom_k_is_combined_in_tasks(spark):
+    """A sample, and the top objects, of a slot: tasks send k rows a slot, which the plan shows as a limit before the exchange."""
+    objects = spark.range(1000).selectExpr("cast(id % 2 as int) as slot", "cast(id as string) as object_id", "id as freq", "id as first_seq")
+    for df in (labels.sample_objects(objects, 5), labels.top_objects(objects, 5)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert df.count() == 10 and plan.count("WindowGroupLimit") == 2 and plan.rindex("Partial") > plan.rindex("Exchange")
 
 
 def test_pairs_of_constants_have_no_correlation(spark):

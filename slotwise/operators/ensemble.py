@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slotwise.operators.learn import weighted_moments
+from slotwise.operators.learn import FLOOR, weight_groups
 from slotwise.sources.scratch import new_table, written
 
 #: Errors and averaged errors are kept this far from 0 and 1.
@@ -67,11 +67,19 @@ class Bayes:
         self.missing = missing
 
     def fit(self, rows: DataFrame, features: list[str]) -> Moments:
-        found = {r.y: r for r in weighted_moments(rows, ["y"], features, "weight", self.missing).collect()}  # a row a class
-        total = {c: found[c].n if c in found else 0.0 for c in (0, 1)}
-        prior = math.log(total[1] / total[0]) if total[0] and total[1] else math.inf if total[1] else -math.inf
-        mean, var = (np.array([[found[c][f"{k}_{f}"] if c in found else empty for f in features] for c in (0, 1)]) for k, empty in (("m", 0.0), ("v", 1.0)))
-        return Moments(prior, mean, var)
+        """From one aggregation: a row for each class and weight, of which an ensemble's rows have two."""
+        groups = weight_groups(rows, ["y"], features, "weight", self.missing).collect()
+        total, mean, var = np.zeros(2), np.zeros((2, len(features))), np.ones((2, len(features)))
+        for c in (0, 1):
+            mine = [g for g in groups if g.y == c]
+            total[c] = sum(g["_w"] * g["_n"] for g in mine)
+            for i, f in enumerate(features):
+                parts = [(g["_w"] * g[f"_n_{f}"], g[f"_m_{f}"], g[f"_v_{f}"]) for g in mine if g[f"_n_{f}"]]
+                if w := sum(p[0] for p in parts):
+                    mean[c, i] = sum(p[0] * p[1] for p in parts) / w
+                    var[c, i] = sum(p[0] * (p[2] + (p[1] - mean[c, i]) ** 2) for p in parts) / w
+        prior = math.log(total[1] / total[0]) if total.all() else math.inf if total[1] else -math.inf
+        return Moments(prior, mean, np.maximum(var, FLOOR))
 
     def margins(self, rows: DataFrame, models: list[Moments], features: list[str]) -> DataFrame:
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +127,7 @@ def make_learner(kind: str) -> Learner:
     if kind in ("nb", "nb_missing"):
         return Bayes(kind == "nb_missing")
     if kind == "svm":
-        return Trained([StandardScaler(inputCol="_x", outputCol="_z", withMean=True), LinearSVC(featuresCol="_z", weightCol="weight", maxIter=30, regParam=1e-3, standardization=False, **_columns())], vector_to_array("_raw")[1])
+        return Trained([StandardScaler(inputCol="_x", outputCol="_z", withMean=True), LinearSVC(featuresCol="_z", weightCol="weight", maxIter=10, tol=1e-3, regParam=1e-2, standardization=False, **_columns())], vector_to_array("_raw")[1])
     if kind == "tree":
         share = vector_to_array("_p")[1]
         return Trained([DecisionTreeClassifier(featuresCol="_x", weightCol="weight", maxDepth=30, seed=7, probabilityCol="_p", **_columns())], F.when(share >= 1, float("inf")).when(share <= 0, float("-inf")).otherwise(F.log(share / (1 - share))))

@@ -18,18 +18,25 @@ def class_moments(rows: DataFrame, features: list[str], weight: Column | None =
     return means.join(spread, ["slot", "y"])
 
 
-def weighted_moments(rows: DataFrame, keys: list[str], features: list[str], weight: str, missing: bool = False) -> DataFrame:
-    """keys, n (sum of weights), and mean m_ and population variance v_ (floored) of each feature, weighted.
+def weight_groups(rows: DataFrame, keys: list[str], features: list[str], weight: str, missing: bool = False) -> DataFrame:
+    """keys, _w (a weight), _n (rows of it), and per feature _n_ (values), _m_ (mean) and _v_ (population variance).
 
-    Rows of equal weight are summed up first, by counts, means and squared deviations, which merge from task to task without loss; then these
-    groups merge by their weights. missing: null and NaN are left out, feature by feature; a feature without values has mean 0 and variance 1.
-    Without it, one such value makes its feature's moments null or NaN.
+    Rows of equal weight are summed up by counts, means and squared deviations, which merge from task to task without loss. missing: null and NaN are left out,
+    feature by feature; without it, one such value makes its feature's moments null or NaN.
     """
     value = {f: F.when(~F.isnan(f), F.col(f)) if missing else F.col(f) for f in features}
     found = [F.count("*").cast("double").alias("_n")]
     for f, v in value.items():
         found += [(F.count(v) if missing else F.count("*")).cast("double").alias(f"_n_{f}"), F.avg(v).alias(f"_m_{f}"), F.var_pop(v).alias(f"_v_{f}")]
-    groups = rows.groupBy(*keys, F.col(weight).alias("_w")).agg(*found)
+    return rows.groupBy(*keys, F.col(weight).alias("_w")).agg(*found)
+
+
+def weighted_moments(rows: DataFrame, keys: list[str], features: list[str], weight: str, missing: bool = False) -> DataFrame:
+    """keys, n (sum of weights), and mean m_ and population variance v_ (floored) of each feature, weighted: the groups of equal weight, merged.
+
+    missing: as above; a feature without values has mean 0 and variance 1.
+    """
+    groups = weight_groups(rows, keys, features, weight, missing)
     share = {f: F.col("_w") * F.col(f"_n_{f}") for f in features}
     totals = groups.groupBy(*keys).agg(F.sum(F.col("_w") * F.col("_n")).alias("n"), *[F.sum(share[f]).alias(f"_t_{f}") for f in features], *[F.try_divide(F.sum(share[f] * F.col(f"_m_{f}")), F.sum(share[f])).alias(f"m_{f}") for f in features])
     both = groups.join(totals.withColumnRenamed("n", "_total"), keys)

@@ -90,17 +90,21 @@ def rare_prefixes(texts: DataFrame) -> DataFrame:
     here; a window orders the others of a text.
     """
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size = [], 0
-        for batch in batches:
-            for text in batch.column(0):
-                parts.append(shingle_set(text.as_py()))
-                size += len(parts[-1])
-                if size >= COUNTED:
-                    yield counted(parts)
-                    parts, size = [], 0
-        if parts:
-            yield counted(parts)
+    def keys(part: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts, size = [], 0
+            for batch in batches:
+                for text in batch.column(0):
+                    found = shingle_set(text.as_py())
+                    parts.append(found[found % np.uint64(PARTS) == part])
+                    size += len(parts[-1])
+                    if size >= COUNTED:
+                        yield counted(parts)
+                        parts, size = [], 0
+            if parts:
+                yield counted(parts)
+
+        return run
 
     def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
         found, n = np.unique(np.concatenate(parts), return_counts=True)
@@ -118,23 +122,23 @@ def rare_prefixes(texts: DataFrame) -> DataFrame:
 
         return run
 
-    # Tasks add up what COUNTED shingles hold, which is enough for the frequent ones. Most are found once: to aggregate them before the
-    # shuffle would fill a task's memory and save nothing, so they are dealt out first.
-    counts = texts.select("text").mapInArrow(keys, "key long, n long").repartition(shuffle_width(texts.sparkSession), "key").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
-    counts = materialize(counts, "shingle-counts")
-    release(texts.sparkSession)
-    # Where the others stand, a part of all shingles at a time, so that the disk never holds a shuffle of them all.
+    # A part of all shingles at a time, so that the disk never holds a shuffle of them all. Tasks add up what COUNTED shingles hold, which
+    # is enough for the frequent ones. Most are found once: to aggregate them before the shuffle would fill a task's memory and save
+    # nothing, so they are dealt out first.
     shared = None
     for part in range(PARTS):
+        counts = texts.select("text").mapInArrow(keys(part), "key long, n long").repartition(shuffle_width(texts.sparkSession), "key").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
+        counts = materialize(counts, "shingle-counts")
+        release(texts.sparkSession)
         found = materialize(texts.select("class", "text").mapInArrow(places(part), "key long, class long, size int").join(counts, "key"), "shared-places")
         shared = found if shared is None else shared.unionByName(found)
-        release(texts.sparkSession)
+        discard(counts)
     mine = Window.partitionBy("class")
     own = F.col("size") - F.count("*").over(mine)
     placed = shared.withColumn("at", own + F.row_number().over(mine.orderBy("n", "key")))
     most = F.col("size") - F.ceil(F.col("size") * SIMILAR[0] / SIMILAR[1]) + 1
     prefixes = materialize(placed.where(F.col("at") <= most).select("key", "class", "size", F.col("at").cast("int").alias("at")), "prefixes")
-    discard(counts)
+    release(texts.sparkSession)
     return prefixes
 
 

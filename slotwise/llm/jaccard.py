@@ -7,7 +7,8 @@ apart. A text is the set of its shingles' hashes in an order that all texts shar
 Two sets of at least a given similarity have a shingle in common among the first few of each (the prefix), so texts
 that share one are candidates, and those alone are compared. A text with enough shingles of its own has no other in
 its prefix, and so no candidates. First each text is compared with one leader, then with the others that lead a
-shingle of its prefix and are not connected to it yet, last with all such candidates. Exact bar collisions of hashes.
+shingle of its prefix and are not connected to it yet, then with hubs, drawn anew at each turn, that connect most of a group of near
+copies of which only every second pair is similar; last with all candidates still apart. Exact bar collisions of hashes.
 """
 
 from __future__ import annotations
@@ -31,6 +32,9 @@ SHINGLE, SEED = 5, 42
 SIMILAR = (4, 5)
 #: Shingles that a task adds up at a time, and parts in which they are looked up.
 COUNTED, PARTS = 1_000_000, 2
+#: Hubs of a shingle, and of a text at a turn. Turns end once the pairs left are at most FEW times the places that they meet in, or fewer than
+#: one of USEFUL comparisons connects; what is left open then is compared in full, so neither has a part in the result.
+HUBS, FEW, USEFUL = 8, 2, 50
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -158,6 +162,29 @@ def _close_fingerprints(texts: DataFrame) -> DataFrame:
     return materialize(equal.unionByName(named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct(), "similar-candidates")
 
 
+def _open_places(placed: DataFrame, links: DataFrame) -> DataFrame:
+    """key, class, size, at, root: the places of those shingles whose texts links don't all connect."""
+    roots = connected_components(links).select(F.col("node").alias("class"), "root")
+    labelled = materialize(placed.join(roots, "class", "left").select("key", "class", "size", "at", F.coalesce("root", "class").alias("root")), "labelled")
+    split = materialize(labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"), "split-shingles")
+    found = materialize(labelled.join(split, "key", "left_semi"), "open")
+    discard(labelled)
+    return found
+
+
+def _hub_pairs(places: DataFrame, turn: int) -> DataFrame:
+    """a, b (classes): each text with HUBS others of its shingles, not connected to it yet.
+
+    All draw a number anew at each turn, and those of the smallest numbers are hubs, so texts of many common shingles have the same. A
+    shingle passes on HUBS of its texts only, and a text is compared with HUBS at most: rows grow with the places.
+    """
+    drawn = places.withColumn("draw", F.xxhash64("class", F.lit(turn)))
+    hubs = drawn.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy("draw", "class"))).where(F.col("_n") <= HUBS).drop("_n")
+    met = places.alias("p").join(hubs.alias("h"), F.expr("p.key = h.key and p.root <> h.root and " + _possible("p", "h"))).select(F.col("p.class").alias("class"), F.col("h.class").alias("hub"), "draw").distinct()
+    few = met.withColumn("_n", F.row_number().over(Window.partitionBy("class").orderBy("draw", "hub"))).where(F.col("_n") <= HUBS)
+    return few.select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct()
+
+
 def similar_links(texts: DataFrame) -> DataFrame:
     """a, b (classes) that connect all texts of similar sets. texts: one row for each distinct set, columns class and text."""
 
@@ -178,14 +205,25 @@ def similar_links(texts: DataFrame) -> DataFrame:
     links = materialize(links.unionByName(_verified(first, texts)), "similar-links")
     rest = materialize(apart(led.join(first, ["a", "b"], "left_anti"), links), "led-rest")
     links = materialize(links.unionByName(_verified(rest, texts)), "similar-links")
-    roots = connected_components(links)
-    labelled = materialize(placed.drop("l").join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select("key", "class", "size", "at", F.coalesce("root", "class").alias("root")), "labelled")
-    discard(placed)
-    split = materialize(labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"), "split-shingles")
-    open_ = materialize(labelled.join(split, "key", "left_semi"), "open")
-    discard(labelled)
-    pairs = open_.alias("p").join(open_.alias("q").hint("merge"), F.expr("p.key = q.key and p.class < q.class and p.root <> q.root and " + _possible("p", "q")))
-    pairs = materialize(pairs.select(F.col("p.class").alias("a"), F.col("q.class").alias("b")).distinct().join(led, ["a", "b"], "left_anti"), "open-pairs")
+    tried, turn = led, 0
+    placed = placed.drop("l")
+    while True:
+        left = _open_places(placed, links)
+        pairs, places = left.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inside")).agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("inside")) / 2), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        if pairs <= FEW * places:
+            break
+        compared = materialize(_hub_pairs(left, turn).join(tried, ["a", "b"], "left_anti"), "hub-pairs")
+        found = _verified(compared, texts)
+        asked, told = compared.count(), found.count()
+        links = materialize(links.unionByName(found), "similar-links")
+        tried = tried.unionByName(compared)
+        turn += 1
+        release(texts.sparkSession)
+        if told * USEFUL < asked or not asked:
+            left = _open_places(placed, links)
+            break
+    pairs = left.alias("p").join(left.alias("q").hint("merge"), F.expr("p.key = q.key and p.class < q.class and p.root <> q.root and " + _possible("p", "q")))
+    pairs = materialize(pairs.select(F.col("p.class").alias("a"), F.col("q.class").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "open-pairs")
     return links.unionByName(_verified(pairs, texts))
 
 

@@ -19,6 +19,10 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Folder of each local application whose session names none; the setting itself can't be changed in a running one.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir. Where it is unset: a new one on a single machine (local tests), else an error,
     since executors that don't share a disk would each write to their own."""
@@ -27,8 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="slotwise-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        found = _OWN.get(app) or _OWN.setdefault(app, tempfile.mkdtemp(prefix="slotwise-"))
     return found.rstrip("/")
 
 

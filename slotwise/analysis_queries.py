@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from slotwise import queries as q
 from slotwise.ensemble_sql import ensemble_sql
 from slotwise.functions.formats import decode_tag, encode_tag
-from slotwise.operators import drift, ensemble, labels, learn
+from slotwise.operators import drift, ensemble, labels, learn, ranks
 from slotwise.operators import requests as req
 from slotwise.plans import analysis, compare, sequential
 from slotwise.sources.trace import event_trace
@@ -368,8 +368,11 @@ def feature_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT slot, round(sum(CASE WHEN y = 1 THEN freq ELSE 0 END) / sum(freq), 9) AS top_share, round(avg(CASE WHEN y = 1 THEN freq END), 9) AS top_mean, round(quantile_cont(CASE WHEN y = 1 THEN freq END, 0.5), 9) AS top_p50, round(quantile_cont(CASE WHEN y = 1 THEN freq END, 0.9), 9) AS top_p90 FROM top GROUP BY slot")
 def top_frequencies(spark: SparkSession, d: str) -> DataFrame:
+    top = q._top(spark, d)
     popular = F.when(F.col("y") == 1, F.col("freq"))
-    return q._top(spark, d).groupBy("slot").agg(F.round(F.sum(F.coalesce(popular, F.lit(0))) / F.sum("freq"), 9).alias("top_share"), F.round(F.avg(popular), 9).alias("top_mean"), F.round(F.percentile(popular, F.lit(0.5)), 9).alias("top_p50"), F.round(F.percentile(popular, F.lit(0.9)), 9).alias("top_p90"))
+    found = top.groupBy("slot").agg(F.round(F.sum(F.coalesce(popular, F.lit(0))) / F.sum("freq"), 9).alias("top_share"), F.round(F.avg(popular), 9).alias("top_mean"))
+    middle = ranks.quantiles(top, popular, {"top_p50": 0.5, "top_p90": 0.9}, ["slot"])
+    return found.join(middle.select("slot", *[F.round(k, 9).alias(k) for k in ("top_p50", "top_p90")]), "slot", "left")
 
 
 @query(q.GAPS_SQL + """, u AS (UNPIVOT (SELECT slot, g1, g2, g3, g4, g5, g6 FROM gapped) ON g1, g2, g3, g4, g5, g6 INTO NAME gap VALUE v)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from slotwise.operators import ranks
+
 
 def label_count(n: Column, share: float, up: bool = False) -> Column:
     k = F.ceil(n * share) if up else F.floor(n * share)
@@ -16,37 +18,35 @@ def _order() -> WindowSpec:
     return Window.partitionBy("slot").orderBy(F.desc("freq"), "first_seq")
 
 
-def _slot() -> WindowSpec:
-    return Window.partitionBy("slot")
-
-
-def _ranked(objects: DataFrame) -> DataFrame:
-    return objects.withColumns({"place": F.row_number().over(_order()), "n_objects": F.count("*").over(_slot())})
+def _ranked(objects: DataFrame, **sums: Column) -> DataFrame:
+    """objects with place in the order, n_objects, and running sums."""
+    return ranks.in_order(objects, "freq", {"place": F.lit(1)} | sums, ranged=False).withColumnRenamed("place_all", "n_objects")
 
 
 def label_top_share(objects: DataFrame, share: float = 0.2, include_ties: bool = False) -> DataFrame:
     """objects with y = 1 for the top share by frequency, first seen first; or all that reach the last one's frequency."""
     ranked = _ranked(objects).withColumn("k", label_count(F.col("n_objects"), share))
-    place = F.rank().over(Window.partitionBy("slot").orderBy(F.desc("freq"))) if include_ties else F.col("place")
-    return ranked.withColumn("y", (place <= F.col("k")).cast("int")).drop("place", "n_objects", "k")
+    place = F.col("place_above") + 1 if include_ties else F.col("place")
+    return ranked.select(*objects.columns, (place <= F.col("k")).cast("int").alias("y"))
 
 
 def label_capacity(objects: DataFrame, capacity: int, factor: float = 1.0) -> DataFrame:
     """y = 1 for the capacity * factor most frequent objects (half to even)."""
     k = F.least(F.col("n_objects"), F.greatest(F.lit(1), F.bround(F.lit(capacity * factor)).cast("int")))
-    return _ranked(objects).withColumn("y", (F.col("place") <= k).cast("int")).drop("place", "n_objects")
+    return _ranked(objects).select(*objects.columns, (F.col("place") <= k).cast("int").alias("y"))
 
 
 def label_coverage(objects: DataFrame, target: float = 0.5) -> DataFrame:
     """y = 1 for the shortest front of the order that covers the target share of the slot's requests."""
-    before = F.sum("freq").over(_order().rowsBetween(Window.unboundedPreceding, 0)) - F.col("freq")
-    return objects.withColumn("y", (before < target * F.sum("freq").over(_slot())).cast("int"))
+    ranked = _ranked(objects, run=F.col("freq"))
+    return ranked.select(*objects.columns, (F.col("run") - F.col("freq") < target * F.col("run_all")).cast("int").alias("y"))
 
 
 def label_info(objects: DataFrame, share: float = 0.2) -> DataFrame:
     """Per slot: objects, k, frequency at k, how many share it, their rate, and the share of requests covered."""
-    ranked = _ranked(objects).withColumn("k", label_count(F.col("n_objects"), share)).withColumn("freq_at_k", F.max(F.when(F.col("place") == F.col("k"), F.col("freq"))).over(_slot()))
-    info = ranked.groupBy("slot").agg(F.first("n_objects").alias("n_objects"), F.first("k").alias("k"), F.first("freq_at_k").alias("freq_at_k"), F.sum((F.col("freq") == F.col("freq_at_k")).cast("long")).alias("tie_count"), F.round(F.sum(F.when(F.col("place") <= F.col("k"), F.col("freq")).otherwise(0)) / F.sum("freq"), 9).alias("coverage"))
+    ranked = _ranked(objects).withColumn("k", label_count(F.col("n_objects"), share))
+    per_value = ranked.groupBy("slot", "freq").agg(F.count("*").alias("n"), F.first("n_objects").alias("n_objects"), F.first("k").alias("k"), F.max(F.when(F.col("place") == F.col("k"), F.col("freq"))).alias("at_k"), F.sum(F.when(F.col("place") <= F.col("k"), F.col("freq")).otherwise(0)).alias("covered"))
+    info = per_value.groupBy("slot").agg(F.first("n_objects").alias("n_objects"), F.first("k").alias("k"), F.max("at_k").alias("freq_at_k"), F.sum(F.when(F.col("at_k").isNotNull(), F.col("n"))).alias("tie_count"), F.round(F.sum("covered") / F.sum(F.col("freq") * F.col("n")), 9).alias("coverage"))
     return info.withColumn("tie_rate", F.round(F.col("tie_count") / F.col("n_objects"), 9))
 
 
@@ -55,7 +55,9 @@ def label_audit(objects: DataFrame, share: float = 0.2, target: float = 0.5) ->
     a = label_top_share(objects, share)
     b = label_coverage(objects, target).select("slot", "object_id", F.col("y").alias("z"))
     both = a.join(b, ["slot", "object_id"])
-    return both.groupBy("slot").agg(F.sum("y").alias("n_top"), F.sum("z").alias("n_cover"), F.round(F.sum(F.col("y") * F.col("z")) / F.sum(F.greatest("y", "z")), 9).alias("jaccard"), F.round(F.avg(F.when(F.col("y") == 1, F.col("freq"))), 9).alias("top_mean"), F.round(F.percentile(F.when(F.col("y") == 1, F.col("freq")), F.lit(0.5)), 9).alias("top_p50"))
+    found = both.groupBy("slot").agg(F.sum("y").alias("n_top"), F.sum("z").alias("n_cover"), F.round(F.sum(F.col("y") * F.col("z")) / F.sum(F.greatest("y", "z")), 9).alias("jaccard"), F.round(F.avg(F.when(F.col("y") == 1, F.col("freq"))), 9).alias("top_mean"))
+    medians = ranks.quantiles(a.where("y = 1"), "freq", {"top_p50": 0.5}, ["slot"]).withColumn("top_p50", F.round("top_p50", 9))
+    return found.join(medians, "slot", "left")
 
 
 def churn(labelled: DataFrame) -> DataFrame:
@@ -107,20 +109,15 @@ def sample_objects(objects: DataFrame, n: int, seed: int = 7) -> DataFrame:
     return objects.withColumn("place", F.row_number().over(Window.partitionBy("slot").orderBy(drawn))).where(F.col("place") <= n).select("slot", "object_id", "place")
 
 
-def _average_rank(value: str, by: str = "slot") -> Column:
-    """Ascending rank of value, equal values sharing their mean rank."""
-    return F.rank().over(Window.partitionBy(by).orderBy(value)) + (F.count("*").over(Window.partitionBy(by, value)) - 1) / 2
-
-
 def score_metrics(scored: DataFrame, k_share: float | None = 0.2) -> DataFrame:
     """Per slot of (slot, score, y, first_seq): AUC by average ranks (NaN with one class), AP, precision and recall at k; ties by first request.
 
     k: that share of the slot's rows, or without one the number of positives."""
-    order = Window.partitionBy("slot").orderBy(F.desc("score"), "first_seq")
-    front = order.rowsBetween(Window.unboundedPreceding, 0)
-    ranked = scored.withColumns({"r": _average_rank("score"), "place": F.row_number().over(order), "hits": F.sum("y").over(front), "n": F.count("*").over(_slot())})
-    ranked = ranked.withColumn("k", F.sum("y").over(_slot()) if k_share is None else label_count(F.col("n"), k_share))
-    sums = ranked.groupBy("slot").agg(F.count("*").alias("n"), F.sum("y").alias("pos"), F.sum(F.col("r") * F.col("y")).alias("ranks"), F.sum(F.when(F.col("y") == 1, F.col("hits") / F.col("place"))).alias("precisions"), F.max("k").alias("k"), F.sum(F.when(F.col("place") <= F.col("k"), F.col("y")).otherwise(0)).alias("at_k"))
+    ranked = ranks.in_order(scored, "score", {"place": F.lit(1), "hits": F.col("y")})
+    ranked = ranked.withColumn("k", F.col("hits_all") if k_share is None else label_count(F.col("place_all"), k_share))
+    sums = ranked.groupBy("slot").agg(F.count("*").alias("n"), F.sum("y").alias("pos"), F.sum(F.when(F.col("y") == 1, F.col("hits") / F.col("place"))).alias("precisions"), F.max("k").alias("k"), F.sum(F.when(F.col("place") <= F.col("k"), F.col("y")).otherwise(0)).alias("at_k"))
+    counts = ranks.value_counts(scored, "score", ["slot"], {"y": F.col("y")})
+    sums = sums.join(counts.groupBy("slot").agg(F.sum(F.col("rank") * F.col("y")).alias("ranks")), "slot")
     neg = F.col("n") - F.col("pos")
     auc = F.when((F.col("pos") > 0) & (neg > 0), (F.col("ranks") - F.col("pos") * (F.col("pos") + 1) / 2) / (F.col("pos") * neg)).otherwise(F.lit(float("nan")))
     return sums.select("slot", "n", "pos", F.round(auc, 9).alias("auc"), F.round(F.when(F.col("pos") > 0, F.col("precisions") / F.col("pos")), 9).alias("ap"), F.round(F.when(F.col("k") > 0, F.col("at_k") / F.col("k")), 9).alias("prec_at_k"), F.round(F.when(F.col("pos") > 0, F.col("at_k") / F.col("pos")), 9).alias("recall_at_k"))
@@ -148,5 +145,5 @@ def pearson(x: str, y: str) -> Column:
 
 def correlations(pairs: DataFrame, x: str, y: str, by: str = "slot") -> DataFrame:
     """Pearson and Spearman (average ranks) of two columns per group."""
-    ranked = pairs.withColumns({"_rx": _average_rank(x, by), "_ry": _average_rank(y, by)})
-    return ranked.groupBy(by).agg(F.round(pearson(x, y), 6).alias("pearson"), F.round(pearson("_rx", "_ry"), 6).alias("spearman"))
+    linear = pairs.groupBy(by).agg(F.round(pearson(x, y), 6).alias("pearson"))
+    return linear.join(ranks.rank_correlations(pairs, x, y, by).select(by, F.round("spearman", 6).alias("spearman")), by)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from slotwise.operators import ranks
+
 #: Gap of an object without so long a history.
 SENTINEL = 1e6
 GAPS = 6
@@ -118,15 +120,18 @@ def gap_audit(gapped: DataFrame, gaps: int = GAPS, sentinel: float = SENTINEL) -
     real = F.filter(F.array(*[f"g{i}" for i in range(1, gaps + 1)]), lambda g: g != sentinel)
     disorder = F.exists(F.sequence(F.lit(1), F.greatest(F.size(real) - 1, F.lit(1))), lambda i: (i < F.size(real)) & (F.try_element_at(real, i) > F.try_element_at(real, i + 1)))
     g1 = F.when(F.col("g1") != sentinel, F.col("g1"))
-    return gapped.groupBy("slot").agg(F.sum(F.exists(real, lambda g: g < 0).cast("long")).alias("n_negative"), F.sum(disorder.cast("long")).alias("n_disorder"), *[F.round(F.percentile(g1, F.lit(p)), 6).alias(f"g1_p{int(100 * p)}") for p in (0.5, 0.9, 0.99)])
+    found = gapped.groupBy("slot").agg(F.sum(F.exists(real, lambda g: g < 0).cast("long")).alias("n_negative"), F.sum(disorder.cast("long")).alias("n_disorder"))
+    names = {f"g1_p{int(100 * p)}": p for p in (0.5, 0.9, 0.99)}
+    return found.join(ranks.quantiles(gapped, g1, names, ["slot"]).select("slot", *[F.round(k, 6).alias(k) for k in names]), "slot", "left")
 
 
 def gap_dimensions(gapped: DataFrame, gaps: int = GAPS, sentinel: float = SENTINEL, digits: int = 5) -> DataFrame:
     """Per slot and gap g1..: how many are real, and their mean, median, 90% quantile and greatest."""
     values = F.explode(F.array(*[F.struct(F.lit(f"g{i}").alias("gap"), F.col(f"g{i}").alias("v")) for i in range(1, gaps + 1)])).alias("s")
-    real = F.when(F.col("s.v") != sentinel, F.col("s.v"))
-    found = {"mean": F.avg(real), "p50": F.percentile(real, F.lit(0.5)), "p90": F.percentile(real, F.lit(0.9)), "most": F.max(real)}
-    return gapped.select("slot", values).groupBy("slot", F.col("s.gap").alias("gap")).agg(F.count(real).alias("n_real"), *[F.round(v, digits).alias(k) for k, v in found.items()])
+    each = gapped.select("slot", values).select("slot", "s.gap", F.when(F.col("s.v") != sentinel, F.col("s.v")).alias("v"))
+    found = each.groupBy("slot", "gap").agg(F.count("v").alias("n_real"), F.round(F.avg("v"), digits).alias("mean"), F.round(F.max("v"), digits).alias("most"))
+    middle = ranks.quantiles(each, "v", {"p50": 0.5, "p90": 0.9}, ["slot", "gap"]).select("slot", "gap", *[F.round(k, digits).alias(k) for k in ("p50", "p90")])
+    return found.join(middle, ["slot", "gap"], "left").select("slot", "gap", "n_real", "mean", "p50", "p90", "most")
 
 
 def time_inversions(trace: DataFrame, raw: str = "raw_ts") -> DataFrame:

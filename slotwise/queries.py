@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from slotwise.ensemble_sql import ensemble_sql
 from slotwise.functions.fnv import OFFSET, PUBLISHED_OFFSET, fnv1a_64
-from slotwise.operators import drift, ensemble, gated, labels, learn, replay
+from slotwise.operators import drift, ensemble, gated, labels, learn, ranks, replay
 from slotwise.operators import requests as req
 from slotwise.plans import compare, schedules
 from slotwise.sources.trace import event_trace, profile_lines
@@ -339,7 +339,9 @@ def post_admit_hits(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT slot, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, max(value) AS top FROM trace GROUP BY slot")
 def slot_value_summary(spark: SparkSession, d: str) -> DataFrame:
-    return event_trace(spark, d).groupBy("slot").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95"), F.round(F.percentile("value", F.lit(0.99)), 6).alias("p99"), F.max("value").alias("top"))
+    trace = event_trace(spark, d)
+    high = ranks.quantiles(trace, "value", {"p95": 0.95, "p99": 0.99}, ["slot"]).select("slot", F.round("p95", 6).alias("p95"), F.round("p99", 6).alias("p99"))
+    return trace.groupBy("slot").agg(F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("top")).join(high, "slot", "left").select("slot", "mean", "p95", "p99", "top")
 
 
 @query("SELECT len(string_split_regex(trim(props), '\\s+'))::INT AS fields, count(*) AS n_lines FROM events GROUP BY 1")

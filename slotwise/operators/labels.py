@@ -115,9 +115,9 @@ def score_metrics(scored: DataFrame, k_share: float | None = 0.2) -> DataFrame:
     k: that share of the slot's rows, or without one the number of positives."""
     ranked = ranks.in_order(scored, "score", {"place": F.lit(1), "hits": F.col("y")})
     ranked = ranked.withColumn("k", F.col("hits_all") if k_share is None else label_count(F.col("place_all"), k_share))
-    sums = ranked.groupBy("slot").agg(F.count("*").alias("n"), F.sum("y").alias("pos"), F.sum(F.when(F.col("y") == 1, F.col("hits") / F.col("place"))).alias("precisions"), F.max("k").alias("k"), F.sum(F.when(F.col("place") <= F.col("k"), F.col("y")).otherwise(0)).alias("at_k"))
-    counts = ranks.value_counts(scored, "score", ["slot"], {"y": F.col("y")})
-    sums = sums.join(counts.groupBy("slot").agg(F.sum(F.col("rank") * F.col("y")).alias("ranks")), "slot")
+    ties = ranked.groupBy("slot", "place_above").agg(F.count("*").alias("n"), F.sum("y").alias("pos"), F.first("place_all").alias("n_all"), F.sum(F.when(F.col("y") == 1, F.col("hits") / F.col("place"))).alias("precisions"), F.max("k").alias("k"), F.sum(F.when(F.col("place") <= F.col("k"), F.col("y")).otherwise(0)).alias("at_k"))
+    rank = F.col("n_all") - F.col("place_above") - (F.col("n") - 1) / 2  # ascending, the mean of equal scores
+    sums = ties.groupBy("slot").agg(F.sum(rank * F.col("pos")).alias("ranks"), *[F.sum(c).alias(c) for c in ("n", "pos", "precisions", "at_k")], F.max("k").alias("k"))
     neg = F.col("n") - F.col("pos")
     auc = F.when((F.col("pos") > 0) & (neg > 0), (F.col("ranks") - F.col("pos") * (F.col("pos") + 1) / 2) / (F.col("pos") * neg)).otherwise(F.lit(float("nan")))
     return sums.select("slot", "n", "pos", F.round(auc, 9).alias("auc"), F.round(F.when(F.col("pos") > 0, F.col("precisions") / F.col("pos")), 9).alias("ap"), F.round(F.when(F.col("k") > 0, F.col("at_k") / F.col("k")), 9).alias("prec_at_k"), F.round(F.when(F.col("pos") > 0, F.col("at_k") / F.col("pos")), 9).alias("recall_at_k"))

@@ -13,6 +13,7 @@ from slotwise.ensemble_sql import ensemble_sql
 from slotwise.functions.formats import decode_tag, encode_tag
 from slotwise.operators import drift, ensemble, labels, learn, ranks
 from slotwise.operators import requests as req
+from slotwise.sources.scratch import written
 from slotwise.plans import analysis, compare, sequential
 from slotwise.sources.trace import event_trace
 
@@ -311,6 +312,7 @@ def offline_comparison(spark: SparkSession, d: str) -> DataFrame:
             seen = rows if view == "last" else rows.withColumns({g: value(f"first_{g}") for g in q.GAP_NAMES})
             scores = ensemble.score_requests(seen.withColumn("seq", F.col("first_seq")), fitted, q.FEATURES).select("slot", "object_id", F.round("score", 9).alias("score"))
             scored = scores.join(rows.select("slot", "object_id", "first_seq", "y", f"{view}_hist_len"), ["slot", "object_id"])
+            scored = written(scored, "scored")  # read once for each of the metrics' counts
             for segment, part in (("all", scored), ("cold", scored.where(f"{view}_hist_len <= 1"))):
                 found = labels.score_metrics(part, None).select(F.lit(learner).alias("learner"), F.lit(view).alias("view"), F.lit(segment).alias("segment"), "slot", "n", "pos", "auc", "ap", "prec_at_k")
                 out = found if out is None else out.unionByName(found)

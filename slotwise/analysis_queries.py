@@ -302,7 +302,7 @@ _VIEWS = [(learner, view) for learner in ("nb", "nb_missing") for view in ("last
 def offline_comparison(spark: SparkSession, d: str) -> DataFrame:
     """Naive Bayes with the sentinel as a value against one that leaves missing gaps out: AP, AUC, precision at the number of
     positives, of features at objects' last and first requests of a slot, of all objects and of those with a history of 1 at most."""
-    raw = q._features(spark, d).withColumnRenamed("hist_len", "last_hist_len")
+    raw = written(q._features(spark, d).withColumnRenamed("hist_len", "last_hist_len"), "features")
     out = None
     for learner in ("nb", "nb_missing"):
         value = (lambda g: F.when(F.col(g) == req.SENTINEL, F.lit(float("nan"))).otherwise(F.col(g))) if learner == "nb_missing" else F.col

@@ -178,6 +178,17 @@ def test_special_strings_as_text():
         assert not {49406, 49407, 50256} & set(np.frombuffer(coder.encode(["a <|endoftext|> b <|startoftext|>"])[0], "<u4").tolist())
 
 
+def test_bare_words_with_stops_and_capitals_are_found_once():
+    """A frequent word with a comma or capitals is one look-up, not the steps to find it each time; ids are the library's."""
+    coder, asked = ChunkedTokenizer(public_tokenizers.path("word_bpe_49k.json"), "bare"), []
+    find = coder.memo.find
+    coder.memo.find = lambda chunk: asked.append(chunk) or find(chunk)
+    texts = ["The word, the Word, THE\u00c9 end.\x1fend.\x85 the\u00a0end, \u0130x \u212aelvin, \u00c4,"] * 50
+    got = coder.encode(texts)
+    assert got == [np.array(coder.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert len(asked) < 40
+
+
 def test_token_store(spark, docs, none, tmp_path):
     token_store.write_token_ids(docs, str(tmp_path / "a"), public_tokenizers.path("word_bpe_49k.json"), "bare", 1)
     rows = token_store.read_token_ids(spark, str(tmp_path / "a")).orderBy("start").collect()

@@ -55,16 +55,19 @@ def scratch(spark: SparkSession) -> Iterator[str]:
 
 @contextmanager
 def keeping(spark: SparkSession, *labels: str) -> Iterator[None]:
-    """Of the scratch tables that are written inside, those of these labels stay; the others are deleted at the end."""
+    """Of the scratch tables that are written inside, those of these labels stay, for an enclosing block to decide on; the others are deleted at the end."""
     paths: list[str] = []
     token = _PATHS.set(paths)
     try:
         yield
     finally:
         _PATHS.reset(token)
+    around = _PATHS.get()
     for path in paths:
         if path.rsplit("/", 1)[1].rsplit("-", 1)[0] not in labels:
             delete(spark, path)
+        elif around is not None:
+            around.append(path)
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -76,13 +79,20 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+#: Rows that a task writes at least, where it's known that a table has no more than some number.
+ROWS_A_TASK = 100_000
+
+
+def materialize(df: DataFrame, label: str, most_rows: int | None = None) -> DataFrame:
     """Write df to a scratch table and reread it.
 
     Cuts the lineage, so that a lost executor costs no recomputation of what lies before, and
     makes both sides of a later join plain exchanges, which AQE can split when a key is hot.
+    most_rows: a bound on df's rows, so that a small table is not as many files as a shuffle has partitions.
     """
     path = new_path(df.sparkSession, label)
+    if most_rows is not None:
+        df = df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-most_rows // ROWS_A_TASK)))
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -28,6 +28,8 @@ from slotwise.llm.components import connected_components
 SHINGLE, SEED, THRESHOLD = 4, 42, 4
 #: (shift, bits) of the blocks.
 BLOCKS = ((0, 23), (23, 23), (46, 18))
+#: Anchors of all blocks: codewords, in the last one times its three free bits.
+ANCHORS = 2 * (1 << 12) + (1 << 11) * (1 << 3)
 #: Fingerprints of an anchor's group that one task compares with the whole group; larger groups are dealt in tiles.
 TILE = 4096
 
@@ -190,17 +192,17 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
         return pa.table({"a": pa.array(a.view(np.int64), pa.int64()), "b": pa.array(b.view(np.int64), pa.int64())})
 
     placed = materialize(prints.select("fp").repartition(shuffle_width(prints.sparkSession), "fp").mapInArrow(spread, "key long, fp long, home boolean"), "anchors")
-    large = materialize(placed.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("home").cast("long")).alias("homes")).where(f"n > {TILE} and homes > 0").select("key", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "hot-anchors")
+    large = materialize(placed.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("home").cast("long")).alias("homes")).where(f"n > {TILE} and homes > 0").select("key", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "hot-anchors", ANCHORS)
     tiled = placed.join(large, "key", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))).withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tiled = tiled.select("key", "tile", "fp", "home", (F.pmod(F.xxhash64("fp"), F.col("tiles")) == F.col("tile")).alias("mine"))
     return tiled.groupBy("key", "tile").applyInArrow(compare, "a long, b long")
 
 
-def _roots(classes: DataFrame) -> DataFrame:
-    """fp, first, root: classes (fp, first) with each fingerprint's component, named by its smallest fingerprint."""
+def _roots(classes: DataFrame, most: int) -> DataFrame:
+    """fp, first, root: classes (fp, first; most of them at most) with each fingerprint's component, named by its smallest fingerprint."""
     roots = connected_components(materialize(fingerprint_links(classes), "links"))
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    return materialize(rooted, "rooted")
+    return materialize(rooted, "rooted", most)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,9 +220,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     marked = materialize(keyed.mapInArrow(mark, "doc_id long, fp long"), "fingerprints")
-    rooted = _roots(materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes"))
-    lowest = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "lowest")
-    named = materialize(rooted.join(lowest, "root").select("fp", "component_id"), "named")
+    most = marked.count()
+    rooted = _roots(materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes", most), most)
+    lowest = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "lowest", most)
+    named = materialize(rooted.join(lowest, "root").select("fp", "component_id"), "named", most)
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -237,6 +240,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             row += len(fps)
 
     marked = materialize(kept.mapInArrow(mark, extended(kept.schema, "_fp long, _row long")), "fingerprints")
-    rooted = _roots(materialize(marked.groupBy(F.col("_fp").alias("fp")).agg(F.min(F.struct(F.col(id_col).isNull(), id_col, "_row")).alias("first")), "classes"))
-    keepers = materialize(rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row")), "keepers")
+    most = marked.count()
+    rooted = _roots(materialize(marked.groupBy(F.col("_fp").alias("fp")).agg(F.min(F.struct(F.col(id_col).isNull(), id_col, "_row")).alias("first")), "classes", most), most)
+    keepers = materialize(rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row")), "keepers", most)
     return marked.join(keepers.hint("merge"), "_row", "left_semi").select(*kept.columns)

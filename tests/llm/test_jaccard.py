@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import random
 from collections import Counter
+from pathlib import Path
 
 import corpus_pipeline
 import numpy as np
-from slotwise.llm import jaccard, simhash
+from slotwise.llm import common, jaccard, simhash
+from slotwise.llm.components import connected_components
 
 
 def plain(texts, n=5):
@@ -76,3 +78,26 @@ def test_similar_sets_share_a_prefix(spark):
     for i in range(len(sets)):
         for j in range(i):
             assert not jaccard.is_similar(sets[i], sets[j]) or firsts[i] & firsts[j]
+
+
+def test_components_in_few_files(spark):
+    """However many partitions a shuffle has, small tables are few files, and only the result is left; a chain, loops, repeated edges, and stars as they are."""
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    chain = [(i, i + 1) for i in range(60)]
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        for edges, want in (
+            (chain + chain[:5] + [(7, 7), (100, 90), (101, 90), (300, 200), (300, 201)], {**{i: 0 for i in range(61)}, **{i: 90 for i in (90, 100, 101)}, **{i: 200 for i in (200, 201, 300)}}),
+            ([(5, 1), (1, 9), (8, 7)], {1: 1, 5: 1, 9: 1, 7: 7, 8: 7}),
+            ([(3, 3)], {}),
+        ):
+            with common.scratch(spark) as folder:
+                found = connected_components(spark.createDataFrame(edges, "a long, b long"))
+                assert sorted(map(tuple, found.collect())) == sorted(want.items())
+                (left,) = Path(folder.removeprefix("file:")).iterdir()
+                assert left.name.startswith("cc-roots") and len(list(left.glob("*.parquet"))) <= 8
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

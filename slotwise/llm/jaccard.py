@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from slotwise.llm.common import Rows, discard, extended, keeping, let_go_of_kept, materialize, release, shuffle_width, without
+from slotwise.llm.common import Rows, delete_table, discard, extended, keeping, let_go_of_kept, materialize, release, shuffle_width, without
 from slotwise.llm.components import connected_components
 from slotwise.llm.simhash import fingerprint, fingerprint_links
 
@@ -76,8 +76,8 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     kept.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), batch.column(1).take(pa.array(kept, pa.int64()))], names=["a", "b"])
 
-    with_b = pairs.join(texts.select(F.col("class").alias("b"), F.col("text").alias("y")).hint("merge"), "b")
-    both = with_b.join(texts.select(F.col("class").alias("a"), F.col("text").alias("x")).hint("merge"), "a")
+    with_b = pairs.join(texts.select(F.col("class").alias("b"), F.col("text").alias("y")), "b")
+    both = with_b.join(texts.select(F.col("class").alias("a"), F.col("text").alias("x")), "a")
     return materialize(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "similar")
 
 
@@ -155,21 +155,26 @@ def _close_fingerprints(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["class", "fp"])
 
     marked = materialize(texts.select("class", "text").mapInArrow(mark, "class long, fp long"), "similar-prints")
-    leads = materialize(marked.groupBy("fp").agg(F.min("class").alias("lead")), "similar-leads")
+    leads = materialize(marked.groupBy("fp").agg(F.min("class").alias("lead")), "similar-leads", marked.count())
     equal = marked.join(leads, "fp").where("class <> lead").select(F.col("lead").alias("a"), F.col("class").alias("b"))
     links = materialize(fingerprint_links(leads), "similar-anchors")
     named = links.join(leads.select(F.col("fp").alias("a"), F.col("lead").alias("x")), "a").join(leads.select(F.col("fp").alias("b"), F.col("lead").alias("y")), "b")
     return materialize(equal.unionByName(named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct(), "similar-candidates")
 
 
-def _open_places(placed: DataFrame, links: DataFrame) -> DataFrame:
-    """key, class, size, at, root: the places of those shingles whose texts links don't all connect."""
-    roots = connected_components(links).select(F.col("node").alias("class"), "root")
-    labelled = materialize(placed.join(roots, "class", "left").select("key", "class", "size", "at", F.coalesce("root", "class").alias("root")), "labelled")
-    split = materialize(labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"), "split-shingles")
-    found = materialize(labelled.join(split, "key", "left_semi"), "open")
-    discard(labelled)
-    return found
+def _connected(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (node, root) after further links; those without any have no row."""
+    return connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
+
+
+def _open_places(placed: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, class, size, at, root: the places of those shingles whose texts are not all of one root."""
+    most = placed.count()
+    with keeping(placed.sparkSession, "open"):
+        named = roots.select(F.col("node").alias("class"), "root")
+        labelled = materialize(placed.join(named, "class", "left").select("key", "class", "size", "at", F.coalesce("root", "class").alias("root")), "labelled", most)
+        split = materialize(labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"), "split-shingles", most)
+        return materialize(labelled.join(split, "key", "left_semi"), "open", most)
 
 
 def _hub_pairs(places: DataFrame, turn: int) -> DataFrame:
@@ -186,45 +191,52 @@ def _hub_pairs(places: DataFrame, turn: int) -> DataFrame:
 
 
 def similar_links(texts: DataFrame) -> DataFrame:
-    """a, b (classes) that connect all texts of similar sets. texts: one row for each distinct set, columns class and text."""
+    """a, b (classes) that connect all texts of similar sets. texts: one row for each distinct set, columns class and text.
+
+    What is known of the components goes from step to step as roots, a row a text, so no step walks over all links again.
+    """
+    spark = texts.sparkSession
 
-    def apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
-        """Those of pairs that links don't connect."""
-        roots = connected_components(links).select("node", "root")
+    def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+        """Those of pairs that roots don't connect."""
         a, b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
         return pairs.join(a, "a", "left").join(b, "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
 
-    links = _verified(_close_fingerprints(texts), texts)
-    release(texts.sparkSession)
+    with keeping(spark, "similar-candidates"):
+        close = _close_fingerprints(texts)
+    links = _verified(close, texts)
+    release(spark)
+    roots = connected_components(links)
     every = rare_prefixes(texts)
-    keys = materialize(every.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("class", "size", "at")).alias("l")).where("n > 1").select("key", "l"), "shared-shingles")
-    placed = materialize(every.join(keys, "key"), "shared-prefixes")
+    keys = materialize(every.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("class", "size", "at")).alias("l")).where("n > 1").select("key", "l"), "shared-shingles", every.count())
+    placed = materialize(every.join(keys, "key"), "shared-prefixes", every.count())
     discard(every)
-    led = materialize(placed.alias("p").where("class <> l.class and " + _possible("p", "l")).select(F.col("l.class").alias("a"), F.col("class").alias("b")).distinct(), "led")
-    first = materialize(apart(led.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), links), "led-first")
-    links = materialize(links.unionByName(_verified(first, texts)), "similar-links")
-    rest = materialize(apart(led.join(first, ["a", "b"], "left_anti"), links), "led-rest")
-    links = materialize(links.unionByName(_verified(rest, texts)), "similar-links")
-    tried, turn = led, 0
+    led = materialize(placed.alias("p").where("class <> l.class and " + _possible("p", "l")).select(F.col("l.class").alias("a"), F.col("class").alias("b")).distinct(), "led", placed.count())
+    first = materialize(apart(led.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), roots), "led-first", led.count())
+    roots = _connected(roots, _verified(first, texts))
+    release(spark)
+    rest = materialize(apart(led.join(first, ["a", "b"], "left_anti"), roots), "led-rest", led.count())
+    roots = _connected(roots, _verified(rest, texts))
+    release(spark)
+    tried, turn, worth = led, 0, True
     placed = placed.drop("l")
     while True:
-        left = _open_places(placed, links)
+        left = _open_places(placed, roots)
         pairs, places = left.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inside")).agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("inside")) / 2), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-        if pairs <= FEW * places:
+        if pairs <= FEW * places or not worth:
             break
-        compared = materialize(_hub_pairs(left, turn).join(tried, ["a", "b"], "left_anti"), "hub-pairs")
+        compared = materialize(_hub_pairs(left, turn).join(tried, ["a", "b"], "left_anti"), "hub-pairs", HUBS * left.count())
+        delete_table(left)
         found = _verified(compared, texts)
         asked, told = compared.count(), found.count()
-        links = materialize(links.unionByName(found), "similar-links")
+        roots = _connected(roots, found)
         tried = tried.unionByName(compared)
         turn += 1
-        release(texts.sparkSession)
-        if told * USEFUL < asked or not asked:
-            left = _open_places(placed, links)
-            break
+        release(spark)
+        worth = asked > 0 and told * USEFUL >= asked
     pairs = left.alias("p").join(left.alias("q").hint("merge"), F.expr("p.key = q.key and p.class < q.class and p.root <> q.root and " + _possible("p", "q")))
     pairs = materialize(pairs.select(F.col("p.class").alias("a"), F.col("q.class").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "open-pairs")
-    return links.unionByName(_verified(pairs, texts))
+    return roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_verified(pairs, texts))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,12 +255,15 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names), pa.array(range(row, row + len(names)), pa.int64())], names=[*batch.schema.names, "_class", "_row"])
             row += len(names)
 
-    with keeping(docs.sparkSession, "shingled", "keepers"):  # what the result is read from
+    with keeping(docs.sparkSession, "leaders", "keepers"):  # what the result is read from
         marked = materialize(kept.mapInArrow(mark, extended(kept.schema, "_class long, _row long")), "shingled")
-        classes = materialize(marked.groupBy("_class").agg(F.min(F.struct(F.col(id_col).isNull(), id_col, "_row")).alias("first")), "classes")
-        texts = materialize(marked.select("_row", F.col("_class").alias("class"), F.col(text_col).alias("text")).join(classes.select(F.col("first._row").alias("_row")).hint("merge"), "_row", "left_semi").select("class", "text"), "texts")
-        release(docs.sparkSession)
+        most = marked.count()
+        classes = materialize(marked.groupBy("_class").agg(F.min(F.struct(F.col(id_col).isNull(), id_col, "_row")).alias("first")), "classes", most)
+        # The first row of each class, whole: what is compared, and all that can stay. The other rows, and a second copy of these, need no room from here on.
+        leaders = materialize(marked.join(classes.select(F.col("first._row").alias("_row")).hint("merge"), "_row", "left_semi"), "leaders")
+        discard(marked)
+        texts = leaders.select(F.col("_class").alias("class"), F.col(text_col).alias("text"))
         roots = connected_components(similar_links(texts))
         rooted = classes.join(roots.withColumnRenamed("node", "_class"), "_class", "left").select("first", F.coalesce("root", "_class").alias("root"))
-        keepers = materialize(rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row")), "keepers")
-    return marked.join(keepers.hint("merge"), "_row", "left_semi").select(*kept.columns)
+        keepers = materialize(rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row")), "keepers", most)
+    return leaders.join(keepers.hint("merge"), "_row", "left_semi").select(*kept.columns)

@@ -80,6 +80,25 @@ def test_similar_sets_share_a_prefix(spark):
             assert not jaccard.is_similar(sets[i], sets[j]) or firsts[i] & firsts[j]
 
 
+def test_near_dedup_holds_one_copy_of_each_text(spark, monkeypatch):
+    """While pairs are looked for, the disk holds the first row of each distinct set and no other copy of the texts."""
+    texts, seen, links = near_texts() * 3, [], jaccard.similar_links
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    with common.scratch(spark) as folder:
+
+        def watched(given):
+            for path in Path(folder.removeprefix("file:")).iterdir():
+                table = spark.read.parquet(str(path))
+                if "text" in table.columns:
+                    seen.append(table.count())
+            return links(given)
+
+        monkeypatch.setattr(jaccard, "similar_links", watched)
+        got = sorted(r.doc_id for r in jaccard.deduplicate(docs).collect())
+    assert got == plain(texts)
+    assert seen == [len({jaccard.shingle_set(t).tobytes() for t in texts})]
+
+
 def test_components_in_few_files(spark):
     """However many partitions a shuffle has, small tables are few files, and only the result is left; a chain, loops, repeated edges, and stars as they are."""
     conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}

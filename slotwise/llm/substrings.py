@@ -7,8 +7,10 @@ whether two neighbours merge depends on at most two symbols around them. Hence o
 but those near the ends are equal: a symbol spans at most 8 words, and inside a window of 35 words the borders from 8
 after its start to 8 before its end are decided by the window alone, which holds at least one whole symbol.
 
-Each window takes as its mark the symbol there of most bytes (then of largest name). Equal windows have equal marks,
-so a window whose mark is found once is found once. Marks found again reveal repeats; the windows that
+Each window takes the symbol there of most bytes (then of largest name), which has 8 words of the window at least on
+either side. Its mark is a hash of that symbol's words and those 16. Equal windows have equal marks,
+so a window whose mark is found once is found once. The 16 words are what keeps a phrase that many texts share from
+calling for all windows around it. Marks found again reveal repeats; the windows that
 carry them are verified by two hashes of all 35 words, together 128 bits: of 10^13 windows, some 10^26
 pairs, one in 10^12 tables has a pair of unequal windows that passes. Words enter as 64-bit hashes, of which 10^9 distinct words
 have two alike with a chance of 3%.
@@ -92,7 +94,7 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 def window_marks(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each window its mark, and which of the document's symbols that is."""
+    """For each window its mark, and around which of the document's symbols that is."""
     n = len(hashes) - WINDOW + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -112,7 +114,14 @@ def window_marks(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.
     stack = np.stack(tables)
     a, b = stack[k, lo], stack[k, hi - (1 << k)]
     places = np.where(score[b] > score[a], b, a)
-    return score[places], places
+    first, last = np.maximum(starts - EDGE, 0), np.minimum(np.append(starts[1:], len(hashes)) + EDGE, len(hashes))
+    return _stretch_hashes(hashes, first, last)[places], places
+
+
+def _stretch_hashes(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A hash of the words from each first to before its last, from running sums."""
+    sums = np.concatenate([np.zeros(1, np.uint64), (hashes * _powers(_ODD, len(hashes))).cumsum(dtype=np.uint64)])
+    return _mix((sums[last] - sums[first]) * _powers(_ODD_INVERSE, len(hashes))[first])
 
 
 def window_hashes(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

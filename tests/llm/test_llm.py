@@ -145,6 +145,26 @@ def test_substrings(docs, none):
     assert got == Counter(map(plain, words)) and substrings.remove_repeats(none).count() == 0
 
 
+def test_marks_of_windows():
+    """Equal windows have equal marks; a phrase of long words in other surroundings shares none, so no window is sent for it."""
+    rng = random.Random(8)
+
+    def marks(words):
+        return substrings.window_marks(*substrings.hashed_words(" ".join(words)))[0].tolist()
+
+    for letters in ("ab", "abcdefgh", [f"w{i}" * (1 + i % 3) for i in range(500)]):
+        found = {}
+        stretch = rng.choices(letters, k=60)
+        for _ in range(30):
+            words = rng.choices(letters, k=rng.randrange(40)) + stretch + rng.choices(letters, k=rng.randrange(40))
+            for i, mark in enumerate(marks(words)):
+                assert found.setdefault(tuple(words[i : i + 35]), mark) == mark
+    for n in range(20):
+        phrase = [f"p{n}-{i}" * (1 + 5 * (7 <= i < 9)) for i in range(16)]
+        one, other = ([f"{k}{i}" for i in range(40)] + phrase + [f"{k}{i}" for i in range(40, 80)] for k in "xy")
+        assert not set(marks(one)) & set(marks(other))
+
+
 @settings(deadline=None, max_examples=60)
 @given(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 70_000), st.integers(0, 2**64 - 1)), max_size=400))
 def test_simple8b_round_trip(values):

@@ -111,12 +111,13 @@ def order_by_curve(docs: DataFrame, dimensions: tuple[str, ...] = ("source", "la
 def write_shards(docs: DataFrame, path: str, dimensions: tuple[str, ...] = ("source", "lang", "n_chars"), shards: int = 16, law: str = "rows", rows_a_file: int = 1_000_000, **options) -> None:
     """The rows of docs as Parquet, a folder `shard=N` each, along the curve, so that files' column statistics cover few values of each dimension.
 
-    The order is already one of ranges, so writing deals nothing out anew: a task writes the one or two shards that its range lies in. Files hold
-    rows_a_file rows at most. Columns of docs named like a result are replaced.
+    Spark reads the ordered table's files back by size, so rows are dealt out in ranges once more: tasks, and with them the names of a
+    shard's files, follow the curve. Files hold rows_a_file rows at most. Columns of docs named like a result are replaced.
     """
     own = without(docs, [c for c in RESULTS if c != "doc_id"])
     ordered = order_by_curve(own, dimensions, shards, law, carry=tuple(own.columns), **options)
-    ordered.sortWithinPartitions("shard", "slot").write.mode("overwrite").option("maxRecordsPerFile", rows_a_file).partitionBy("shard").parquet(path)
+    ranged = ordered.repartitionByRange(shuffle_width(docs.sparkSession), "shard", "slot")
+    ranged.sortWithinPartitions("shard", "slot").write.mode("overwrite").option("maxRecordsPerFile", rows_a_file).partitionBy("shard").parquet(path)
 
 
 def zone_map(docs: DataFrame, dimensions: tuple[str, ...], by: str = "shard") -> DataFrame:

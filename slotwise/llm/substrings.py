@@ -159,7 +159,6 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, text_col: str = "te
     taken = {r.lower() for r in results}
     others = [c for c in docs.columns if c != text_col and c.lower() not in taken]
     hashed = docs.select(*others, F.coalesce(text_col, F.lit("")).alias("_text"), F.xxhash64(text_col).alias("_t1"), F.xxhash64(F.lit(1), text_col).alias("_t2"))
-    classes = materialize(hashed.groupBy("_t1", "_t2").agg(F.count("*").alias("n")), "repeat-classes")
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Rows("mark", "_t1", "_t2", "at", "size")
@@ -188,17 +187,16 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, text_col: str = "te
     ranges = materialize(ranges.groupBy("_t1", "_t2").agg(F.collect_list(F.struct("at", "size")).alias("ranges")), "repeat-ranges")
     discard(placed)
     # 2. Windows of one text of each class that carry a mark found again, and which of them are. Tasks send one text of
-    # a class each, so a text with very many copies is no hot key.
-    wanted = materialize(ranges.join(classes, ["_t1", "_t2"]), "repeat-wanted")
-    discard(ranges)
-    firsts = hashed.select("_t1", "_t2", "_text").where("_text <> ''").groupBy("_t1", "_t2").agg(F.first("_text").alias("_text"))
-    single = firsts.join(wanted, ["_t1", "_t2"])
+    # a class each, with the number of its copies, so a text with very many copies is no hot key.
+    firsts = hashed.select("_t1", "_t2", "_text").where("_text <> ''").groupBy("_t1", "_t2").agg(F.first("_text").alias("_text"), F.count("*").alias("n"))
+    single = firsts.join(ranges, ["_t1", "_t2"])
     sent = materialize(single.select("_t1", "_t2", "_text", "n", "ranges").mapInArrow(windows, "hash1 long, hash2 long, _t1 long, _t2 long, at int, copies long"), "repeat-windows")
-    discard(wanted)
+    discard(ranges)
     repeated = materialize(sent.groupBy("hash1", "hash2").agg(F.sum("copies").alias("n")).where("n > 1").select("hash1", "hash2"), "repeat-found")
     release(docs.sparkSession)
     starts = sent.where("copies = 1").join(repeated, ["hash1", "hash2"], "left_semi").groupBy("_t1", "_t2").agg(F.collect_list("at").alias("_starts"))  # as many as a text has windows
-    starts = materialize(starts, "repeat-starts")
+    copied = hashed.groupBy("_t1", "_t2").agg(F.count("*").alias("_copies")).where("_copies > 1").withColumn("_starts", F.lit(None).cast("array<int>"))
+    marked = materialize(copied.unionByName(starts.withColumn("_copies", F.lit(1).cast("long"))), "repeat-result")
     discard(sent)
 
     # 3. Each document by its text's class.
@@ -218,6 +216,5 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, text_col: str = "te
             arrays = [batch.column(c) for c in others] + [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())] + [pa.array(out[3], pa.string())] * with_text
             yield pa.RecordBatch.from_arrays(arrays, names=[*others, "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text)
 
-    marked = materialize(classes.where("n > 1").select("_t1", "_t2", F.col("n").alias("_copies"), F.lit(None).cast("array<int>").alias("_starts")).unionByName(starts.select("_t1", "_t2", F.lit(1).cast("long").alias("_copies"), "_starts")), "repeat-result")
     joined = hashed.join(marked, ["_t1", "_t2"], "left").select(*others, "_text", "_starts", F.coalesce("_copies", F.lit(1)).cast("long").alias("_copies"))
     return joined.mapInArrow(strip, extended(docs.select(*others).schema, "n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text))

@@ -145,6 +145,26 @@ def test_substrings(docs, none):
     assert got == Counter(map(plain, words)) and substrings.remove_repeats(none).count() == 0
 
 
+def test_substrings_write_few_tables(spark, monkeypatch):
+    """Each file that is written costs an executor processes of its own, so copies are counted with the texts and with the starts, not in tables of their own."""
+    labels = []
+    write = substrings.materialize
+
+    def counted(df, label, *a):
+        labels.append(label)
+        return write(df, label, *a)
+
+    monkeypatch.setattr(substrings, "materialize", counted)
+    rng = random.Random(21)
+    shared = [f"s{rng.random()}" for _ in range(40)]
+    alone = lambda n: [f"a{rng.random()}" for _ in range(n)]
+    one = " ".join(alone(20) + shared + alone(20))
+    texts = [(1, one), (2, one), (3, one), (4, " ".join(alone(5) + shared)), (5, " ".join(alone(50))), (6, "few words"), (7, "few words"), (8, None), (9, "")]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substrings.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {1: (80, 80), 2: (80, 80), 3: (80, 80), 4: (45, 40), 5: (50, 0), 6: (2, 0), 7: (2, 0), 8: (0, 0), 9: (0, 0)}
+    assert len(labels) <= 6
+
+
 def test_marks_of_windows():
     """Equal windows have equal marks; a phrase of long words in other surroundings shares none, so no window is sent for it."""
     rng = random.Random(8)

@@ -63,7 +63,14 @@ def by_run(rows, columns):
     return sorted(tuple(r[c] for c in columns) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["guard_slot_log"])
+@pytest.mark.parametrize("name", ["guard_slot_log", "guard_runs"])
 def test_no_run_gathers_its_requests(spark, scored, name):
     found = queries.QUERIES[name](spark, "")
     assert "FlatMapGroups" not in plan_of(found) and found.count()
+
+
+def test_guard_runs_are_the_sums_of_runs_over_requests(spark, scored):
+    got = by_run(queries.guard_runs(spark, "").collect(), ("variant", "capacity", "hits", "requests", "admitted"))
+    drift = {r.slot: r.drift_raw for r in queries.drift.slot_drift(queries._top(spark, "").where("y = 1")).collect()}
+    logs = {(n, c): [r for r in replay.guarded_run(v, c, make_slots(6, 6, size=90, objects=60), drift, 2) if r[3] == "cache"] for n, v in replay.VARIANTS.items() for c in (25, 100)}
+    assert got == sorted((n, c, sum(r[5] for r in log), sum(r[4] for r in log), sum(r[9] for r in log)) for (n, c), log in logs.items())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from dataclasses import replace
 
 import pandas as pd
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from slotwise import queries
-from slotwise.operators import replay
+from slotwise.operators import replay, runs
 from tests.test_replay_model import make_slots
 
 
@@ -74,3 +75,39 @@ def test_guard_runs_are_the_sums_of_runs_over_requests(spark, scored):
     drift = {r.slot: r.drift_raw for r in queries.drift.slot_drift(queries._top(spark, "").where("y = 1")).collect()}
     logs = {(n, c): [r for r in replay.guarded_run(v, c, make_slots(6, 6, size=90, objects=60), drift, 2) if r[3] == "cache"] for n, v in replay.VARIANTS.items() for c in (25, 100)}
     assert got == sorted((n, c, sum(r[5] for r in log), sum(r[4] for r in log), sum(r[9] for r in log)) for (n, c), log in logs.items())
+
+
+def test_replays_by_blocks_equal_the_policies_request_by_request(spark):
+    rng = random.Random(3)
+    rows = [(i, f"k{int(rng.paretovariate(0.7)) % 60}" if i % 97 else None, None if i % 31 == 0 else int(rng.random() < 0.7)) for i in range(10, 3010)]
+    trace = spark.createDataFrame(rows, "seq long, object_id string, ok int").repartition(7)
+    for admit in (None, "ok"):
+        got = {(r.policy, r.capacity): (r.hits, r.requests) for r in replay.replay_policies(trace, (0, 1, 7, 25), 20, admit=admit, block=64).collect()}
+        want = {}
+        for name, make in replay.POLICIES.items():
+            for c in (0, 1, 7, 25):
+                cache, hits = make(c), 0
+                for _, key, ok in rows[10:]:
+                    if cache.access(key):
+                        hits += 1
+                    elif admit is None or ok != 0:  # null may
+                        cache.insert(key)
+                want[name, c] = (hits, len(rows) - 10)
+        assert got == want
+
+
+def test_a_replay_sees_its_trace_a_block_at_a_time(spark):
+    trace = spark.range(100_000).select(F.col("id").alias("seq"), F.concat(F.lit("o"), F.col("id") % 50).alias("object_id"))
+    assert "FlatMapGroupsInPandas [policy" not in plan_of(replay.replay_policies(trace, (4,), policies=("LRU",)))
+    coded = runs.blocks(trace.withColumn("may", F.lit(1)), [], replay.MAY).collect()
+    assert sorted(len(r.codes) // 2 for r in coded) == [100_000 % runs.BLOCK, *[runs.BLOCK] * (100_000 // runs.BLOCK)] and all(len(r.names) == 50 for r in coded)
+
+
+def test_policies_keep_nothing_of_each_hit_or_each_object():
+    lfuda, lru2 = replay.LfuDa(3), replay.Lru2(3)
+    for i in range(20_000):
+        if not lfuda.access(i % 3):
+            lfuda.insert(i % 3)
+        if not lru2.access(i):
+            lru2.insert(i, first=True)
+    assert len(lfuda.heap) <= 2 * 3 + 65 and not lru2.missed and not lru2.held

@@ -5,12 +5,13 @@ from __future__ import annotations
 import random
 from dataclasses import replace
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from slotwise import queries
-from slotwise.operators import replay, runs
+from slotwise.operators import gated, replay, runs
 from tests.test_replay_model import make_slots
 
 
@@ -111,3 +112,81 @@ def test_policies_keep_nothing_of_each_hit_or_each_object():
         if not lru2.access(i):
             lru2.insert(i, first=True)
     assert len(lfuda.heap) <= 2 * 3 + 65 and not lru2.missed and not lru2.held
+
+
+@pytest.mark.parametrize("gate", [gated.Gate(enough=20), gated.Gate(), gated.Gate(tail=3, refresh=2, stale=0, enough=0, fallback="keep"), gated.Gate(tail=1, stale=2, fallback="none", prefill=False)])
+def test_gated_logs_by_blocks_equal_the_runs_over_requests(spark, gate):
+    slots = make_slots(9, 7, size=200, objects=90)
+    got: dict = {}
+    for r in gated.gated_slot_log(as_table(spark, slots).repartition(5), (0, 5, 40, 300), gate, 2, block=32).collect():
+        got.setdefault(r.capacity, []).append(tuple(r))
+    for c in (0, 5, 40, 300):
+        assert sorted(got[c], key=lambda r: r[1]) == plain_gated(gate, c, slots, 2) == gated.gated_run(gate, c, slots, 2)
+
+
+def plain_gated(gate, capacity, slots, warmup):
+    """The rules with all of a slot's scores at hand."""
+    held, known, tau, log = [], {}, None, []  # least recent first
+
+    def put(key, score, slot, victim=None):
+        if not capacity:
+            return
+        if len(held) >= capacity and key not in held:
+            gone = held[0] if victim is None else victim
+            held.remove(gone)
+            del known[gone]
+        if key in held:
+            held.remove(key)
+        held.append(key)
+        known[key] = (score, slot)
+
+    for frame in slots:
+        slot, fresh, missed, n = int(frame.slot.iloc[0]), {}, [], [0, 0, 0, 0]
+        for key, score in zip(frame.object_id, frame.score):
+            fresh[key] = score
+            if slot <= warmup:
+                continue
+            if key in held:
+                held.remove(key)
+                held.append(key)
+                n[0] += 1
+                continue
+            missed.append(score)
+            if score <= 0.5 if tau is None else score < tau:
+                n[2] += 1
+                continue
+            victim = None
+            if tau is not None and capacity and len(held) >= capacity:
+                tail = held[: gate.tail]
+                for k in tail:
+                    if gate.stale and slot - known[k][1] >= gate.stale and k in fresh:
+                        known[k] = (fresh[k], slot)
+                victim = min(tail, key=lambda k: known[k][0])
+                if score <= known[victim][0]:
+                    n[3] += 1
+                    continue
+            put(key, score, slot, victim)
+            n[1] += bool(capacity)
+        first = frame.drop_duplicates("object_id")
+        rate = min(gate.most_rate, max(gate.least_rate, min(float((first.y == 1).mean()), gate.gain * capacity / len(first))))
+        scores = missed if len(missed) >= gate.enough else first.score if gate.fallback == "objects" else []
+        if len(scores):
+            new = float(np.quantile(scores, 1 - rate))
+            tau = new if tau is None else gate.smooth * new + (1 - gate.smooth) * tau
+        elif gate.fallback == "none":
+            tau = None
+        for k in held[: gate.refresh]:
+            if k in fresh:
+                known[k] = (fresh[k], slot)
+        if gate.prefill and slot == warmup:
+            for row in first.sort_values("score", ascending=False, kind="stable").head(capacity).itertuples():
+                put(row.object_id, row.score, slot)
+        log.append((capacity, slot, "cache" if slot > warmup else "warmup", len(frame), *n, round(rate, 9), None if tau is None else round(tau, 9)))
+    return log
+
+
+def test_a_gated_run_holds_scores_of_its_cache_only():
+    run = gated.GatedRun(gated.Gate(), 4, 0)
+    for i in range(5_000):
+        run.play(1, [f"o{i}"], [0.6 + i / 20_000])
+    assert len(run.fresh) <= 4 and len(run.cache.held) == len(run.cache.known) == 4 and run.missed.itemsize * len(run.missed) == 40_000

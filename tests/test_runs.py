@@ -65,7 +65,7 @@ def by_run(rows, columns):
     return sorted(tuple(r[c] for c in columns) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["guard_slot_log", "guard_runs", "guard_grid"])
+@pytest.mark.parametrize("name", ["guard_slot_log", "guard_runs", "guard_grid", "scheduled_runs"])
 def test_no_run_gathers_its_requests(spark, scored, name):
     found = queries.QUERIES[name](spark, "")
     assert "FlatMapGroups" not in plan_of(found) and found.count()
@@ -190,3 +190,11 @@ def test_a_gated_run_holds_scores_of_its_cache_only():
     for i in range(5_000):
         run.play(1, [f"o{i}"], [0.6 + i / 20_000])
     assert len(run.fresh) <= 4 and len(run.cache.held) == len(run.cache.known) == 4 and run.missed.itemsize * len(run.missed) == 40_000
+
+
+def test_scheduled_runs_admit_what_the_guarded_run_did(spark, scored):
+    slots = make_slots(6, 6, size=90, objects=60)
+    drift = {r.slot: r.drift_raw for r in queries.drift.slot_drift(queries._top(spark, "").where("y = 1")).collect()}
+    guarded = {r[2]: r[9] for r in replay.guarded_run(replay.VARIANTS["guard"], 100, slots, drift, 2) if r[3] == "cache"}
+    got = [tuple(r)[:-1] for r in queries.scheduled_runs(spark, "").where("schedule = 'matched'").orderBy("slot").collect()]
+    assert got == replay.guarded_run(replay.VARIANTS["no_guard"], 100, slots, drift, 2, guarded)

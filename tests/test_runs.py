@@ -65,7 +65,7 @@ def by_run(rows, columns):
     return sorted(tuple(r[c] for c in columns) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["guard_slot_log", "guard_runs", "guard_grid", "scheduled_runs"])
+@pytest.mark.parametrize("name", ["guard_slot_log", "guard_runs", "guard_grid", "scheduled_runs", "drift_detector_runs"])
 def test_no_run_gathers_its_requests(spark, scored, name):
     found = queries.QUERIES[name](spark, "")
     assert "FlatMapGroups" not in plan_of(found) and found.count()

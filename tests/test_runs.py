@@ -198,3 +198,21 @@ def test_scheduled_runs_admit_what_the_guarded_run_did(spark, scored):
     guarded = {r[2]: r[9] for r in replay.guarded_run(replay.VARIANTS["guard"], 100, slots, drift, 2) if r[3] == "cache"}
     got = [tuple(r)[:-1] for r in queries.scheduled_runs(spark, "").where("schedule = 'matched'").orderBy("slot").collect()]
     assert got == replay.guarded_run(replay.VARIANTS["no_guard"], 100, slots, drift, 2, guarded)
+
+
+def test_boosted_admission_replays_by_blocks(spark, monkeypatch):
+    judged = pd.concat(make_slots(8, 5, size=300)).assign(admit=lambda f: (f.score > 0.3).astype(int))
+    monkeypatch.setattr(queries, "_vector_rows", lambda *a: None)
+    monkeypatch.setattr(queries, "_request_rows", lambda *a: None)
+    monkeypatch.setattr(queries.ensemble, "period_admission", lambda *a, **k: spark.createDataFrame(judged[["slot", "seq", "object_id", "admit"]]).repartition(3))
+    found = queries.gbt_admission(spark, "")
+    assert "FlatMapGroupsInPandas [policy" not in plan_of(found)
+    asked = judged[judged.slot > 2]
+    for r in found.collect():
+        cache, hits = replay.Lru(r.capacity), 0
+        for key, ok in zip(asked.object_id, asked.admit):
+            if cache.access(key):
+                hits += 1
+            elif ok:
+                cache.insert(key)
+        assert (r.policy, r.hits, r.requests) == ("LRU", hits, len(asked))
